@@ -8,7 +8,9 @@ from importlib import import_module
 QUERIES = {
     "op1_url_filters": "url_rules",
     "op2_quality_rules": "quality_rules",
+    "op3_topk_inner_products": "topk",
     "op4_hypergeometric_sharding": "sharding",
+    "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_line_dedup": "line_dedup",
 }
