@@ -10,6 +10,8 @@ QUERIES = {
     "op2_quality_rules": "quality_rules",
     "op3_topk_inner_products": "topk",
     "op4_hypergeometric_sharding": "sharding",
+    "op6_language_id": "language_id",
+    "op7_warc": "warc",
     "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_line_dedup": "line_dedup",
