@@ -10,6 +10,7 @@ QUERIES = {
     "op2_quality_rules": "quality_rules",
     "op3_topk_inner_products": "topk",
     "op4_hypergeometric_sharding": "sharding",
+    "op5_minhash_near_dedup": "near_dedup",
     "op6_language_id": "language_id",
     "op7_warc": "warc",
     "op8_best_fit_packing": "packing",
