@@ -20,6 +20,7 @@ on the way; a score outside 64 bits is an error.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -40,7 +41,10 @@ SEED_ROWS = 2_048
 #: Tables of blocks or slices of up to this many rows are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 50_000
 #: Products of this many candidates by this many queries at once.
-TILE_ROWS, TILE_QUERIES = 8_192, 256
+TILE_ROWS, TILE_QUERIES = 4_096, 256
+FIRST_TILES = (0, 32, 256, 1_024)
+#: Pairs that are confirmed at once: some 30 MB of factors.
+CONFIRM_PAIRS = 16_384
 
 
 def quantise(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -94,11 +98,16 @@ class Rotated:
         self.bound = np.hstack([head, tail[:, None]])
 
     def products(self, other: Rotated, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
-        a, b = self.ints[mine], other.ints[theirs]
-        big = max(int(np.abs(a).max(initial=0)), int(np.abs(b).max(initial=0)))
-        if big <= 2**20:  # sums of up to 2**13 products fit 53 bits
-            return np.einsum("ij,ij->i", a.astype(float), b.astype(float)).astype(np.int64)
-        return np.array([int(sum(int(x) * int(y) for x, y in zip(p, q, strict=True))) for p, q in zip(a, b, strict=True)], dtype=np.int64)
+        """Exact inner products of rows mine of self with rows theirs of other, pair by pair."""
+        out = np.zeros(len(mine), dtype=np.int64)
+        for at in range(0, len(mine), CONFIRM_PAIRS):
+            a, b = self.ints[mine[at : at + CONFIRM_PAIRS]], other.ints[theirs[at : at + CONFIRM_PAIRS]]
+            big = max(int(np.abs(a).max(initial=0)), int(np.abs(b).max(initial=0)))
+            if big <= 2**20:  # sums of up to 2**13 products fit 53 bits
+                out[at : at + CONFIRM_PAIRS] = np.einsum("ij,ij->i", a.astype(float), b.astype(float))
+            else:
+                out[at : at + CONFIRM_PAIRS] = [sum(int(x) * int(y) for x, y in zip(p, q, strict=True)) for p, q in zip(a, b, strict=True)]
+        return out
 
 
 def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -112,8 +121,9 @@ def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray) -> tup
         rows = np.arange(q0, min(q0 + TILE_QUERIES, len(queries.ids)))
         low = limit[rows].copy()
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
-        for c0 in range(0, len(block.ids), TILE_ROWS):
-            tile = slice(c0, c0 + TILE_ROWS)
+        # the first tiles are small: they give the thresholds that thin out the others
+        for c0, c1 in pairwise([*(x for x in FIRST_TILES if x < len(block.ids)), *range(FIRST_TILES[-1] + TILE_ROWS, len(block.ids), TILE_ROWS), len(block.ids)]):
+            tile = slice(c0, c1)
             slack = 1e-9 * queries.norm[rows] * block.norm[c0] + 1e-6
             live = queries.norm[rows] * block.norm[c0] + slack >= low
             if not live.any():
