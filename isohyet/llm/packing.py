@@ -12,6 +12,8 @@ length is tokenized whole; an empty table gives an empty result; columns other t
 
 from __future__ import annotations
 
+import sys
+from array import array
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -26,7 +28,7 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Bytes of text that one packing block aims at: some 2.5 million tokens, 10 MB of ids.
 BLOCK_BYTES = 8 << 20
-#: Chunks that a task's cache of token ids holds before it starts anew.
+#: Chunks in a generation of a worker's cache of token ids: some 60 MB.
 CACHE_CHUNKS = 300_000
 
 
@@ -50,25 +52,44 @@ def default_tokenizer() -> str:
 class Ids:
     """Token ids of texts as little-endian 32-bit integers, chunk by chunk through a cache.
 
-    No token spans ASCII white space in a tokenizer that drops it, so that chunks can be tokenized apart.
+    No token spans ASCII white space in a tokenizer that drops it, so that chunks can be tokenized apart. The cache has two
+    generations: what is used moves to the young one, and once that is full, the old one goes. It lives as long as the
+    worker, so that later tasks start warm.
     """
 
+    _shared: tuple[str, Ids] | None = None
+
     def __init__(self, definition: str):
         import os
 
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
-        self.tokenizer, self.known = Tokenizer.from_str(definition), {}
+        self.tokenizer, self.young, self.old = Tokenizer.from_str(definition), {}, {}
+
+    @classmethod
+    def shared(cls, definition: str) -> Ids:
+        if cls._shared is None or cls._shared[0] != definition:
+            cls._shared = (definition, cls(definition))
+        return cls._shared[1]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
         chunks = [(t or "").encode().split() for t in texts]
-        if len(self.known) > CACHE_CHUNKS:
-            self.known = {}
-        new = list({c for x in chunks for c in x} - self.known.keys())
-        for c, e in zip(new, self.tokenizer.encode_batch([c.decode() for c in new], add_special_tokens=False), strict=True):
-            self.known[c] = np.array(e.ids, "<u4").tobytes()
-        get = self.known.__getitem__
+        if len(self.young) > CACHE_CHUNKS:
+            self.young, self.old = {}, self.young
+        young, old, new = self.young, self.old, []
+        for c in {c for x in chunks for c in x} - young.keys():
+            data = old.get(c)
+            if data is None:
+                new.append(c)
+            else:
+                young[c] = data
+        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
+            data = array("I", e.ids)
+            if sys.byteorder == "big":
+                data.byteswap()
+            young[c] = data.tobytes()
+        get = young.__getitem__
         return [b"".join(map(get, x)) for x in chunks]
 
 
@@ -77,7 +98,7 @@ PIECES = "key long, piece int, start long, length long, token_ids binary, block
 
 def _pieces(definition: str, most: int, end: bytes, blocks: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ids, part, seen = Ids(definition), TaskContext.get().partitionId(), 0
+        ids, part, seen = Ids.shared(definition), TaskContext.get().partitionId(), 0
         for big in batches:
             for at in range(0, big.num_rows, 512):
                 b = big.slice(at, 512)
