@@ -78,12 +78,13 @@ class Ids:
         if len(self.young) > CACHE_CHUNKS:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
-        for c in {c for x in chunks for c in x} - young.keys():
-            data = old.get(c)
-            if data is None:
-                new.append(c)
-            else:
-                young[c] = data
+        for c in {c for x in chunks for c in x}:
+            if c not in young:
+                data = old.get(c)
+                if data is None:
+                    new.append(c)
+                else:
+                    young[c] = data
         for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
             data = array("I", e.ids)
             if sys.byteorder == "big":
