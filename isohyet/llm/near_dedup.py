@@ -67,8 +67,9 @@ class Shingler:
         known, digest = self.known, self.digest
         if len(known) > CACHE_WORDS:
             known.clear()
-        for w in set(words) - known.keys():
-            known[w] = digest(w)
+        for w in words:
+            if w not in known:
+                known[w] = digest(w)
         codes = np.fromiter(map(known.__getitem__, words), np.uint64, len(words))
         width = min(self.width, len(words))
         out = np.full(len(codes) - width + 1, width, np.uint64)
