@@ -8,7 +8,7 @@ coordinates meet a pair of similarity 0.85 but for a chance of 2 in 10 million.
 Texts with one and the same shingle set become one node first. Buckets then never list their pairs: the smallest node
 of a bucket is its hub, members are verified against hubs on full sets, and verified links are contracted into
 components. A bucket whose members lie in several components goes on with further hubs, in numbers that
-quadruple, each against the members of other components, until every pair of a bucket is either in one component or
+grow eightfold, each against the members of other components, until every pair of a bucket is either in one component or
 ruled out: by verification, by the sizes of its sets, or by the triangle inequality of the Jaccard distance through a hub
 that both were verified against. So a link between two texts is lost only where no band meets.
 
@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 7
 SKETCH = BANDS * ROWS
 #: Texts that are sketched together, and the words of a task's cache before it starts anew.
 TOGETHER = 128
+#: Further hubs of a bucket in its first further round; eight times as many in each next.
+FIRST_HUBS = 8
 CACHE_WORDS = 1_000_000
 
 _FULL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -159,26 +161,25 @@ def _verify(width: int):
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) for the nodes of links (a, b): the smallest node reachable.
+    """(node, component) for nodes (node): the smallest node reachable over links (a, b).
 
-    Every round hooks each root to the smallest root it is linked with, halves all paths until they end at a root, and
-    keeps the links between different roots.
+    Every round hooks each root to the smallest root it is linked with, lets pointers jump until every chain ends at a root
+    that hooks no more, and keeps the links between different roots.
     """
-    parent = nodes.select("node", F.col("node").alias("component")).checkpoint()
+    parent = nodes.select("node", F.col("node").alias("component"))
     live = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct().checkpoint()
+
+    def renamed(table: DataFrame, column: str, to: DataFrame) -> DataFrame:
+        return table.join(to, table[column] == to["root"], "left").withColumn(column, F.coalesce("top", column)).drop("root", "top")
+
     while not live.isEmpty():
-        hook = live.groupBy("high").agg(F.min("low").alias("low")).checkpoint()
-        # roots that hook form chains; pointers jump until every chain ends at one that doesn't
-        while True:
+        hook = live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")).checkpoint()
+        while not hook.where("moved").isEmpty():
             up = hook.select(F.col("high").alias("h"), F.col("low").alias("to"))
-            jumped = hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")).checkpoint()
-            hook = jumped.select("high", "low")
-            if jumped.where("moved").isEmpty():
-                break
+            hook = hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")).checkpoint()
         to = hook.select(F.col("high").alias("root"), F.col("low").alias("top"))
-        renamed = lambda t, column: t.join(to, t[column] == to["root"], "left").withColumn(column, F.coalesce("top", column)).drop("root", "top")
-        parent = renamed(parent, "component").checkpoint()
-        live = renamed(renamed(live, "high"), "low").where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct().checkpoint()
+        parent = renamed(parent, "component", to).checkpoint()
+        live = renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct().checkpoint()
     return parent
 
 
@@ -198,7 +199,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # Buckets of several nodes, with their smallest as the first hub.
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select(F.col("bucket").alias("b"), "hub").checkpoint()
     members = placed.join(shared, F.col("bucket") == F.col("b")).select("bucket", "hub", "node", "n").distinct().checkpoint()
-    met = members.select("node").distinct()
+    met = members.select("node").distinct().checkpoint()
     texts = (
         rows.join(
             nodes.join(met, "node", "left_semi").select("node", F.col("doc").alias("n_doc"), F.col("text_hash").alias("n_hash")),
@@ -215,20 +216,18 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     def fits(a: str, b: str):
         return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
 
-    sizes = nodes.select(F.col("node").alias("h"), F.col("n").alias("hub_n"))
     first = members.where("hub <> node").select("hub", "node", "n").distinct()
     # Verified whatever their sizes: distances to the hub rule out later pairs.
     tested = verified(first.select("hub", "node"))
     is_link = F.expr(f"100 * shared >= {percent} * either")
-    links = tested.where(is_link).select(F.col("hub").alias("a"), F.col("node").alias("b"))
-    reach = components(met, links)
+    reach = components(met, tested.where(is_link).select(F.col("hub").alias("a"), F.col("node").alias("b")))
     distance = tested.select(F.col("hub").alias("d_hub"), F.col("node").alias("d_node"), (1 - F.col("shared") / F.col("either")).alias("d"))
     # A bucket's state: every member with its size, its distance to the first hub, and whether it has been a hub itself.
     state = (
         members.join(distance, (F.col("hub") == F.col("d_hub")) & (F.col("node") == F.col("d_node")), "left")
         .select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("node") == F.col("hub")).alias("done"))
     )
-    hubs = 1
+    hubs = FIRST_HUBS
     while True:
         comp = reach.select(F.col("node").alias("c_node"), "component")
         labelled = state.join(comp, F.col("node") == F.col("c_node")).drop("c_node")
@@ -254,11 +253,17 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         pairs = pairs.join(old, (F.col("hub") == F.col("t_hub")) & (F.col("node") == F.col("t_node")), "left_anti").checkpoint()
         more = verified(pairs)
         tested = tested.unionByName(more)
-        links = links.unionByName(more.where(is_link).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-        reach = components(met, links)
+        linked = more.where(is_link).select("hub", "node")
+        if not linked.isEmpty():
+            # new links join the components found so far
+            of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))  # noqa: B023, E731
+            between = linked.join(of("a"), F.col("hub") == F.col("a_node")).join(of("b"), F.col("node") == F.col("b_node")).select("a", "b").checkpoint()
+            roots = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().checkpoint()
+            top = components(roots, between).select(F.col("node").alias("root"), F.col("component").alias("top"))
+            reach = reach.join(top, F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
         was = picked.select("p_bucket", F.col("hub").alias("p_hub"))
         state = state.drop("component", "low").join(was, (F.col("bucket") == F.col("p_bucket")) & (F.col("node") == F.col("p_hub")), "left").withColumn("done", F.col("p_hub").isNotNull()).drop("p_bucket", "p_hub")
-        hubs *= 4
+        hubs *= 8
     comp = reach.select(F.col("node").alias("c_node"), "component")
     named = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("d1", "d2", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component").checkpoint()
