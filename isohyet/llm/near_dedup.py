@@ -1,9 +1,9 @@
 """Operator 5, MinHash near-dedup: fast similarity sketches, banding, exact verification, connected components.
 
-A sketch has SKETCH coordinates, filled in rounds: in round i every shingle is hashed to one coordinate (in the later half
+A sketch has some 280 coordinates, filled in rounds: in round i every shingle is hashed to one coordinate (in the later half
 of the rounds to coordinate i itself), a coordinate keeps the smallest value of its first round, and a text is
-done once all its coordinates are filled; a few rounds do for most texts, and twice SKETCH for any. BANDS bands of ROWS
-coordinates meet a pair of similarity 0.85 but for a chance of 2 in 10 million.
+done once all its coordinates are filled; a few rounds do for most texts, and twice as many as coordinates for any. Bands (40 of
+7 coordinates for a similarity of 0.85, 46 of 6 for 0.8) miss a pair at the threshold with a chance below one in a million.
 
 Texts with one and the same shingle set become one node first. Buckets then never list their pairs: the smallest node
 of a bucket is its hub, members are verified against hubs on full sets, and verified links are contracted into
@@ -34,8 +34,8 @@ from isohyet.session import shared_dir
 
 #: Words in a shingle and similarity of a link in hundredths, as op5's contract has them; near_duplicates() defaults to 5 and 80.
 WIDTH, PERCENT = 3, 85
-BANDS, ROWS = 40, 7
-SKETCH = BANDS * ROWS
+#: Coordinates of a sketch at most, and the chance at most that no band meets a pair at the similarity of a link.
+COORDINATES, MISS = 280, 1e-6
 #: Texts that are sketched together, and the words of a task's cache before it starts anew.
 TOGETHER = 128
 #: Further hubs of a bucket in its first further round; eight times as many in each next.
@@ -80,31 +80,40 @@ class Shingler:
         return np.unique(out)
 
 
-def sketches(sets: list[np.ndarray]) -> np.ndarray:
-    """A row of SKETCH values for each set (none empty); the upper half of a value is the round it comes from."""
+def banding(percent: int) -> tuple[int, int]:
+    """(bands, rows): the longest bands that still meet pairs of that similarity."""
+    for rows in range(COORDINATES, 0, -1):
+        bands = COORDINATES // rows
+        if (1 - (percent / 100) ** rows) ** bands < MISS:
+            return bands, rows
+    return COORDINATES, 1
+
+
+def sketches(sets: list[np.ndarray], size: int) -> np.ndarray:
+    """A row of size values for each set (none empty); the upper half of a value is the round it comes from."""
     n = len(sets)
-    values = np.full(n * SKETCH, _FULL, np.uint64)
+    values = np.full(n * size, _FULL, np.uint64)
     items = np.concatenate(sets) if n else np.zeros(0, np.uint64)
     owner = np.repeat(np.arange(n), [len(s) for s in sets])
-    for turn in range(2 * SKETCH):
+    for turn in range(2 * size):
         hashed = _mix(items ^ _mix(np.uint64([turn + 1]) * _MULTIPLIERS[0]))
-        place = ((hashed >> np.uint64(32)) * np.uint64(SKETCH) >> np.uint64(32)).astype(np.int64) if turn < SKETCH else turn - SKETCH
+        place = ((hashed >> np.uint64(32)) * np.uint64(size) >> np.uint64(32)).astype(np.int64) if turn < size else turn - size
         # earlier rounds are smaller, so that a coordinate keeps its first round's minimum
-        np.minimum.at(values, owner * SKETCH + place, (hashed & _LOW) | np.uint64(turn << 32))
-        open_ = (values.reshape(n, SKETCH) == _FULL).any(1)
+        np.minimum.at(values, owner * size + place, (hashed & _LOW) | np.uint64(turn << 32))
+        open_ = (values.reshape(n, size) == _FULL).any(1)
         if not open_.any():
             break
         if not open_.all():
             stays = open_[owner]
             items, owner = items[stays], owner[stays]
-    return values.reshape(n, SKETCH)
+    return values.reshape(n, size)
 
 
-def band_keys(rows: np.ndarray) -> np.ndarray:
-    """BANDS 64-bit keys (signed) for each sketch; a key tells its band."""
-    parts = rows.reshape(len(rows), BANDS, ROWS)
-    key = np.broadcast_to(_mix(np.arange(1, BANDS + 1, dtype=np.uint64)), parts.shape[:2])
-    for j in range(ROWS):
+def band_keys(values: np.ndarray, bands: int, rows: int) -> np.ndarray:
+    """A 64-bit key (signed) for every band of each sketch; a key tells its band."""
+    parts = values.reshape(len(values), bands, rows)
+    key = np.broadcast_to(_mix(np.arange(1, bands + 1, dtype=np.uint64)), parts.shape[:2])
+    for j in range(rows):
         key = _mix(key * _MULTIPLIERS[1] + parts[:, :, j])
     return key.view(np.int64)
 
@@ -112,7 +121,7 @@ def band_keys(rows: np.ndarray) -> np.ndarray:
 SKETCHED = "doc long, text_hash long, n_shingles long, d1 long, d2 long, bands array<bigint>"
 
 
-def _sketch(width: int):
+def _sketch(width: int, bands: int, rows: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         import xxhash
 
@@ -122,13 +131,13 @@ def _sketch(width: int):
                 b = big.slice(at, TOGETHER)
                 sets = [shingle(t) for t in b.column("text").to_pylist()]
                 full = [i for i, s in enumerate(sets) if len(s)]
-                keys = band_keys(sketches([sets[i] for i in full]))
-                bands: list = [None] * len(sets)
+                keys = band_keys(sketches([sets[i] for i in full], bands * rows), bands, rows)
+                buckets: list = [None] * len(sets)
                 for i, row in zip(full, keys, strict=True):
-                    bands[i] = row
+                    buckets[i] = row
                 digests = np.array([np.frombuffer(xxhash.xxh3_128_digest(s.tobytes()), np.int64) for s in sets], np.int64).reshape(-1, 2)
                 yield pa.RecordBatch.from_arrays(
-                    [b.column("doc"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(bands, pa.list_(pa.int64()))],
+                    [b.column("doc"), b.column("text_hash"), pa.array([len(s) for s in sets], pa.int64()), pa.array(digests[:, 0]), pa.array(digests[:, 1]), pa.array(buckets, pa.list_(pa.int64()))],
                     ["doc", "text_hash", "n_shingles", "d1", "d2", "bands"],
                 )
 
@@ -188,7 +197,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     spark = docs.sparkSession
     shared_dir(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
-    every = rows.select("doc", "text_hash", "text").mapInArrow(_sketch(width), SKETCHED).checkpoint()
+    every = rows.select("doc", "text_hash", "text").mapInArrow(_sketch(width, *banding(percent)), SKETCHED).checkpoint()
     # Equal sets are one node; its text is that of its smallest document.
     classes = every.where("n_shingles > 0").groupBy("d1", "d2").agg(F.min(F.struct("doc", "text_hash")).alias("first"), F.min("doc").alias("id"), F.max("n_shingles").alias("n"))
     nodes = classes.select(F.monotonically_increasing_id().alias("node"), "d1", "d2", "id", "n", F.col("first.doc").alias("doc"), F.col("first.text_hash").alias("text_hash")).checkpoint()

@@ -12,8 +12,7 @@ length is tokenized whole; an empty table gives an empty result; columns other t
 
 from __future__ import annotations
 
-import sys
-from array import array
+import json
 from collections.abc import Iterator
 from dataclasses import dataclass
 from pathlib import Path
@@ -66,6 +65,7 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_str(definition), {}, {}
+        self.ends = _word_ends(json.loads(definition))
 
     @classmethod
     def shared(cls, definition: str) -> Ids:
@@ -85,14 +85,59 @@ class Ids:
                     new.append(c)
                 else:
                     young[c] = data
-        for c, e in zip(new, self.tokenizer.encode_batch_fast([c.decode() for c in new], add_special_tokens=False), strict=True):
-            data = array("I", e.ids)
-            if sys.byteorder == "big":
-                data.byteswap()
-            young[c] = data.tobytes()
+        young.update(self._encoded(new))
         get = young.__getitem__
         return [b"".join(map(get, x)) for x in chunks]
 
+    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
+        """The ids of chunks that the cache lacks.
+
+        Where the tokenizer takes each run of letters for a word, marks the last token of a word and lower-cases, words with
+        ASCII marks behind them are two words each: distinct words are then tokenized in one text and parted at their marks.
+        """
+        done: dict[bytes, bytes] = {}
+        parts: dict[bytes, tuple[str, str]] = {}
+        rest = chunks
+        if self.ends is not None:
+            rest = []
+            for c in chunks:
+                text = c.decode()
+                word = text.rstrip(MARKS)
+                if word.isalpha():
+                    parts[c] = (word.lower() if word.isascii() else word, text[len(word) :])
+                else:
+                    rest.append(c)
+            words = list({w for p in parts.values() for w in p if w})
+            for at in range(0, len(words), 4_096):
+                some = words[at : at + 4_096]
+                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+                if len(cuts) != len(some):
+                    raise ValueError("the tokenizer's words are not those that its definition promises")
+                data = ids.tobytes()
+                done.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+            done = {c: done[w] + done[marks] if marks else done[w] for c, (w, marks) in parts.items()}
+        for c, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
+            done[c] = np.array(e.ids, "<u4").tobytes()
+        return done
+
+
+#: Marks that stand behind words, without those that a tokenizer could take for parts of them.
+MARKS = ".,;:!?#$%&*()"
+#: Fixed value: the pattern of a word-level tokenizer, one of whose alternatives is a run of letters and another a run of marks.
+LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+
+
+def _word_ends(definition: dict) -> np.ndarray | None:
+    """For each id, whether it ends a word; None where words of letters can't be told from the definition."""
+    suffix = definition["model"].get("end_of_word_suffix")
+    if not suffix or LETTER_RUNS not in json.dumps(definition.get("pre_tokenizer"), ensure_ascii=False).replace("\\\\", "\\") or "Lowercase" not in json.dumps(definition.get("normalizer")):
+        return None
+    vocabulary = definition["model"]["vocab"]
+    ends = np.zeros(max(vocabulary.values()) + 1 + len(definition.get("added_tokens", [])), bool)
+    ends[[i for token, i in vocabulary.items() if token.endswith(suffix)]] = True
+    return ends
+
 
 PIECES = "key long, piece int, start long, length long, token_ids binary, block int"
 

@@ -19,14 +19,15 @@ from pyspark.sql import functions as F
 
 from isohyet.llm.text import let, words
 
-#: Rules in bit order; each is true where a document fails. Only integers are compared, so engines can't differ.
+#: Rules in bit order: (a, x, b, y) fails a document where a * x > b * y, x and y being measurements, or 1 for None.
+#: Only integers are compared, so engines can't differ.
 RULES = {
-    "few_words": "n_words < 50",
-    "repeated_windows": "100 * n_repeat_words > 50 * n_words",
-    "short_words": "word_chars < 2 * n_words",
-    "long_words": "word_chars > 20 * n_words",
-    "symbols": "10 * n_symbols > 3 * n_words",
-    "duplicate_lines": "2 * n_dup_lines > n_lines",
+    "few_words": (50, None, 1, "n_words"),
+    "repeated_windows": (100, "n_repeat_words", 50, "n_words"),
+    "short_words": (2, "n_words", 1, "word_chars"),
+    "long_words": (1, "word_chars", 20, "n_words"),
+    "symbols": (10, "n_symbols", 3, "n_words"),
+    "duplicate_lines": (2, "n_dup_lines", 1, "n_lines"),
 }
 BIT = {name: 1 << i for i, name in enumerate(RULES)}
 BASE = BIT["few_words"] | BIT["repeated_windows"]
@@ -75,7 +76,7 @@ def _repeat_words(w: Column) -> Column:
 
 
 def measurements(text: Column) -> Column:
-    """A struct of n_words, word_chars, n_symbols, n_lines, n_dup_lines and n_repeat_words (all long)."""
+    """A struct of n_words, word_chars, n_repeat_words, n_lines, n_dup_lines and n_symbols (all long)."""
     text = F.coalesce(text, F.lit(""))
     lines = F.filter(F.split(text, "\n", -1), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
     by_words = let(words(text), lambda w: F.struct(
@@ -86,16 +87,26 @@ def measurements(text: Column) -> Column:
     by_lines = let(lines, lambda x: F.struct(
         F.size(x).cast("long").alias("n_lines"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("n_dup_lines")
     ))
-    return F.struct(by_words.alias("w"), by_lines.alias("l"), F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long").alias("n_symbols"))
+    n_symbols = F.regexp_count(text, F.lit(r"[#*$%&|<>]")).cast("long")
+    flat = lambda m: F.struct(*[m["w"][c].alias(c) for c in ("n_words", "word_chars", "n_repeat_words")], *[m["l"][c].alias(c) for c in ("n_lines", "n_dup_lines")], m["n_symbols"].alias("n_symbols"))
+    return let(F.struct(by_words.alias("w"), by_lines.alias("l"), n_symbols.alias("n_symbols")), flat)
+
+
+def fail_bits(m: Column) -> Column:
+    """The bits of the rules that a struct of measurements fails."""
+    side = lambda factor, name: m[name] * factor if name else F.lit(factor)
+    return sum((F.when(side(a, x) > side(b, y), BIT[name]).otherwise(0) for name, (a, x, b, y) in RULES.items()), F.lit(0))
 
 
 def ledger(docs: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, measurements, fail_bits): every rule evaluated once for every document."""
-    m = docs.select(F.col(key).alias("__key"), measurements(F.col(text)).alias("m")).select(
-        F.col("__key").alias(key), "m.w.n_words", "m.w.word_chars", "m.n_symbols", "m.l.n_lines", "m.l.n_dup_lines", "m.w.n_repeat_words"
-    )
-    bits = sum((F.when(F.expr(rule), BIT[name]).otherwise(0) for name, rule in RULES.items()), F.lit(0))
-    return m.withColumn("fail_bits", bits)
+    judged = let(measurements(F.col(text)), lambda m: F.struct(m.alias("m"), fail_bits(m).alias("fail_bits")))
+    return docs.select(F.col(key).alias("__key"), judged.alias("j")).select(F.col("__key").alias(key), "j.m.*", "j.fail_bits")
+
+
+def keep_documents(docs: DataFrame, policy: Policy = POLICY, text: str = "text") -> DataFrame:
+    """The rows of docs that the policy keeps, judged where they are scanned."""
+    return docs.where(let(measurements(F.col(text)), fail_bits).bitwiseAND(policy.mask) == 0)
 
 
 def apply_policy(entries: DataFrame, policy: Policy = POLICY) -> DataFrame:
@@ -129,7 +140,7 @@ def op2_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 _WS = r"[\x20\x09-\x0D]"
-_FAILS = " + ".join(f"CASE WHEN {rule} THEN {BIT[name]} ELSE 0 END" for name, rule in RULES.items())
+_FAILS = " + ".join(f"CASE WHEN {a} * {x or 1} > {b} * {y or 1} THEN {BIT[name]} ELSE 0 END" for name, (a, x, b, y) in RULES.items())
 SQL = rf"""
 WITH d AS (SELECT row_number() OVER () AS rn, doc_id, coalesce(text, '') AS text FROM documents),
 w AS (SELECT rn, doc_id, text, regexp_extract_all(text, '[^\x20\x09-\x0D]+') AS ws FROM d),
