@@ -5,12 +5,12 @@ of the rounds to coordinate i itself), a coordinate keeps the smallest value of
 done once all its coordinates are filled; a few rounds do for most texts, and twice as many as coordinates for any. Bands (40 of
 7 coordinates for a similarity of 0.85, 46 of 6 for 0.8) miss a pair at the threshold with a chance below one in a million.
 
-Texts with one and the same shingle set become one node first. Buckets then never list their pairs: the smallest node
-of a bucket is its hub, members are verified against hubs on full sets, and verified links are contracted into
-components. A bucket whose members lie in several components goes on with further hubs, in numbers that
-grow eightfold, each against the members of other components, until every pair of a bucket is either in one component or
-ruled out: by verification, by the sizes of its sets, or by the triangle inequality of the Jaccard distance through a hub
-that both were verified against. So a link between two texts is lost only where no band meets.
+Texts with one and the same shingle set become one node first. Buckets then never list their pairs: the smallest node of a
+bucket is its hub, and members are verified against hubs on full sets. Verified links are contracted into components. Any
+two nodes that share a bucket are in the group of its hub; a group whose members lie in several components is settled in blocks:
+a task counts the shingles that two blocks of bounded size share by matrix products and returns only links that join
+components, at most one for each member. Large groups are cut into shells by their distance to the hub, and by the triangle
+inequality of the Jaccard distance only neighbouring shells meet. So a link is lost only where no band meets.
 
 Joins on hub, bucket and class are plain equi-joins on tables cut off by checkpoint(), whose hot keys adaptive execution splits;
 what groups a key is pre-aggregated. Nothing but counts reaches the driver.
@@ -38,8 +38,10 @@ WIDTH, PERCENT = 3, 85
 COORDINATES, MISS = 280, 1e-6
 #: Texts that are sketched together, and the words of a task's cache before it starts anew.
 TOGETHER = 128
-#: Further hubs of a bucket in its first further round; eight times as many in each next.
-FIRST_HUBS = 8
+#: Nodes and bytes of text of a block at most (a longer text is a block of its own), and shingles in one matrix product.
+BLOCK_NODES, BLOCK_BYTES, PRODUCT = 512, 2 << 20, 8_192
+#: Tables of up to this many rows (some 2 MB) are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 50_000
 CACHE_WORDS = 1_000_000
 
 _FULL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -169,6 +171,66 @@ def _verify(width: int):
     return run
 
 
+SETTLED = "a long, b long"
+
+
+def _settle(width: int, percent: int):
+    """Links between the two blocks of a group (or within one) that join different components, as far as the group knows."""
+
+    def run(table: pa.Table) -> pa.Table:
+        nodes = np.asarray(table.column("node").combine_chunks())
+        found: list[tuple[int, int]] = []
+        root = {c: c for c in table.column("component").to_pylist()}
+        comp = table.column("component").to_pylist()
+
+        def top(c: int) -> int:
+            while root[c] != c:
+                root[c] = root[root[c]]
+                c = root[c]
+            return c
+
+        if len(root) > 1:
+            shingle = Shingler(width)
+            sets = [shingle(t) for t in table.column("text").to_pylist()]
+            sizes = np.array([len(x) for x in sets])
+            side = np.asarray(table.column("side").combine_chunks())
+            left, right = np.flatnonzero(side != 1), np.flatnonzero(side != 0)
+            shared = _shared(sets, left, right)
+            either = sizes[left][:, None] + sizes[right][None, :] - shared
+            for i, j in zip(*np.nonzero(100 * shared >= percent * either), strict=True):
+                a, b = top(comp[left[i]]), top(comp[right[j]])
+                if a != b:
+                    root[max(a, b)] = min(a, b)
+                    found.append((int(nodes[left[i]]), int(nodes[right[j]])))
+        return pa.table({"a": pa.array([x for x, _ in found], pa.int64()), "b": pa.array([y for _, y in found], pa.int64())})
+
+    return run
+
+
+def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """How many shingles each set of left shares with each of right."""
+    items, owner = np.concatenate(sets), np.repeat(np.arange(len(sets)), [len(x) for x in sets])
+    _, column, times = np.unique(items, return_inverse=True, return_counts=True)
+    new = np.cumsum(times > 1) - 1  # what one set alone holds isn't shared
+    keep = times[column] > 1
+    column, owner = new[column[keep]], owner[keep]
+    order = np.argsort(column, kind="stable")
+    column, owner = column[order], owner[order]
+    out = np.zeros((len(left), len(right)), np.float32)
+    end = int(column[-1]) + 1 if len(column) else 0
+    for at in range(0, end, PRODUCT):
+        lo, hi = np.searchsorted(column, [at, at + PRODUCT])
+        dense = np.zeros((len(sets), min(PRODUCT, end - at)), np.float32)
+        dense[owner[lo:hi], column[lo:hi] - at] = 1
+        out += dense[left] @ dense[right].T
+    return out.astype(np.int64)
+
+
+def _small(table: DataFrame) -> DataFrame:
+    """The table, marked for broadcast if it is counted to be small."""
+    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+
+
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) for nodes (node): the smallest node reachable over links (a, b).
 
@@ -183,10 +245,12 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 
     while not live.isEmpty():
         hook = live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")).checkpoint()
-        while not hook.where("moved").isEmpty():
-            up = hook.select(F.col("high").alias("h"), F.col("low").alias("to"))
+        while True:
+            up = _small(hook.select(F.col("high").alias("h"), F.col("low").alias("to")))
             hook = hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")).checkpoint()
-        to = hook.select(F.col("high").alias("root"), F.col("low").alias("top"))
+            if hook.where("moved").isEmpty():
+                break
+        to = _small(hook.select(F.col("high").alias("root"), F.col("low").alias("top")))
         parent = renamed(parent, "component", to).checkpoint()
         live = renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct().checkpoint()
     return parent
@@ -207,7 +271,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     ).select("node", "n", F.explode("bands").alias("bucket"))
     # Buckets of several nodes, with their smallest as the first hub.
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select(F.col("bucket").alias("b"), "hub").checkpoint()
-    members = placed.join(shared, F.col("bucket") == F.col("b")).select("bucket", "hub", "node", "n").distinct().checkpoint()
+    members = placed.join(shared, F.col("bucket") == F.col("b")).select("hub", "node").distinct().checkpoint()
     met = members.select("node").distinct().checkpoint()
     texts = (
         rows.join(
@@ -216,63 +280,43 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         ).select("node", "text").dropDuplicates(["node"]).checkpoint()
     )
 
-    def verified(pairs: DataFrame) -> DataFrame:
-        hub_texts = texts.select(F.col("node").alias("t_hub"), F.col("text").alias("hub_text"))
-        with_node = pairs.join(texts, "node").select("hub", "node", F.col("text").alias("node_text"))
-        with_both = with_node.join(hub_texts, F.col("hub") == F.col("t_hub")).select("hub", "node", "node_text", "hub_text")
-        return with_both.mapInArrow(_verify(width), VERIFIED).checkpoint()
-
-    def fits(a: str, b: str):
-        return (100 * F.least(a, b)) >= (percent * F.greatest(a, b))
-
-    first = members.where("hub <> node").select("hub", "node", "n").distinct()
-    # Verified whatever their sizes: distances to the hub rule out later pairs.
-    tested = verified(first.select("hub", "node"))
-    is_link = F.expr(f"100 * shared >= {percent} * either")
-    reach = components(met, tested.where(is_link).select(F.col("hub").alias("a"), F.col("node").alias("b")))
-    distance = tested.select(F.col("hub").alias("d_hub"), F.col("node").alias("d_node"), (1 - F.col("shared") / F.col("either")).alias("d"))
-    # A bucket's state: every member with its size, its distance to the first hub, and whether it has been a hub itself.
-    state = (
-        members.join(distance, (F.col("hub") == F.col("d_hub")) & (F.col("node") == F.col("d_node")), "left")
-        .select("bucket", "node", "n", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("node") == F.col("hub")).alias("done"))
+    # Every member against its hubs.
+    pairs = members.where("hub <> node")
+    hub_texts = texts.select(F.col("node").alias("t_hub"), F.col("text").alias("hub_text"))
+    with_node = pairs.join(texts, "node").select("hub", "node", F.col("text").alias("node_text"))
+    with_both = with_node.join(hub_texts, F.col("hub") == F.col("t_hub")).select("hub", "node", "node_text", "hub_text")
+    tested = with_both.mapInArrow(_verify(width), VERIFIED).checkpoint()
+    links = tested.where(F.expr(f"100 * shared >= {percent} * either")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+    reach = components(met, links)
+    of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
+
+    # Groups of a hub with open pairs: members (the hub is linked with or ruled out for all of them) of several components.
+    group = tested.select("hub", "node", (1 - F.col("shared") / F.col("either")).alias("d")).join(of("component"), F.col("node") == F.col("component_node")).drop("component_node")
+    open_ = group.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(F.col("hub").alias("o_hub"), "n").checkpoint()
+    far = 1 - percent / 100 + 1e-9
+    sized = group.join(_small(open_), F.col("hub") == F.col("o_hub")).join(texts.select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node"))
+    placed_in = sized.select("hub", "node", "component", "bytes", F.when(F.col("n") <= BLOCK_NODES, 0).otherwise(F.floor(F.col("d") / far)).cast("int").alias("shell")).checkpoint()
+    blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
+    shells = placed_in.groupBy("hub", "shell").agg(blocks.alias("blocks")).groupBy(F.col("hub").alias("s_hub")).agg(F.map_from_entries(F.collect_list(F.struct("shell", "blocks"))).alias("blocks")).checkpoint()
+    there = lambda shell: F.coalesce(F.try_element_at("blocks", shell), F.lit(0))
+    numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda v: v < n)
+    own = F.struct(F.col("shell").alias("shell"), F.col("block").alias("block"))
+    at = lambda shell, v: F.struct(shell.alias("shell"), v.cast("int").alias("block"))
+    partners = F.concat(*[F.transform(numbers(there(F.col("shell") + step)), lambda v, step=step: at(F.col("shell") + step, v)) for step in (-1, 0, 1)])
+    dealt = (
+        placed_in.join(_small(shells), F.col("hub") == F.col("s_hub"))
+        .withColumn("block", F.pmod(F.xxhash64("node"), there(F.col("shell"))).cast("int"))
+        .withColumn("with", F.explode(partners))
+        .select("hub", F.least(own, F.col("with")).alias("low"), F.greatest(own, F.col("with")).alias("high"), F.when(own == F.col("with"), 2).otherwise(F.when(own < F.col("with"), 0).otherwise(1)).alias("side"), "node", "component")
     )
-    hubs = FIRST_HUBS
-    while True:
-        comp = reach.select(F.col("node").alias("c_node"), "component")
-        labelled = state.join(comp, F.col("node") == F.col("c_node")).drop("c_node")
-        # Open pairs are those of members that have not been hubs, in different components.
-        open_ = labelled.where("not done").groupBy("bucket").agg(F.min("component").alias("low"), F.max("component").alias("high")).where("low < high").select(F.col("bucket").alias("o"), "low")
-        state = labelled.where("not done").join(open_, F.col("bucket") == F.col("o")).drop("o").checkpoint()
-        if state.isEmpty():
-            break
-        # The next hubs: not those of the component named low, which may be large; a few of the others, spread by salt.
-        lone = state.where("component <> low").select("bucket", "node", "n", "d", "component")
-        salted = lone.withColumn("salt", F.pmod(F.xxhash64("node", F.lit(hubs)), F.lit(hubs)))
-        picked = salted.groupBy("bucket", "salt").agg(F.min(F.struct("node", "n", "d", "component")).alias("p")).select(
-            F.col("bucket").alias("p_bucket"), F.col("p.node").alias("hub"), F.col("p.n").alias("hub_n"), F.col("p.d").alias("hub_d"), F.col("p.component").alias("hub_component")
-        ).checkpoint()
-        far = 1 - percent / 100 + 1e-9
-        pairs = (
-            state.join(picked, F.col("bucket") == F.col("p_bucket"))
-            .where((F.col("component") != F.col("hub_component")) & fits("n", "hub_n") & (F.abs(F.col("d") - F.col("hub_d")) <= far))
-            .select(F.greatest("hub", "node").alias("hub"), F.least("hub", "node").alias("node"))
-            .distinct()
-        )
-        old = tested.select(F.greatest("hub", "node").alias("t_hub"), F.least("hub", "node").alias("t_node"))
-        pairs = pairs.join(old, (F.col("hub") == F.col("t_hub")) & (F.col("node") == F.col("t_node")), "left_anti").checkpoint()
-        more = verified(pairs)
-        tested = tested.unionByName(more)
-        linked = more.where(is_link).select("hub", "node")
-        if not linked.isEmpty():
-            # new links join the components found so far
-            of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))  # noqa: B023, E731
-            between = linked.join(of("a"), F.col("hub") == F.col("a_node")).join(of("b"), F.col("node") == F.col("b_node")).select("a", "b").checkpoint()
-            roots = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().checkpoint()
-            top = components(roots, between).select(F.col("node").alias("root"), F.col("component").alias("top"))
-            reach = reach.join(top, F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
-        was = picked.select("p_bucket", F.col("hub").alias("p_hub"))
-        state = state.drop("component", "low").join(was, (F.col("bucket") == F.col("p_bucket")) & (F.col("node") == F.col("p_hub")), "left").withColumn("done", F.col("p_hub").isNotNull()).drop("p_bucket", "p_hub")
-        hubs *= 8
+    with_text = dealt.join(texts, "node").select("hub", F.concat_ws("-", "low.shell", "low.block", "high.shell", "high.block").alias("blocks"), "side", "node", "component", "text")
+    more = with_text.groupBy("hub", "blocks").applyInArrow(_settle(width, percent), SETTLED).checkpoint()
+    if not more.isEmpty():
+        # new links join the components found so far
+        between = more.withColumnsRenamed({"a": "x", "b": "y"}).join(of("a"), F.col("x") == F.col("a_node")).join(of("b"), F.col("y") == F.col("b_node")).select("a", "b").checkpoint()
+        roots = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().checkpoint()
+        top = components(roots, between).select(F.col("node").alias("root"), F.col("component").alias("top"))
+        reach = reach.join(_small(top), F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
     comp = reach.select(F.col("node").alias("c_node"), "component")
     named = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("d1", "d2", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component").checkpoint()
