@@ -13,8 +13,10 @@ length is tokenized whole; an empty table gives an empty result; columns other t
 from __future__ import annotations
 
 import json
+import re
 from collections.abc import Iterator
 from dataclasses import dataclass
+from operator import itemgetter
 from pathlib import Path
 
 import numpy as np
@@ -74,56 +76,51 @@ class Ids:
         return cls._shared[1]
 
     def of(self, texts: list[str | None]) -> list[bytes]:
-        chunks = [(t or "").encode().split() for t in texts]
+        chunks = list(map(self._chunks, texts))
         if len(self.young) > CACHE_CHUNKS:
             self.young, self.old = {}, self.young
         young, old, new = self.young, self.old, []
-        for c in {c for x in chunks for c in x}:
-            if c not in young:
-                data = old.get(c)
-                if data is None:
-                    new.append(c)
-                else:
-                    young[c] = data
-        young.update(self._encoded(new))
-        get = young.__getitem__
-        return [b"".join(map(get, x)) for x in chunks]
-
-    def _encoded(self, chunks: list[bytes]) -> dict[bytes, bytes]:
-        """The ids of chunks that the cache lacks.
-
-        Where the tokenizer takes each run of letters for a word, marks the last token of a word and lower-cases, words with
-        ASCII marks behind them are two words each: distinct words are then tokenized in one text and parted at their marks.
+        for c in set().union(*chunks).difference(young):
+            data = old.get(c)
+            if data is None:
+                new.append(c)
+            else:
+                young[c] = data
+        self._encode(new)
+        return [b"".join(itemgetter(*x)(young)) if len(x) > 1 else b"".join(map(young.__getitem__, x)) for x in chunks]
+
+    def _chunks(self, text: str | None) -> list[bytes]:
+        """Parts whose ids follow each other as the text's do. Where words of letters are known, a mark that ends one stands apart."""
+        if not text:
+            return []
+        if self.ends is None:
+            return text.encode().split()
+        if "<|" in text:  # could become a special token in lower case
+            return END_MARK.sub(r" \g<0>", text).encode().split()
+        return END_MARK.sub(r" \g<0>", text).encode().lower().split()
+
+    def _encode(self, chunks: list[bytes]) -> None:
+        """Adds to the cache what it lacks.
+
+        Where the tokenizer takes each run of letters for a word and marks the last token of a word, distinct words are tokenized
+        in one text and parted at their marks; the rest chunk by chunk.
         """
-        done: dict[bytes, bytes] = {}
-        parts: dict[bytes, tuple[str, str]] = {}
-        rest = chunks
-        if self.ends is not None:
-            rest = []
-            for c in chunks:
-                text = c.decode()
-                word = text.rstrip(MARKS)
-                if word.isalpha():
-                    parts[c] = (word.lower() if word.isascii() else word, text[len(word) :])
-                else:
-                    rest.append(c)
-            words = list({w for p in parts.values() for w in p if w})
-            for at in range(0, len(words), 4_096):
-                some = words[at : at + 4_096]
-                ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
-                cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
-                if len(cuts) != len(some):
-                    raise ValueError("the tokenizer's words are not those that its definition promises")
-                data = ids.tobytes()
-                done.update(zip(some, map(data.__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
-            done = {c: done[w] + done[marks] if marks else done[w] for c, (w, marks) in parts.items()}
-        for c, e in zip(rest, self.tokenizer.encode_batch_fast([c.decode() for c in rest], add_special_tokens=False), strict=True):
-            done[c] = np.array(e.ids, "<u4").tobytes()
-        return done
-
-
-#: Marks that stand behind words, without those that a tokenizer could take for parts of them.
-MARKS = ".,;:!?#$%&*()"
+        young, texts = self.young, [c.decode() for c in chunks]
+        words = [t.isalpha() for t in texts] if self.ends is not None else [False] * len(texts)
+        some, keys = [t for t, w in zip(texts, words, strict=True) if w], [c for c, w in zip(chunks, words, strict=True) if w]
+        if some:
+            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
+            if len(cuts) != len(some):
+                raise ValueError("the tokenizer's words are not those that its definition promises")
+            young.update(zip(keys, map(ids.tobytes().__getitem__, map(slice, [0, *cuts], cuts)), strict=False))
+        rest = [(c, t) for c, t, w in zip(chunks, texts, words, strict=True) if not w]
+        for (c, _), e in zip(rest, self.tokenizer.encode_batch_fast([t for _, t in rest], add_special_tokens=False), strict=True):
+            young[c] = np.array(e.ids, "<u4").tobytes()
+
+
+#: A mark right behind a letter and before white space: a word of its own to a tokenizer of letter runs.
+END_MARK = re.compile(r"[.,;:!?](?=\s)(?<=[^\W\d_][.,;:!?])")
 #: Fixed value: the pattern of a word-level tokenizer, one of whose alternatives is a run of letters and another a run of marks.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
