@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from isohyet.plans import ingest_queries, layer_queries, trend_queries
+
+_MODULES = (ingest_queries, layer_queries, trend_queries)
+
 
 def queries() -> dict:
-    return {}
+    return {name: query for m in _MODULES for name, query in m.QUERIES.items()}
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {name: sql for m in _MODULES for name, sql in m.SQL.items()}
