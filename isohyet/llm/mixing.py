@@ -74,6 +74,7 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], name: l
         .withColumn("__n", n)
         .withColumn("__first", F.when(F.col("__total") > 0, F.round(F.col(votes) * F.col(seats) / F.col("__total"))).otherwise(0).cast("long"))
         .withColumn("__rest", F.col(seats) - F.sum("__first").over(group))
+        .withColumn("__place", F.row_number().over(group.orderBy(*[F.col(c).asc_nulls_last() for c in name])))
     )
     span = F.ceil(F.coalesce(F.col(votes) / F.col("__total"), F.lit(0.0)) * (F.abs("__rest") + F.col("__n"))).cast("long") + 1
     grow = F.col("__rest") > 0
@@ -84,9 +85,10 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], name: l
     seat = F.when(grow, F.col("__first") + F.col("__step")).otherwise(F.col("__first") - F.col("__step"))
     quotient = F.col(votes) / (2 * seat + 1)
     ranked = start.select("*", F.explode(steps).alias("__step")).where(F.col("__total") > 0).withColumn("__q", quotient)
-    order = F.when(grow, -F.col("__q")).otherwise(F.col("__q"))
+    # seats go to the greatest quotients, and are taken back from the least; of equal ones the first in order of name is the last to lose
+    order = F.when(grow, F.struct(-F.col("__q"), F.col("__place"))).otherwise(F.struct(F.col("__q"), -F.col("__place")))
     chosen = (
-        ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, *[F.col(c).asc_nulls_last() for c in name], "__step")))
+        ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "__step")))
         .where(F.col("__rank") <= F.abs("__rest"))
         .groupBy(*[F.col(c).alias(f"__{c}") for c in dict.fromkeys([*by, *name])])
         .agg(F.count(F.lit(1)).alias("__more"))
