@@ -86,9 +86,9 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], name: l
     quotient = F.col(votes) / (2 * seat + 1)
     ranked = start.select("*", F.explode(steps).alias("__step")).where(F.col("__total") > 0).withColumn("__q", quotient)
     # seats go to the greatest quotients, and are taken back from the least; of equal ones the first in order of name is the last to lose
-    order = F.when(grow, F.struct(-F.col("__q"), F.col("__place"))).otherwise(F.struct(F.col("__q"), -F.col("__place")))
+    order = [F.when(grow, -F.col("__q")).otherwise(F.col("__q")), F.when(grow, F.col("__place")).otherwise(-F.col("__place"))]
     chosen = (
-        ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(order, "__step")))
+        ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(*by).orderBy(*order, "__step")))
         .where(F.col("__rank") <= F.abs("__rest"))
         .groupBy(*[F.col(c).alias(f"__{c}") for c in dict.fromkeys([*by, *name])])
         .agg(F.count(F.lit(1)).alias("__more"))
