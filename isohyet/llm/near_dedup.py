@@ -301,8 +301,8 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     there = lambda shell: F.coalesce(F.try_element_at("blocks", shell), F.lit(0))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda v: v < n)
     own = F.struct(F.col("shell").alias("shell"), F.col("block").alias("block"))
-    at = lambda shell, v: F.struct(shell.alias("shell"), v.cast("int").alias("block"))
-    partners = F.concat(*[F.transform(numbers(there(F.col("shell") + step)), lambda v, step=step: at(F.col("shell") + step, v)) for step in (-1, 0, 1)])
+    in_shell = lambda shell: F.transform(numbers(there(shell)), lambda v: F.struct(shell.alias("shell"), v.cast("int").alias("block")))
+    partners = F.concat(*[in_shell(F.col("shell") + step) for step in (-1, 0, 1)])
     dealt = (
         placed_in.join(_small(shells), F.col("hub") == F.col("s_hub"))
         .withColumn("block", F.pmod(F.xxhash64("node"), there(F.col("shell"))).cast("int"))
