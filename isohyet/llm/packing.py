@@ -106,7 +106,7 @@ class Ids:
         in one text and parted at their marks; the rest chunk by chunk.
         """
         young, texts = self.young, [c.decode() for c in chunks]
-        words = [t.isalpha() for t in texts] if self.ends is not None else [False] * len(texts)
+        words = [PLAIN_WORD.fullmatch(t) is not None for t in texts] if self.ends is not None else [False] * len(texts)
         some, keys = [t for t, w in zip(texts, words, strict=True) if w], [c for c, w in zip(chunks, words, strict=True) if w]
         if some:
             ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
@@ -119,8 +119,11 @@ class Ids:
             young[c] = np.array(e.ids, "<u4").tobytes()
 
 
-#: A mark right behind a letter and before white space: a word of its own to a tokenizer of letter runs.
-END_MARK = re.compile(r"[.,;:!?](?=\s)(?<=[^\W\d_][.,;:!?])")
+#: Letters that normalisation and lower case leave single letters: ASCII and Latin without the dotted capital I.
+LETTERS = "A-Za-z\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u012f\u0131-\u024f"
+PLAIN_WORD = re.compile(f"[{LETTERS}]+")
+#: A mark right behind such a letter and before white space: a word of its own to a tokenizer of letter runs.
+END_MARK = re.compile(f"[.,;:!?](?=\\s)(?<=[{LETTERS}][.,;:!?])")
 #: Fixed value: the pattern of a word-level tokenizer, one of whose alternatives is a run of letters and another a run of marks.
 LETTER_RUNS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
 
