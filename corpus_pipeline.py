@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,6 +12,13 @@ from isohyet.llm import line_dedup, mixing, near_dedup, packing, quality_rules
 from isohyet.session import shared_dir
 
 
+def _beside(docs: DataFrame, used: list[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
+    """operator(docs), with the columns that it doesn't use out of the way of its own ones; returns the columns of docs."""
+    rest = [c for c in docs.columns if c not in used]
+    out = operator(docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("__rest")))
+    return out.select(*[F.col(c) if c in used else F.col("__rest").getField(c).alias(c) for c in docs.columns])
+
+
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the quality policy rejects go."""
     return quality_rules.keep_documents(docs)
@@ -18,7 +26,7 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Lines that an earlier document holds go; n_chars follows the text."""
-    kept = line_dedup.dedup_lines(docs)
+    kept = _beside(docs, ["doc_id", "text"], line_dedup.dedup_lines)
     return kept.withColumn("n_chars", F.length("text").cast("long")).select(*docs.columns)
 
 
@@ -29,7 +37,7 @@ def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def mixed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """A row for every whole copy of a document that the mix takes."""
-    return mixing.repeat_documents(mixing.mix(docs)).select(*docs.columns)
+    return _beside(docs, ["doc_id", "source", "text"], lambda d: mixing.repeat_documents(mixing.mix(d)))
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
