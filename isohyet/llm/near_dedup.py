@@ -42,6 +42,8 @@ TOGETHER = 128
 BLOCK_NODES, BLOCK_BYTES, PRODUCT = 512, 2 << 20, 8_192
 #: Tables of up to this many rows (some 2 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 50_000
+#: Rows of a partition of a table that is cut off; links that one task joins (some 50 MB) before rounds of joins take over.
+ROWS_A_PARTITION, ONE_TASK_LINKS = 100_000, 200_000
 CACHE_WORDS = 1_000_000
 
 _FULL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -226,33 +228,62 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out.astype(np.int64)
 
 
-def _small(table: DataFrame) -> DataFrame:
-    """The table, marked for broadcast if it is counted to be small."""
-    return F.broadcast(table) if table.count() <= BROADCAST_ROWS else table
+def _cut(table: DataFrame) -> tuple[DataFrame, int]:
+    """The table off its lineage, in as many partitions as its rows need, and their number."""
+    done = table.checkpoint()
+    rows = done.count()
+    return done.coalesce(-(-rows // ROWS_A_PARTITION) or 1), rows
+
+
+def _small(table: DataFrame, rows: int) -> DataFrame:
+    """The table, marked for broadcast if its rows are few."""
+    return F.broadcast(table) if rows <= BROADCAST_ROWS else table
+
+
+def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, top) over all links of one partition: the smallest node reachable, by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for b in batches:
+        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
+            x, y = top(x), top(y)
+            if x != y:
+                up[max(x, y)] = min(x, y)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["root", "top"])
 
 
 def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
     """(node, component) for nodes (node): the smallest node reachable over links (a, b).
 
-    Every round hooks each root to the smallest root it is linked with, lets pointers jump until every chain ends at a root
-    that hooks no more, and keeps the links between different roots.
+    Up to ONE_TASK_LINKS links are joined by one task. Beyond, every round hooks each root to the smallest root it is linked with,
+    lets pointers jump until every chain ends at a root that hooks no more, and keeps the links between different roots.
     """
-    parent = nodes.select("node", F.col("node").alias("component"))
-    live = links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct().checkpoint()
+    live, rows = _cut(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct())
 
     def renamed(table: DataFrame, column: str, to: DataFrame) -> DataFrame:
         return table.join(to, table[column] == to["root"], "left").withColumn(column, F.coalesce("top", column)).drop("root", "top")
 
-    while not live.isEmpty():
-        hook = live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")).checkpoint()
+    parent = nodes.select("node", F.col("node").alias("component"))
+    if rows <= ONE_TASK_LINKS:
+        one = live.select(F.col("high").alias("a"), F.col("low").alias("b")).coalesce(1).mapInArrow(_joined, "root long, top long")
+        return renamed(parent, "component", _small(*_cut(one))).checkpoint()
+    while rows:
+        hook, n = _cut(live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")))
         while True:
-            up = _small(hook.select(F.col("high").alias("h"), F.col("low").alias("to")))
+            up = _small(hook.select(F.col("high").alias("h"), F.col("low").alias("to")), n)
             hook = hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")).checkpoint()
             if hook.where("moved").isEmpty():
                 break
-        to = _small(hook.select(F.col("high").alias("root"), F.col("low").alias("top")))
+        to = _small(hook.select(F.col("high").alias("root"), F.col("low").alias("top")), n)
         parent = renamed(parent, "component", to).checkpoint()
-        live = renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct().checkpoint()
+        live, rows = _cut(renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct())
     return parent
 
 
@@ -272,7 +303,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # Buckets of several nodes, with their smallest as the first hub.
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select(F.col("bucket").alias("b"), "hub").checkpoint()
     members = placed.join(shared, F.col("bucket") == F.col("b")).select("hub", "node").distinct().checkpoint()
-    met = members.select("node").distinct().checkpoint()
+    met, _ = _cut(members.select("node").distinct())
     texts = (
         rows.join(
             nodes.join(met, "node", "left_semi").select("node", F.col("doc").alias("n_doc"), F.col("text_hash").alias("n_hash")),
@@ -285,38 +316,38 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     hub_texts = texts.select(F.col("node").alias("t_hub"), F.col("text").alias("hub_text"))
     with_node = pairs.join(texts, "node").select("hub", "node", F.col("text").alias("node_text"))
     with_both = with_node.join(hub_texts, F.col("hub") == F.col("t_hub")).select("hub", "node", "node_text", "hub_text")
-    tested = with_both.mapInArrow(_verify(width), VERIFIED).checkpoint()
+    tested, _ = _cut(with_both.mapInArrow(_verify(width), VERIFIED))
     links = tested.where(F.expr(f"100 * shared >= {percent} * either")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
     reach = components(met, links)
     of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
 
     # Groups of a hub with open pairs: members (the hub is linked with or ruled out for all of them) of several components.
     group = tested.select("hub", "node", (1 - F.col("shared") / F.col("either")).alias("d")).join(of("component"), F.col("node") == F.col("component_node")).drop("component_node")
-    open_ = group.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(F.col("hub").alias("o_hub"), "n").checkpoint()
+    open_, n_open = _cut(group.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(F.col("hub").alias("o_hub"), "n"))
     far = 1 - percent / 100 + 1e-9
-    sized = group.join(_small(open_), F.col("hub") == F.col("o_hub")).join(texts.select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node"))
+    sized = group.join(_small(open_, n_open), F.col("hub") == F.col("o_hub")).join(texts.select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node"))
     placed_in = sized.select("hub", "node", "component", "bytes", F.when(F.col("n") <= BLOCK_NODES, 0).otherwise(F.floor(F.col("d") / far)).cast("int").alias("shell")).checkpoint()
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    shells = placed_in.groupBy("hub", "shell").agg(blocks.alias("blocks")).groupBy(F.col("hub").alias("s_hub")).agg(F.map_from_entries(F.collect_list(F.struct("shell", "blocks"))).alias("blocks")).checkpoint()
+    shells, n_shells = _cut(placed_in.groupBy("hub", "shell").agg(blocks.alias("blocks")).groupBy(F.col("hub").alias("s_hub")).agg(F.map_from_entries(F.collect_list(F.struct("shell", "blocks"))).alias("blocks")))
     there = lambda shell: F.coalesce(F.try_element_at("blocks", shell), F.lit(0))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda v: v < n)
     own = F.struct(F.col("shell").alias("shell"), F.col("block").alias("block"))
     in_shell = lambda shell: F.transform(numbers(there(shell)), lambda v: F.struct(shell.alias("shell"), v.cast("int").alias("block")))
     partners = F.concat(*[in_shell(F.col("shell") + step) for step in (-1, 0, 1)])
     dealt = (
-        placed_in.join(_small(shells), F.col("hub") == F.col("s_hub"))
+        placed_in.join(_small(shells, n_shells), F.col("hub") == F.col("s_hub"))
         .withColumn("block", F.pmod(F.xxhash64("node"), there(F.col("shell"))).cast("int"))
         .withColumn("with", F.explode(partners))
         .select("hub", F.least(own, F.col("with")).alias("low"), F.greatest(own, F.col("with")).alias("high"), F.when(own == F.col("with"), 2).otherwise(F.when(own < F.col("with"), 0).otherwise(1)).alias("side"), "node", "component")
     )
     with_text = dealt.join(texts, "node").select("hub", F.concat_ws("-", "low.shell", "low.block", "high.shell", "high.block").alias("blocks"), "side", "node", "component", "text")
-    more = with_text.groupBy("hub", "blocks").applyInArrow(_settle(width, percent), SETTLED).checkpoint()
-    if not more.isEmpty():
+    more, n_more = _cut(with_text.groupBy("hub", "blocks").applyInArrow(_settle(width, percent), SETTLED))
+    if n_more:
         # new links join the components found so far
-        between = more.withColumnsRenamed({"a": "x", "b": "y"}).join(of("a"), F.col("x") == F.col("a_node")).join(of("b"), F.col("y") == F.col("b_node")).select("a", "b").checkpoint()
-        roots = between.select(F.col("a").alias("node")).union(between.select("b")).distinct().checkpoint()
+        between, _ = _cut(more.withColumnsRenamed({"a": "x", "b": "y"}).join(of("a"), F.col("x") == F.col("a_node")).join(of("b"), F.col("y") == F.col("b_node")).select("a", "b"))
+        roots, n_roots = _cut(between.select(F.col("a").alias("node")).union(between.select("b")).distinct())
         top = components(roots, between).select(F.col("node").alias("root"), F.col("component").alias("top"))
-        reach = reach.join(_small(top), F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
+        reach = reach.join(_small(top, n_roots), F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
     comp = reach.select(F.col("node").alias("c_node"), "component")
     named = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("d1", "d2", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component").checkpoint()

@@ -54,6 +54,7 @@ def variants(n=150, seed=2):
 def test_large_group_in_small_blocks(spark, monkeypatch):
     monkeypatch.setattr(near_dedup, "BLOCK_NODES", 16)
     monkeypatch.setattr(near_dedup, "PRODUCT", 64)
+    monkeypatch.setattr(near_dedup, "ONE_TASK_LINKS", 0)
     monkeypatch.setattr(near_dedup, "BROADCAST_ROWS", 0)
     rows = variants()
     df = spark.createDataFrame(rows, "doc_id long, text string")
@@ -87,10 +88,12 @@ def test_banding_bounds_misses():
     assert near_dedup.banding(85) == (40, 7)
 
 
-def test_components_of_chains_and_stars(spark):
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_components_of_chains_and_stars(spark, monkeypatch, one_task):
     from isohyet.session import shared_dir
 
     shared_dir(spark)
+    monkeypatch.setattr(near_dedup, "ONE_TASK_LINKS", one_task)
     links = [(i, i + 1) for i in range(0, 40)] + [(100, i) for i in range(101, 140)] + [(200, 201), (139, 150)]
     nodes = sorted({x for p in links for x in p})
     got = dict(map(tuple, near_dedup.components(spark.createDataFrame([(n,) for n in nodes], "node long"), spark.createDataFrame(links, "a long, b long")).collect()))
