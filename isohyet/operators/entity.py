@@ -20,7 +20,10 @@ def related_names(stations: DataFrame, key: str, name: str) -> DataFrame:
 
 
 def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:
-    """(a, b, km), a < b: points within a distance, through an equi-join on cells of that size and the eight around them."""
+    """(a, b, km), a < b: points within a distance, through an equi-join on cells of that size and those around them.
+
+    Pairs across the 180th meridian or around a pole are not sought.
+    """
     cell_lat = math.degrees(km / 6371.0) * 1.001
     p = points.select(F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon")).withColumn("i", F.floor(F.col("lat") / cell_lat))
     # longitude cells as wide as the band's narrower edge needs, equal for rows that can be neighbours
