@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Iterator
 
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -37,11 +39,38 @@ def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float) -> Da
     return left.join(right, ["i", "j"]).where(F.col("a") < F.col("b")).withColumn("km", d).where(F.col("km") <= km).select("a", "b", "km")
 
 
-def components(links: DataFrame) -> DataFrame:
-    """(node, component) for the ends of links (a, b): smallest node reachable. Lineage is cut at every round."""
-    spark = links.sparkSession
-    shared_dir(spark)
-    edges = links.select("a", "b").union(links.select("b", "a")).distinct().checkpoint()
+#: Links that one task joins (some 50 MB) before rounds of joins take over.
+ONE_TASK_LINKS = 200_000
+
+
+def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(node, component) over all links (a, b) of one partition, by union-find."""
+    up: dict[int, int] = {}
+
+    def top(x: int) -> int:
+        while up.setdefault(x, x) != x:
+            up[x] = up[up[x]]
+            x = up[x]
+        return x
+
+    for batch in batches:
+        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+            a, b = top(a), top(b)
+            up[max(a, b)] = min(a, b)
+    nodes = list(up)
+    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(top, nodes)), pa.int64())], ["node", "component"])
+
+
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+    """(node, component) for the ends of links (a, b): smallest node reachable.
+
+    Few links (counted) are joined by one task. Beyond, labels fall and pointers jump in rounds, with lineage cut at every one.
+    """
+    shared_dir(links.sparkSession)
+    pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct().checkpoint()
+    if pairs.count() <= one_task:
+        return pairs.coalesce(1).mapInArrow(_join_all, "node long, component long")
+    edges = pairs.union(pairs.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")).checkpoint()
     while True:
         seen = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("low"))

@@ -106,3 +106,29 @@ def test_incremental_ingest(spark, tmp_path):
     spark.range(5, 8).write.mode("append").parquet(src)
     incremental.ingest_new(spark, src, "id long", out, check)
     assert sorted(r.id for r in spark.read.parquet(out).collect()) == list(range(8))
+
+
+def test_relations_join_at_their_ends(spark):
+    from isohyet.operators import features
+
+    p = lambda *xy: [{"lat": float(a), "lon": float(b)} for a, b in xy]
+    rows = [("ring", 1, p((0, 0), (0, 1))), ("ring", 2, p((1, 1), (0, 1))), ("ring", 3, p((1, 1), (1, 0), (0, 0))), ("open", 1, p((5, 5), (6, 6))), ("open", 2, p((6, 6), (7, 5)))]
+    df = spark.createDataFrame(rows, "feature string, way int, points array<struct<lat:double,lon:double>>")
+    got = {r.feature: (r["shape"], len(r.points)) for r in features.assemble(df).collect()}
+    assert got == {"ring": ("polygon", 5), "open": ("line", 3)}
+
+
+def test_cover_fails_loudly(spark):
+    from isohyet.operators import analysis
+
+    a = spark.createDataFrame([("x", "1"), ("y", "2")], "name string, digest string")
+    analysis.require_cover(a, a)
+    with pytest.raises(ValueError, match="missing"):
+        analysis.require_cover(a, a.where("name = 'x'"))
+
+
+@pytest.mark.parametrize("one_task", [200_000, 0])
+def test_components(spark, one_task):
+    links = [(i + 1, i) for i in range(30)] + [(100, i) for i in range(101, 120)] + [(200, 201), (201, 202), (202, 200)]
+    got = dict(map(tuple, entity.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()))
+    assert got == {n: 0 if n <= 30 else 100 if n < 200 else 200 for p in links for n in p}
