@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine_km
 from isohyet.functions.textrules import is_token_prefix, name_stem
-from isohyet.session import shared_dir
+from isohyet.session import shared_dir, ship_package
 
 
 def related_names(stations: DataFrame, key: str, name: str) -> DataFrame:
@@ -69,6 +69,7 @@ def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
     shared_dir(links.sparkSession)
     pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct().checkpoint()
     if pairs.count() <= one_task:
+        ship_package(links.sparkSession)
         return pairs.coalesce(1).mapInArrow(_join_all, "node long, component long")
     edges = pairs.union(pairs.select("b", "a")).distinct().checkpoint()
     labels = edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")).checkpoint()

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
+import os
 import tempfile
+import zipfile
+from pathlib import Path
 
 from pyspark.sql import SparkSession
 
@@ -32,3 +35,17 @@ def shared_dir(spark: SparkSession) -> str:
     if not sc.getCheckpointDir():
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="isohyet-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Sends the package to the Python workers, once a context: they may start where its folder is on no path."""
+    sc = spark.sparkContext
+    if getattr(sc, "_isohyet_shipped", False):
+        return
+    root = Path(__file__).resolve().parent
+    archive = os.path.join(os.path.realpath(tempfile.mkdtemp(prefix="isohyet-")), "isohyet_package.zip")
+    with zipfile.ZipFile(archive, "w", zipfile.ZIP_DEFLATED) as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    sc.addPyFile(archive)
+    sc._isohyet_shipped = True
