@@ -20,6 +20,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.session import ship_package
+
 #: Bits of the hashed presence set for byte n-grams of 1, 2, 3 and 4.
 WIDTHS = (8, 12, 14, 14)
 #: Bounds of the training sample: documents expected for each language, languages (those with most documents).
@@ -93,6 +95,7 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
 
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
     """Learns from documents outside the held-out fold whose lang is given."""
+    ship_package(docs.sparkSession)
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = rows.where((F.crc32("key") % HELD_OUT_OF != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
@@ -110,6 +113,7 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
     """(key, lang_pred, score) for every row; score is the softmax of the regressions' values."""
+    ship_package(docs.sparkSession)
     names, weights, intercepts = model
     shared = docs.sparkSession.sparkContext.broadcast(weights)  # a column a language, of fixed length
     kind = docs.schema[key].dataType.simpleString()

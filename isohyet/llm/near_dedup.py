@@ -30,7 +30,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.session import shared_dir
+from isohyet.session import shared_dir, ship_package
 
 #: Words in a shingle and similarity of a link in hundredths, as op5's contract has them; near_duplicates() defaults to 5 and 80.
 WIDTH, PERCENT = 3, 85
@@ -290,6 +290,7 @@ def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """(key, n_shingles, component_id, kept) for every row; kept: the document that names its component."""
     spark = docs.sparkSession
+    ship_package(spark)
     shared_dir(spark)
     rows = docs.select(F.col(key).cast("long").alias("doc"), F.xxhash64(text).alias("text_hash"), F.col(text).alias("text"))
     every = rows.select("doc", "text_hash", "text").mapInArrow(_sketch(width, *banding(percent)), SKETCHED).checkpoint()

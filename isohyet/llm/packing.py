@@ -25,6 +25,8 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.session import ship_package
+
 TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Bytes of text that one packing block aims at: some 2.5 million tokens, 10 MB of ids.
@@ -219,6 +221,7 @@ def _pack(capacity: Capacity):
 
 def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: str | None = None, capacity: Capacity = Capacity(), end_id: int = END_ID) -> DataFrame:
     """(key, piece, start, length, token_ids, sequence_id, offset): the pieces of all documents with their ids and places."""
+    ship_package(docs.sparkSession)
     definition = Path(tokenizer or default_tokenizer()).read_text(encoding="utf-8")
     total = docs.agg(F.sum(F.octet_length(F.coalesce(text, F.lit(""))) + 8)).first()[0] or 0
     blocks = max(1, round(total / BLOCK_BYTES))

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isohyet.session import shared_dir
+from isohyet.session import shared_dir, ship_package
 
 SCALE = 256
 QUERY_STEP = 50
@@ -175,6 +175,7 @@ RESULT = "row long, query_id long, vec_id long, score long"
 def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", step: int = QUERY_STEP, k: int = TOP, scale: int = SCALE) -> DataFrame:
     """(query_id, rank, vec_id, score): the k best of all vectors for those whose id is divisible by step."""
     spark = vectors.sparkSession
+    ship_package(spark)
     shared_dir(spark)
     ready = quantise(vectors, key, column, scale)
     width = ready.agg(F.max(F.size("v"))).first()[0] or 0

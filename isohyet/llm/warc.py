@@ -27,7 +27,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.session import shared_dir
+from isohyet.session import shared_dir, ship_package
 
 #: A file is closed once it holds so many compressed bytes.
 ROLL_BYTES = 256 << 20
@@ -131,6 +131,7 @@ def _writer(folder: str, roll: int):
 def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", roll: int = ROLL_BYTES, least: int = LEAST_BYTES) -> list[dict]:
     """Writes pages as WARC files under folder, with manifest.json; returns the manifest's entries (a row for every file)."""
     spark = pages.sparkSession
+    ship_package(spark)
     rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")).withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
     twice = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("twice")).checkpoint()
     if twice.count() <= BROADCAST_ROWS:
@@ -157,6 +158,7 @@ READ = "page_id long, url string, html binary, payload_bytes long, payload_diges
 
 def read_warc(spark: SparkSession, folder: str) -> DataFrame:
     """The records of the files that the manifest names; digests of payloads are computed again and must agree."""
+    ship_package(spark)
     store, base = fs.FileSystem.from_uri(folder)
     with store.open_input_stream(f"{base}/manifest.json") as f:
         names = [x["name"] for x in json.loads(f.read())["files"]]
