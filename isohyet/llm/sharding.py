@@ -30,6 +30,8 @@ SHARDS = 40
 SEED = 20_251
 #: Rows that one sub-range of a shard aims at.
 ROWS_A_RANGE = 4_096
+#: A matrix of up to this many counts (8 MB) is broadcast; a larger one is joined by a shuffle.
+BROADCAST_COUNTS = 1_000_000
 #: A shard has at least so many sub-ranges, so that exchanges stay even.
 LEAST_RANGES = 32
 
@@ -112,9 +114,9 @@ def shuffle_to_shards(docs: DataFrame, shards: int = SHARDS, seed: int = SEED, p
     sizes = [total // shards + (s < total % shards) for s in range(shards)]
     parts = sorted(counts)
     matrix = communication_matrix([counts[p] for p in parts], sizes, seed)
-    plan = F.broadcast(spark.createDataFrame(
-        [(p, np.cumsum(row).tolist()) for p, row in zip(parts, matrix, strict=True)], "__part int, ends array<bigint>"
-    ))
+    plan = spark.createDataFrame([(p, np.cumsum(row).tolist()) for p, row in zip(parts, matrix, strict=True)], "__part int, ends array<bigint>")
+    if len(parts) * shards <= BROADCAST_COUNTS:
+        plan = F.broadcast(plan)
     ranges = max(LEAST_RANGES, math.ceil(total / shards / ROWS_A_RANGE))
     narrow = _dealt(docs.select(F.lit(0).alias("__none")), plan, ranges, seed)
     before = Window.partitionBy("shard").orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)

@@ -5,7 +5,9 @@ import pytest
 from isohyet.llm import sharding
 
 
-def test_sizes_slots_and_rows(docs, rows):
+@pytest.mark.parametrize("broadcast", [1_000_000, 0])
+def test_sizes_slots_and_rows(docs, rows, monkeypatch, broadcast):
+    monkeypatch.setattr(sharding, "BROADCAST_COUNTS", broadcast)
     got = sharding.shuffle_to_shards(docs.drop("shard"), 7).collect()
     assert Counter((r.doc_id, r.text) for r in got) == Counter((i, t) for i, t, *_ in rows)
     slots = defaultdict(list)
