@@ -45,6 +45,8 @@ TILE_ROWS, TILE_QUERIES = 4_096, 256
 FIRST_TILES = (0, 32, 256, 1_024)
 #: Pairs that are confirmed at once: some 30 MB of factors.
 CONFIRM_PAIRS = 16_384
+#: Where more than one in so many pairs is left, a block's pairs are confirmed by one product.
+DENSE = 50
 
 
 def quantise(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
@@ -88,10 +90,9 @@ class Rotated:
     """Vectors with their heads after rotation, residual norms and exact integers."""
 
     def __init__(self, ids: np.ndarray, ints: np.ndarray, rotation: np.ndarray):
-        self.ids, self.ints = ids, ints
-        floats = ints.astype(float)
-        self.norm = np.sqrt((floats**2).sum(1))
-        turned = floats @ rotation
+        self.ids, self.ints, self.floats = ids, ints, ints.astype(float)
+        self.norm = np.sqrt((self.floats**2).sum(1))
+        turned = self.floats @ rotation
         head = turned[:, :HEAD]
         # one more coordinate: the product of the residual norms bounds what the tail can add
         tail = np.sqrt(np.maximum(self.norm**2 - (head**2).sum(1), 0) + 1e-9 * self.norm**2)
@@ -131,9 +132,17 @@ def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray) -> tup
                     break
                 continue
             upper = queries.bound[rows[live]] @ block.bound[tile].T
-            q, c = np.nonzero(upper >= (low[live] - slack[live])[:, None])
-            q, c = np.flatnonzero(live)[q], c + c0
-            score = queries.products(block, rows[q], c)
+            hits = upper >= (low[live] - slack[live])[:, None]
+            if np.count_nonzero(hits) * DENSE > hits.size and queries.norm[rows].max() * block.norm[c0] < 2**53:
+                # so many are left that one product confirms them faster; every partial sum is an integer that floats hold
+                exact = queries.floats[rows[live]] @ block.floats[tile].T
+                q, c = np.nonzero(exact >= low[live][:, None])
+                score = exact[q, c].astype(np.int64)
+                q, c = np.flatnonzero(live)[q], c + c0
+            else:
+                q, c = np.nonzero(hits)
+                q, c = np.flatnonzero(live)[q], c + c0
+                score = queries.products(block, rows[q], c)
             stays = score >= low[q]
             stays &= queries.ids[rows[q]] != block.ids[c]
             own.append((q[stays], c[stays], score[stays]))

@@ -33,9 +33,9 @@ def struct_float(x):
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-@pytest.mark.parametrize("block,slices,broadcast", [(32_768, 16_384, 50_000), (64, 8, 0)])
-def test_by_brute_force(spark, monkeypatch, block, slices, broadcast):
-    for name, value in (("BLOCK_ROWS", block), ("SLICE_ROWS", slices), ("BROADCAST_ROWS", broadcast), ("SEED_ROWS", 40), ("FIRST_TILES", (0, 8)), ("TILE_ROWS", 16)):
+@pytest.mark.parametrize("block,slices,broadcast,dense", [(32_768, 16_384, 50_000, 50), (64, 8, 0, 50), (64, 8, 0, 0)])
+def test_by_brute_force(spark, monkeypatch, block, slices, broadcast, dense):
+    for name, value in (("DENSE", dense), ("BLOCK_ROWS", block), ("SLICE_ROWS", slices), ("BROADCAST_ROWS", broadcast), ("SEED_ROWS", 40), ("FIRST_TILES", (0, 8)), ("TILE_ROWS", 16)):
         monkeypatch.setattr(topk, name, value)
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in vectors()], SCHEMA)
     assert sorted(map(tuple, topk.top_k(df).collect()), key=repr) == brute(vectors())
