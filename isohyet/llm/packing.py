@@ -69,7 +69,13 @@ class Ids:
         from tokenizers import Tokenizer
 
         self.tokenizer, self.young, self.old = Tokenizer.from_str(definition), {}, {}
-        self.ends = _word_ends(json.loads(definition))
+        parsed = json.loads(definition)
+        self.ends = _word_ends(parsed)
+        if self.ends is not None:
+            # plain words in lower case need neither the normalizer nor the pattern
+            parsed["normalizer"] = None
+            parsed["pre_tokenizer"] = {"type": "Sequence", "pretokenizers": [{"type": "WhitespaceSplit"}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}
+            self.bare = Tokenizer.from_str(json.dumps(parsed))
 
     @classmethod
     def shared(cls, definition: str) -> Ids:
@@ -111,7 +117,7 @@ class Ids:
         words = [PLAIN_WORD.fullmatch(t) is not None for t in texts] if self.ends is not None else [False] * len(texts)
         some, keys = [t for t, w in zip(texts, words, strict=True) if w], [c for c, w in zip(chunks, words, strict=True) if w]
         if some:
-            ids = np.array(self.tokenizer.encode_batch_fast([" ".join(some)], add_special_tokens=False)[0].ids, "<u4")
+            ids = np.array(self.bare.encode_batch_fast([" ".join(some).lower()], add_special_tokens=False)[0].ids, "<u4")
             cuts = (4 * np.flatnonzero(self.ends[ids]) + 4).tolist()
             if len(cuts) != len(some):
                 raise ValueError("the tokenizer's words are not those that its definition promises")
@@ -168,33 +174,39 @@ def _pieces(definition: str, most: int, end: bytes, blocks: int):
 
 def best_fit(lengths: np.ndarray, capacity: Capacity) -> np.ndarray:
     """The bin of each piece; lengths in descending order. Opens a bin only where no open one has room in every dimension."""
-    full = np.array([capacity.tokens, capacity.documents, capacity.attention], float)
-    scale = np.sqrt(np.array(capacity.weights)) / full
-    room = np.empty((len(lengths), 3))
-    open_, n_open, bins, out = np.empty(len(lengths), np.int64), 0, 0, np.empty(len(lengths), np.int64)
+    full = (capacity.tokens, capacity.documents, capacity.attention)
+    by_tokens, by_documents, by_attention = (w / f**2 for w, f in zip(capacity.weights, full, strict=True))
+    # what each bin has left; open bins stand first, closed ones are overwritten by the last
+    tokens, documents, attention = np.empty(len(lengths)), np.empty(len(lengths)), np.empty(len(lengths))
+    name = np.empty(len(lengths), np.int64)
+    n_open, bins, out = 0, 0, np.empty(len(lengths), np.int64)
     smallest = int(lengths.min()) if len(lengths) else 0
-    need_least = np.array([smallest, 1, smallest * smallest], float)
-    for i, length in enumerate(lengths):
-        need = np.array([length, 1, float(length) * length])
-        if (need > full).any():
+    for i, length in enumerate(lengths.tolist()):
+        cost = length * length
+        if length > full[0] or cost > full[2] or full[1] < 1:
             raise ValueError(f"a piece of {length} tokens exceeds the capacity of a sequence")
         at = -1
         if n_open:
-            left = room[open_[:n_open]] - need
-            fits = (left >= 0).all(1)
-            if fits.any():
-                norm = np.where(fits, ((left * scale) ** 2).sum(1), np.inf)
-                at = int(norm.argmin())
+            t = tokens[:n_open] - length
+            fits = np.flatnonzero(t >= 0)
+            if len(fits):
+                t, d, a = t[fits], documents[fits] - 1, attention[fits] - cost
+                norm = by_tokens * t * t + by_documents * d * d + by_attention * a * a
+                norm[(d < 0) | (a < 0)] = np.inf
+                best = int(norm.argmin())
+                at = int(fits[best]) if norm[best] < np.inf else -1
         if at < 0:
             at, n_open = n_open, n_open + 1
-            open_[at], room[bins] = bins, full
+            tokens[at], documents[at], attention[at], name[at] = *full, bins
             bins += 1
-        chosen = open_[at]
-        out[i] = chosen
-        room[chosen] -= need
-        if (room[chosen] < need_least).any():  # nothing fits any more
+        out[i] = name[at]
+        tokens[at] -= length
+        documents[at] -= 1
+        attention[at] -= cost
+        if tokens[at] < smallest or documents[at] < 1 or attention[at] < smallest * smallest:  # nothing fits any more
             n_open -= 1
-            open_[at] = open_[n_open]
+            for x in (tokens, documents, attention, name):
+                x[at] = x[n_open]
     return out
 
 
