@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isohyet.functions import coerce, geo
 from isohyet.operators import audit, entity, timeline
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, cycled, lat, lon, sql_cycled, table
+from isohyet.session import shared_dir
 from isohyet.sources import selfdesc
 
 INT_TOKENS = ["300", "300.0", "-5", "0", "9223372036854775807", "-9223372036854775808", "300.5", "/", "", "1e30", "inf", "9223372036854775808.0"]
@@ -136,7 +137,8 @@ def run_record_json(spark: SparkSession, d: str) -> DataFrame:
         F.col("o_custkey"), F.lit(","), cycled("o_orderkey", FLOAT_TOKENS), F.lit(","), cycled("o_orderkey", TIME_TOKENS), F.lit(",NA\n"), F.when(F.col("o_orderkey") % 77 == 0, "").otherwise("end data\n"),
     )
     files = o.select(F.concat(F.lit("f"), F.col("o_orderkey")).alias("path"), F.col("o_orderpriority").alias("county"), F.concat_ws("_", F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit("s")).alias("station"), F.lit("1995").alias("year"), text.alias("text"), F.col("o_custkey").cast("bigint").alias("src_id"))
-    parsed = selfdesc.split_files(files)
+    shared_dir(spark)
+    parsed = selfdesc.split_files(files).checkpoint()  # every tally reads it
     return selfdesc.run_record(parsed, selfdesc.dataset_schema(parsed), "hourly", 1, "raw")
 
 
