@@ -1,14 +1,17 @@
 """Operator 10, line dedup: range-partitioned line hashes, sorted by document and position, give keep bitmaps.
 
-Lines travel as a 128-bit hash of their key, never as text. A range exchange on (hash, salt) with a secondary sort by
-document and position streams each salted run: whatever follows the run's first document is a repeat. The salt
-splits a line that a third of the documents share; the first documents of the salted runs, at most SALTS a
-hash, then meet in a second, much smaller range exchange that settles the smallest. Repeats come back as sparse
-64-bit bitmap words by document, and only apply_bitmaps() touches a text again. No Python runs on executors.
-
-Defined cases: a null or empty text is one empty line and stays so; rows with an equal doc_id are one document for the
-rule, and each row gets the bitmap of its own text; a null doc_id counts as one document after all others; keys shorter
-than min_chars never drop; an empty table gives an empty result; extra columns pass through apply_bitmaps() untouched.
+Lines travel as a 128-bit hash of their key, never as text. As the hash is uniform, ranges of equal width hold equally many
+different lines: no sample is taken, and a row's range is its number. Ranges that hold more rows than their share hold a
+frequent line; the excess, as counted, gives the number of salts that their rows are dealt by. A secondary sort by document and
+position streams each run: whatever follows the run's first document is a repeat. Only the first documents of salted runs
+meet once more, a few for every salt, to settle the smallest. Repeats come back as sparse 64-bit bitmap words by document,
+and only apply_bitmaps() touches a text again: bitmaps within the session's broadcast limit, as counted, are broadcast, others meet the texts in a
+hash join that sorts no text. No Python runs on executors.
+
+Defined cases: a null or empty text is one empty line and stays so; texts of any length are split whole; rows with an equal
+doc_id are one document for the rule, and each row gets the bitmap of its own text; a null doc_id counts as one document after
+all others; keys shorter than min_chars never drop; an empty table gives an empty result; extra columns pass through
+apply_bitmaps() untouched, whatever their names, but for n_lines and n_dropped, which give way.
 """
 
 from __future__ import annotations
@@ -16,10 +19,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.text import WS_CHARS, ascii_lower
+from isohyet.llm.text import WS_CHARS, ascii_lower, broadcast_limit, free_prefix
+from isohyet.session import shared_dir
 
-#: Parts into which the occurrences of one line are dealt.
-SALTS = 32
+#: Rows that a range of hashes aims at (some 60 MB), where the session's partitions would leave more.
+ROWS_A_RANGE = 1_000_000
+#: A range of more than this many times the mean is dealt by salts.
+UNEVEN = 2
+#: Tables of frequent ranges of up to this many rows are broadcast; bitmaps up to the session's own limit.
+BROADCAST_ROWS = 50_000
 
 
 def line_key(line: Column) -> Column:
@@ -33,24 +41,36 @@ def lines_of(text: Column) -> Column:
 
 def bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:
     """(key, row_hash, words): for each text with repeats, array of (word, bits); bit i of word w set: line 64 w + i goes."""
+    spark = docs.sparkSession
+    shared_dir(spark)
     found = (
         docs.select(F.col(key).alias("doc"), F.xxhash64(F.col(text)).alias("row_hash"), F.posexplode(lines_of(F.col(text))).alias("pos", "line"))
         .select("doc", "row_hash", "pos", line_key(F.col("line")).alias("line"))
         .where(F.length("line") >= min_chars)
-        .select(
-            F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"),
-            F.pmod(F.xxhash64("doc"), F.lit(SALTS)).cast("int").alias("salt"), "doc", "row_hash", "pos",
-        )
+        .select(F.xxhash64("line").alias("h1"), F.xxhash64(F.lit("second"), "line").alias("h2"), "doc", "row_hash", "pos")
+        .checkpoint()
     )
-    by_salt = Window.partitionBy("h1", "h2", "salt").orderBy(F.col("doc").asc_nulls_last(), "pos")
-    runs = found.repartitionByRange("h1", "h2", "salt").withColumn("first", F.first("doc").over(by_salt))
+    n = found.count()
+    ranges = max(1, int(spark.conf.get("spark.sql.shuffle.partitions")), -(-n // ROWS_A_RANGE))
+    place = F.floor((F.shiftright("h1", 32) + F.lit(2**31)) * F.lit(ranges) / F.lit(2**32)).cast("int")
+    ranged = found.withColumn("range", place)
+    crowded = ranged.groupBy(F.col("range").alias("crowd")).count().where(F.col("count") * ranges > UNEVEN * n)
+    crowded = crowded.select("crowd", F.ceil(F.col("count") * ranges / n).cast("int").alias("salts")).checkpoint()
+    if crowded.count() <= BROADCAST_ROWS:
+        crowded = F.broadcast(crowded)
+    salt = F.when(F.col("salts").isNotNull(), F.pmod(F.xxhash64("doc", "row_hash"), F.col("salts"))).cast("int")
+    dealt = ranged.join(crowded, F.col("range") == F.col("crowd"), "left").withColumn("salt", salt)
+    dealt = dealt.withColumn("part", F.pmod(F.col("range") + F.coalesce("salt", F.lit(0)), F.lit(ranges)))
+    in_order = [F.col("doc").asc_nulls_last(), "pos"]
+    run = Window.partitionBy("part", "h1", "h2", "salt").orderBy(*in_order)
+    runs = dealt.select("part", "h1", "h2", "salt", "doc", "row_hash", "pos").repartitionById(ranges, "part").withColumn("first", F.first("doc").over(run))
     is_first = F.col("doc").eqNullSafe(F.col("first"))
-    by_hash = Window.partitionBy("h1", "h2").orderBy(F.col("doc").asc_nulls_last(), "pos")
+    over = Window.partitionBy("part", "h1", "h2").orderBy(*in_order)
     settled = (
-        runs.where(is_first)
-        .select("h1", "h2", "doc", "row_hash", "pos")
-        .repartitionByRange("h1", "h2")
-        .withColumn("first", F.first("doc").over(by_hash))
+        runs.where(is_first & F.col("salt").isNotNull())
+        .select(place.alias("part"), "h1", "h2", "doc", "row_hash", "pos")
+        .repartitionById(ranges, "part")
+        .withColumn("first", F.first("doc").over(over))
         .where(~is_first)
     )
     repeats = runs.where(~is_first).select("doc", "row_hash", "pos").unionByName(settled.select("doc", "row_hash", "pos"))
@@ -65,20 +85,27 @@ def bitmaps(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars:
 
 def apply_bitmaps(docs: DataFrame, marks: DataFrame, key: str = "doc_id", text: str = "text") -> DataFrame:
     """docs with dropped lines taken out of the text, and with n_lines and n_dropped (columns of docs by those names give way)."""
-    m = marks.select(F.col(key).alias("__doc"), F.col("row_hash").alias("__hash"), F.map_from_entries("words").alias("__words"))
-    joined = docs.withColumn("__row", F.xxhash64(F.col(text))).join(m, F.col(key).eqNullSafe(F.col("__doc")) & (F.col("__row") == F.col("__hash")), "left")
-    lines = lines_of(F.col(text))
+    own = free_prefix(docs.columns)
+    row, doc, hash_, words = (f"{own}{n}" for n in ("row", "doc", "hash", "words"))
+    shared_dir(docs.sparkSession)
+    marks = marks.checkpoint()
+    # a row takes some 64 bytes, a word of its bitmap 32
+    size = marks.agg(F.sum(64 + 32 * F.size("words"))).first()[0] or 0
+    m = marks.select(F.col(key).alias(doc), F.col("row_hash").alias(hash_), F.map_from_entries("words").alias(words))
+    m = F.broadcast(m) if size <= broadcast_limit(docs.sparkSession) else m.hint("shuffle_hash")
+    joined = docs.withColumn(row, F.xxhash64(F.col(text))).join(m, F.col(key).eqNullSafe(F.col(doc)) & (F.col(row) == F.col(hash_)), "left")
+    whole = F.coalesce(F.col(text), F.lit(""))
     # The lambda only touches the map, which try_element_at scans: one entry for every 64 lines at most.
     stays = F.array_join(
-        F.filter(lines, lambda _, i: F.coalesce(F.try_element_at("__words", F.shiftright(i, 6)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63))) == 0),
+        F.filter(lines_of(F.col(text)), lambda _, i: F.coalesce(F.try_element_at(words, F.shiftright(i, 6)), F.lit(0).cast("long")).bitwiseAND(F.call_function("shiftleft", F.lit(1).cast("long"), i.bitwiseAND(63))) == 0),
         "\n",
     )
-    dropped = F.aggregate(F.map_values("__words"), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
+    dropped = F.aggregate(F.map_values(words), F.lit(0).cast("long"), lambda a, x: a + F.bit_count(x))
     return joined.withColumns({
-        "n_lines": F.size(lines).cast("long"),
+        "n_lines": (F.octet_length(whole) - F.octet_length(F.replace(whole, F.lit("\n"), F.lit(""))) + 1).cast("long"),
         "n_dropped": F.coalesce(dropped, F.lit(0).cast("long")),
-        text: F.when(F.col("__words").isNull(), F.col(text)).otherwise(stays),
-    }).drop("__row", "__doc", "__hash", "__words")
+        text: F.when(F.col(words).isNull(), F.col(text)).otherwise(stays),
+    }).drop(row, doc, hash_, words)
 
 
 def dedup_lines(docs: DataFrame, key: str = "doc_id", text: str = "text", min_chars: int = 10) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 import string
 from collections.abc import Callable
 
-from pyspark.sql import Column
+from pyspark.sql import Column, SparkSession
 from pyspark.sql import functions as F
 
 #: The white space of every contract here: space and U+0009 to U+000D.
@@ -25,6 +25,20 @@ def ascii_lower(col: Column) -> Column:
     )
 
 
+def free_prefix(columns: list[str]) -> str:
+    """Underscores that no column's name begins with: an operator's own columns beside a user's."""
+    prefix = "__"
+    while any(c.startswith(prefix) for c in columns):
+        prefix += "_"
+    return prefix
+
+
+def broadcast_limit(spark: SparkSession) -> int:
+    """Bytes that the session lets a join broadcast (spark.sql.autoBroadcastJoinThreshold)."""
+    said = spark.conf.get("spark.sql.autoBroadcastJoinThreshold")
+    return spark._jvm.org.apache.spark.network.util.JavaUtils.byteStringAsBytes(said)
+
+
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
     """body(value) with value computed once a row.
 

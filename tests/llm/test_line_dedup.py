@@ -43,3 +43,15 @@ def test_many_lines_and_null_ids(spark):
 def test_columns_and_empty(docs, empty):
     assert set(line_dedup.dedup_lines(docs).columns) == set(docs.columns) | {"n_lines", "n_dropped"}
     assert line_dedup.dedup_lines(empty).count() == 0
+
+
+def test_frequent_lines_are_salted_and_names_may_clash(spark, monkeypatch):
+    """A line that every document holds fills its range; results are the same whatever the ranges and the way of the bitmaps."""
+    rows = [(i % 90, f"line for all documents\nanother line for all\nown line number {i % 70}\nown line number {i % 90}") for i in range(400)] + [(None, "line for all documents")] * 40
+    df = spark.createDataFrame([(i, t, "r", "d") for i, t in rows], "doc_id long, text string, __row string, `__ words` string")
+    for ranges, bytes_ in ((1_000_000, 4 << 20), (20, 0)):
+        monkeypatch.setattr(line_dedup, "ROWS_A_RANGE", ranges)
+        monkeypatch.setattr(line_dedup, "broadcast_limit", lambda _, most=bytes_: most)
+        assert run(df) == brute(rows)
+    got = line_dedup.dedup_lines(df)
+    assert got.columns == ["doc_id", "text", "__row", "__ words", "n_lines", "n_dropped"] and got.where("__row = 'r' and `__ words` = 'd'").count() == len(rows)
