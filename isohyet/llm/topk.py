@@ -1,10 +1,11 @@
 """Operator 3, exact top-k inner products: norm-sorted blocks, SVD-rotated partial sums, Cauchy-Schwarz bounds.
 
 Vectors are quantised to integers and range-sorted by descending norm into blocks. A rotation from the eigenvectors of
-the Gram matrix (summed over all vectors) packs most of every product into the first HEAD coordinates; for the rest, the
-product of the residual norms bounds what they can add. A bound is then one product of HEAD + 1 coordinates.
-The vectors of greatest norm give every query a first threshold; a block skips the queries that its
-greatest norm can't lift over their threshold, and of the rest confirms, with exact integers, only what the bound leaves.
+the Gram matrix (summed over all vectors) packs most of every product into the first coordinates. Partial sums grow in
+STEPS; after each, the product of the norms of what is left of both vectors bounds what the rest can add (Cauchy-Schwarz), and
+pairs that can't reach their query's threshold go. While many are left in a tile, a step is one matrix product; of few, their own
+coordinates. Only pairs that outlive the last step are confirmed, with exact integers. The vectors of greatest norm give every
+query a first threshold, and a block skips the queries that its greatest norm can't lift over theirs.
 
 Queries meet candidates in blocks: (candidate block, query slice), the queries travelling to each block of candidates. Each
 pair returns its k best a query, and a window keeps the k best of all. Blocks are bounded, so that no task
@@ -14,7 +15,7 @@ Defined cases: vectors that are null, or hold a null or non-finite component, ta
 followed by zeros, an empty one scores 0; rows with an equal id are rows of their own, and all of them are excluded for
 their own query; equal scores rank by smaller id; a null id can't be a query, and ranks last; an empty table gives an
 empty result; extra columns are ignored. Components beyond 2**20 in size use Python integers, so that nothing rounds or overflows
-on the way; a score outside 64 bits is an error.
+on the way; a component or a score outside 64 bits is an error. Vectors of any width are read whole.
 """
 
 from __future__ import annotations
@@ -32,10 +33,10 @@ from isohyet.session import shared_dir, ship_package
 SCALE = 256
 QUERY_STEP = 50
 TOP = 5
-#: Coordinates of the rotated partial sum.
-HEAD = 16
-#: Rows of a candidate block, and of a query slice: some 10 and 10 MB as floats.
-BLOCK_ROWS, SLICE_ROWS = 32_768, 16_384
+#: Where partial sums pause, as parts of the width, and the part of a tile's pairs below which they go on pair by pair.
+STEPS, SPARSE = (1 / 4, 1 / 2, 3 / 4, 7 / 8, 15 / 16), 1 / 32
+#: Rows of a candidate block, and of a query slice: at a width of 64, some 16 and 32 MB as floats.
+BLOCK_ROWS, SLICE_ROWS = 32_768, 65_536
 #: Vectors of greatest norm that give the first thresholds.
 SEED_ROWS = 2_048
 #: Tables of blocks or slices of up to this many rows are broadcast, larger ones shuffled.
@@ -45,16 +46,17 @@ TILE_ROWS, TILE_QUERIES = 4_096, 256
 FIRST_TILES = (0, 32, 256, 1_024)
 #: Pairs that are confirmed at once: some 30 MB of factors.
 CONFIRM_PAIRS = 16_384
-#: Where more than one in so many pairs is left, a block's pairs are confirmed by one product.
-DENSE = 50
 
 
 def quantise(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
     """(id, v, norm2) of the vectors that take part: v array<bigint>, floor(scale * component)."""
     finite = F.forall(F.col(column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
+    # floor() would saturate silently
+    fits = F.forall(F.col(column), lambda x: F.abs(x.cast("double") * scale) < 2.0**63)
+    held = F.when(fits, F.col(column)).otherwise(F.raise_error(F.lit("a scaled component exceeds 64 bits")))
     return (
         vectors.where(F.col(column).isNotNull() & F.coalesce(finite, F.lit(False)))
-        .select(F.col(key).cast("long").alias("id"), F.transform(column, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+        .select(F.col(key).cast("long").alias("id"), F.transform(held, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
         .withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     )
 
@@ -86,17 +88,21 @@ def _gram(width: int):
     return run
 
 
+def steps(width: int) -> list[tuple[int, int]]:
+    """The spans of coordinates that the partial sums take in turn; the rest is left to the bound."""
+    cuts = sorted({round(width * part) for part in STEPS} - {0, width})
+    return list(pairwise([0, *cuts]))
+
+
 class Rotated:
-    """Vectors with their heads after rotation, residual norms and exact integers."""
+    """Vectors after rotation, with the norms of what each step leaves, and their exact integers."""
 
     def __init__(self, ids: np.ndarray, ints: np.ndarray, rotation: np.ndarray):
-        self.ids, self.ints, self.floats = ids, ints, ints.astype(float)
-        self.norm = np.sqrt((self.floats**2).sum(1))
-        turned = self.floats @ rotation
-        head = turned[:, :HEAD]
-        # one more coordinate: the product of the residual norms bounds what the tail can add
-        tail = np.sqrt(np.maximum(self.norm**2 - (head**2).sum(1), 0) + 1e-9 * self.norm**2)
-        self.bound = np.hstack([head, tail[:, None]])
+        self.ids, self.ints, floats = ids, ints, ints.astype(float)
+        self.norm = np.sqrt((floats**2).sum(1))
+        self.turned = floats @ rotation
+        # norms of the rest after each step, a little more than they are, as the rotation rounds
+        self.rest = [np.sqrt((self.turned[:, end:] ** 2).sum(1) + 1e-9 * self.norm**2) for _, end in steps(ints.shape[1])]
 
     def products(self, other: Rotated, mine: np.ndarray, theirs: np.ndarray) -> np.ndarray:
         """Exact inner products of rows mine of self with rows theirs of other, pair by pair."""
@@ -111,10 +117,39 @@ class Rotated:
         return out
 
 
-def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+def outlive(queries: Rotated, rows: np.ndarray, block: Rotated, tile: slice, low: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(index into rows, block row) of the pairs whose bound reaches low after every step of the partial sums."""
+    mine, theirs = rows, np.arange(tile.start, tile.stop)
+    at, sums, pairs = np.arange(len(rows)), None, None
+    for nth, (start, end) in enumerate(steps(block.ints.shape[1])):
+        if pairs is None:
+            part = queries.turned[mine, start:end] @ block.turned[theirs, start:end].T
+            sums = part if sums is None else sums + part
+            stays = sums + queries.rest[nth][mine][:, None] * block.rest[nth][theirs] >= low[at][:, None]
+            left = np.count_nonzero(stays)
+            if left <= SPARSE * len(rows) * (tile.stop - tile.start):
+                q, c = np.nonzero(stays)
+                pairs, sums = (at[q], theirs[c]), sums[q, c]
+            else:  # whole rows and columns that are out go
+                q, c = stays.any(1), stays.any(0)
+                if np.count_nonzero(q) * np.count_nonzero(c) < 0.75 * stays.size:
+                    at, mine, theirs, sums, stays = at[q], mine[q], theirs[c], sums[np.ix_(q, c)], stays[np.ix_(q, c)]
+        else:
+            q, c = pairs
+            sums = sums + np.einsum("ij,ij->i", queries.turned[rows[q], start:end], block.turned[c, start:end])
+            stays = sums + queries.rest[nth][rows[q]] * block.rest[nth][c] >= low[q]
+            pairs, sums = (q[stays], c[stays]), sums[stays]
+    if pairs is not None:
+        return pairs
+    q, c = np.nonzero(stays) if sums is not None else np.indices((len(rows), tile.stop - tile.start)).reshape(2, -1)
+    return at[q], theirs[c]
+
+
+def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray, confirmed: list[int] | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """(query row, block row, score): the k best of block for every query, of those that reach the query's threshold.
 
     block is in order of descending norm. Scores at the threshold stay, so that ties are settled by id later.
+    confirmed, if given, takes the number of exact products of every tile.
     """
     found = ([], [], [])
     limit = threshold.astype(float)
@@ -124,25 +159,15 @@ def best(queries: Rotated, block: Rotated, k: int, threshold: np.ndarray) -> tup
         own: list[tuple[np.ndarray, np.ndarray, np.ndarray]] = []
         # the first tiles are small: they give the thresholds that thin out the others
         for c0, c1 in pairwise([*(x for x in FIRST_TILES if x < len(block.ids)), *range(FIRST_TILES[-1] + TILE_ROWS, len(block.ids), TILE_ROWS), len(block.ids)]):
-            tile = slice(c0, c1)
             slack = 1e-9 * queries.norm[rows] * block.norm[c0] + 1e-6
-            live = queries.norm[rows] * block.norm[c0] + slack >= low
-            if not live.any():
-                if (queries.norm[rows] * block.norm[c0] < low).all():
-                    break
-                continue
-            upper = queries.bound[rows[live]] @ block.bound[tile].T
-            hits = upper >= (low[live] - slack[live])[:, None]
-            if np.count_nonzero(hits) * DENSE > hits.size and queries.norm[rows].max() * block.norm[c0] < 2**53:
-                # so many are left that one product confirms them faster; every partial sum is an integer that floats hold
-                exact = queries.floats[rows[live]] @ block.floats[tile].T
-                q, c = np.nonzero(exact >= low[live][:, None])
-                score = exact[q, c].astype(np.int64)
-                q, c = np.flatnonzero(live)[q], c + c0
-            else:
-                q, c = np.nonzero(hits)
-                q, c = np.flatnonzero(live)[q], c + c0
-                score = queries.products(block, rows[q], c)
+            live = np.flatnonzero(queries.norm[rows] * block.norm[c0] + slack >= low)
+            if not len(live):
+                break  # nor can any later one, whose norms are smaller
+            q, c = outlive(queries, rows[live], block, slice(c0, c1), (low - slack)[live])
+            q = live[q]
+            if confirmed is not None:
+                confirmed.append(len(q))
+            score = queries.products(block, rows[q], c)
             stays = score >= low[q]
             stays &= queries.ids[rows[q]] != block.ids[c]
             own.append((q[stays], c[stays], score[stays]))

@@ -1,6 +1,7 @@
 import math
 import random
 
+import numpy as np
 import pytest
 
 from isohyet.llm import topk
@@ -33,9 +34,9 @@ def struct_float(x):
     return struct.unpack("f", struct.pack("f", x))[0]
 
 
-@pytest.mark.parametrize("block,slices,broadcast,dense", [(32_768, 16_384, 50_000, 50), (64, 8, 0, 50), (64, 8, 0, 0)])
-def test_by_brute_force(spark, monkeypatch, block, slices, broadcast, dense):
-    for name, value in (("DENSE", dense), ("BLOCK_ROWS", block), ("SLICE_ROWS", slices), ("BROADCAST_ROWS", broadcast), ("SEED_ROWS", 40), ("FIRST_TILES", (0, 8)), ("TILE_ROWS", 16)):
+@pytest.mark.parametrize("block,slices,broadcast,sparse", [(32_768, 16_384, 50_000, 1 / 32), (64, 8, 0, 1.0), (64, 8, 0, 0.0)])
+def test_by_brute_force(spark, monkeypatch, block, slices, broadcast, sparse):
+    for name, value in (("SPARSE", sparse), ("BLOCK_ROWS", block), ("SLICE_ROWS", slices), ("BROADCAST_ROWS", broadcast), ("SEED_ROWS", 40), ("FIRST_TILES", (0, 8)), ("TILE_ROWS", 16)):
         monkeypatch.setattr(topk, name, value)
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in vectors()], SCHEMA)
     assert sorted(map(tuple, topk.top_k(df).collect()), key=repr) == brute(vectors())
@@ -46,3 +47,27 @@ def test_large_components_and_few_rows(spark):
     df = spark.createDataFrame([(i, v, "x", "y") for i, v in rows], SCHEMA)
     assert sorted(map(tuple, topk.top_k(df).collect()), key=repr) == brute(rows)
     assert topk.top_k(df.limit(0)).count() == 0
+
+
+def test_pruning_carries_the_result():
+    """Unit vectors without any direction of their own, the worst case for the bounds: few pairs are left to confirm."""
+    rng = np.random.default_rng(8)
+    v = rng.normal(size=(6_000, 64))
+    ints = np.floor(256 * v / np.linalg.norm(v, axis=1, keepdims=True)).astype(np.int64)
+    norm = np.linalg.norm(ints, axis=1)
+    order = np.argsort(-norm, kind="stable")
+    rotation = np.linalg.eigh((ints.T @ ints).astype(float))[1][:, ::-1]
+    block = topk.Rotated(order, ints[order], rotation)
+    queries = topk.Rotated(np.arange(0, 6_000, 50), ints[::50], rotation)
+    confirmed = []
+    row, at, score = topk.best(queries, block, 5, np.full(120, np.iinfo(np.int64).min), confirmed)
+    exact = ints[::50] @ ints.T
+    exact[np.arange(120), np.arange(0, 6_000, 50)] = np.iinfo(np.int64).min
+    assert all(sorted(score[row == i], reverse=True) == sorted(exact[i], reverse=True)[:5] for i in range(120))
+    assert sum(confirmed) < 0.2 * exact.size
+
+
+def test_components_beyond_64_bits_are_an_error(spark):
+    df = spark.createDataFrame([(0, [1e30]), (50, [1.0])], "vec_id long, embedding array<double>")
+    with pytest.raises(Exception, match="64 bits"):
+        topk.top_k(df).collect()
