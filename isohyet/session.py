@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 import zipfile
 from pathlib import Path
 
@@ -27,16 +28,31 @@ def build_session(app: str = "isohyet", cpus: int = 8, shuffle_partitions: int =
 
 
 def shared_dir(spark: SparkSession) -> str:
-    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset."""
+    """The folder that driver and executors share: spark.checkpoint.dir, or one of our own where it is unset on a local master.
+
+    On a cluster there is no folder to fall back on: each executor would write to its own disk.
+    """
     configured = spark.conf.get("spark.checkpoint.dir", None)
     if configured:
         return configured.rstrip("/")
     sc = spark.sparkContext
     if not sc.getCheckpointDir():
+        if not sc.master.startswith("local") or sc.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="isohyet-checkpoint-"))
     return sc.getCheckpointDir().rstrip("/")
 
 
+def scratch_dir(spark: SparkSession, name: str) -> str:
+    """A new folder's name in the shared folder, for a table or archive that one query reads again; it goes with the driver."""
+    folder = f"{shared_dir(spark)}/{name}-{uuid.uuid4().hex}"
+    path = spark._jvm.org.apache.hadoop.fs.Path(folder)
+    store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+    store.mkdirs(path)
+    store.deleteOnExit(path)
+    return folder
+
+
 def ship_package(spark: SparkSession) -> None:
     """Sends the package to the Python workers, once a context: they may start where its folder is on no path."""
     sc = spark.sparkContext
