@@ -1,14 +1,17 @@
 """Operator 7, WARC: a deterministic sharded writer and its reader.
 
-Digests of equal payloads are found first, narrow: only digests that occur twice keep a row, with their smallest page. Records
-are range-sorted by page; every task writes compressed records, one gzip member each, to files under a temporary name and
-rolls to the next at a compressed size; headers and digests are made anew from the payload. Only what a successful task returns is
-committed: the driver renames those files in range order, writes the manifest and removes the rest, so that
-retries and speculative tasks leave nothing behind. Files go through pyarrow's file systems: to any address they know.
-
-Defined cases: a null or empty payload has 0 bytes and its own digest; of rows with one page_id and one payload, the first is
-the response and the others revisit it; a null page_id comes last; a missing url is written as an empty target; an empty
-table gives a manifest without files; extra columns are ignored.
+Digests of equal payloads are found first, narrow: only digests that occur twice keep a row, with their smallest page. The
+bounds of the page ranges come from the data alone: exact running sums of the payloads' bytes by page, cut at every
+RANGES-th of their total, between two limits. A range's number, place by place, deals the records out, so that any number
+of partitions, and any rerun, gives the same files. Every task sorts its range and writes compressed records, one gzip member
+each, to files under a temporary name and rolls to the next at a compressed size; headers and digests are made anew from the
+payload. Only what a successful task returns is committed: tasks give those files their final names, the manifest follows, and
+the rest goes, so that retries and speculative tasks leave nothing behind. Files go through pyarrow's file systems: to any
+address they know.
+
+Defined cases: a null or empty payload has 0 bytes and its own digest; of rows with one page_id and one payload, the first by
+url (a missing one last) is the response and the others revisit it; a null page_id comes last; a missing url is written as an
+empty target; a payload of any length is one record; an empty table gives a manifest without files; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -21,20 +24,25 @@ import uuid
 import zlib
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyarrow import fs
 from pyspark import TaskContext
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isohyet.session import shared_dir, ship_package
+from isohyet.session import scratch_dir, shared_dir, ship_package
 
 #: A file is closed once it holds so many compressed bytes.
 ROLL_BYTES = 256 << 20
+#: Ranges of pages that a table is cut into, and the least and most bytes of payload that one holds (but for a page's own).
+RANGES, RANGE_BYTES = 64, (8 << 20, 1 << 30)
 #: Payloads from this size on are written once.
 LEAST_BYTES = 0
 #: Digest tables of up to this many rows (some 4 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 50_000
+#: Files that one task renames.
+RENAMES = 256
 #: One date for all records: reruns write the same bytes.
 DATE = "2020-01-01T00:00:00Z"
 CHUNK = 1 << 20
@@ -128,24 +136,75 @@ def _writer(folder: str, roll: int):
     return run
 
 
-def write_warc(pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", roll: int = ROLL_BYTES, least: int = LEAST_BYTES) -> list[dict]:
+def page_bounds(pages: DataFrame, ranges: tuple[int, tuple[int, int]] = (RANGES, RANGE_BYTES)) -> np.ndarray:
+    """The first page_id of every range but the first, from (page_id, bytes) rows: a page goes to the number of bounds up to it."""
+    by_page = pages.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+    # the order's partitions may fall anywhere: running sums don't depend on them
+    ordered = by_page.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    parts = ordered.groupBy("part").agg(F.sum("bytes").alias("held")).select("part", "held").orderBy("part").collect()
+    if not parts:
+        return np.zeros(0, np.int64)
+    held = np.array([r.held for r in parts], np.int64)
+    least, most = ranges[1]
+    size = int(min(max(held.sum() // ranges[0], least), most))
+    base = ordered.sparkSession.createDataFrame([(r.part, int(at)) for r, at in zip(parts, held.cumsum() - held, strict=True)], "part int, base long")
+    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    at = F.col("base") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))
+    numbered = ordered.join(F.broadcast(base), "part").withColumn("at", at).select("page_id", F.expr(f"at div {size}").alias("nth"))
+    first = numbered.groupBy("nth").agg(F.min("page_id").alias("first")).where("nth > 0").orderBy("nth").collect()
+    return np.array([r.first for r in first], np.int64)
+
+
+def _renamer(folder: str):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(folder)
+        for b in batches:
+            for old, new in zip(b.column("temporary").to_pylist(), b.column("name").to_pylist(), strict=True):
+                # a retry finds what an earlier attempt has renamed
+                if store.get_file_info(f"{base}/{old}").type != fs.FileType.NotFound:
+                    store.move(f"{base}/{old}", f"{base}/{new}")
+                elif store.get_file_info(f"{base}/{new}").type == fs.FileType.NotFound:
+                    raise FileNotFoundError(f"{folder}/{old}")
+            yield pa.RecordBatch.from_arrays([b.column("name")], ["name"])
+
+    return run
+
+
+def write_warc(
+    pages: DataFrame, folder: str, key: str = "page_id", url: str = "url", payload: str = "html", roll: int = ROLL_BYTES, least: int = LEAST_BYTES, ranges: tuple[int, tuple[int, int]] = (RANGES, RANGE_BYTES)
+) -> list[dict]:
     """Writes pages as WARC files under folder, with manifest.json; returns the manifest's entries (a row for every file)."""
     spark = pages.sparkSession
     ship_package(spark)
-    rows = pages.select(F.col(key).alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")).withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
-    twice = rows.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("twice")).checkpoint()
+    shared_dir(spark)
+    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")).withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
+    narrow = rows.select("page_id", "digest", (F.octet_length(F.coalesce("html", F.lit(""))) + 64).cast("long").alias("bytes")).checkpoint()
+    twice = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("twice")).checkpoint()
     if twice.count() <= BROADCAST_ROWS:
         twice = F.broadcast(twice)
-    records = rows.join(twice, "digest", "left").select("page_id", "url", "html", "digest", "first", F.coalesce("twice", F.lit(False)).alias("twice"), F.lit(least).alias("least"))
-    order = [F.col("page_id").asc_nulls_last(), F.col("digest").asc()]
+    bounds = page_bounds(narrow.select("page_id", "bytes"), ranges)
+
+    @F.arrow_udf("int")
+    def place(ids: pa.Array) -> pa.Array:
+        at = np.searchsorted(bounds, np.asarray(ids.fill_null(np.iinfo(np.int64).max)), "right")
+        return pa.array(np.where(np.asarray(ids.is_null()), len(bounds), at), pa.int32())
+
+    records = (
+        rows.join(twice, "digest", "left")
+        .select("page_id", "url", "html", "digest", "first", F.coalesce("twice", F.lit(False)).alias("twice"), F.lit(least).alias("least"))
+        .withColumn("part", place("page_id"))
+        .repartitionById(len(bounds) + 1, "part")
+        .drop("part")
+        .sortWithinPartitions(F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last())
+    )
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{base}/_temporary")
-    written = records.repartitionByRange(*order).sortWithinPartitions(*order).mapInArrow(_writer(folder, roll), WRITTEN).collect()
-    manifest = []
-    for i, w in enumerate(sorted(written, key=lambda w: (w.part, w.nth))):
-        name = f"part-{i:06d}.warc.gz"
-        store.move(f"{base}/{w.temporary}", f"{base}/{name}")
-        manifest.append({"name": name, "records": w.records, "bytes": w.bytes, "sha256": w.sha256})
+    written = records.mapInArrow(_writer(folder, roll), WRITTEN).collect()
+    names = [(w, f"part-{w.part:06d}-{w.nth:04d}.warc.gz") for w in sorted(written, key=lambda w: (w.part, w.nth))]
+    if names:
+        moves = spark.createDataFrame([(w.temporary, name) for w, name in names], "temporary string, name string")
+        moves.repartition(-(-len(names) // RENAMES)).mapInArrow(_renamer(folder), "name string").count()
+    manifest = [{"name": name, "records": w.records, "bytes": w.bytes, "sha256": w.sha256} for w, name in names]
     with store.open_output_stream(f"{base}/_temporary/manifest.json") as f:
         f.write(json.dumps({"files": manifest}, indent=1).encode())
     store.move(f"{base}/_temporary/manifest.json", f"{base}/manifest.json")
@@ -187,7 +246,7 @@ def read_warc(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def op7_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
-    folder = f"{shared_dir(spark)}/warc-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "warc")
     write_warc(spark.read.parquet(f"{sf_dir}/pages.parquet"), folder)
     return read_warc(spark, folder).select("page_id", "payload_bytes", "payload_digest", "record_type", "refers_to")
 

@@ -68,3 +68,20 @@ def test_damage_is_noticed(spark):
     (folder / entry["name"]).write_bytes(gzip.compress(raw))
     with pytest.raises(Exception, match="differs from its headers"):
         warc.read_warc(spark, f"file://{folder}").collect()
+
+
+def test_files_do_not_depend_on_partitions(spark):
+    """More rows than a range exchange samples, under two numbers of partitions and two dealings of the input."""
+    n = 20_000
+    pages = spark.range(n).selectExpr("(id * 7919) % 20000 - 5 AS page_id", "concat('http://h/', id % 977) AS url", "repeat(concat('text ', id % 3000), 1 + cast(id % 41 AS int)) AS html")
+    made = []
+    for partitions, dealt in (("4", 3), ("9", 7)):
+        spark.conf.set("spark.sql.shuffle.partitions", partitions)
+        made.append(warc.write_warc(pages.repartition(dealt, "html"), f"file://{tempfile.mkdtemp()}", roll=100_000, ranges=(8, (1_000, 1 << 30))))
+    spark.conf.set("spark.sql.shuffle.partitions", "4")
+    assert made[0] == made[1] and len(made[0]) > 8 and sum(e["records"] for e in made[0]) == n
+
+
+def test_bounds_are_exact_quantiles(spark):
+    rows = spark.createDataFrame([(i, 10) for i in range(100)] + [(None, 10)], "page_id long, bytes long")
+    assert warc.page_bounds(rows, (4, (1, 1 << 30))).tolist() == [25, 50, 75]
