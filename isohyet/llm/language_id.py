@@ -1,14 +1,17 @@
 """Operator 6, language identification: blended-spectrum presence kernels, Nystroem landmarks, kernel ridge regression.
 
 k(x, y) averages, over byte n-grams of 1 to 4, the number of n-grams present in both over the root of the numbers in
-each: a cosine of presence sets, so that text length drops out. n-grams are hashed to fixed widths. LANDMARKS training texts
-span the Nystroem space, in which one ridge regression for each language is solved on the driver over a bounded sample: the
-about TRAIN_A_LANGUAGE training documents of each language, drawn by their hash, as feature sets of fixed size, never texts. As the kernel is
-linear in presence features, landmarks and weights fold into one matrix, and a batch is scored by one matrix product.
+each: a cosine of presence sets, so that text length drops out. n-grams are hashed to fixed widths. Landmarks, an equal share
+of every language's sample, span the Nystroem space; one ridge regression for each language is solved there. The training sample
+is bounded: about TRAIN_A_LANGUAGE documents of each language, drawn by their hash. Executors turn it into sets of fixed size and sum its
+moments in the Nystroem space; only landmarks and moments reach the driver, some 150 KB a landmark. No language is left out,
+however many there are. As the kernel is linear in presence features, landmarks and weights fold into one matrix, and a batch is
+scored by one matrix product.
 
 Defined cases: a null text, or one without a letter, is 'und' with score 0; lang, source and doc_id of the document to
-judge are no inputs of its prediction; repeated rows are judged alike; texts of any length are read whole; with nothing to
-learn from, every text is 'und'; a null doc_id is never learnt from nor held out; an empty table gives an empty result; extra columns are ignored.
+judge are no inputs of its prediction; repeated rows are judged alike; texts of any length are read whole; of languages with equal
+values the first in order of name is predicted; with nothing to learn from, every text is 'und'; a null doc_id is never learnt from
+nor held out; an empty table gives an empty result; extra columns are ignored, whatever their names.
 """
 
 from __future__ import annotations
@@ -17,17 +20,19 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isohyet.session import ship_package
+from isohyet.session import shared_dir, ship_package
 
 #: Bits of the hashed presence set for byte n-grams of 1, 2, 3 and 4.
 WIDTHS = (8, 12, 14, 14)
-#: Bounds of the training sample: documents expected for each language, languages (those with most documents).
+#: Bound of the training sample: documents expected for each language.
 TRAIN_A_LANGUAGE = 300
-LANGUAGES = 256
+#: Landmarks in all; with more languages than that, one for each.
 LANDMARKS = 256
+#: Rows of the sample that one task sums, and the fixed point of the sums: integers add up alike in any order.
+ROWS_A_SUM, FIXED = 2_048, 2.0**24
 RIDGE = 1e-3
 #: Softness of the score: larger is sharper.
 SHARPNESS = 8.0
@@ -61,28 +66,6 @@ def features(sets: np.ndarray) -> np.ndarray:
     return x
 
 
-def train(sets: np.ndarray, labels: list[str]) -> tuple[list[str], np.ndarray, np.ndarray]:
-    """(languages, folded weights, intercepts) of one-versus-rest kernel ridge regressions in the Nystroem space."""
-    names = sorted(set(labels))
-    x = features(sets)
-    # landmarks in turn from each language, in the sample's own order
-    at = {n: [i for i, y in enumerate(labels) if y == n] for n in names}
-    turns = [at[n][i] for i in range(max(map(len, at.values()))) for n in names if i < len(at[n])]
-    marks = x[turns[:LANDMARKS]]
-    among, to = (marks @ marks.T).astype(float), (x @ marks.T).astype(float)
-    values, vectors = np.linalg.eigh(among)
-    use = values > 1e-8 * values.max()
-    whiten = vectors[:, use] / np.sqrt(values[use])
-    phi = to @ whiten
-    y = np.array([[1.0 if a == n else -1.0 for n in names] for a in labels])
-    # rows weighted so that a language counts as much as any other
-    weight = np.array([1 / len(at[a]) for a in labels])[:, None] * len(labels) / len(names)
-    phi_mean, y_mean = (weight * phi).sum(0) / weight.sum(), (weight * y).sum(0) / weight.sum()
-    centred = phi - phi_mean
-    solved = np.linalg.solve(centred.T @ (weight * centred) + RIDGE * len(labels) * np.eye(phi.shape[1]), centred.T @ (weight * (y - y_mean)))
-    return names, (marks.T @ (whiten @ solved)).astype(np.float32), y_mean - phi_mean @ solved
-
-
 def has_letter(text: str | None) -> bool:
     return text is not None and any(map(str.isalpha, text))
 
@@ -93,22 +76,67 @@ def _sets(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         yield pa.RecordBatch.from_arrays([b.column("lang"), pa.array(packed, pa.binary())], ["lang", "bits"])
 
 
+def _unpacked(bits: pa.Array) -> np.ndarray:
+    return features(np.array([np.unpackbits(np.frombuffer(x, np.uint8), count=_SIZE) for x in bits.to_pylist()], bool).reshape(-1, _SIZE))
+
+
 def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "lang") -> tuple[list[str], np.ndarray, np.ndarray]:
-    """Learns from documents outside the held-out fold whose lang is given."""
-    ship_package(docs.sparkSession)
+    """(languages, folded weights, intercepts), learnt from documents outside the held-out fold whose lang is given.
+
+    One-versus-rest kernel ridge regressions in the Nystroem space of the landmarks; a language counts as much as any other.
+    """
+    spark = docs.sparkSession
+    ship_package(spark)
+    shared_dir(spark)
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = rows.where((F.crc32("key") % HELD_OUT_OF != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
-    counts = usable.groupBy("lang").count().orderBy(F.desc("count"), "lang").limit(LANGUAGES).collect()
     # each document by its own hash, at a rate that leaves about TRAIN_A_LANGUAGE of a language; equal sets count once
-    rate = F.create_map(*[F.lit(x) for lang_, n in counts for x in (lang_, min(1.0, TRAIN_A_LANGUAGE / n))]) if counts else F.lit(None)
+    rates = usable.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), TRAIN_A_LANGUAGE / F.count(F.lit(1))).alias("rate"))
     place = F.pmod(F.xxhash64(F.lit("train"), "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = usable.where(place < F.coalesce(F.try_element_at(rate, F.col("lang")), F.lit(0.0))) if counts else usable.limit(0)
-    got = chosen.select("text", "lang").mapInArrow(_sets, "lang string, bits binary").distinct().collect()
-    if not got:
+    chosen = usable.withColumn("place", place).join(F.broadcast(rates), F.col("lang") == F.col("of")).where(F.col("place") < F.col("rate"))
+    sample = chosen.select("text", "lang").mapInArrow(_sets, "lang string, bits binary").distinct().checkpoint()
+    held = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
+    names, n = sorted(held), sum(held.values())
+    if not names:
         return [], np.zeros((_SIZE, 0), np.float32), np.zeros(0)
-    got.sort(key=lambda r: (r.lang, bytes(r.bits)))
-    sets = np.array([np.unpackbits(np.frombuffer(r.bits, np.uint8), count=_SIZE) for r in got], bool)
-    return train(sets, [r.lang for r in got])
+    nth = F.row_number().over(Window.partitionBy("lang").orderBy(F.xxhash64("bits"), "bits"))
+    share = max(1, LANDMARKS // len(names))
+    got = sample.withColumn("nth", nth).where(F.col("nth") <= share).orderBy("lang", "nth").select("bits").toArrow()
+    marks = _unpacked(got.column("bits").combine_chunks())
+    values, vectors = np.linalg.eigh((marks @ marks.T).astype(float))
+    use = values > 1e-8 * values.max()
+    whiten = vectors[:, use] / np.sqrt(values[use])
+    size = whiten.shape[1]
+    at = {name: i for i, name in enumerate(names)}
+    weight = np.array([n / len(names) / held[name] for name in names])
+    shared = spark.sparkContext.broadcast((marks, whiten))
+
+    def moments(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Rows 0 to size - 1: the weighted second moments; row size + i: the sum over language i."""
+        marked, white = shared.value
+        total = np.zeros((size + len(names), size))
+        for big in batches:
+            for start in range(0, big.num_rows, BATCH):
+                b = big.slice(start, BATCH)
+                phi = (_unpacked(b.column("bits")) @ marked.T).astype(float) @ white
+                own = np.array([at[x] for x in b.column("lang").to_pylist()])
+                total[:size] += phi.T @ (weight[own][:, None] * phi)
+                np.add.at(total, size + own, phi)
+        i, j = np.nonzero(total)
+        yield pa.RecordBatch.from_arrays([pa.array(i), pa.array(j), pa.array(np.rint(total[i, j] * FIXED).astype(np.int64))], ["i", "j", "x"])
+
+    # the same rows in the same order for the same sample, so that reruns agree
+    ordered = sample.repartition(-(-n // ROWS_A_SUM), "bits").sortWithinPartitions("bits", "lang")
+    summed = ordered.mapInArrow(moments, "i long, j long, x long").groupBy("i", "j").agg(F.sum("x").alias("x")).toArrow()
+    total = np.zeros((size + len(names), size))
+    total[np.asarray(summed.column("i")), np.asarray(summed.column("j"))] = np.asarray(summed.column("x")) / FIXED
+    shared.unpersist()
+    second, by_language = total[:size], total[size:] * weight[:, None]
+    # the weights of all rows sum to n; a language's target is 1 on its own rows and -1 on others
+    phi_mean, y_mean = by_language.sum(0) / n, 2 / len(names) - 1
+    cross = 2 * by_language.T - by_language.sum(0)[:, None] - n * phi_mean[:, None] * y_mean
+    solved = np.linalg.solve(second - n * np.outer(phi_mean, phi_mean) + RIDGE * n * np.eye(size), cross)
+    return names, (marks.T @ (whiten @ solved).astype(np.float32)), y_mean - phi_mean @ solved
 
 
 def identify(docs: DataFrame, model: tuple[list[str], np.ndarray, np.ndarray], key: str = "doc_id", text: str = "text") -> DataFrame:
