@@ -4,8 +4,8 @@ Every URL is expanded into the expressions that some rule could equal: a host su
 rule has, followed by a path prefix as long as a rule's path. Expressions join the rules on the first 32 bits of
 their SHA-256; the full digest confirms; the longest confirmed rule decides. No Python runs on executors.
 
-Defined cases: null urls and urls without '://' have empty host and path and take the default verdict; equal rows
-each return a row; an empty rule table leaves every page to the default verdict; extra columns are ignored.
+Defined cases: null urls and urls without '://' have empty host and path and take the default verdict; urls of any length
+are matched whole; equal rows each return a row; an empty rule table leaves every page to the default verdict; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -42,7 +42,10 @@ def split_url(url: Column) -> tuple[Column, Column]:
 
 
 def rule_table(spark: SparkSession, rules: list[tuple[str, str, str]]) -> DataFrame:
-    return spark.createDataFrame(rules, "host string, path string, action string")
+    """The rules as literals of the plan; large rule sets come as tables of their own."""
+    rows = [F.struct(*[F.lit(x).cast("string").alias(n) for n, x in zip(("host", "path", "action"), rule, strict=True)]) for rule in rules]
+    made = F.array(*rows) if rows else F.lit(None).cast("array<struct<host:string,path:string,action:string>>")
+    return spark.range(1).select(F.inline(made))
 
 
 def _digested(rules: DataFrame) -> DataFrame:
