@@ -2,13 +2,16 @@
 
 Targets share the mix by weight and stop at a multiple of their source. Blocks of BLOCK_WORDS words go to sources by
 highest quotients (target / 1, 3, 5, ...), a source's blocks go to its shards by highest quotients of the
-shards' sizes, and every shard takes its blocks in a seeded order of its documents. Quotients are never listed: rounding
-by the mean divisor leaves a remainder smaller than the number of parties, and only that many seats are ranked. A
-source of any share is dealt into shards of some hundred rows before anything is ordered. No Python runs on executors.
-
-Defined cases: a null text has no words and is taken 0 times; a null source is a source of its own, last in order;
-repeated rows are documents of their own; an empty table gives an empty result; with no words at all, targets
-are 0; columns of docs pass through, those named like the operator's own give way.
+shards' sizes, and a source at its cap takes all its blocks as often as it may. The words of a shard, in a seeded order of its
+documents, are numbered blocks; its quota is so many passes over all of them and, of the rest, a run of blocks from a seeded
+number on. Quotients are never listed: rounding by the mean divisor leaves a remainder smaller than the number of
+parties, and only that many seats are ranked. A source of any share is dealt into shards of some hundred rows, of
+SHARD_ROWS at most, however many rows there are, before anything is ordered. No Python runs on executors.
+
+Defined cases: a null text has no words and is taken 0 times; a text of any length counts whole; a null source is a source of its
+own, last in order; equal quotients go by name; repeated rows are documents of their own, beside each other in one shard; an
+empty table gives an empty result; with no words at all, targets are 0; columns of docs pass through, whatever their names,
+but those named like the operator's own (OWN), which give way.
 """
 
 from __future__ import annotations
@@ -16,7 +19,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from isohyet.llm.text import words
+from isohyet.llm.text import free_prefix, words
 from isohyet.session import shared_dir
 
 BLOCK_WORDS = 64
@@ -24,7 +27,7 @@ WEIGHTS = (3, 1, 2)
 MIX_RATIO = 1.5
 MAX_REPEATS = 2
 SEED = 77
-#: The finest dealing of a source; shards are unions of these.
+#: The least number of parts of a source in its finest dealing; shards are unions of these.
 FINE = 4_096
 #: Rows that a shard aims at, between these bounds.
 SHARD_ROWS = (128, 500_000)
@@ -104,17 +107,24 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
     spark = docs.sparkSession
     shared_dir(spark)
     docs = docs.drop(*OWN)
+    own = free_prefix(docs.columns)
+    row_source, row_mix, row_fine, row_shard, row_start = (f"{own}{n}" for n in ("source", "mix", "fine", "shard", "start"))
+    # a power of two, so that shards are unions of fine parts
+    parts = max(FINE, 1 << (docs.count() // SHARD_ROWS[1]).bit_length())
     rows = docs.withColumns({
         "size": F.size(words(F.col(text))).cast("long"),
-        "__source": F.col(source),
-        "__mix": F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))),
-    }).withColumn("__fine", F.pmod("__mix", F.lit(FINE)).cast("int"))
-    fine = rows.groupBy("__source", "__fine").agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows")).checkpoint()
+        row_source: F.col(source),
+        row_mix: F.xxhash64(F.lit(seed), F.col(key), F.xxhash64(F.col(text))),
+    }).withColumn(row_fine, F.pmod(row_mix, F.lit(parts)).cast("int"))
+    fine = (
+        rows.groupBy(F.col(row_source).alias("__source"), F.col(row_fine).alias("__fine"))
+        .agg(F.sum("size").alias("words"), F.count(F.lit(1)).alias("rows"))
+        .checkpoint()
+    )
     per_source = fine.groupBy(F.col("__source").alias("source")).agg(F.sum("words").alias("source_size"), F.sum("rows").alias("rows"))
     everything = Window.partitionBy()
-    aim = F.greatest(F.lit(SHARD_ROWS[0]), F.least(F.lit(SHARD_ROWS[1]), F.sum("rows").over(everything) / FINE))
-    # a power of two, so that shards are unions of fine parts
-    n_shards = F.least(F.lit(FINE), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / aim)))).cast("int"))
+    aim = F.greatest(F.lit(SHARD_ROWS[0]), F.least(F.lit(SHARD_ROWS[1]), F.sum("rows").over(everything) / parts))
+    n_shards = F.least(F.lit(parts), F.pow(F.lit(2), F.ceil(F.log2(F.greatest(F.lit(1.0), F.col("rows") / aim)))).cast("int"))
     planned = targets(per_source.withColumn("n_shards", n_shards)).withColumn("all_blocks", F.round(F.sum("target").over(everything) / block).cast("long"))
     seated = apportion(planned.withColumn("__one", F.lit(1)), "target", "all_blocks", ["__one"], ["source"], "blocks").drop("__one")
     by_source = seated.select(
@@ -126,27 +136,38 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         .groupBy("__source", "source_size", "target", "capped", "n_shards", "blocks", "__shard")
         .agg(F.sum("words").alias("shard_words"))
     )
+    # a quota in blocks: whole passes, then blocks number first to first + some - 1
+    held = F.ceil(F.col("shard_words") / block)
+    quota = F.when(F.col("capped"), F.col("shard_words") * MAX_REPEATS).otherwise(F.least(F.col("shard_blocks") * block, F.col("shard_words") * MAX_REPEATS))
+    rest = F.col("quota") - F.col("passes") * F.col("shard_words")
+    # the last block may be short: a run of blocks ends before it unless it takes all
+    first = F.when(F.col("some") < F.col("held"), F.pmod(F.xxhash64(F.lit(seed), "__source", "__shard"), F.col("held") - F.col("some"))).otherwise(0)
     quotas = (
         apportion(shards, "shard_words", "blocks", ["__source"], ["__shard"], "shard_blocks")
-        .withColumn("quota", F.when(F.col("capped"), F.col("shard_words") * MAX_REPEATS).otherwise(F.least(F.col("shard_blocks") * block, F.col("shard_words") * MAX_REPEATS)))
-        .select(F.col("__source").alias("q_source"), F.col("__shard").alias("q_shard"), "n_shards", "source_size", "target", "shard_words", "quota")
+        .withColumn("held", held)
+        .withColumn("quota", quota)
+        .withColumn("passes", F.when(F.col("shard_words") > 0, F.expr("quota div shard_words")).otherwise(0))
+        .withColumn("some", F.round(rest / block).cast("long"))
+        .withColumn("first", first)
+        .select(F.struct("source_size", "target", "passes", (F.col("first") * block).alias("low"), ((F.col("first") + F.col("some")) * block).alias("high")).alias(f"{own}quota"), F.col("__source").alias(f"{own}q_source"), F.col("__shard").alias(f"{own}q_shard"))
         .checkpoint()
     )
-    ns = _small(by_source.select(F.col("__source").alias("n_source"), F.col("n_shards").alias("__n")))
-    order = Window.partitionBy("__source", "__shard").orderBy("__mix", F.col(key), "size")
+    ns = _small(by_source.select(F.col("__source").alias(f"{own}n_source"), F.col("n_shards").alias(f"{own}n")))
+    order = Window.partitionBy(row_source, row_shard).orderBy(row_mix, F.col(key), "size")
     dealt = (
-        rows.join(ns, F.col("__source").eqNullSafe(F.col("n_source")))
-        .withColumn("__shard", F.col("__fine").bitwiseAND(F.col("__n") - 1))
-        .withColumn("__start", F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
-        .join(_small(quotas.drop("n_shards")), F.col("__source").eqNullSafe(F.col("q_source")) & (F.col("__shard") == F.col("q_shard")))
+        rows.join(ns, F.col(row_source).eqNullSafe(F.col(f"{own}n_source")))
+        .withColumn(row_shard, F.col(row_fine).bitwiseAND(F.col(f"{own}n") - 1))
+        .withColumn(row_start, F.coalesce(F.sum("size").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0)))
+        .join(_small(quotas), F.col(row_source).eqNullSafe(F.col(f"{own}q_source")) & (F.col(row_shard) == F.col(f"{own}q_shard")))
     )
-    passes = F.when(F.col("shard_words") > 0, F.expr("quota div shard_words")).otherwise(0)
-    rest = F.col("quota") - F.col("__passes") * F.col("shard_words")
-    part = F.greatest(F.lit(0), F.least(F.col("size"), rest - F.col("__start")))
-    return dealt.withColumn("__passes", passes).withColumns({
-        "taken": (F.col("__passes") * F.col("size") + part).cast("long"),
-        "copies": (F.col("__passes") + F.when((F.col("size") > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int"),
-    }).select(*docs.columns, *OWN)
+    of = lambda name: F.col(f"{own}quota.{name}")
+    part = F.greatest(F.lit(0), F.least(F.col(row_start) + F.col("size"), of("high")) - F.greatest(F.col(row_start), of("low")))
+    return dealt.withColumns({
+        "source_size": of("source_size"),
+        "target": of("target"),
+        "taken": (of("passes") * F.col("size") + part).cast("long"),
+        "copies": (of("passes") + F.when((F.col("size") > 0) & (2 * part >= F.col("size")), 1).otherwise(0)).cast("int"),
+    }).select(*[F.col(f"`{c}`") for c in docs.columns], *OWN)
 
 
 def _small(table: DataFrame) -> DataFrame:
@@ -156,8 +177,9 @@ def _small(table: DataFrame) -> DataFrame:
 
 def repeat_documents(mixed: DataFrame) -> DataFrame:
     """A row for every whole copy that the mix takes."""
+    nth = f"{free_prefix(mixed.columns)}nth"
     n: Column = F.sequence(F.lit(1), F.col("copies"))
-    return mixed.where(F.col("copies") > 0).select("*", F.explode(n).alias("__n")).drop("__n", *OWN)
+    return mixed.where(F.col("copies") > 0).select("*", F.explode(n).alias(nth)).drop(nth, *OWN)
 
 
 def op9_mix_sources(spark: SparkSession, sf_dir: str) -> DataFrame:

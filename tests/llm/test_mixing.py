@@ -2,6 +2,7 @@ import re
 from collections import defaultdict
 
 import pytest
+from pyspark.sql import functions as F
 
 from isohyet.llm import mixing
 
@@ -61,3 +62,38 @@ def test_copies_and_empty(docs, empty):
     assert mixing.mix(empty).count() == 0
     nothing = mixing.mix(docs.where("doc_id in (300, 301, 302)")).collect()
     assert len(nothing) == 3 and all(r.taken == 0 and r.target == 0 for r in nothing)
+
+
+def test_blocks_by_number(spark):
+    """In every shard, whole passes and one run of numbered blocks: seen from the rows, with shards recomputed by hand."""
+    n, block = 3_000, 8
+    df = spark.range(n).selectExpr("id AS doc_id", "CASE WHEN id % 3 = 0 THEN 'a' WHEN id % 30 = 1 THEN 'b' ELSE 'c' END AS source", "repeat(concat('w', id, ' '), 1 + cast(id % 37 AS int)) AS text")
+    df = df.withColumn("__mix", F.lit("mine")).withColumn("q_source", F.lit("mine"))
+    mixed = mixing.mix(df, block=block)
+    assert mixed.where("__mix = 'mine' and q_source = 'mine'").count() == n
+    rows = mixed.withColumn("mix", F.xxhash64(F.lit(mixing.SEED), "doc_id", F.xxhash64("text"))).collect()
+    by = defaultdict(list)
+    for r in rows:
+        by[r.source].append(r)
+    for name, own in by.items():
+        want = brute_targets({s: sum(r["size"] for r in x) for s, x in by.items()})[name]
+        shards = 1
+        while shards < len(own) / mixing.SHARD_ROWS[0]:
+            shards *= 2
+        assert abs(sum(r.taken for r in own) - want) <= block * (shards + 1) / 2
+        for s in range(shards):
+            here = sorted((r for r in own if r.mix % shards == s), key=lambda r: (r.mix, r.doc_id))
+            passes = min(r.taken // r["size"] for r in here)
+            extra = [(r.taken - passes * r["size"], r["size"]) for r in here]
+            runs = [i for i, (x, _) in enumerate(extra) if x]
+            assert not runs or all(x == size for x, size in extra[runs[0] + 1 : runs[-1]])
+            total, whole = sum(x for x, _ in extra), sum(size for _, size in extra)
+            assert total == whole or total % block == 0
+
+
+def test_many_rows_make_more_parts(spark, monkeypatch):
+    monkeypatch.setattr(mixing, "FINE", 4)
+    monkeypatch.setattr(mixing, "SHARD_ROWS", (8, 16))
+    df = spark.range(2_000).selectExpr("id AS doc_id", "if(id % 2 = 0, 'x', 'y') AS source", "repeat('w ', 1 + cast(id % 50 AS int)) AS text")
+    taken = {r.source: (r.t, r.want) for r in mixing.mix(df, block=2).groupBy("source").agg(F.sum("taken").alias("t"), F.first("target").alias("want")).collect()}
+    assert all(abs(t - want) <= 0.01 * want for t, want in taken.values())
