@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine_km
 from isohyet.functions.textrules import is_token_prefix, name_stem
-from isohyet.session import shared_dir, ship_package
+from isohyet.session import scratch_dir, ship_package
 
 
 def related_names(stations: DataFrame, key: str, name: str) -> DataFrame:
@@ -41,10 +41,25 @@ def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float) -> Da
 
 #: Links that one task joins (some 50 MB) before rounds of joins take over.
 ONE_TASK_LINKS = 200_000
+#: Tables of up to this many counted rows (some 2 MB) are broadcast; rows of a partition of a table that is cut off.
+BROADCAST_ROWS, ROWS_A_PARTITION = 50_000, 100_000
+
+
+def cut_off(table: DataFrame) -> tuple[DataFrame, int]:
+    """The table off its lineage, in as many partitions as its rows need, and their number.
+
+    It is written and read again: a checkpoint keeps the estimated sizes of its plan, whose digits double in every round of self-joins.
+    """
+    spark = table.sparkSession
+    path = f"{scratch_dir(spark, 'cut')}/table"
+    table.write.parquet(path)
+    done = spark.read.schema(table.schema).parquet(path)
+    rows = done.count()
+    return done.coalesce(-(-rows // ROWS_A_PARTITION) or 1), rows
 
 
 def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, component) over all links (a, b) of one partition, by union-find."""
+    """(root, top) over all links (high, low) of one partition, by union-find."""
     up: dict[int, int] = {}
 
     def top(x: int) -> int:
@@ -54,34 +69,45 @@ def _join_all(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         return x
 
     for batch in batches:
-        for a, b in zip(batch.column("a").to_pylist(), batch.column("b").to_pylist(), strict=True):
+        for a, b in zip(batch.column("high").to_pylist(), batch.column("low").to_pylist(), strict=True):
             a, b = top(a), top(b)
             up[max(a, b)] = min(a, b)
     nodes = list(up)
     yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array(list(map(top, nodes)), pa.int64())], ["node", "component"])
 
 
-def components(links: DataFrame, one_task: int = ONE_TASK_LINKS) -> DataFrame:
+def components(links: DataFrame, one_task: int = ONE_TASK_LINKS, broadcast_rows: int = BROADCAST_ROWS) -> DataFrame:
     """(node, component) for the ends of links (a, b): smallest node reachable.
 
-    Few links (counted) are joined by one task. Beyond, labels fall and pointers jump in rounds, with lineage cut at every one.
+    Few links (counted) are joined by one task. Beyond, every round hooks each root to the smallest root it is linked with,
+    lets pointers jump until every chain ends at a root that hooks no more, and keeps the links between different roots; lineage is
+    cut at every one.
     """
-    shared_dir(links.sparkSession)
-    pairs = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b")).where("a <> b").distinct().checkpoint()
-    if pairs.count() <= one_task:
+    ends = links.select(F.col("a").cast("long").alias("a"), F.col("b").cast("long").alias("b"))
+    live, rows = cut_off(ends.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct())
+    if rows <= one_task:
         ship_package(links.sparkSession)
-        return pairs.coalesce(1).mapInArrow(_join_all, "node long, component long")
-    edges = pairs.union(pairs.select("b", "a")).distinct().checkpoint()
-    labels = edges.groupBy(F.col("a").alias("node")).agg(F.min(F.least("a", "b")).alias("component")).checkpoint()
-    while True:
-        seen = edges.join(labels, edges["b"] == labels["node"]).groupBy(F.col("a").alias("n")).agg(F.min("component").alias("low"))
-        lowered = labels.join(seen, labels["node"] == seen["n"]).select("node", F.least("component", "low").alias("component"), (F.col("low") < F.col("component")).alias("moved"))
-        # pointers jump: a label's own label is as good and nearer the root
-        own = lowered.select(F.col("node").alias("m"), F.col("component").alias("up"))
-        labels = lowered.join(own, F.col("component") == F.col("m"), "left").select("node", F.least("component", F.coalesce("up", "component")).alias("component"), "moved").checkpoint()
-        if labels.where("moved").isEmpty():
-            return labels.select("node", "component")
-        labels = labels.select("node", "component")
+        return live.coalesce(1).mapInArrow(_join_all, "node long, component long")
+
+    def small(table: DataFrame, n: int) -> DataFrame:
+        return F.broadcast(table) if n <= broadcast_rows else table
+
+    def renamed(table: DataFrame, column: str, to: DataFrame) -> DataFrame:
+        return table.join(to, table[column] == to["root"], "left").withColumn(column, F.coalesce("top", column)).drop("root", "top")
+
+    nodes = live.select(F.explode(F.array("high", "low")).alias("node")).distinct()
+    parent = nodes.select("node", F.col("node").alias("component"))
+    while rows:
+        hook, n = cut_off(live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")))
+        while True:
+            up = small(hook.select(F.col("high").alias("h"), F.col("low").alias("to")), n)
+            hook, _ = cut_off(hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")))
+            if hook.where("moved").isEmpty():
+                break
+        to = small(hook.select(F.col("high").alias("root"), F.col("low").alias("top")), n)
+        parent, _ = cut_off(renamed(parent, "component", to))
+        live, rows = cut_off(renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct())
+    return parent
 
 
 def clusters(points: DataFrame, links: DataFrame, key: str, lat: str, lon: str, name: str) -> DataFrame:
