@@ -7,15 +7,18 @@ done once all its coordinates are filled; a few rounds do for most texts, and tw
 
 Texts with one and the same shingle set become one node first. Buckets then never list their pairs: the smallest node of a
 bucket is its hub, and members are verified against hubs on full sets. Verified links are contracted into components. Any
-two nodes that share a bucket are in the group of its hub; a group whose members lie in several components is settled in blocks:
-a task counts the shingles that two blocks of bounded size share by matrix products and returns only links that join
-components, at most one for each member. Large groups are cut into shells by their distance to the hub, and by the triangle
-inequality of the Jaccard distance only neighbouring shells meet. So a link is lost only where no band meets.
-
-Joins on hub, bucket and class are plain equi-joins on tables cut off by checkpoint(), whose hot keys adaptive execution splits;
+two nodes that share a bucket are in the group of its hub. A large group whose members lie in several components takes new hubs from
+those that are apart, a round at a time, each linear in the group, as long as that helps. What is then still apart from its group's largest component
+is settled in blocks, among itself and against that component, whose own pairs need no look: a task counts the shingles that
+two blocks of bounded size share by matrix products and returns only links that join components, at most one for each
+member. Large groups are cut into shells by their distance to the hub, and by the triangle inequality of the Jaccard distance
+only neighbouring shells meet. So a link is lost only where no band meets.
+
+Joins on hub, bucket and class are plain equi-joins on tables cut off from their lineage, whose hot keys adaptive execution splits;
 what groups a key is pre-aggregated. Nothing but counts reaches the driver.
 
-Defined cases: a text without words (or null) has an empty set, is its own component and stays; fewer words than the
+Defined cases: a text without words (or null) has an empty set, is its own component and stays; texts of any length are
+shingled whole; a key is an integer, or a text of one (others are an error); fewer words than the
 shingle width make one shingle; rows with equal doc_id and text are alike and share their result; rows with equal doc_id
 but other texts are texts of their own under one name; a null doc_id names a component only if no other can; an empty table gives an
 empty result; extra columns are ignored.
@@ -30,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.operators import entity
 from isohyet.session import shared_dir, ship_package
 
 #: Words in a shingle and similarity of a link in hundredths, as op5's contract has them; near_duplicates() defaults to 5 and 80.
@@ -38,12 +42,14 @@ WIDTH, PERCENT = 3, 85
 COORDINATES, MISS = 280, 1e-6
 #: Texts that are sketched together, and the words of a task's cache before it starts anew.
 TOGETHER = 128
+#: Rounds of new hubs for groups with more members apart than a block holds, while that falls to such a part a round.
+ROUNDS, PROGRESS = 8, 0.9
 #: Nodes and bytes of text of a block at most (a longer text is a block of its own), and shingles in one matrix product.
 BLOCK_NODES, BLOCK_BYTES, PRODUCT = 512, 2 << 20, 8_192
 #: Tables of up to this many rows (some 2 MB) are broadcast, larger ones shuffled.
 BROADCAST_ROWS = 50_000
-#: Rows of a partition of a table that is cut off; links that one task joins (some 50 MB) before rounds of joins take over.
-ROWS_A_PARTITION, ONE_TASK_LINKS = 100_000, 200_000
+#: Links that one task joins (some 50 MB) before rounds of joins take over.
+ONE_TASK_LINKS = 200_000
 CACHE_WORDS = 1_000_000
 
 _FULL = np.uint64(0xFFFF_FFFF_FFFF_FFFF)
@@ -228,63 +234,32 @@ def _shared(sets: list[np.ndarray], left: np.ndarray, right: np.ndarray) -> np.n
     return out.astype(np.int64)
 
 
-def _cut(table: DataFrame) -> tuple[DataFrame, int]:
-    """The table off its lineage, in as many partitions as its rows need, and their number."""
-    done = table.checkpoint()
-    rows = done.count()
-    return done.coalesce(-(-rows // ROWS_A_PARTITION) or 1), rows
-
-
 def _small(table: DataFrame, rows: int) -> DataFrame:
     """The table, marked for broadcast if its rows are few."""
     return F.broadcast(table) if rows <= BROADCAST_ROWS else table
 
 
-def _joined(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """(node, top) over all links of one partition: the smallest node reachable, by union-find."""
-    up: dict[int, int] = {}
+def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
+    """(node, component) for nodes (node): the smallest node reachable over links (a, b), itself if it has none."""
+    joined, n = entity.cut_off(entity.components(links, ONE_TASK_LINKS, BROADCAST_ROWS).withColumnsRenamed({"node": "root", "component": "top"}))
+    to = _small(joined, n)
+    return entity.cut_off(nodes.join(to, F.col("node") == F.col("root"), "left").select("node", F.coalesce("top", "node").alias("component")))[0]
 
-    def top(x: int) -> int:
-        while up.setdefault(x, x) != x:
-            up[x] = up[up[x]]
-            x = up[x]
-        return x
 
-    for b in batches:
-        for x, y in zip(b.column("a").to_pylist(), b.column("b").to_pylist(), strict=True):
-            x, y = top(x), top(y)
-            if x != y:
-                up[max(x, y)] = min(x, y)
-    nodes = list(up)
-    yield pa.RecordBatch.from_arrays([pa.array(nodes, pa.int64()), pa.array([top(x) for x in nodes], pa.int64())], ["root", "top"])
+def _joined_by(reach: DataFrame, links: DataFrame) -> DataFrame:
+    """reach (node, component) once new links (a, b) between nodes have joined components."""
+    of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
+    between = links.withColumnsRenamed({"a": "x", "b": "y"}).join(of("a"), F.col("x") == F.col("a_node")).join(of("b"), F.col("y") == F.col("b_node")).select("a", "b")
+    top, n = entity.cut_off(entity.components(between, ONE_TASK_LINKS, BROADCAST_ROWS).withColumnsRenamed({"node": "root", "component": "top"}))
+    return entity.cut_off(reach.join(_small(top, n), F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")))[0]
 
 
-def components(nodes: DataFrame, links: DataFrame) -> DataFrame:
-    """(node, component) for nodes (node): the smallest node reachable over links (a, b).
-
-    Up to ONE_TASK_LINKS links are joined by one task. Beyond, every round hooks each root to the smallest root it is linked with,
-    lets pointers jump until every chain ends at a root that hooks no more, and keeps the links between different roots.
-    """
-    live, rows = _cut(links.select(F.greatest("a", "b").alias("high"), F.least("a", "b").alias("low")).where("high <> low").distinct())
-
-    def renamed(table: DataFrame, column: str, to: DataFrame) -> DataFrame:
-        return table.join(to, table[column] == to["root"], "left").withColumn(column, F.coalesce("top", column)).drop("root", "top")
-
-    parent = nodes.select("node", F.col("node").alias("component"))
-    if rows <= ONE_TASK_LINKS:
-        one = live.select(F.col("high").alias("a"), F.col("low").alias("b")).coalesce(1).mapInArrow(_joined, "root long, top long")
-        return renamed(parent, "component", _small(*_cut(one))).checkpoint()
-    while rows:
-        hook, n = _cut(live.groupBy("high").agg(F.min("low").alias("low"), F.lit(True).alias("moved")))
-        while True:
-            up = _small(hook.select(F.col("high").alias("h"), F.col("low").alias("to")), n)
-            hook = hook.join(up, hook["low"] == up["h"], "left").select("high", F.coalesce("to", "low").alias("low"), F.col("to").isNotNull().alias("moved")).checkpoint()
-            if hook.where("moved").isEmpty():
-                break
-        to = _small(hook.select(F.col("high").alias("root"), F.col("low").alias("top")), n)
-        parent = renamed(parent, "component", to).checkpoint()
-        live, rows = _cut(renamed(renamed(live, "high", to), "low", to).where("high <> low").select(F.greatest("high", "low").alias("high"), F.least("high", "low").alias("low")).distinct())
-    return parent
+def _open_groups(group: DataFrame) -> tuple[DataFrame, int]:
+    """(o_hub, main, n, apart) of groups (hub, node, component) of several components: the largest one, members, members outside it."""
+    parts = group.groupBy("hub", "component").agg(F.count(F.lit(1)).alias("n"))
+    best = F.max(F.struct(F.col("n"), (-F.col("component")).alias("low")))
+    found = parts.groupBy("hub").agg(best.alias("best"), F.sum("n").alias("n"), F.count(F.lit(1)).alias("parts")).where("parts > 1")
+    return entity.cut_off(found.select(F.col("hub").alias("o_hub"), (-F.col("best.low")).alias("main"), "n", (F.col("n") - F.col("best.n")).alias("apart")))
 
 
 def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
@@ -304,7 +279,7 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
     # Buckets of several nodes, with their smallest as the first hub.
     shared = placed.groupBy("bucket").agg(F.min("node").alias("hub"), F.max("node").alias("last")).where("hub < last").select(F.col("bucket").alias("b"), "hub").checkpoint()
     members = placed.join(shared, F.col("bucket") == F.col("b")).select("hub", "node").distinct().checkpoint()
-    met, _ = _cut(members.select("node").distinct())
+    met, _ = entity.cut_off(members.select("node").distinct())
     texts = (
         rows.join(
             nodes.join(met, "node", "left_semi").select("node", F.col("doc").alias("n_doc"), F.col("text_hash").alias("n_hash")),
@@ -312,29 +287,47 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         ).select("node", "text").dropDuplicates(["node"]).checkpoint()
     )
 
-    # Every member against its hubs.
-    pairs = members.where("hub <> node")
     hub_texts = texts.select(F.col("node").alias("t_hub"), F.col("text").alias("hub_text"))
-    with_node = pairs.join(texts, "node").select("hub", "node", F.col("text").alias("node_text"))
-    with_both = with_node.join(hub_texts, F.col("hub") == F.col("t_hub")).select("hub", "node", "node_text", "hub_text")
-    tested, _ = _cut(with_both.mapInArrow(_verify(width), VERIFIED))
-    links = tested.where(F.expr(f"100 * shared >= {percent} * either")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    def verified(pairs: DataFrame) -> tuple[DataFrame, DataFrame]:
+        """(hub, node, shared, either) of pairs, and the links (a, b) among them."""
+        with_node = pairs.join(texts, "node").select("hub", "node", F.col("text").alias("node_text"))
+        with_both = with_node.join(hub_texts, F.col("hub") == F.col("t_hub")).select("hub", "node", "node_text", "hub_text")
+        tested, _ = entity.cut_off(with_both.mapInArrow(_verify(width), VERIFIED))
+        return tested, tested.where(F.expr(f"100 * shared >= {percent} * either")).select(F.col("hub").alias("a"), F.col("node").alias("b"))
+
+    # Every member against its hubs.
+    tested, links = verified(members.where("hub <> node"))
     reach = components(met, links)
-    of = lambda name: reach.select(F.col("node").alias(f"{name}_node"), F.col("component").alias(name))
 
     # Groups of a hub with open pairs: members (the hub is linked with or ruled out for all of them) of several components.
-    group = tested.select("hub", "node", (1 - F.col("shared") / F.col("either")).alias("d")).join(of("component"), F.col("node") == F.col("component_node")).drop("component_node")
-    open_, n_open = _cut(group.groupBy("hub").agg(F.min("component").alias("low"), F.max("component").alias("high"), F.count(F.lit(1)).alias("n")).where("low < high").select(F.col("hub").alias("o_hub"), "n"))
+    away = tested.select("hub", "node", (1 - F.col("shared") / F.col("either")).alias("d"))
+    still = None
+    for turn in range(ROUNDS + 1):
+        group = away.join(reach.select(F.col("node").alias("c_node"), "component"), F.col("node") == F.col("c_node")).drop("c_node")
+        open_, n_open = _open_groups(group)
+        large, n_large = entity.cut_off(open_.where(F.col("apart") > BLOCK_NODES))
+        was, still = still, large.agg(F.sum("apart")).first()[0]
+        if n_large == 0 or turn == ROUNDS or (was is not None and still > PROGRESS * was):
+            break
+        # a new hub from those that are apart, for all of the group that isn't joined with it yet
+        among = group.join(_small(large, n_large), F.col("hub") == F.col("o_hub"))
+        probes = among.where("component <> main").groupBy(F.col("hub").alias("p_hub")).agg(F.min(F.struct(F.xxhash64(F.lit(turn), "node"), "node", "component")).alias("probe"))
+        asked = group.join(_small(probes, n_large), F.col("hub") == F.col("p_hub")).where(F.col("component") != F.col("probe.component"))
+        reach = _joined_by(reach, verified(asked.select(F.col("probe.node").alias("hub"), "node").distinct())[1])
     far = 1 - percent / 100 + 1e-9
     sized = group.join(_small(open_, n_open), F.col("hub") == F.col("o_hub")).join(texts.select(F.col("node").alias("t_node"), F.octet_length("text").alias("bytes")), F.col("node") == F.col("t_node"))
-    placed_in = sized.select("hub", "node", "component", "bytes", F.when(F.col("n") <= BLOCK_NODES, 0).otherwise(F.floor(F.col("d") / far)).cast("int").alias("shell")).checkpoint()
+    # twice the shell, and one more for members apart from the largest component
+    shell = F.when(F.col("n") <= BLOCK_NODES, 0).otherwise(F.floor(F.col("d") / far)) * 2 + F.when(F.col("component") == F.col("main"), 0).otherwise(1)
+    placed_in = sized.select("hub", "node", "component", "bytes", shell.cast("int").alias("shell")).checkpoint()
     blocks = F.greatest(F.ceil(F.count(F.lit(1)) / BLOCK_NODES), F.ceil(F.sum("bytes") / BLOCK_BYTES)).cast("int")
-    shells, n_shells = _cut(placed_in.groupBy("hub", "shell").agg(blocks.alias("blocks")).groupBy(F.col("hub").alias("s_hub")).agg(F.map_from_entries(F.collect_list(F.struct("shell", "blocks"))).alias("blocks")))
+    shells, n_shells = entity.cut_off(placed_in.groupBy("hub", "shell").agg(blocks.alias("blocks")).groupBy(F.col("hub").alias("s_hub")).agg(F.map_from_entries(F.collect_list(F.struct("shell", "blocks"))).alias("blocks")))
     there = lambda shell: F.coalesce(F.try_element_at("blocks", shell), F.lit(0))
     numbers = lambda n: F.filter(F.sequence(F.lit(0), n), lambda v: v < n)
     own = F.struct(F.col("shell").alias("shell"), F.col("block").alias("block"))
-    in_shell = lambda shell: F.transform(numbers(there(shell)), lambda v: F.struct(shell.alias("shell"), v.cast("int").alias("block")))
-    partners = F.concat(*[in_shell(F.col("shell") + step) for step in (-1, 0, 1)])
+    in_shell = lambda shell: F.transform(numbers(there(shell)), lambda v: F.struct(shell.cast("int").alias("shell"), v.cast("int").alias("block")))
+    odd = F.col("shell").bitwiseAND(1)
+    partners = F.concat(*[in_shell(F.col("shell") - odd + 1 + 2 * step) for step in (-1, 0, 1)], *[F.when(odd == 1, in_shell(F.col("shell") - odd + 2 * step)).otherwise(F.array().cast("array<struct<shell:int,block:int>>")) for step in (-1, 0, 1)])
     dealt = (
         placed_in.join(_small(shells, n_shells), F.col("hub") == F.col("s_hub"))
         .withColumn("block", F.pmod(F.xxhash64("node"), there(F.col("shell"))).cast("int"))
@@ -342,13 +335,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
         .select("hub", F.least(own, F.col("with")).alias("low"), F.greatest(own, F.col("with")).alias("high"), F.when(own == F.col("with"), 2).otherwise(F.when(own < F.col("with"), 0).otherwise(1)).alias("side"), "node", "component")
     )
     with_text = dealt.join(texts, "node").select("hub", F.concat_ws("-", "low.shell", "low.block", "high.shell", "high.block").alias("blocks"), "side", "node", "component", "text")
-    more, n_more = _cut(with_text.groupBy("hub", "blocks").applyInArrow(_settle(width, percent), SETTLED))
+    more, n_more = entity.cut_off(with_text.groupBy("hub", "blocks").applyInArrow(_settle(width, percent), SETTLED))
     if n_more:
-        # new links join the components found so far
-        between, _ = _cut(more.withColumnsRenamed({"a": "x", "b": "y"}).join(of("a"), F.col("x") == F.col("a_node")).join(of("b"), F.col("y") == F.col("b_node")).select("a", "b"))
-        roots, n_roots = _cut(between.select(F.col("a").alias("node")).union(between.select("b")).distinct())
-        top = components(roots, between).select(F.col("node").alias("root"), F.col("component").alias("top"))
-        reach = reach.join(_small(top, n_roots), F.col("component") == F.col("root"), "left").select("node", F.coalesce("top", "component").alias("component")).checkpoint()
+        reach = _joined_by(reach, more)
     comp = reach.select(F.col("node").alias("c_node"), "component")
     named = nodes.join(comp, F.col("node") == F.col("c_node"), "left").select("d1", "d2", "id", F.coalesce("component", "node").alias("component"))
     least = named.groupBy("component").agg(F.min("id").alias("component_id")).withColumnRenamed("component", "l_component").checkpoint()
