@@ -7,7 +7,9 @@ attention cost as the sum of squared lengths) has the smallest norm. Every const
 bin short, which bounds the loss at one sequence in a thousand.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed as rows of their own; a text of any
-length is tokenized whole; an empty table gives an empty result; columns other than the key and the text are left out.
+length is tokenized whole; of bins with equal norms the one that stands first takes the piece, and pieces of equal length
+go by key and place; a key is an integer, or a text of one (others are an error); an empty table gives an empty result; columns
+other than the key and the text are left out, whatever their names.
 """
 
 from __future__ import annotations
@@ -31,6 +33,8 @@ TOKENIZER = "word_bpe_49k.json"
 END_ID = 0
 #: Bytes of text that one packing block aims at: some 2.5 million tokens, 10 MB of ids.
 BLOCK_BYTES = 8 << 20
+#: Blocks that one task packs one after the other, where the session's partitions are too few.
+BLOCKS_A_TASK = 16
 #: Chunks in a generation of a worker's cache of token ids: some 60 MB.
 CACHE_CHUNKS = 300_000
 
@@ -240,7 +244,9 @@ def pack(docs: DataFrame, key: str = "doc_id", text: str = "text", tokenizer: st
     made = docs.select(F.col(key).cast("long").alias("key"), F.col(text).alias("text")).mapInArrow(
         _pieces(definition, capacity.tokens, end_id.to_bytes(4, "little"), blocks), PIECES
     )
-    return made.groupBy("block").applyInArrow(_pack(capacity), PACKED).withColumnRenamed("key", key)
+    # blocks are dealt evenly by their number, to partitions that grow with them
+    parts = max(min(blocks, int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))), -(-blocks // BLOCKS_A_TASK))
+    return made.repartitionById(parts, "block").groupBy("block").applyInArrow(_pack(capacity), PACKED).withColumnRenamed("key", key)
 
 
 def op8_best_fit_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
