@@ -1,22 +1,29 @@
-"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage on what the last one kept."""
+"""The corpus pipeline: quality rules, line dedup, near-dedup, mixing and packing, each stage on what the last one kept.
+
+Defined cases of every stage: null and empty texts are documents without words, which the quality rules reject; should they come to a
+later stage, it keeps them (mixing takes nothing of them); texts of any length are read whole; repeated rows are documents of their
+own, but one document to line dedup and near-dedup, which keep or change all of them alike; ties fall as the stage's operator says; an
+empty table gives an empty one; extra columns, whatever their names, pass all stages but the last, which returns pieces.
+The tables between the stages are written to the shared folder and go with the driver.
+"""
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.llm import line_dedup, mixing, near_dedup, packing, quality_rules
-from isohyet.session import shared_dir
+from isohyet.llm.text import free_prefix
+from isohyet.session import scratch_dir
 
 
 def _beside(docs: DataFrame, used: list[str], operator: Callable[[DataFrame], DataFrame]) -> DataFrame:
     """operator(docs), with the columns that it doesn't use out of the way of its own ones; returns the columns of docs."""
-    rest = [c for c in docs.columns if c not in used]
-    out = operator(docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias("__rest")))
-    return out.select(*[F.col(c) if c in used else F.col("__rest").getField(c).alias(c) for c in docs.columns])
+    rest, beside = [c for c in docs.columns if c not in used], f"{free_prefix(docs.columns)}rest"
+    out = operator(docs.select(*used, F.struct(*[F.col(f"`{c}`") for c in rest] or [F.lit(0).alias("none")]).alias(beside)))
+    return out.select(*[F.col(c) if c in used else F.col(beside).getField(c).alias(c) for c in docs.columns])
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -59,7 +66,7 @@ ORACLE_SQL = None
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    folder = f"{shared_dir(spark)}/pipeline-{uuid.uuid4().hex}"
+    folder = scratch_dir(spark, "pipeline")
     for i, (_, stage) in enumerate(STAGES[:-1]):
         stage(spark, docs, sf_dir).write.parquet(f"{folder}/{i}")
         docs = spark.read.parquet(f"{folder}/{i}")
