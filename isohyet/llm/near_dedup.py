@@ -33,6 +33,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.llm.text import free_prefix
 from isohyet.operators import entity
 from isohyet.session import shared_dir, ship_package
 
@@ -349,8 +350,9 @@ def near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", wi
 
 def drop_near_duplicates(docs: DataFrame, key: str = "doc_id", text: str = "text", width: int = 5, percent: int = 80) -> DataFrame:
     """The rows of docs whose document names its component; columns as they are."""
-    kept = near_duplicates(docs, key, text, width, percent).where("kept").select(F.col(key).alias("__kept"))
-    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col("__kept")), "left_semi")
+    name = f"{free_prefix(docs.columns)}kept"
+    kept = near_duplicates(docs, key, text, width, percent).where("kept").select(F.col(key).alias(name))
+    return docs.join(kept, F.col(key).cast("long").eqNullSafe(F.col(name)), "left_semi")
 
 
 def op5_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
