@@ -2,11 +2,22 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: Fixed value: years that a citation can bear.
-YEAR = r"\b(1[89][0-9]{2}|20[0-9]{2})\b"
+#: Years that a citation can bear, designations, field labels of citations, a line that opens another field.
+YEAR = r"\b(1[89]\d\d|20\d\d)\b"
+DESIGNATION = r"\b(SSSI|NNR|S\.S\.S\.I\.)\b"
+ORIGINAL_FIELDS = (("1949-act", r"Date\s+Notified\s*\(\s*Under\s+1949\s+Act\s*\)\s*:?"), ("first-notified", r"First\s+Notified\s*:?"))
+RENOTIFIED_FIELDS = (r"Date\s+Notified\s*\(\s*Under\s+1981\s+Act\s*\)\s*:?", r"Date\s+of\s+Renotification\s*:?")
+REVISION_FIELD = r"Date\s+of\s+(?:Last\s+)?Revision\s*:?"
+BOUNDARY_NOTE = r"formerly\s+(?:notified|part\s+of)|\bextension\b|\bde-?notif\w*"
+LABEL_LINE = r"[^\S\n]*[A-Za-z][^\n:]{0,60}:"
+VALUE_LINES = 4
+SITE_NAME = r"SITE\s+NAME\s*:?\s*([^\n]+)"
+HEADER_LINE = r"^[^:\n]{2,40}:\s*([^\n]+)$"
+#: Fixed value: sites first notified before this year are admitted.
+ADMITTED_BEFORE = 1975
 
 
 def name_stem(name: Column) -> Column:
@@ -23,7 +34,7 @@ def is_token_prefix(a: Column, b: Column) -> Column:
 def normalised_site(name: Column) -> Column:
     """Upper case, without designation and then without parentheses, other characters squeezed to single spaces."""
     upper = F.upper(name)
-    bare = F.regexp_replace(F.regexp_replace(upper, r"\b(SSSI|NNR)\b", " "), r"\([^)]*\)", " ")
+    bare = F.regexp_replace(F.regexp_replace(upper, DESIGNATION, " "), r"\(.*?\)", " ")
     return F.trim(F.regexp_replace(bare, r"[^A-Z0-9]+", " "))
 
 
@@ -36,40 +47,70 @@ def first_year(text: Column) -> Column:
     return F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
 
 
-def field_value(text: Column, label: str, following: int = 4) -> Column:
-    """What stands behind a label, up to some lines, ending before the next line that looks like a label."""
-    pattern = rf"(?is)(?:{label})\s*:?([^\n]*(?:\n(?![A-Z][A-Za-z ()0-9]*:)[^\n]*){{0,{following - 1}}})"
-    return F.when(F.regexp_like(text, F.lit(rf"(?i)(?:{label})")), F.trim(F.regexp_extract(text, pattern, 1), F.lit(" \t\r\n:-")))
+def stripped(text: Column) -> Column:
+    return F.regexp_replace(text, r"^\s+|\s+$", "")
 
 
-#: Labels of the notification date in order of preference.
-NOTIFIED = (r"Date Notified \(Under 1949 Act\)", r"Date Notified \(Under 1981 Act\)", r"First Notified")
+def field_value(text: Column, label: str) -> Column:
+    """What stands behind the first such label, VALUE_LINES lines at most, ending before a line that opens another field; null without it."""
+    lines = rf"([^\n]*(?:\n(?!{LABEL_LINE})[^\n]*){{0,{VALUE_LINES - 1}}})"
+    value = F.regexp_extract(text, f"(?i)(?:{label}){lines}", 1)
+    return F.when(F.regexp_like(text, F.lit(f"(?i){label}")), stripped(F.regexp_replace(value, "\n", " ")))
+
+
+def cited_site(text: Column) -> Column:
+    """The name behind 'SITE NAME', else what follows the colon of the first line that isn't blank, else empty."""
+    named = stripped(F.regexp_extract(text, f"(?i){SITE_NAME}", 1))
+    header = stripped(F.regexp_extract(stripped(F.regexp_extract(text, r"^\s*([^\n]+)", 1)), HEADER_LINE, 1))
+    return F.when(F.regexp_like(text, F.lit(f"(?i){SITE_NAME}")), named).otherwise(header)
 
 
 def citation_fields(text: Column) -> dict[str, Column]:
-    """first_notified_year (the first label with a year), field_seen, renotified_year, revision_year, boundary_note."""
-    values = [field_value(text, label) for label in NOTIFIED]
+    """What a citation says: its site, the year of the first notification and the field that holds it, later dates, boundary notes.
+
+    The date under the 1981 Act is a renotification, never an original date.
+    """
+    values = [field_value(text, label) for _, label in ORIGINAL_FIELDS]
     years = [first_year(v) for v in values]
+    # no more than the first note of the text, with all of its line
+    note = F.regexp_extract(text, rf"(?i)([^\n]*?(?:{BOUNDARY_NOTE})[^\n]*)", 1)
     return {
+        "citation_site_name": cited_site(text),
         "first_notified_year": F.coalesce(*years),
-        "field_seen": F.coalesce(*[v.isNotNull() for v in values[:1]], F.lit(False)) | values[1].isNotNull() | values[2].isNotNull(),
-        "renotified_year": first_year(field_value(text, r"Renotified|Date of Renotification")),
-        "revision_year": first_year(field_value(text, "(?:Date of )?Revision")),
-        "boundary_note": F.nullif(F.trim(F.regexp_extract(text, r"(?im)^([^\n]*boundar[^\n]*)$", 1)), F.lit("")),
+        "original_field": F.coalesce(*[F.when(y.isNotNull(), name) for (name, _), y in zip(ORIGINAL_FIELDS, years, strict=True)]),
+        "original_field_seen": values[0].isNotNull() | values[1].isNotNull(),
+        "renotified_year": F.coalesce(*[first_year(field_value(text, label)) for label in RENOTIFIED_FIELDS]),
+        "revision_year": first_year(field_value(text, REVISION_FIELD)),
+        "boundary_note": F.nullif(stripped(note), F.lit("")),
     }
 
 
-def admission(text: Column, fetched: Column, has_key: Column, site: Column, cited_site: Column) -> Column:
-    """The reason code of a citation: the first rule that applies, 'ok' if none does."""
-    f = citation_fields(text)
-    return (
-        F.when(~has_key, "no-citation-key")
-        .when(~fetched, "fetch-failed")
-        .when(F.coalesce(F.trim(text), F.lit("")) == "", "no-original-date/no-text")
-        .when(f["first_notified_year"].isNull() & f["field_seen"], "no-original-date/original-field-blank")
-        .when(f["first_notified_year"].isNull() & f["renotified_year"].isNotNull(), "no-original-date/renotification-only")
-        .when(f["first_notified_year"].isNull(), "no-original-date/original-field-absent")
-        .when(~F.coalesce(names_match(normalised_site(site), normalised_site(cited_site)), F.lit(False)), "identity-unverified")
-        .when(f["boundary_note"].isNotNull(), "boundary-history-unresolved")
+def admission(citations: DataFrame, text: str = "text", fetched: str = "fetched", has_key: str = "has_key", site: str = "site") -> DataFrame:
+    """citations with what the text says (citation_fields), reason, reason_detail and admitted_pre_1975: the first rule that applies, 'ok' if none does.
+
+    A citation of another site comes before any date of it: its date may be sound, but not for this site, and is taken back.
+    """
+    said = citations.withColumns(citation_fields(F.col(text)))
+    mine = names_match(normalised_site(F.col(site)), normalised_site(F.col("citation_site_name")))
+    judged = said.withColumns({
+        "__blank": F.coalesce(stripped(F.col(text)), F.lit("")) == "",
+        "__mine": F.coalesce(mine, F.lit(False)),
+        "__revised": F.coalesce(F.col("revision_year") > F.col("first_notified_year"), F.lit(False)) | F.col("boundary_note").isNotNull(),
+    })
+    reason = (
+        F.when(~F.col(has_key), "no-citation-key")
+        .when(~F.col(fetched), "fetch-failed")
+        .when(F.col("__blank"), "no-original-date")
+        .when(~F.col("__mine"), "identity-unverified")
+        .when(F.col("first_notified_year").isNull(), "no-original-date")
+        .when(F.col("__revised"), "boundary-history-unresolved")
         .otherwise("ok")
     )
+    detail = F.when(F.col("__blank"), "no-text").when(F.col("original_field_seen"), "original-field-blank").when(F.col("renotified_year").isNotNull(), "renotification-only").otherwise("original-field-absent")
+    known = F.col("reason").isin("ok", "boundary-history-unresolved")
+    reasoned = judged.withColumn("reason", reason).withColumns({
+        "reason_detail": F.when(F.col("reason") == "no-original-date", detail),
+        "admitted_pre_1975": F.when(F.col("reason") == "ok", F.col("first_notified_year") < ADMITTED_BEFORE),
+    })
+    own = {c: F.when(known, F.col(c)) for c in ("first_notified_year", "original_field")}
+    return reasoned.withColumns(own).drop("__blank", "__mine", "__revised")

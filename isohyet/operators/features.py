@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 #: Tag keys in order of preference, and the kinds that count.
 TAG_KEYS = ("aeroway", "disused:aeroway", "abandoned:aeroway")
-KINDS = ("aerodrome", "runway", "taxiway", "apron", "airstrip", "helipad")
+KINDS = ("aerodrome", "runway", "taxiway", "apron")
 
 
 def tag_kind(tags: Column, keys: tuple[str, ...] = TAG_KEYS, kinds: tuple[str, ...] = KINDS) -> Column:

@@ -101,12 +101,22 @@ def apportion_density(units: DataFrame, by: str, period: str, population: str, i
     return rows.select(by, period, "population", "density", (F.col("density") - F.last("density", ignorenulls=True).over(before)).alias("delta"), "reason")
 
 
-def epoch_provenance(epoch: Column, observed: list[int]) -> dict[str, Column]:
-    """tag, nearest observed epoch (ties to the earlier) and offset."""
-    years = F.array(*map(F.lit, observed))
-    nearest = F.array_min(F.transform(years, lambda y: F.struct(F.abs(epoch - y).alias("d"), y.alias("y"))))["y"]
-    tag = F.when(F.array_contains(years, epoch), "anchored").when(epoch > max(observed), "projected").otherwise("interpolated")
-    return {"provenance": tag, "nearest": nearest, "offset_years": epoch - nearest}
+#: Years in which the layer's cells were observed, and the sensor of each.
+OBSERVATIONS = ((1975, "MSS"), (1990, "TM"), (2000, "ETM+"), (2014, "OLI"), (2018, "S2"))
+
+
+def epoch_provenance(epoch: Column, observed: tuple[tuple[int, str], ...] = OBSERVATIONS) -> dict[str, Column]:
+    """tag, anchor_sensor, and the nearest observation (ties to the earlier) with its sensor and distance in years."""
+    seen = F.array(*[F.struct(F.abs(epoch - y).alias("d"), F.lit(y).alias("y"), F.lit(s).alias("s")) for y, s in observed])
+    nearest, last = F.array_min(seen), max(y for y, _ in observed)
+    exact = nearest["d"] == 0
+    return {
+        "tag": F.when(exact, "sensor-anchored").when(epoch > last, "projected").otherwise("interpolated"),
+        "anchor_sensor": F.when(exact, nearest["s"]),
+        "nearest_obs_year": nearest["y"],
+        "nearest_obs_sensor": nearest["s"],
+        "obs_offset_years": nearest["d"],
+    }
 
 
 def point_in_cell(points: DataFrame, cells: DataFrame, x: str, y: str, x0: float, y0: float, size: float, nodata: int | None = None) -> DataFrame:

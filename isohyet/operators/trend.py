@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 LEAST = 24
@@ -79,8 +79,8 @@ def make_pairs(treated: DataFrame, controls: DataFrame, seed: int = 0) -> DataFr
     return ranked(treated, "a").join(ranked(controls, "b"), "pair").select("pair", "a", "b")
 
 
-def split_slopes(series: DataFrame, at: float, by: str = "series", month: str = "month", value: str = "value") -> DataFrame:
-    """(by, naive_slope): mean of the slopes before and after a break. A break confounds it; kept to show that."""
+def split_slopes(series: DataFrame, at: float | Column, by: str = "series", month: str = "month", value: str = "value") -> DataFrame:
+    """(by, naive_slope): mean of the slopes before and after a break (a month, or a column with each series' own). A break confounds it; kept to show that."""
     x = F.col(month).cast("double") / 120
     side = series.withColumn("late", F.col(month) >= at).groupBy(by, "late").agg(F.regr_slope(value, x).alias("s"))
     return side.groupBy(by).agg(F.avg("s").alias("naive_slope"))

@@ -11,13 +11,13 @@ from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, lat, lon, table
 
 def tag_kind(spark: SparkSession, d: str) -> DataFrame:
     k = F.col("event_id")
-    value = F.when(k % 4 == 0, "runway").when(k % 4 == 1, "gate").otherwise("aerodrome")
+    value = F.when(k % 7 == 0, "helipad").when(k % 7 == 1, "airstrip").when(k % 4 == 0, "runway").when(k % 4 == 1, "gate").when(k % 4 == 2, "taxiway").otherwise("aerodrome")
     tags = F.create_map(F.when(k % 3 == 0, "aeroway").when(k % 3 == 1, "disused:aeroway").otherwise("name"), value, F.lit("abandoned:aeroway"), F.when(k % 5 == 0, "apron").otherwise("none"))
     return table(spark, d, "events").select("event_id", features.tag_kind(tags).alias("kind"))
 
 
 def symbol_blobs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").where("c_custkey % 3 <> 0").select(F.floor((lat("c_custkey") - 50) / 0.25).cast("int").alias("row"), F.floor((lon("c_custkey") + 6) / 0.25).cast("int").alias("col"))
+    c = table(spark, d, "customer").select(F.floor((lat("c_custkey") - 50) / 0.25).cast("int").alias("row"), F.floor((lon("c_custkey") + 6) / 0.25).cast("int").alias("col"))
     return features.blobs(c).select("blob", "n", F.col("height").cast("long").alias("height"), F.col("width").cast("long").alias("width"), F.round("solidity", 6).alias("solidity"))
 
 
@@ -73,10 +73,10 @@ def record_length_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 SQL = {
     "tag_kind": """
-WITH t AS (SELECT event_id, CASE event_id % 4 WHEN 0 THEN 'runway' WHEN 1 THEN 'gate' ELSE 'aerodrome' END AS v FROM events)
-SELECT event_id, CASE WHEN event_id % 3 = 0 AND v <> 'gate' THEN v WHEN event_id % 3 = 1 AND v <> 'gate' THEN 'disused:' || v WHEN event_id % 5 = 0 THEN 'abandoned:apron' END AS kind FROM t""",
+WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'helipad' WHEN event_id % 7 = 1 THEN 'airstrip' WHEN event_id % 4 = 0 THEN 'runway' WHEN event_id % 4 = 1 THEN 'gate' WHEN event_id % 4 = 2 THEN 'taxiway' ELSE 'aerodrome' END AS v FROM events)
+SELECT event_id, CASE WHEN event_id % 3 = 0 AND v IN ('aerodrome', 'runway', 'taxiway', 'apron') THEN v WHEN event_id % 3 = 1 AND v IN ('aerodrome', 'runway', 'taxiway', 'apron') THEN 'disused:' || v WHEN event_id % 5 = 0 THEN 'abandoned:apron' END AS kind FROM t""",
     "symbol_blobs": f"""
-WITH RECURSIVE c AS (SELECT DISTINCT floor(({SQL_LAT.format('c_custkey')} - 50) / 0.25)::BIGINT AS row, floor(({SQL_LON.format('c_custkey')} + 6) / 0.25)::BIGINT AS col FROM customer WHERE c_custkey % 3 <> 0),
+WITH RECURSIVE c AS (SELECT DISTINCT floor(({SQL_LAT.format('c_custkey')} - 50) / 0.25)::BIGINT AS row, floor(({SQL_LON.format('c_custkey')} + 6) / 0.25)::BIGINT AS col FROM customer),
 k AS (SELECT *, row * 2147483648 + col AS id FROM c),
 e AS (SELECT a.id AS a, b.id AS b FROM k a JOIN k b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
 r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),

@@ -9,24 +9,29 @@ from isohyet.functions import bands, textrules
 from isohyet.operators import composite, rings
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, cycled, lat, lon, sql_cycled, table
 
-OBSERVED = [1996, 1998, 2000]
 LEGEND = ["STANDARD", "SMALL", "PROMO", "MEDIUM", "LARGE"]
 RADII = [50.0, 200.0, 1000.0]
+#: Headers of citations; the whole text of a document follows each.
 TEXTS = [
-    "COUNTY: X\nDate Notified (Under 1949 Act): 1965\nDate of Revision: 1971",
-    "SITE NAME: Y\nFirst Notified: 1984\nBoundary amended in 1990",
-    "Date Notified (Under 1949 Act): -\nRenotified: 1986",
+    "COUNTY: X\nSITE NAME: ASH WOOD\nDate Notified (Under 1949 Act): 1965\nDate of Last Revision: 1971\nArea: 2 ha",
+    "SITE NAME: BERE HEATH\nFirst  Notified: 1984\nSee boundary map overleaf",
+    "SITE NAME: CARR FEN\nDate Notified (Under 1949 Act): -\nDate of Renotification: 1986",
     "no fields here",
     "",
-    "Date Notified (Under 1981 Act):\n1983\nArea: 2 ha",
+    "SITE NAME: OTHER MOSS\nDate Notified (Under 1949 Act):\nDate Notified (Under 1981 Act):\n1983\nArea: 2 ha",
+    "DORSET: ASH WOOD\nDate  Notified ( Under 1949 Act ):\n1955\nDate Notified (Under 1981 Act): 1986",
+    "SITE NAME: BERE HEATH\nFirst Notified: 1958\nFormerly part of B",
+    "SITE NAME: Carr Fen Extension\nDate Notified (Under 1981 Act): 1985",
+    "SITE NAME: DUN MOSS\nDate Notified (Under 1949 Act): 1960\nDate of Revision: 1950",
+    "SITE NAME: Esk Marsh (part)\nDate Notified (Under 1949 Act):\n\nseen\nin 1961 by hand\nand 1962",
 ]
-SITES = ["Ash Wood SSSI", "Bere Heath (North)", "Carr Fen NNR", "Dun Moss", "Esk Marsh"]
-CITED = ["ASH WOOD", "Bere Heath", "Carr Fen Extension", "Other Moss", ""]
+SITES = ["Ash Wood SSSI", "Bere Heath (North)", "Carr Fen NNR", "Dun Moss", "Esk Marsh", "Dun Moss S.S.S.I.", "Ash Wood", "Bere Heath", "Carr Fen", "Dun Moss", "Esk Marsh", ""]
 
 
 def epoch_provenance(spark: SparkSession, d: str) -> DataFrame:
-    years = table(spark, d, "orders").select(F.year("o_orderdate").alias("epoch")).distinct()
-    return years.select("epoch", *[c.alias(n) for n, c in rings.epoch_provenance(F.col("epoch"), OBSERVED).items()])
+    """Years from long before the first observation to long after the last."""
+    epochs = table(spark, d, "orders").select((F.lit(1960) + F.col("o_orderkey") % 75).cast("int").alias("epoch")).distinct()
+    return epochs.select("epoch", *[c.alias(n) for n, c in rings.epoch_provenance(F.col("epoch")).items()])
 
 
 def grid_completion(spark: SparkSession, d: str) -> DataFrame:
@@ -105,7 +110,8 @@ def season_decade_filter(spark: SparkSession, d: str) -> DataFrame:
 
 
 def _texts(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", cycled("doc_id", TEXTS).alias("text"), cycled("doc_id", SITES).alias("site"), cycled("doc_id", CITED).alias("cited"))
+    text = F.concat_ws("\n", cycled("doc_id", TEXTS), "text")
+    return table(spark, d, "documents").select("doc_id", F.when(F.col("doc_id") % 17 != 0, text).otherwise(" \n").alias("text"), cycled("doc_id", SITES).alias("site"))
 
 
 def citation_fields(spark: SparkSession, d: str) -> DataFrame:
@@ -113,34 +119,49 @@ def citation_fields(spark: SparkSession, d: str) -> DataFrame:
 
 
 def name_normalise_match(spark: SparkSession, d: str) -> DataFrame:
-    a, b = textrules.normalised_site(F.col("site")), textrules.normalised_site(F.col("cited"))
-    return _texts(spark, d).select("doc_id", a.alias("site"), textrules.names_match(a, b).alias("matches"))
+    a, b = textrules.normalised_site(F.col("site")), textrules.normalised_site(textrules.cited_site(F.col("text")))
+    return _texts(spark, d).select("doc_id", a.alias("site"), b.alias("cited"), textrules.names_match(a, b).alias("matches"))
 
 
 def admission_cascade(spark: SparkSession, d: str) -> DataFrame:
-    reason = textrules.admission(F.col("text"), F.col("doc_id") % 11 != 0, F.col("doc_id") % 13 != 0, F.col("site"), F.col("cited"))
-    return _texts(spark, d).groupBy(reason.alias("reason")).agg(F.count(F.lit(1)).alias("n"))
+    judged = textrules.admission(_texts(spark, d).withColumns({"fetched": F.col("doc_id") % 19 != 0, "has_key": F.col("doc_id") % 13 != 0}))
+    return judged.groupBy("reason", "reason_detail", "admitted_pre_1975").agg(F.count(F.lit(1)).alias("n"), F.min("first_notified_year").alias("first_year"))
 
 
 _JOINED = "orders JOIN customer ON o_custkey = c_custkey"
 _BANDS = "SELECT vec_id, label, floor(abs(embedding[1]::DOUBLE) * 100000)::BIGINT AS b1, floor(abs(embedding[2]::DOUBLE) * 100000)::BIGINT AS b2, floor(abs(embedding[3]::DOUBLE) * 100000)::BIGINT AS b3, (vec_id % 64)::INTEGER AS qa FROM embeddings"
 _R = "({0} * 0.0000275::DOUBLE - 0.2::DOUBLE)"
-_TEXTS = f"SELECT doc_id, {sql_cycled('doc_id', TEXTS)} AS text, {sql_cycled('doc_id', SITES)} AS site, {sql_cycled('doc_id', CITED)} AS cited FROM documents"
-_NORM = "trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\\b(SSSI|NNR)\\b', ' ', 'g'), '\\([^)]*\\)', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g'))"
+_TEXTS = f"SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN concat_ws(chr(10), {sql_cycled('doc_id', TEXTS)}, text) ELSE ' ' || chr(10) END AS text, {sql_cycled('doc_id', SITES)} AS site FROM documents"
+_NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\b(SSSI|NNR|S\.S\.S\.I\.)\b', ' ', 'g'), '\(.*?\)', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g'))"
 _MATCH = "(a <> '' AND b <> '' AND (starts_with(a, b) OR starts_with(b, a)))"
-# what each text holds, by its place in the cycle: read from the texts above
-_FIELDS = """
-SELECT doc_id, text, site, cited,
-       (CASE doc_id % 6 WHEN 0 THEN 1965 WHEN 1 THEN 1984 WHEN 5 THEN 1983 END)::INTEGER AS first_notified_year, doc_id % 6 IN (0, 1, 2, 5) AS field_seen,
-       (CASE doc_id % 6 WHEN 2 THEN 1986 END)::INTEGER AS renotified_year, (CASE doc_id % 6 WHEN 0 THEN 1971 END)::INTEGER AS revision_year,
-       CASE doc_id % 6 WHEN 1 THEN 'Boundary amended in 1990' END AS boundary_note
-FROM t"""
+_LABELS = {
+    "act49": r"(?i)Date\s+Notified\s*\(\s*Under\s+1949\s+Act\s*\)\s*:?", "first": r"(?i)First\s+Notified\s*:?", "act81": r"(?i)Date\s+Notified\s*\(\s*Under\s+1981\s+Act\s*\)\s*:?",
+    "again": r"(?i)Date\s+of\s+Renotification\s*:?", "revised": r"(?i)Date\s+of\s+(?:Last\s+)?Revision\s*:?",
+}
+_NOTE = r"(?i)formerly\s+(?:notified|part\s+of)|\bextension\b|\bde-?notif\w*"
+# without look-ahead: what follows a label line by line, up to the first line that opens a field, or the fourth
+_AFTER = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN string_split(substr(text, strpos(text, regexp_extract(text, '{p}')) + length(regexp_extract(text, '{p}'))), chr(10))[1:4] END AS {n}" for n, p in _LABELS.items())
+_YEARS = ", ".join(
+    f"try_cast(regexp_extract(array_to_string({n}[1:coalesce(list_min(list_filter([2, 3, 4], lambda i: regexp_matches(coalesce({n}[i], ''), '^\\s*[A-Za-z][^\\n:]{{0,60}}:'))) - 1, 4)], ' '), '\\b(1[89]\\d\\d|20\\d\\d)\\b', 1) AS INTEGER) AS y_{n}"
+    for n in _LABELS
+)
+_FIELDS = rf"""
+SELECT doc_id, text, site,
+       CASE WHEN regexp_matches(text, '(?i)SITE\s+NAME\s*:?\s*([^\n]+)') THEN regexp_replace(regexp_extract(text, '(?i)SITE\s+NAME\s*:?\s*([^\n]+)', 1), '^\s+|\s+$', '', 'g')
+            ELSE regexp_replace(regexp_extract(regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '^\s+|\s+$', '', 'g'), '^[^:\n]{{2,40}}:\s*([^\n]+)$', 1), '^\s+|\s+$', '', 'g') END AS citation_site_name,
+       coalesce(y_act49, y_first) AS first_notified_year, CASE WHEN y_act49 IS NOT NULL THEN '1949-act' WHEN y_first IS NOT NULL THEN 'first-notified' END AS original_field,
+       act49 IS NOT NULL OR first IS NOT NULL AS original_field_seen, coalesce(y_act81, y_again) AS renotified_year, y_revised AS revision_year,
+       CASE WHEN regexp_matches(text, '{_NOTE}') THEN regexp_replace(
+         coalesce(string_split(substr(text, 1, spot - 1), chr(10))[-1], '') || found || string_split(substr(text, spot + length(found)), chr(10))[1], '^\s+|\s+$', '', 'g') END AS boundary_note
+FROM (SELECT *, {_YEARS}, regexp_extract(text, '{_NOTE}') AS found, strpos(text, regexp_extract(text, '{_NOTE}')) AS spot FROM (SELECT *, {_AFTER} FROM t))"""
 
 SQL = {
     "epoch_provenance": """
-WITH e AS (SELECT DISTINCT year(o_orderdate)::INTEGER AS epoch FROM orders),
-n AS (SELECT epoch, arg_min(y, abs(epoch - y) * 10000 + y)::INTEGER AS nearest FROM e, (VALUES (1996), (1998), (2000)) v(y) GROUP BY epoch)
-SELECT epoch, CASE WHEN epoch IN (1996, 1998, 2000) THEN 'anchored' WHEN epoch > 2000 THEN 'projected' ELSE 'interpolated' END AS provenance, nearest, (epoch - nearest)::INTEGER AS offset_years FROM n""",
+WITH e AS (SELECT DISTINCT (1960 + o_orderkey % 75)::INTEGER AS epoch FROM orders),
+o(y, s) AS (VALUES (1975, 'MSS'), (1990, 'TM'), (2000, 'ETM+'), (2014, 'OLI'), (2018, 'S2')),
+n AS (FROM e, o QUALIFY row_number() OVER (PARTITION BY epoch ORDER BY abs(y - epoch), y) = 1)
+SELECT epoch, CASE WHEN epoch = y THEN 'sensor-anchored' WHEN epoch > 2018 THEN 'projected' ELSE 'interpolated' END AS tag, CASE WHEN epoch = y THEN s END AS anchor_sensor,
+       y AS nearest_obs_year, s AS nearest_obs_sensor, abs(epoch - y)::INTEGER AS obs_offset_years FROM n""",
     "grid_completion": f"""
 WITH f AS (SELECT c_mktsegment AS segment, year(o_orderdate)::INTEGER AS year, o_orderpriority AS priority, count(*) AS n FROM {_JOINED} GROUP BY ALL),
 g AS (SELECT * FROM (SELECT DISTINCT c_mktsegment AS segment FROM customer), (SELECT DISTINCT year(o_orderdate)::INTEGER AS year FROM orders), (SELECT DISTINCT o_orderpriority AS priority FROM orders))
@@ -185,15 +206,18 @@ SELECT label, count(*) FILTER (WHERE qa < 60) AS n_clear, quantile_cont(b1, 0.5)
     "season_decade_filter": """
 SELECT (year(l_shipdate) // 10 * 10)::INTEGER AS decade, CASE WHEN year(l_shipdate) < 2000 THEN 'TM' ELSE 'ETM+' END AS sensor, count(*) AS n
 FROM lineitem WHERE month(l_shipdate) BETWEEN 5 AND 9 GROUP BY ALL""",
-    "citation_fields": f"WITH t AS ({_TEXTS}) SELECT doc_id, first_notified_year, field_seen, renotified_year, revision_year, boundary_note FROM ({_FIELDS})",
+    "citation_fields": f"WITH t AS ({_TEXTS}) SELECT * EXCLUDE (text, site) FROM ({_FIELDS})",
     "name_normalise_match": f"""
-WITH t AS ({_TEXTS}), n AS (SELECT doc_id, {_NORM.format('site')} AS a, {_NORM.format('cited')} AS b FROM t)
-SELECT doc_id, a AS site, {_MATCH} AS matches FROM n""",
-    "admission_cascade": f"""
-WITH t AS ({_TEXTS}), f AS (SELECT *, {_NORM.format('site')} AS a, {_NORM.format('cited')} AS b FROM ({_FIELDS}))
-SELECT CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 11 = 0 THEN 'fetch-failed' WHEN trim(text) = '' THEN 'no-original-date/no-text'
-            WHEN first_notified_year IS NULL AND field_seen THEN 'no-original-date/original-field-blank' WHEN first_notified_year IS NULL AND renotified_year IS NOT NULL THEN 'no-original-date/renotification-only'
-            WHEN first_notified_year IS NULL THEN 'no-original-date/original-field-absent' WHEN NOT {_MATCH} THEN 'identity-unverified' WHEN boundary_note IS NOT NULL THEN 'boundary-history-unresolved' ELSE 'ok' END AS reason,
-       count(*) AS n FROM f GROUP BY 1""",
+WITH t AS ({_TEXTS}), n AS (SELECT doc_id, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS}))
+SELECT doc_id, a AS site, b AS cited, {_MATCH} AS matches FROM n""",
+    "admission_cascade": rf"""
+WITH t AS ({_TEXTS}), f AS (SELECT *, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS})),
+r AS (
+  SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 19 = 0 THEN 'fetch-failed' WHEN NOT regexp_matches(text, '\S') THEN 'no-original-date'
+    WHEN NOT {_MATCH} THEN 'identity-unverified' WHEN first_notified_year IS NULL THEN 'no-original-date'
+    WHEN revision_year > first_notified_year OR boundary_note IS NOT NULL THEN 'boundary-history-unresolved' ELSE 'ok' END AS reason FROM f)
+SELECT reason, CASE WHEN reason = 'no-original-date' THEN CASE WHEN NOT regexp_matches(text, '\S') THEN 'no-text' WHEN original_field_seen THEN 'original-field-blank' WHEN renotified_year IS NOT NULL THEN 'renotification-only' ELSE 'original-field-absent' END END AS reason_detail,
+       CASE WHEN reason = 'ok' THEN first_notified_year < 1975 END AS admitted_pre_1975, count(*) AS n,
+       min(CASE WHEN reason IN ('ok', 'boundary-history-unresolved') THEN first_notified_year END) AS first_year FROM r GROUP BY ALL""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
