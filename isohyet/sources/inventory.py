@@ -19,28 +19,61 @@ def data_years(files: DataFrame) -> DataFrame:
     return files.select("station", F.regexp_extract("path", r"_([0-9]{4})\.csv$", 1).alias("y")).where("y <> ''").select("station", F.col("y").cast("int").alias("year")).distinct()
 
 
+def _whole(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+
+
+def _global(lines: str, key: str, nth: int) -> F.Column:
+    """The nth value of the last global of that name, as text; null where there is none."""
+    of = F.filter(lines, lambda x: x.startswith(f"{key},G,"))
+    fields = F.from_csv(F.try_element_at(of, F.lit(-1)), ", ".join(f"f{i} string" for i in range(6)))
+    return fields[f"f{nth + 2}"]
+
+
 def capability(spark: SparkSession, path: str) -> DataFrame:
-    """(path, src_id, name, county, lat, lon, height_m, valid_from, valid_to, version, rows) of capability files.
+    """parse_capability() of the files at path."""
+    return parse_capability(_whole(spark, path))
+
+
+def parse_capability(files: DataFrame) -> DataFrame:
+    """(path, src_id, name, county, lat, lon, height_m, valid_from, valid_to, version, rows) of capability files (path, value).
 
     rows: array of (id, id_type, met_domain_name, first_year, last_year), fields quoted as in CSV. Coordinates stay text for
     their decimal places.
     """
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("path"), F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
+    files = files.select("path", F.split(F.regexp_replace("value", "\r", ""), "\n").alias("lines"))
     start, end = F.array_position("lines", "data"), F.array_position("lines", "end data")
-    get = lambda key: F.split(F.get(F.filter("lines", lambda x: x.startswith(f"{key},G,")), F.lit(0)), ",")
     fields = "id string, id_type string, met_domain_name string, first_year string, last_year string"
     year = lambda c: F.floor(c.try_cast("double")).cast("int")
     rows = F.slice("lines", start + 2, F.greatest(end - start - 2, F.lit(0)))
     parsed = files.select("*", F.posexplode_outer(rows).alias("nth", "line")).withColumn("r", F.from_csv("line", fields))
     row = F.struct("r.id", "r.id_type", "r.met_domain_name", year(F.col("r.first_year")).alias("first_year"), year(F.col("r.last_year")).alias("last_year"))
     return parsed.groupBy("path", "lines").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("nth", row.alias("r"))))).alias("t")).select(
-        "path", F.get(get("src_id"), F.lit(2)).alias("src_id"), F.get(get("observation_station"), F.lit(2)).alias("name"), F.get(get("historic_county_name"), F.lit(2)).alias("county"),
-        F.get(get("location"), F.lit(2)).alias("lat"), F.get(get("location"), F.lit(3)).alias("lon"), F.get(get("height"), F.lit(2)).try_cast("double").alias("height_m"),
-        F.get(get("date_valid"), F.lit(2)).alias("valid_from"), F.get(get("date_valid"), F.lit(3)).alias("valid_to"), F.get(get("collection_version_number"), F.lit(2)).alias("version"),
+        "path", _global("lines", "src_id", 0).alias("src_id"), _global("lines", "observation_station", 0).alias("name"), _global("lines", "historic_county_name", 0).alias("county"),
+        _global("lines", "location", 0).alias("lat"), _global("lines", "location", 1).alias("lon"), _global("lines", "height", 0).try_cast("double").alias("height_m"),
+        _global("lines", "date_valid", 0).alias("valid_from"), _global("lines", "date_valid", 1).alias("valid_to"), _global("lines", "collection_version_number", 0).alias("version"),
         F.transform("t", lambda x: x["r"]).alias("rows"),
     )
 
 
+#: Lines in which an annual file's header is sought.
+HEADER_LINES = 40
+
+
+def annual_headers(spark: SparkSession, path: str) -> DataFrame:
+    """parse_annual_headers() of the files at path."""
+    return parse_annual_headers(_whole(spark, path))
+
+
+def parse_annual_headers(files: DataFrame) -> DataFrame:
+    """(path, src_id, lat, lon, height_m) from the first lines of annual files (path, value), up to 'data'; null where not given."""
+    first = F.slice(F.split(F.regexp_replace("value", "\r", ""), "\n", HEADER_LINES + 1), 1, HEADER_LINES)
+    heads = files.select("path", first.alias("lines")).withColumn("end", F.array_position("lines", "data"))
+    heads = heads.withColumn("lines", F.when(F.col("end") > 0, F.expr("slice(lines, 1, cast(end - 1 AS int))")).otherwise(F.col("lines")))
+    number = lambda key, nth: _global("lines", key, nth).try_cast("double")
+    return heads.select("path", _global("lines", "midas_station_id", 0).alias("src_id"), number("location", 0).alias("lat"), number("location", 1).alias("lon"), number("height", 0).alias("height_m"))
+
+
 def features(spark: SparkSession, path: str) -> DataFrame:
     """(properties map, kind, coordinates JSON) of the features of GeoJSON files."""
     schema = "features array<struct<properties: map<string,string>, geometry: struct<type: string, coordinates: string>>>"
@@ -60,6 +93,12 @@ def counts(rows: DataFrame, code: str = "GEOGRAPHY_CODE", value: str = "OBS_VALU
     return placed.groupBy(F.col(code).alias("code")).agg(F.max_by(F.col(value).try_cast("double"), "__at").alias("n"))
 
 
+def last_by_id(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
+    """One row of each key, the last in order: later listings of a station win."""
+    last = F.max_by(F.struct(*rows.columns), F.struct(*order))
+    return rows.groupBy(F.col(key).alias("__key")).agg(last.alias("r")).select("r.*")
+
+
 def search_scenes(scenes: DataFrame, cloud: float = 70.0, since: int = 1984) -> DataFrame:
     """Scenes in the growing season under a cloud cover, with all bands, clearest first (unknown cover last)."""
     ok = in_season(F.col("day")) & (F.year("day") >= since) & (F.coalesce("cloud_cover", F.lit(0.0)) < cloud) & F.col("has_all_bands")
