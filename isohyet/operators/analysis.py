@@ -6,16 +6,18 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine_km
+from isohyet.operators.spatial import with_cell, with_cells_around
 
 
 def matched_controls(treated: DataFrame, controls: DataFrame, bands: list[str], km: float, n: int = 1) -> DataFrame:
     """(treated, control, nth, km): the n nearest controls in the same bands within a distance; a control may serve several.
 
-    Both tables: id, lat, lon and the band columns, on which they are joined.
+    Both tables: id, lat, lon and the band columns, on which, with cells as wide as the distance, they are joined.
     """
-    t = treated.select(F.col("id").alias("treated"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *bands)
+    t = with_cell(treated.select(F.col("id").alias("treated"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *bands), "t_lat", "t_lon", km)
     c = controls.select(F.col("id").alias("control"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), *bands)
-    near = t.join(c, bands).withColumn("km", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= km)
+    c = with_cells_around(c, F.col("c_lat"), F.col("c_lat"), F.col("c_lon"), F.col("c_lon"), km)
+    near = t.join(c, [*bands, "cell_i", "cell_j"]).withColumn("km", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= km)
     w = Window.partitionBy("treated").orderBy("km", "control")
     return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("treated", "control", "nth", "km")
 

@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine_km, rectangle_in_circle
+from isohyet.operators.spatial import with_cell, with_cells_around
 
 
 def complete_grid(axes: list[DataFrame], facts: DataFrame, on: list[str]) -> DataFrame:
@@ -73,12 +74,12 @@ def dominant_class(areas: DataFrame, by: list[str], kind: str, area: str, whole:
 def radius_hits(centres: DataFrame, features: DataFrame, radii: list[float]) -> DataFrame:
     """(centre, ring_km, n, feature_ids): features (feature, lat, lon) within each ring of centres (centre, lat, lon); rings without hits stay.
 
-    Both sides meet on latitude bands as high as the largest ring, each feature in three of them; distances decide.
+    Both sides meet on cells as wide as the largest ring, each feature in those around it; distances decide.
     """
-    band = max(radii) / 111.0
-    c = centres.select("centre", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")).withColumn("band", F.floor(F.col("lat0") / band))
-    f = features.select("feature", "lat", "lon").withColumn("band", F.explode(F.array(*[F.floor(F.col("lat") / band) + d for d in (-1, 0, 1)])))
-    met = c.join(f, "band").withColumn("km", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
+    c = with_cell(centres.select("centre", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "lat0", "lon0", max(radii))
+    at = F.col("lat"), F.col("lat"), F.col("lon"), F.col("lon")
+    f = with_cells_around(features.select("feature", "lat", "lon"), *at, max(radii))
+    met = c.join(f, ["cell_i", "cell_j"]).withColumn("km", haversine_km(F.col("lat0"), F.col("lon0"), F.col("lat"), F.col("lon")))
     near = met.where(F.col("km") <= max(radii)).select("centre", "feature", "km").withColumn("ring_km", F.explode(F.array(*map(F.lit, radii)))).where(F.col("km") <= F.col("ring_km"))
     lists = near.groupBy("centre", "ring_km").agg(F.count(F.lit(1)).alias("n"), F.array_join(F.array_sort(F.collect_set("feature")), ";").alias("feature_ids"))
     rings = centres.select("centre").withColumn("ring_km", F.explode(F.array(*map(F.lit, radii))))
