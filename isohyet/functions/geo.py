@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column
@@ -27,6 +28,13 @@ def to_plane(lat0: Column, lon0: Column, lat: Column, lon: Column) -> tuple[Colu
     return F.radians(lon - lon0) * east, F.radians(lat - lat0) * north
 
 
+def ring_box(lat: Column, lon: Column, metres: Column, pad: float = 1.05) -> Column:
+    """(south, west, north, east) around a ring, padded by a factor."""
+    dlat = F.degrees(metres * pad / (EARTH_KM * 1000))
+    dlon = dlat / F.greatest(F.cos(F.radians(lat)), F.lit(1e-3))
+    return F.struct((lat - dlat).alias("south"), (lon - dlon).alias("west"), (lat + dlat).alias("north"), (lon + dlon).alias("east"))
+
+
 def coordinate_precision_m(lat: Column, lat_places: Column, lon_places: Column) -> Column:
     """Half the last digit of either coordinate on the ground, the larger one."""
     degree = 111_320.0
@@ -72,9 +80,19 @@ def polygon_in_circle(ring: Column, r: Column) -> Column:
     return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e))
 
 
+def _corner_in_circle(x: Column, y: Column, r: Column) -> Column:
+    """Area of the part of the circle that lies left of x and below y, for |x|, |y| <= r."""
+    beyond = lambda h: r * r * F.acos(h / r) - h * F.sqrt(F.greatest(r * r - h * h, F.lit(0.0)))
+    half = lambda h: (h * F.sqrt(F.greatest(r * r - h * h, F.lit(0.0))) + r * r * F.asin(h / r)) / 2
+    outside = F.when((x >= 0) & (y >= 0), math.pi * r * r - beyond(x) - beyond(y)).when((x <= 0) & (y <= 0), 0.0).when(x < 0, beyond(-x)).otherwise(beyond(-y))
+    return F.when(x * x + y * y >= r * r, outside).otherwise(x * y + half(x) + half(y) + math.pi * r * r / 4)
+
+
 def rectangle_in_circle(x0: Column, y0: Column, x1: Column, y1: Column, r: Column) -> Column:
-    """Area of an axis-parallel rectangle within the circle around the origin; only those that the circle cuts take the closed form."""
+    """Area of an axis-parallel rectangle within the circle around the origin: a closed form of its corners, all of it compiled code."""
     far2 = F.greatest(x0 * x0, x1 * x1) + F.greatest(y0 * y0, y1 * y1)
     dx, dy = F.greatest(x0, -x1, F.lit(0.0)), F.greatest(y0, -y1, F.lit(0.0))
-    corners = F.array(*[F.struct(x.alias("x"), y.alias("y")) for x, y in ((x0, y0), (x1, y0), (x1, y1), (x0, y1))])
-    return F.when(far2 <= r * r, (x1 - x0) * (y1 - y0)).when(dx * dx + dy * dy >= r * r, 0.0).otherwise(polygon_in_circle(corners, r))
+    clip = lambda v: F.greatest(-r, F.least(r, v))
+    corner = lambda x, y: _corner_in_circle(clip(x), clip(y), r)
+    cut = corner(x1, y1) - corner(x0, y1) - corner(x1, y0) + corner(x0, y0)
+    return F.when(far2 <= r * r, (x1 - x0) * (y1 - y0)).when(dx * dx + dy * dy >= r * r, 0.0).otherwise(F.greatest(F.lit(0.0), cut))

@@ -78,3 +78,74 @@ def require_cover(expected: DataFrame, present: DataFrame) -> None:
     bad = {r.status: r.n for r in covering_set(expected, present).where("status in ('missing', 'changed')").collect()}
     if bad:
         raise ValueError(f"the deposit doesn't cover the manifest: {bad}")
+
+
+def attrition(rows: DataFrame, rules: list[tuple[str, Column]]) -> DataFrame:
+    """(step, rule, n_lost, n_left): rows that fall to each rule in turn; a rule is what rows must meet, null is not met."""
+    fails = F.coalesce(*[F.when(~F.coalesce(ok, F.lit(False)), i) for i, (_, ok) in enumerate(rules, 1)], F.lit(0))
+    lost = rows.groupBy(fails.alias("step")).agg(F.count(F.lit(1)).alias("n_lost"))
+    steps = F.array(*[F.struct(F.lit(i).alias("step"), F.lit(name).alias("rule")) for i, (name, _) in enumerate(rules, 1)])
+    total = lost.agg(F.coalesce(F.sum("n_lost"), F.lit(0)).alias("total")).select("total", F.inline(steps))
+    filled = total.join(lost, "step", "left").withColumn("n_lost", F.coalesce("n_lost", F.lit(0)))
+    # as many rows as rules
+    so_far = Window.partitionBy("total").orderBy("step")
+    return filled.select("step", "rule", "n_lost", (F.col("total") - F.sum("n_lost").over(so_far)).alias("n_left"))
+
+
+def repairs(rows: DataFrame, low: str, high: str, fixed_low: str, fixed_high: str) -> DataFrame:
+    """(outcome, n) of extrema before and after a repair: in order before, swapped, set to null, otherwise repaired, still inverted."""
+    inverted = F.col(low) > F.col(high)
+    swapped = F.col(fixed_low).eqNullSafe(F.col(high)) & F.col(fixed_high).eqNullSafe(F.col(low))
+    outcome = (
+        F.when(F.col(low).isNull() | F.col(high).isNull(), "incomplete").when(~inverted, "in-order").when(swapped, "swapped")
+        .when(F.col(fixed_low).isNull() | F.col(fixed_high).isNull(), "set-to-null").when(F.col(fixed_low) <= F.col(fixed_high), "repaired").otherwise("still-inverted")
+    )
+    return rows.groupBy(outcome.alias("outcome")).agg(F.count(F.lit(1)).alias("n"))
+
+
+def diurnal_profile(hourly: DataFrame, by: list[str], time: str, value: str) -> DataFrame:
+    """(by, hour, mean, departure): hourly means and how far they lie from the mean of the hours."""
+    hours = hourly.groupBy(*by, F.hour(time).alias("hour")).agg(F.avg(value).alias("mean"))
+    return hours.withColumn("departure", F.col("mean") - F.avg("mean").over(Window.partitionBy(*by)))
+
+
+def dose_response(rows: DataFrame, by: list[str], dose: str, value: str) -> DataFrame:
+    """(by, slope, n): least-squares slope of value on dose, over rows with both."""
+    both = rows.where(F.col(dose).isNotNull() & F.col(value).isNotNull())
+    return both.groupBy(*by).agg(F.regr_slope(F.col(value).cast("double"), F.col(dose).cast("double")).alias("slope"), F.count(F.lit(1)).alias("n"))
+
+
+def year_spill(rows: DataFrame, station: str, file_year: Column, time: str) -> DataFrame:
+    """(station, file_year, n, n_before, n_after): observations of a year's file that fall into the years beside it."""
+    year = F.year(time)
+    return rows.groupBy(station, file_year.alias("file_year")).agg(
+        F.count(F.lit(1)).alias("n"), F.count_if(year == file_year - 1).alias("n_before"), F.count_if(year == file_year + 1).alias("n_after")
+    )
+
+
+#: The shares of built-up land that part the classes of a station, growth that counts, a long record's years.
+BUILT = ((0.02, "rural"), (0.05, "sparse"), (0.15, "mixed"), (0.30, "dense"))
+GROWTH = (0.03, 0.01)
+LONG_RECORD = 50
+
+
+def built_class(share: Column) -> Column:
+    out = F.lit("urban")
+    for limit, name in reversed(BUILT):
+        out = F.when(share < limit, name).otherwise(out)
+    return F.when(share.isNull(), "unknown").otherwise(out)
+
+
+def growth_class(first: Column, last: Column) -> Column:
+    """Null unless both shares are known."""
+    grown = last - first
+    return F.when(grown > GROWTH[0], "strong").when(grown > GROWTH[1], "some").when(grown.isNotNull(), "little")
+
+
+def headline(stations: DataFrame, first: str, last: str, first_year: str, last_year: str) -> DataFrame:
+    """(n_stations, n_both, n_rural, n_long): stations, those with both shares, of these the rural ones, and long records."""
+    both = F.col(first).isNotNull() & F.col(last).isNotNull()
+    return stations.agg(
+        F.count(F.lit(1)).alias("n_stations"), F.count_if(both).alias("n_both"), F.count_if(both & (built_class(F.col(last)) == "rural")).alias("n_rural"),
+        F.count_if(F.col(last_year) - F.col(first_year) >= LONG_RECORD).alias("n_long"),
+    )

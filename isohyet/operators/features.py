@@ -62,8 +62,11 @@ def assemble(members: DataFrame) -> DataFrame:
     return members.groupBy("feature").applyInPandas(chain, RINGS)
 
 
-def blobs(cells: DataFrame, least: int = 2) -> DataFrame:
-    """(blob, n, height, width, solidity) of 4-connected cells (row, col), of at least so many cells; solidity: share of the box."""
+def blobs(cells: DataFrame, least: int = 2, most: int | None = None, aspect: float | None = None, solidity: float = 0.0) -> DataFrame:
+    """(blob, n, height, width, solidity) of 4-connected cells (row, col), of least to most cells; solidity: share of the box.
+
+    aspect: the longer side by the shorter one at most; solidity: the least.
+    """
     from isohyet.operators.entity import components
 
     c = cells.select("row", "col").distinct().withColumn("id", F.col("row").cast("long") * (1 << 31) + F.col("col"))
@@ -72,4 +75,10 @@ def blobs(cells: DataFrame, least: int = 2) -> DataFrame:
     sides = of.join(c, of["node"] == c["id"]).groupBy("component").agg(
         F.count(F.lit(1)).alias("n"), (F.max("row") - F.min("row") + 1).alias("height"), (F.max("col") - F.min("col") + 1).alias("width")
     )
-    return sides.where(F.col("n") >= least).select(F.col("component").alias("blob"), "n", "height", "width", (F.col("n") / (F.col("height") * F.col("width"))).alias("solidity"))
+    long, short = F.greatest("height", "width"), F.least("height", "width")
+    fits = (F.col("n") >= least) & (F.col("n") / (F.col("height") * F.col("width")) >= solidity)
+    if most is not None:
+        fits = fits & (F.col("n") <= most)
+    if aspect is not None:
+        fits = fits & (long <= aspect * short)
+    return sides.where(fits).select(F.col("component").alias("blob"), "n", "height", "width", (F.col("n") / (F.col("height") * F.col("width"))).alias("solidity"))

@@ -5,13 +5,19 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.operators.ranking import ranked
+
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str, alpha: float = 0.05, family: str | None = None) -> DataFrame:
     """tests with rank and significant: all up to the largest rank k with p <= k / m * alpha, within each family."""
-    part = Window.partitionBy(*([family] if family else []))
-    ranked = tests.withColumn("rank", F.row_number().over(part.orderBy(p, key))).withColumn("m", F.count(F.lit(1)).over(part))
-    top = F.max(F.when(F.col(p) <= F.col("rank") * alpha / F.col("m"), F.col("rank"))).over(part)
-    return ranked.withColumn("significant", F.coalesce(F.col("rank") <= top, F.lit(False))).drop("m")
+    placed = ranked(tests, [p, key], family)
+    group = [F.col(family).alias("__family")] if family else []
+    sizes = tests.groupBy(*group).agg(F.count(F.lit(1)).alias("__m"))
+    on = F.col(family).eqNullSafe(F.col("__family")) if family else F.lit(True)
+    tried = placed.join(sizes, on)
+    cut = tried.where(F.col(p) <= F.col("rank") * alpha / F.col("__m")).groupBy(*[F.col("__family").alias("__f")] * bool(family)).agg(F.max("rank").alias("__top"))
+    back = F.col(family).eqNullSafe(F.col("__f")) if family else F.lit(True)
+    return tried.join(cut, back, "left").withColumn("significant", F.coalesce(F.col("rank") <= F.col("__top"), F.lit(False))).drop("__m", "__family", "__f", "__top")
 
 
 def familywise_tolerance(draws: DataFrame, draw: str, z: Column, level: float = 0.99) -> DataFrame:
@@ -20,6 +26,11 @@ def familywise_tolerance(draws: DataFrame, draw: str, z: Column, level: float =
     return worst.agg(F.percentile("worst", level).alias("critical"), F.count(F.lit(1)).alias("n_draws"))
 
 
+def tolerances(worst: DataFrame, spreads: DataFrame, of: str, spread: str) -> DataFrame:
+    """(of, tolerance): the familywise critical value times each pair's own spread."""
+    return spreads.join(F.broadcast(worst.select("critical"))).select(of, (F.col("critical") * F.col(spread)).alias("tolerance"))
+
+
 def agreement(layers: DataFrame, layer_columns: list[str], one_way: list[str]) -> DataFrame:
     """layers with status, voters, abstained and disagreeing: null abstains; a one-way layer votes only when it is true."""
     votes = {c: F.when(F.col(c), F.lit(True)) if c in one_way else F.col(c) for c in layer_columns}

@@ -29,7 +29,7 @@ def cell_weights(stations: DataFrame, radii: list[float], cell: float) -> DataFr
     cells = ringed.withColumn("col", F.explode(span("x"))).withColumn("row", F.explode(span("y")))
     x0, y0 = F.col("col") * cell - F.col("x"), F.col("row") * cell - F.col("y")
     w = rectangle_in_circle(x0, y0, x0 + cell, y0 + cell, F.col("ring_m")) / (cell * cell)
-    return cells.withColumn("w", w).where(F.col("w") > 1e-12).select("src_id", "ring_m", "row", "col", "w")
+    return cells.withColumn("w", w).where(F.col("w") > 1e-9).select("src_id", "ring_m", "row", "col", "w")
 
 
 def ring_fraction(weighted: DataFrame, by: list[str], built: str, land: str, covered: str, w: str = "w") -> DataFrame:

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.operators.ranking import ranked
+
 LEAST = 24
 R1_MOST = 0.99
 
@@ -75,8 +77,8 @@ def pair_mean(fits: DataFrame) -> DataFrame:
 
 def make_pairs(treated: DataFrame, controls: DataFrame, seed: int = 0) -> DataFrame:
     """(pair, a, b): one-to-one, both sides in seeded order."""
-    ranked = lambda df, name: df.select(F.col(df.columns[0]).alias(name)).withColumn("pair", F.row_number().over(Window.orderBy(F.xxhash64(F.lit(seed), name), name)))
-    return ranked(treated, "a").join(ranked(controls, "b"), "pair").select("pair", "a", "b")
+    placed = lambda df, name: ranked(df.select(F.col(df.columns[0]).alias(name)).withColumn("at", F.xxhash64(F.lit(seed), name)), ["at", name], name="pair").drop("at")
+    return placed(treated, "a").join(placed(controls, "b"), "pair").select("pair", "a", "b")
 
 
 def split_slopes(series: DataFrame, at: float | Column, by: str = "series", month: str = "month", value: str = "value") -> DataFrame:
@@ -97,9 +99,9 @@ def theil_sen(series: DataFrame, by: str = "series", month: str = "month", value
 def clustered_bootstrap(values: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
     """(mean, lower, upper): clusters are resampled with replacement by a hash, so that reruns agree."""
     sums = values.groupBy(cluster).agg(F.sum(value).alias("s"), F.count(value).alias("n"))
-    ranked = sums.withColumn("i", F.row_number().over(Window.orderBy(cluster)) - 1)
-    size = ranked.count()
-    picks = ranked.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "b", "i"), F.lit(size)).cast("int"))
-    means = picks.join(ranked.select(F.col("i").alias("pick"), "s", "n"), "pick").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    placed = ranked(sums, [cluster], name="i").withColumn("i", F.col("i") - 1)
+    size = placed.count()
+    picks = placed.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", F.pmod(F.xxhash64(F.lit(seed), "b", "i"), F.lit(size)))
+    means = picks.join(placed.select(F.col("i").alias("pick"), "s", "n"), "pick").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
     stats = means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"))
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).join(stats)

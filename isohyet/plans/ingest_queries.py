@@ -128,18 +128,34 @@ def manifest_sha256(spark: SparkSession, d: str) -> DataFrame:
     return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
 
 
-def run_record_json(spark: SparkSession, d: str) -> DataFrame:
-    """Files of one order each, some with a bad header or without an end, through the whole parse."""
+def _parsed(spark: SparkSession, d: str) -> DataFrame:
+    """Files of one order each, some with a bad header or without an end; every eleventh names another station."""
     o = table(spark, d, "orders")
     text = F.concat(
         F.lit("Conventions,G,BADC-CSV\ncollection_version_number,G,202507\n"), F.when(F.col("o_orderkey") % 50 == 0, "broken\n").otherwise(""),
         F.lit("type,src_id,int\ntype,total,float\nlong_name,total,order total,euros\ntype,at,char\ncoordinate_variable,at,t\ndata\nsrc_id,total,at,mystery\n"),
-        F.col("o_custkey"), F.lit(","), cycled("o_orderkey", FLOAT_TOKENS), F.lit(","), cycled("o_orderkey", TIME_TOKENS), F.lit(",NA\n"), F.when(F.col("o_orderkey") % 77 == 0, "").otherwise("end data\n"),
+        F.col("o_custkey") + F.when(F.col("o_orderkey") % 11 == 0, 1).otherwise(0), F.lit(","), cycled("o_orderkey", FLOAT_TOKENS), F.lit(","), cycled("o_orderkey", TIME_TOKENS), F.lit(",NA\n"), F.when(F.col("o_orderkey") % 77 == 0, "").otherwise("end data\n"),
     )
     files = o.select(F.concat(F.lit("f"), F.col("o_orderkey")).alias("path"), F.col("o_orderpriority").alias("county"), F.concat_ws("_", F.lpad(F.col("o_custkey").cast("string"), 5, "0"), F.lit("s")).alias("station"), F.lit("1995").alias("year"), text.alias("text"), F.col("o_custkey").cast("bigint").alias("src_id"))
     shared_dir(spark)
-    parsed = selfdesc.split_files(files).checkpoint()  # every tally reads it
-    return selfdesc.run_record(parsed, selfdesc.dataset_schema(parsed), "hourly", 1, "raw")
+    return selfdesc.split_files(files).checkpoint()  # every tally reads it
+
+
+def run_record_json(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _parsed(spark, d)
+    schema = selfdesc.dataset_schema(parsed)
+    return selfdesc.run_record(parsed, selfdesc.run_details(parsed, schema), schema, "hourly", 1, "raw")
+
+
+def run_record_details(spark: SparkSession, d: str) -> DataFrame:
+    parsed = _parsed(spark, d)
+    return selfdesc.run_details(parsed, selfdesc.dataset_schema(parsed))
+
+
+def run_typed_rows(spark: SparkSession, d: str) -> DataFrame:
+    """The rows themselves under the dataset schema, with the folder's attribution in place of the file's."""
+    parsed = _parsed(spark, d)
+    return selfdesc.typed_rows(parsed, selfdesc.dataset_schema(parsed))
 
 
 _POINTS = f"SELECT s_suppkey, {SQL_LAT.format('s_suppkey')} AS lat, {SQL_LON.format('s_suppkey')} AS lon FROM supplier"
@@ -164,6 +180,14 @@ def _stem(x: str) -> str:
     return f"string_split(regexp_replace(lower({x}), '(?:-no)?-[0-9]+$', ''), '-')"
 
 
+_T, _A = sql_cycled("o_orderkey", FLOAT_TOKENS), sql_cycled("o_orderkey", TIME_TOKENS)
+_FILES = f"""f AS (
+  SELECT o_orderkey, o_custkey, 'f' || o_orderkey AS file, o_orderpriority AS county, {_T} AS total_token, {_A} AS at_token,
+         CASE WHEN o_orderkey % 50 = 0 THEN 'header line of fewer than three parts' WHEN o_orderkey % 77 = 0 THEN 'no ''end data'' line' END AS error FROM orders),
+good AS (
+  SELECT *, CASE total_token WHEN '' THEN 'empty' WHEN 'NA' THEN 'na' WHEN 'inf' THEN 'coerced' WHEN '1e39' THEN 'coerced' WHEN 'abc' THEN 'coerced' END AS total_cause,
+         CASE WHEN at_token = '' THEN 'empty' WHEN at_token = 'NA' THEN 'na' WHEN at_token NOT SIMILAR TO '[0-9-]+ [0-9:]+' OR try_cast(at_token AS TIMESTAMP) IS NULL THEN 'coerced' END AS at_cause FROM f WHERE error IS NULL)"""
+
 SQL = {
     "coerce_lenient_int": f"SELECT o_orderkey, token, {_sql_int('token')} AS value FROM (SELECT o_orderkey, {sql_cycled('o_orderkey', INT_TOKENS)} AS token FROM orders)",
     "coerce_cause_counts": f"""
@@ -226,6 +250,24 @@ FROM c JOIN supplier ON s_suppkey = node JOIN w USING (component) GROUP BY c.com
 SELECT coalesce('R' || n_regionkey, 'N' || c_nationkey) AS code, count(*) AS n, count(*) FILTER (WHERE n_regionkey IS NULL) AS n_unmatched
 FROM customer LEFT JOIN (FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey GROUP BY 1""",
     "resume_anti_join": "SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 3 <> 0 AND s.event_id = e.event_id AND s.user_id = e.user_id)",
+    "run_record_details": f"""
+WITH {_FILES}
+SELECT county, 'coercion' AS kind, file, x.c AS column, 1::BIGINT AS count, NULL::VARCHAR AS error FROM good, (VALUES ('total'), ('at')) x(c) WHERE CASE x.c WHEN 'total' THEN total_cause ELSE at_cause END = 'coerced'
+UNION ALL SELECT county, 'empty_field', file, x.c, 1, NULL FROM good, (VALUES ('total'), ('at')) x(c) WHERE CASE x.c WHEN 'total' THEN total_cause ELSE at_cause END = 'empty'
+UNION ALL SELECT county, 'src_id_mismatch', file, NULL, 1, NULL FROM good WHERE o_orderkey % 11 = 0
+UNION ALL SELECT county, 'undeclared_fallback', file, 'mystery', NULL, NULL FROM good
+UNION ALL SELECT county, 'failure', file, NULL, NULL, error FROM f WHERE error IS NOT NULL""",
+    "run_record_json": f"""
+WITH {_FILES},
+c AS (SELECT county, count(*) FILTER (WHERE error IS NULL) AS ok FROM f GROUP BY 1),
+k AS (SELECT count(*) FILTER (WHERE total_cause = 'coerced') + count(*) FILTER (WHERE at_cause = 'coerced') AS co, count(*) FILTER (WHERE total_cause = 'empty') + count(*) FILTER (WHERE at_cause = 'empty') AS em, count(*) AS un, count(*) FILTER (WHERE o_orderkey % 11 = 0) AS mi FROM good)
+SELECT '{{"dataset":"hourly","qc_version":1,"raw_dir":"raw","releases":["202507"],"schema_columns":4,"schema_widenings":[],"files_parsed":' || sum(ok) || ',"total_rows":' || sum(ok) || ',"counties_written":' || count(*) FILTER (WHERE ok > 0)
+  || ',"counties_skipped_all_failed":[' || coalesce(string_agg('"' || county || '"', ',' ORDER BY county) FILTER (WHERE ok = 0), '') || '],"rows_per_county":{{' || coalesce(string_agg('"' || county || '":' || ok, ',' ORDER BY county) FILTER (WHERE ok > 0), '')
+  || '}},"findings":{{' || (SELECT '"coercion":{{"entries":' || co || ',"values":' || co || '}},"empty_field":{{"entries":' || em || ',"values":' || em || '}},"undeclared_fallback":{{"entries":' || un || ',"values":' || un || '}},"src_id_mismatch":{{"entries":' || mi || ',"values":' || mi || '}}' FROM k)
+  || ',"failure":{{"entries":' || (SELECT count(*) FROM f WHERE error IS NOT NULL) || ',"values":' || (SELECT count(*) FROM f WHERE error IS NOT NULL) || '}}}}}}' AS record FROM c""",
+    "run_typed_rows": f"""
+WITH {_FILES}
+SELECT o_custkey AS src_id, county, lpad(o_custkey::VARCHAR, 5, '0') || '_s' AS station_file_name, CASE WHEN at_cause IS NULL THEN try_cast(at_token AS TIMESTAMP) END AS at, 'NA' AS mystery, CASE WHEN total_cause IS NULL THEN try_cast(total_token AS FLOAT) END AS total FROM good""".replace("'NA' AS mystery", "NULL::VARCHAR AS mystery"),
     "manifest_sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "run_record_json"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -49,10 +49,11 @@ def point_in_cell(spark: SparkSession, d: str) -> DataFrame:
 
 
 def ring_cell_weights(spark: SparkSession, d: str) -> DataFrame:
-    """Sums of weights by ring beside the circle's area in cells: the closed form against pi."""
+    """Sums of weights of every row and of every column of cells, beside the circle's area in that band, and the number of whole cells."""
     s = table(spark, d, "supplier").select(F.col("s_suppkey").alias("src_id"), (F.col("s_suppkey") * 37 % 900 + 0.5).alias("x"), (F.col("s_suppkey") * 53 % 800 + 0.25).alias("y"))
     w = rings.cell_weights(s, [500.0, 1500.0], 100.0)
-    return w.groupBy("src_id", "ring_m").agg(F.round(F.sum("w"), 6).alias("cells"))
+    bands_ = w.select("src_id", "ring_m", F.explode(F.array(F.struct(F.lit("row").alias("axis"), F.col("row").alias("nth")), F.struct(F.lit("col").alias("axis"), F.col("col").alias("nth")))).alias("b"), "w")
+    return bands_.groupBy("src_id", "ring_m", "b.axis", "b.nth").agg(F.round(F.sum("w"), 6).alias("cells"), F.count_if(F.col("w") == 1).alias("whole")).where("cells > 0.00001")
 
 
 def _cells(spark: SparkSession, d: str) -> DataFrame:
@@ -170,7 +171,13 @@ SELECT segment, year, priority, coalesce(n, 0) AS n FROM g LEFT JOIN f USING (se
 WITH c AS (SELECT floor((59 - {SQL_LAT.format('c_custkey')}) / 0.5)::INTEGER AS row, floor(({SQL_LON.format('c_custkey')} + 6) / 0.5)::INTEGER AS col, count(*) AS value FROM customer GROUP BY ALL),
 p AS (SELECT s_suppkey, floor((59 - {SQL_LAT.format('s_suppkey')}) / 0.5)::INTEGER AS row, floor(({SQL_LON.format('s_suppkey')} + 6) / 0.5)::INTEGER AS col FROM supplier)
 SELECT s_suppkey, row, col, CASE WHEN value <> 1 THEN value END AS value FROM p LEFT JOIN c USING (row, col)""",
-    "ring_cell_weights": "SELECT s_suppkey AS src_id, r AS ring_m, round(pi() * r * r / 10000, 6) AS cells FROM supplier, (VALUES (500.0::DOUBLE), (1500.0::DOUBLE)) v(r)",
+    "ring_cell_weights": """
+WITH s AS (SELECT s_suppkey AS src_id, r, s_suppkey * 37 % 900 + 0.5::DOUBLE AS x, s_suppkey * 53 % 800 + 0.25::DOUBLE AS y FROM supplier, (VALUES (500.0::DOUBLE), (1500.0::DOUBLE)) v(r)),
+a AS (SELECT src_id, r, 'col' AS axis, x AS c, y AS o FROM s UNION ALL SELECT src_id, r, 'row', y, x FROM s),
+n AS (SELECT *, unnest(range(floor((c - r) / 100)::INTEGER, floor((c + r) / 100)::INTEGER + 1)) AS nth FROM a),
+e AS (SELECT *, greatest(-r, least(r, nth * 100 - c)) AS lo, greatest(-r, least(r, nth * 100 + 100 - c)) AS hi, greatest(abs(nth * 100 - c), abs(nth * 100 + 100 - c)) AS far FROM n),
+k AS (SELECT *, CASE WHEN far <= r THEN sqrt(r * r - far * far) END AS reach, round((hi * sqrt(r * r - hi * hi) + r * r * asin(hi / r) - lo * sqrt(r * r - lo * lo) - r * r * asin(lo / r)) / 10000, 6) AS cells FROM e)
+SELECT src_id, r AS ring_m, axis, nth::INTEGER AS nth, cells, greatest(coalesce(floor((o + reach) / 100) - ceil((o - reach) / 100), 0), 0)::BIGINT AS whole FROM k WHERE cells > 0.00001""",
     "ring_weighted_fraction": """
 WITH s AS (SELECT l_orderkey, sum(l_discount * l_quantity) AS b, sum(l_discount * (l_quantity + l_linenumber)) AS l, bool_and(l_returnflag <> 'A') AS ok FROM lineitem GROUP BY 1)
 SELECT l_orderkey, CASE WHEN ok THEN round(b, 6) END AS built_sum, CASE WHEN ok THEN round(l, 6) END AS land_sum, CASE WHEN ok AND l > 0 THEN round(b / l, 6) END AS fraction,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.functions.bands import in_season
+from isohyet.functions.bands import BANDS, FIRST_YEAR, MOST_CLOUD, in_season, of_decade
 
 
 def to_fetch(listing: DataFrame, local: DataFrame, counties: list[str] | None = None) -> DataFrame:
@@ -99,7 +99,44 @@ def last_by_id(rows: DataFrame, key: str, order: list[str]) -> DataFrame:
     return rows.groupBy(F.col(key).alias("__key")).agg(last.alias("r")).select("r.*")
 
 
-def search_scenes(scenes: DataFrame, cloud: float = 70.0, since: int = 1984) -> DataFrame:
-    """Scenes in the growing season under a cloud cover, with all bands, clearest first (unknown cover last)."""
-    ok = in_season(F.col("day")) & (F.year("day") >= since) & (F.coalesce("cloud_cover", F.lit(0.0)) < cloud) & F.col("has_all_bands")
-    return scenes.where(ok).orderBy(F.coalesce("cloud_cover", F.lit(100.0)), "scene_id")
+def search_scenes(scenes: DataFrame, cloud: float = MOST_CLOUD) -> DataFrame:
+    """Scenes (scene_id, day, platform, cloud_cover, assets) of the growing season from the designated platforms of their decade.
+
+    Their cloud cover is known to be under a limit, all bands are there; clearest first.
+    """
+    ok = in_season(F.col("day")) & (F.year("day") >= FIRST_YEAR) & (F.col("cloud_cover") < cloud) & of_decade(F.col("platform"), F.col("day"))
+    bands = F.size(F.array_intersect("assets", F.array(*map(F.lit, BANDS)))) == len(BANDS)
+    return scenes.where(ok & bands).orderBy("cloud_cover", "scene_id")
+
+
+def sites(layers: dict[str, DataFrame]) -> DataFrame:
+    """(ref_code, name, hyperlink, designation) of the features of several layers, by designation; missing properties are empty texts.
+
+    Layers follow each other: a site in two of them has two rows.
+    """
+    text = lambda key: F.coalesce(F.try_element_at("properties", F.lit(key)), F.lit(""))
+    rows = [f.select(text("ref_code").alias("ref_code"), text("name").alias("name"), F.trim(text("hyperlink")).alias("hyperlink"), F.lit(d).alias("designation")) for d, f in layers.items()]
+    out = rows[0]
+    for more in rows[1:]:
+        out = out.unionByName(more)
+    return out
+
+
+def with_land_area(stations: DataFrame, layer: DataFrame, ring_m: int = 10_000, epoch: int = 2020) -> DataFrame:
+    """stations (src_id) with land_m2: that of their ring of one size and epoch in the layer (src_id, ring_m, epoch, land_m2), 0 if there is none."""
+    one = layer.where((F.col("ring_m") == ring_m) & (F.col("epoch") == epoch)).select("src_id", "land_m2")
+    return stations.join(one, "src_id", "left").withColumn("land_m2", F.coalesce("land_m2", F.lit(0.0)))
+
+
+def build_units(boundaries: DataFrame, counts_: DataFrame, translate: DataFrame | None = None) -> DataFrame:
+    """boundaries (code, ...) with population, null where no count has the code (counts: code, n); codes go through translate (code, to) first, as they are where it has none."""
+    rows = boundaries
+    if translate is not None:
+        rows = rows.join(translate.select(F.col("code").alias("__from"), F.col("to").alias("__to")), F.col("code") == F.col("__from"), "left")
+        rows = rows.withColumn("code", F.coalesce("__to", "code")).drop("__from", "__to")
+    return rows.join(counts_.select(F.col("code").alias("__code"), F.col("n").alias("population")), F.col("code") == F.col("__code"), "left").drop("__code")
+
+
+def pilot(stations: DataFrame, key: str, n: int) -> DataFrame:
+    """The first n stations by key: the feature of a pilot run."""
+    return stations.orderBy(key).limit(n)

@@ -115,16 +115,22 @@ def typed_rows(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     return rows.select(*base, *cols)
 
 
-def cause_counts(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
-    """(path, col, na, empty, coerced) for columns with any."""
-    pairs = tokens(parsed).select("path", F.explode("cells").alias("col", "token"))
+def cell_tallies(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(county, path, col, na, empty, coerced, mismatched) for every column of every good file, from one pass over the cells."""
+    own = value(F.col("token"), "int") != F.col("src_id")
+    pairs = tokens(parsed).select("county", "path", "src_id", F.explode("cells").alias("col", "token"))
     kinds = F.create_map(*[F.lit(x) for kv in sorted(schema.types.items()) for x in kv])
     typed = pairs.withColumn("kind", F.try_element_at(kinds, F.col("col")))
     why = F.lit(None).cast("string")
     for kind in SQL_TYPE:
         why = F.when(F.col("kind") == kind, cause(F.col("token"), kind)).otherwise(why)
-    counted = typed.withColumn("cause", why).where("cause is not null").groupBy("path", "col")
-    return counted.agg(*[F.count_if(F.col("cause") == c).alias(c) for c in ("na", "empty", "coerced")])
+    counted = typed.withColumn("cause", why).groupBy("county", "path", "col")
+    return counted.agg(*[F.count_if(F.col("cause") == c).alias(c) for c in ("na", "empty", "coerced")], F.count_if((F.col("col") == "src_id") & own).alias("mismatched"))
+
+
+def cause_counts(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(path, col, na, empty, coerced) for columns with any."""
+    return cell_tallies(parsed, schema).where("na + empty + coerced > 0").select("path", "col", "na", "empty", "coerced")
 
 
 def src_id_mismatches(parsed: DataFrame) -> DataFrame:
@@ -133,26 +139,31 @@ def src_id_mismatches(parsed: DataFrame) -> DataFrame:
     return tokens(parsed).where(own != F.col("src_id")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
-def run_record(parsed: DataFrame, schema: DatasetSchema, dataset: str, qc_version: int, raw: str) -> DataFrame:
-    """One row, record: the run's audit as JSON."""
+def run_details(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(county, kind, file, column, count, error): an entry for every finding of the run, as many as there are; sinks write them by county."""
+    entry = lambda kind, column, n: F.when(n > 0, F.struct(F.lit(kind).alias("kind"), column.alias("column"), n.alias("count")))
+    found = [entry("coercion", F.col("col"), F.col("coerced")), entry("empty_field", F.col("col"), F.col("empty")), entry("src_id_mismatch", F.lit(None).cast("string"), F.col("mismatched"))]
+    of_cells = cell_tallies(parsed, schema).select("county", F.col("path").alias("file"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    declared = F.transform(F.filter("header", lambda x: x.startswith("type,")), lambda x: F.trim(F.split(x, ",", 3)[1]))
+    files = parsed.select("county", F.col("path").alias("file"), "error", F.when(F.col("error").isNull(), F.array_except("columns", declared)).alias("undeclared"))
+    none = F.lit(None)
+    return (
+        of_cells.select("county", "x.kind", "file", "x.column", "x.count", none.cast("string").alias("error"))
+        .unionByName(files.select("county", F.lit("undeclared_fallback").alias("kind"), "file", F.explode("undeclared").alias("column"), none.cast("bigint").alias("count"), none.cast("string").alias("error")))
+        .unionByName(files.where("error is not null").select("county", F.lit("failure").alias("kind"), "file", none.cast("string").alias("column"), none.cast("bigint").alias("count"), "error"))
+    )
+
+
+def run_record(parsed: DataFrame, details: DataFrame, schema: DatasetSchema, dataset: str, qc_version: int, raw: str) -> DataFrame:
+    """One row, record: the run's audit as JSON, with totals by county and by kind of finding; run_details() has the findings themselves."""
     per_county = parsed.groupBy("county").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.sum(F.coalesce(F.when(F.col("error").isNull(), F.size("rows")), F.lit(0))).alias("rows"))
     counts = per_county.agg(
         F.sum("ok").alias("files_parsed"), F.sum("rows").alias("total_rows"), F.count_if(F.col("ok") > 0).alias("counties_written"),
         F.array_sort(F.collect_list(F.when(F.col("ok") == 0, F.col("county")))).alias("counties_skipped_all_failed"),
         F.map_from_entries(F.array_sort(F.collect_list(F.when(F.col("ok") > 0, F.struct("county", "rows"))))).alias("rows_per_county"),
     )
-    listed = lambda df, *c: df.agg(F.array_sort(F.collect_list(F.struct(*c))).alias("x"))
-    causes = cause_counts(parsed, schema)
-    undeclared = column_types(parsed).where("not declared")
-    parts = {
-        "coercions": listed(causes.where("coerced > 0"), F.col("path").alias("file"), F.col("col").alias("column"), F.col("coerced").alias("count")),
-        "empty_fields": listed(causes.where("empty > 0"), F.col("path").alias("file"), F.col("col").alias("column"), F.col("empty").alias("count")),
-        "undeclared_fallbacks": listed(undeclared, F.col("path").alias("file"), F.col("col").alias("column")),
-        "src_id_mismatches": listed(src_id_mismatches(parsed), F.col("path").alias("file"), F.col("n").alias("count")),
-        "failures": listed(parsed.where("error is not null"), F.col("path").alias("file"), "error"),
-    }
-    row = counts
-    for name, df in parts.items():
-        row = row.join(df.withColumnRenamed("x", name))
+    kinds = ("coercion", "empty_field", "undeclared_fallback", "src_id_mismatch", "failure")
+    is_ = lambda k: F.col("kind") == k
+    found = details.agg(F.struct(*[F.struct(F.count_if(is_(k)).alias("entries"), F.coalesce(F.sum(F.when(is_(k), F.coalesce("count", F.lit(1)))), F.lit(0)).alias("values")).alias(k) for k in kinds]).alias("findings"))
     fixed = [F.lit(dataset).alias("dataset"), F.lit(qc_version).alias("qc_version"), F.lit(raw).alias("raw_dir"), F.array(*map(F.lit, schema.releases)).cast("array<string>").alias("releases"), F.lit(len(schema.types)).alias("schema_columns"), F.array(*map(F.lit, sorted(schema.widened))).cast("array<string>").alias("schema_widenings")]
-    return row.select(F.to_json(F.struct(*fixed, *counts.columns, *parts)).alias("record"))
+    return counts.join(found).select(F.to_json(F.struct(*fixed, *counts.columns, "findings")).alias("record"))

@@ -26,6 +26,11 @@ def write_counties(rows: DataFrame, out: str, dataset: str) -> str:
     return path
 
 
+def write_details(details: DataFrame, path: str) -> None:
+    """The findings of a run as JSON lines, a folder for every county."""
+    details.repartition("county", "file").write.mode("overwrite").partitionBy("county").json(path)
+
+
 def write_record(record: DataFrame, path: str) -> None:
     record.coalesce(1).write.mode("overwrite").text(path)
 

@@ -37,10 +37,14 @@ def test_parse_end_to_end(spark, tmp_path):
     path = sinks.write_counties(rows, str(tmp_path / "out"), "hourly")
     back = spark.read.parquet(path)
     assert back.count() == 3 and {r.county for r in back.select("county").distinct().collect()} == {"ayr", "bute"}
-    record = json.loads(selfdesc.run_record(parsed, schema, "hourly", 1, "raw").first().record)
+    details = selfdesc.run_details(parsed, schema)
+    record = json.loads(selfdesc.run_record(parsed, details, schema, "hourly", 1, "raw").first().record)
     assert record["files_parsed"] == 2 and record["total_rows"] == 3 and record["counties_skipped_all_failed"] == ["caith"] and record["rows_per_county"] == {"ayr": 2, "bute": 1}
-    assert [(c["column"], c["count"]) for c in record["coercions"]] == [("temp", 1)] and [(c["column"], c["count"]) for c in record["empty_fields"]] == [("temp_q", 1)]
-    assert len(record["failures"]) == 2 and record["src_id_mismatches"][0]["count"] == 1 and {u["column"] for u in record["undeclared_fallbacks"]} == {"mystery"}
+    sinks.write_details(details, str(tmp_path / "details"))
+    found = [(r.county, r.kind, r.column, r["count"]) for r in spark.read.json(str(tmp_path / "details")).collect()]
+    assert [x[2:] for x in found if x[1] == "coercion"] == [("temp", 1)] and [x[2:] for x in found if x[1] == "empty_field"] == [("temp_q", 1)]
+    assert sum(x[1] == "failure" for x in found) == 2 and [x[3] for x in found if x[1] == "src_id_mismatch"] == [1] and {x[2] for x in found if x[1] == "undeclared_fallback"} == {"mystery"}
+    assert record["findings"]["coercion"] == {"entries": 1, "values": 1} and record["findings"]["failure"]["entries"] == 2
 
 
 def test_conflict_names_column_and_stations(spark, tmp_path):
@@ -64,3 +68,19 @@ def test_fetch_list_manifest_and_capability(spark, tmp_path):
     r = inventory.capability(spark, str(tmp_path / "cap.csv")).first()
     assert (r.src_id, r["name"], r.lat, r.lon, r.height_m, len(r.rows)) == ("00471", "rothamsted", "51.807", "-0.36", 128.0, 2)
     assert r.rows[0].id == "1,2" and r.rows[0].first_year == 2013
+
+
+def test_sites_boundaries_and_counts(spark, tmp_path):
+    layer = {"features": [{"properties": {"ref_code": 7, "name": "Ash Wood", "hyperlink": " 12 ", "LSOA21CD": "E1", "XCDO": None}, "geometry": {"type": "Point", "coordinates": [1.0, 2.0]}}, {"properties": {"wd91cdo": "01AB", "WD91CD": "E2"}, "geometry": None}]}
+    (tmp_path / "layer.json").write_text(json.dumps(layer))
+    f = inventory.features(spark, str(tmp_path / "layer.json"))
+    assert [r.code for r in f.select(inventory.boundary_code().alias("code")).collect()] == ["E1", "01AB"]
+    rows = [tuple(r) for r in inventory.sites({"SSSI": f, "NNR": f}).collect()]
+    assert sorted(rows) == sorted([("7", "Ash Wood", "12", d) for d in ("SSSI", "NNR")] + [("", "", "", d) for d in ("SSSI", "NNR")])
+    c = spark.createDataFrame([("E1", "5"), ("E2", " "), ("E1", "7")], "GEOGRAPHY_CODE string, OBS_VALUE string").coalesce(1)
+    assert [tuple(r) for r in inventory.counts(c).collect()] == [("E1", 7.0)]
+
+
+def test_provenance_and_reports(spark, tmp_path):
+    sinks.write_provenance(spark.range(1), str(tmp_path / "p"), ["1", "2"], {"a": "m"}, {"a": ("x", "y")})
+    assert json.loads(spark.read.text(str(tmp_path / "p")).first().value) == {"releases": "1;2", "units": {"a": "m"}, "generator": "isohyet", "widenings": ["a"]}
