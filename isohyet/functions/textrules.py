@@ -72,8 +72,11 @@ def citation_fields(text: Column) -> dict[str, Column]:
     """
     values = [field_value(text, label) for _, label in ORIGINAL_FIELDS]
     years = [first_year(v) for v in values]
-    # no more than the first note of the text, with all of its line
-    note = F.regexp_extract(text, rf"(?i)([^\n]*?(?:{BOUNDARY_NOTE})[^\n]*)", 1)
+    # the first note of the text, with all of its line: found first, so that long lines are scanned once
+    pattern = F.lit(f"(?i){BOUNDARY_NOTE}")
+    at, found = F.regexp_instr(text, pattern), F.regexp_extract(text, f"(?i){BOUNDARY_NOTE}", 0)
+    head, tail = F.substring_index(F.substring(text, F.lit(1), at - 1), "\n", -1), F.substring_index(F.substring(text, at + F.length(found), F.length(text)), "\n", 1)
+    note = F.when(at > 0, F.concat(head, found, tail)).when(text.isNotNull(), "")
     return {
         "citation_site_name": cited_site(text),
         "first_notified_year": F.coalesce(*years),
