@@ -9,10 +9,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass, field
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.coerce import cause, resolved_type, value
+from isohyet.functions.geo import bind
 
 SQL_TYPE = {"int": "bigint", "float": "float", "time": "timestamp", "char": "string"}
 ATTRIBUTION = ("src_id", "county", "station_file_name")
@@ -29,22 +30,33 @@ def scan(spark: SparkSession, raw: str, county: str | None = None, qc_version: i
 
 
 def split_files(files: DataFrame) -> DataFrame:
-    """Adds header (array of lines), columns, rows (array of lines) and error."""
+    """Adds header (array of lines), columns, rows (array of lines) and error.
+
+    Lines are bound once a file: a plain reference within a lambda would split the text anew for every line of it.
+    """
     lines = F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n", -1), lambda x: F.trim(x))
-    found = files.withColumn("lines", lines).withColumn("at", F.array_position("lines", "data")).withColumn("end", F.array_position("lines", "end data"))
     filled = lambda a: F.filter(a, lambda x: x != "")
-    body = F.slice("lines", F.col("at") + 2, F.greatest(F.col("end") - F.col("at") - 2, F.lit(0)))
-    names = F.transform(F.split(F.get("lines", F.col("at").cast("int")), ","), lambda x: F.trim(x))
-    out = found.withColumn("header", F.when(F.col("at") > 0, filled(F.slice("lines", 1, F.col("at") - 1)))).withColumn("columns", F.when(F.col("at") > 0, names)).withColumn(
-        "rows", F.when((F.col("at") > 0) & (F.col("end") > F.col("at")), filled(body))
-    )
-    bad_header = F.exists("header", lambda x: F.size(F.split(x, ",", 3)) < 3)
-    bad_row = F.exists("rows", lambda x: F.size(F.split(x, ",", -1)) != F.size("columns"))
-    error = (
-        F.when(F.col("src_id").isNull(), "no station number in the folder's name").when(F.col("at") == 0, "no 'data' line").when(F.col("columns").isNull() | (F.get("columns", F.lit(0)) == ""), "no column row")
-        .when(bad_header, "header line of fewer than three parts").when(F.col("end") == 0, "no 'end data' line").when(bad_row, "row of another number of fields")
-    )
-    return out.withColumn("error", error).drop("lines", "at", "end", "text")
+
+    def parts(line: Column, p: Column) -> Column:
+        at, end = p["at"], p["end"]
+        names = F.transform(F.split(F.get(line, at.cast("int")), ","), lambda x: F.trim(x))
+        body = F.slice(line, at + 2, F.greatest(end - at - 2, F.lit(0)))
+        return F.struct(
+            F.when(at > 0, filled(F.slice(line, 1, at - 1))).alias("header"), F.when(at > 0, names).alias("columns"), F.when((at > 0) & (end > at), filled(body)).alias("rows"), at.alias("at"), end.alias("end")
+        )
+
+    def judged(t: Column) -> Column:
+        bad_header = F.exists(t["header"], lambda x: F.size(F.split(x, ",", 3)) < 3)
+        bad_row = F.exists(t["rows"], lambda x: F.size(F.split(x, ",", -1)) != F.size(t["columns"]))
+        error = (
+            F.when(F.col("src_id").isNull(), "no station number in the folder's name").when(t["at"] == 0, "no 'data' line").when(t["columns"].isNull() | (F.get(t["columns"], F.lit(0)) == ""), "no column row")
+            .when(bad_header, "header line of fewer than three parts").when(t["end"] == 0, "no 'end data' line").when(bad_row, "row of another number of fields")
+        )
+        return F.struct(t["header"].alias("header"), t["columns"].alias("columns"), t["rows"].alias("rows"), error.alias("error"))
+
+    places = lambda line: F.struct(F.array_position(line, "data").alias("at"), F.array_position(line, "end data").alias("end"))
+    taken = bind(lines, lambda line: bind(bind(places(line), lambda p: parts(line, p)), judged))
+    return files.withColumn("__parts", taken).select(*[c for c in files.columns if c != "text"], "__parts.*")
 
 
 def headers(parsed: DataFrame) -> DataFrame:
