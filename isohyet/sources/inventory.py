@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.bands import BANDS, FIRST_YEAR, MOST_CLOUD, in_season, of_decade
+from isohyet.operators.features import shape_of, tag_kind
 
 
 def to_fetch(listing: DataFrame, local: DataFrame, counties: list[str] | None = None) -> DataFrame:
@@ -80,6 +81,34 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates")
 
 
+def overpass(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, kind, shape, points) of the elements of Overpass pages that are of a kind that counts: nodes and ways; relations have relation_members()."""
+    e = _elements(spark, path).where(F.col("type").isin("node", "way"))
+    points = F.when(F.col("type") == "node", F.array(F.struct("lat", "lon"))).otherwise(F.coalesce("geometry", F.array().cast("array<struct<lat:double,lon:double>>")))
+    shaped = e.select(F.concat_ws("/", "type", F.col("id").cast("string")).alias("feature"), tag_kind(F.col("tags")).alias("kind"), "type", points.alias("points"))
+    return shaped.where("kind is not null").withColumn("shape", shape_of(F.col("type"), F.col("points"))).where("shape is not null").select("feature", "kind", "shape", "points")
+
+
+def relation_members(spark: SparkSession, path: str) -> DataFrame:
+    """(feature, kind, way, points): the member ways of relations that count, as features.assemble() takes them."""
+    r = _elements(spark, path).where("type = 'relation'").select(F.concat_ws("/", "type", F.col("id").cast("string")).alias("feature"), tag_kind(F.col("tags")).alias("kind"), F.posexplode("members").alias("way", "m"))
+    return r.where("kind is not null and m.type = 'way'").select("feature", "kind", "way", F.col("m.geometry").alias("points"))
+
+
+def _elements(spark: SparkSession, path: str) -> DataFrame:
+    place = "array<struct<lat: double, lon: double>>"
+    schema = f"elements array<struct<type: string, id: bigint, lat: double, lon: double, tags: map<string,string>, geometry: {place}, members: array<struct<type: string, geometry: {place}>>>>"
+    return spark.read.schema(schema).json(path, multiLine=True).select(F.inline("elements"))
+
+
+def esri_pages(spark: SparkSession, path: str) -> DataFrame:
+    """(properties, points): attributes and outer ring (the first) of the features of Esri JSON pages, longitude before latitude there."""
+    schema = "features array<struct<attributes: map<string,string>, geometry: struct<rings: array<array<array<double>>>>>>"
+    f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
+    ring = F.get("f.geometry.rings", F.lit(0))
+    return f.select(F.col("f.attributes").alias("properties"), F.transform(ring, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon"))).alias("points"))
+
+
 def boundary_code(properties: str = "properties") -> F.Column:
     """The first property whose name ends in 'cdo', else in 'cd', by name."""
     entries = F.array_sort(F.map_entries(properties))

@@ -8,6 +8,7 @@ lines across tasks. Bad files carry an error and are left out; a conflict of typ
 from __future__ import annotations
 
 from dataclasses import dataclass, field
+from datetime import UTC, datetime
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -151,6 +152,11 @@ def src_id_mismatches(parsed: DataFrame) -> DataFrame:
     return tokens(parsed).where(own != F.col("src_id")).groupBy("path").agg(F.count(F.lit(1)).alias("n"))
 
 
+def utc_now() -> str:
+    """The moment as an ISO stamp in UTC."""
+    return datetime.now(UTC).isoformat(timespec="seconds")
+
+
 def run_details(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     """(county, kind, file, column, count, error): an entry for every finding of the run, as many as there are; sinks write them by county."""
     entry = lambda kind, column, n: F.when(n > 0, F.struct(F.lit(kind).alias("kind"), column.alias("column"), n.alias("count")))
@@ -166,8 +172,11 @@ def run_details(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     )
 
 
-def run_record(parsed: DataFrame, details: DataFrame, schema: DatasetSchema, dataset: str, qc_version: int, raw: str) -> DataFrame:
-    """One row, record: the run's audit as JSON, with totals by county and by kind of finding; run_details() has the findings themselves."""
+def run_record(parsed: DataFrame, details: DataFrame, schema: DatasetSchema, dataset: str, qc_version: int, raw: str, started: str | None = None, finished: str | None = None) -> DataFrame:
+    """One row, record: the run's audit as JSON, with totals by county and by kind of finding; run_details() has the findings themselves.
+
+    started and finished, where given, are stamps of the run; utc_now() makes them.
+    """
     per_county = parsed.groupBy("county").agg(F.count_if(F.col("error").isNull()).alias("ok"), F.sum(F.coalesce(F.when(F.col("error").isNull(), F.size("rows")), F.lit(0))).alias("rows"))
     counts = per_county.agg(
         F.sum("ok").alias("files_parsed"), F.sum("rows").alias("total_rows"), F.count_if(F.col("ok") > 0).alias("counties_written"),
@@ -178,4 +187,5 @@ def run_record(parsed: DataFrame, details: DataFrame, schema: DatasetSchema, dat
     is_ = lambda k: F.col("kind") == k
     found = details.agg(F.struct(*[F.struct(F.count_if(is_(k)).alias("entries"), F.coalesce(F.sum(F.when(is_(k), F.coalesce("count", F.lit(1)))), F.lit(0)).alias("values")).alias(k) for k in kinds]).alias("findings"))
     fixed = [F.lit(dataset).alias("dataset"), F.lit(qc_version).alias("qc_version"), F.lit(raw).alias("raw_dir"), F.array(*map(F.lit, schema.releases)).cast("array<string>").alias("releases"), F.lit(len(schema.types)).alias("schema_columns"), F.array(*map(F.lit, sorted(schema.widened))).cast("array<string>").alias("schema_widenings")]
-    return counts.join(found).select(F.to_json(F.struct(*fixed, *counts.columns, "findings")).alias("record"))
+    stamps = [F.lit(v).alias(n) for n, v in (("started", started), ("finished", finished)) if v is not None]
+    return counts.join(found).select(F.to_json(F.struct(*fixed, *stamps, *counts.columns, "findings")).alias("record"))

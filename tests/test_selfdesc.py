@@ -84,3 +84,32 @@ def test_sites_boundaries_and_counts(spark, tmp_path):
 def test_provenance_and_reports(spark, tmp_path):
     sinks.write_provenance(spark.range(1), str(tmp_path / "p"), ["1", "2"], {"a": "m"}, {"a": ("x", "y")})
     assert json.loads(spark.read.text(str(tmp_path / "p")).first().value) == {"releases": "1;2", "units": {"a": "m"}, "generator": "isohyet", "widenings": ["a"]}
+
+
+def test_pages_of_elements_and_boundaries(spark, tmp_path):
+    at = lambda *xy: [{"lat": a, "lon": b} for a, b in xy]
+    page = {"elements": [
+        {"type": "node", "id": 1, "lat": 51.0, "lon": -1.0, "tags": {"aeroway": "aerodrome"}},
+        {"type": "node", "id": 2, "lat": 51.0, "lon": -1.0, "tags": {"aeroway": "helipad"}},
+        {"type": "way", "id": 3, "tags": {"disused:aeroway": "runway"}, "geometry": at((51, -1), (51, -2))},
+        {"type": "way", "id": 4, "tags": {"aeroway": "apron"}, "geometry": at((51, -1), (51, -2), (52, -2), (51, -1))},
+        {"type": "way", "id": 5, "tags": {"aeroway": "apron"}, "geometry": at((51, -1))},
+        {"type": "relation", "id": 6, "tags": {"aeroway": "aerodrome"}, "members": [{"type": "way", "geometry": at((0, 0), (0, 1), (1, 1))}, {"type": "node"}, {"type": "way", "geometry": at((1, 1), (0, 0))}]},
+    ]}
+    (tmp_path / "page.json").write_text(json.dumps(page))
+    got = {r.feature: (r.kind, r["shape"], len(r.points)) for r in inventory.overpass(spark, str(tmp_path / "page.json")).collect()}
+    assert got == {"node/1": ("aerodrome", "point", 1), "way/3": ("disused:runway", "line", 2), "way/4": ("apron", "polygon", 4)}
+    from isohyet.operators import features
+
+    (r,) = features.assemble(inventory.relation_members(spark, str(tmp_path / "page.json")).drop("kind")).collect()
+    assert (r.feature, r["shape"], len(r.points)) == ("relation/6", "polygon", 4)
+    esri = {"features": [{"attributes": {"code": "E1", "n": 5}, "geometry": {"rings": [[[-1.0, 51.0], [-2.0, 51.0], [-2.0, 52.0]]]}}]}
+    (tmp_path / "esri.json").write_text(json.dumps(esri))
+    (f,) = inventory.esri_pages(spark, str(tmp_path / "esri.json")).collect()
+    assert f.properties == {"code": "E1", "n": "5"} and [tuple(p) for p in f.points] == [(51.0, -1.0), (51.0, -2.0), (52.0, -2.0)]
+
+
+def test_stamps_of_a_run():
+    import datetime
+
+    assert datetime.datetime.fromisoformat(selfdesc.utc_now()).utcoffset() == datetime.timedelta(0)

@@ -49,3 +49,12 @@ def test_population_of_a_ring(spark):
     assert got[1][1] == pytest.approx(math.pi * 1e8 / 2, rel=1e-9) and got[1][0] == pytest.approx(1000 * math.pi * 1e8 / 2 / area) and got[2] == (0, 0, 0)
     with pytest.raises(ValueError, match="coarser"):
         spatial.ring_population(centres, units, 2_000)
+
+
+def test_plane_keeps_distances(spark):
+    """A degree of longitude and of latitude on the ellipsoid at 52 degrees, to a metre."""
+    from isohyet.functions import geo
+
+    x, y = geo.to_plane(F.lit(52.0), F.lit(-1.5), F.lit(52.01), F.lit(-1.49))
+    r = spark.range(1).select(x, y).first()
+    assert r[0] == pytest.approx(686.77, abs=1) and r[1] == pytest.approx(1112.66, abs=1)
