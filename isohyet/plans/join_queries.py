@@ -10,17 +10,17 @@ from isohyet.plans.tables import table
 
 
 def as_of_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every purchase-like event with the last view-like one of its user."""
+    """Every event with the last error of its user, itself included."""
     e = table(spark, d, "events")
-    late = e.where("event_id % 3 = 0").select("event_id", "user_id", "ts")
-    early = e.where("event_id % 3 <> 0").select("user_id", "ts", F.col("event_id").alias("last_event"), F.col("value").alias("last_value"))
-    return joins.as_of(late, early, "user_id", "ts", ["last_event", "last_value"]).select("event_id", "user_id", "last_event", "last_value")
+    errors = e.where("event_type = 'error'").select("user_id", "ts", F.col("event_id").alias("last_event"), F.col("value").alias("last_value"))
+    return joins.as_of(e.select("event_id", "user_id", "ts"), errors, "user_id", "ts", ["last_event", "last_value"]).select("event_id", "user_id", "last_event", "last_value")
 
 
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
-    spans = e.where("event_id % 5 = 0").select(F.col("event_id").alias("span"), "user_id", F.col("at").alias("start"), (F.col("at") + 86_400 * (1 + F.col("event_id") % 3)).alias("end"))
-    return joins.within_spans(e, spans, "user_id", "at", "start", "end", 86_400).select("event_id", "span")
+    """Every event beside the errors of its user whose following one to three hours it falls in."""
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    spans = e.where("event_type = 'error'").select(F.col("event_id").alias("span"), "user_id", F.col("at").alias("start"), (F.col("at") + 3_600 * (1 + F.col("event_id") % 3)).alias("end"))
+    return joins.within_spans(e, spans, "user_id", "at", "start", "end", 7_200).select("event_id", "span")
 
 
 def semi_join(spark: SparkSession, d: str) -> DataFrame:
@@ -56,12 +56,12 @@ def wild_cluster_slope(spark: SparkSession, d: str) -> DataFrame:
 
 SQL = {
     "as_of_join": """
-WITH l AS (SELECT * FROM events WHERE event_id % 3 = 0), r AS (SELECT * FROM events WHERE event_id % 3 <> 0),
-j AS (SELECT l.event_id, l.user_id, r.event_id AS last_event, r.value AS last_value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC, r.event_id DESC, r.value DESC) AS n FROM l LEFT JOIN r ON r.user_id = l.user_id AND r.ts <= l.ts)
+WITH r AS (SELECT * FROM events WHERE event_type = 'error'),
+j AS (SELECT l.event_id, l.user_id, r.event_id AS last_event, r.value AS last_value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC, r.event_id DESC, r.value DESC) AS n FROM events l LEFT JOIN r ON r.user_id = l.user_id AND r.ts <= l.ts)
 SELECT event_id, user_id, last_event, last_value FROM j WHERE n = 1""",
     "interval_join": """
-WITH e AS (SELECT event_id, user_id, floor(epoch(ts))::BIGINT AS t FROM events)
-SELECT p.event_id, s.event_id AS span FROM e p JOIN e s ON s.event_id % 5 = 0 AND p.user_id = s.user_id AND p.t >= s.t AND p.t < s.t + 86400 * (1 + s.event_id % 3)""",
+WITH e AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t FROM events)
+SELECT p.event_id, s.event_id AS span FROM e p JOIN e s ON s.event_type = 'error' AND p.user_id = s.user_id AND p.t >= s.t AND p.t < s.t + 3600 * (1 + s.event_id % 3)""",
     "semi_join": "SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "intersect_nations": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",
     "segment_cube": "SELECT c_mktsegment, c_nationkey, count(*) AS n, round(sum(c_acctbal), 2) AS balance, (grouping(c_mktsegment) * 2 + grouping(c_nationkey))::BIGINT AS level FROM customer GROUP BY CUBE (c_mktsegment, c_nationkey)",
