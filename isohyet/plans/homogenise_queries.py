@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from isohyet.operators import entity, homogenise
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, lat, lon, table
 
-KM = 40.0
+KM = 80.0
 #: Low enough for shifts to be found in series without any.
 CRITICAL = 4.0
 
