@@ -93,7 +93,7 @@ def station_headline(spark: SparkSession, d: str) -> DataFrame:
 
 
 def filtered_blobs(spark: SparkSession, d: str) -> DataFrame:
-    c = table(spark, d, "customer").select(F.floor((lat("c_custkey") - 50) / 0.4).cast("int").alias("row"), F.floor((lon("c_custkey") + 6) / 0.4).cast("int").alias("col"))
+    c = table(spark, d, "customer").select(F.floor((lat("c_custkey") - 50) / 0.125).cast("int").alias("row"), F.floor((lon("c_custkey") + 6) / 0.125).cast("int").alias("col"))
     return features.blobs(c, 2, 40, 3.0, 0.5).select("blob", "n")
 
 
@@ -158,7 +158,7 @@ SELECT CASE WHEN b IS NULL THEN 'unknown' WHEN b < 0.02 THEN 'rural' WHEN b < 0.
 WITH s AS (SELECT c_custkey % 8 <> 0 AND c_custkey % 9 <> 0 AS b, (c_custkey * 7 % 40) / 100.0::DOUBLE AS v, 1960 + c_custkey % 50 - 1900 - c_custkey % 60 AS span FROM customer)
 SELECT count(*) AS n_stations, count(*) FILTER (WHERE b) AS n_both, count(*) FILTER (WHERE b AND v < 0.02) AS n_rural, count(*) FILTER (WHERE span >= 50) AS n_long FROM s""",
     "filtered_blobs": f"""
-WITH RECURSIVE k AS (SELECT DISTINCT floor(({SQL_LAT.format('c_custkey')} - 50) / 0.4)::BIGINT AS row, floor(({SQL_LON.format('c_custkey')} + 6) / 0.4)::BIGINT AS col FROM customer),
+WITH RECURSIVE k AS (SELECT DISTINCT floor(({SQL_LAT.format('c_custkey')} - 50) / 0.125)::BIGINT AS row, floor(({SQL_LON.format('c_custkey')} + 6) / 0.125)::BIGINT AS col FROM customer),
 i AS (SELECT *, row * 2147483648 + col AS id FROM k),
 e AS (SELECT a.id AS a, b.id AS b FROM i a JOIN i b ON abs(a.row - b.row) + abs(a.col - b.col) = 1),
 r(node, reach) AS (SELECT a, a FROM e UNION SELECT r.node, e.b FROM r JOIN e ON r.reach = e.a),
