@@ -1,4 +1,4 @@
-"""Operations of a training-data pipeline: ten operators, their queries and their SQL."""
+"""Operations of a training-data pipeline: twelve operators, their queries and their SQL."""
 
 from __future__ import annotations
 
@@ -16,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_line_dedup": "line_dedup",
+    "op12_lz_fingerprints": "lz_fingerprint",
 }
 
 
