@@ -16,6 +16,7 @@ QUERIES = {
     "op8_best_fit_packing": "packing",
     "op9_mix_sources": "mixing",
     "op10_line_dedup": "line_dedup",
+    "op11_hard_negatives": "hard_negatives",
     "op12_lz_fingerprints": "lz_fingerprint",
 }
 

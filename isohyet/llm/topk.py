@@ -25,7 +25,7 @@ from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from isohyet.session import shared_dir, ship_package
@@ -48,15 +48,15 @@ FIRST_TILES = (0, 32, 256, 1_024)
 CONFIRM_PAIRS = 16_384
 
 
-def quantise(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE) -> DataFrame:
-    """(id, v, norm2) of the vectors that take part: v array<bigint>, floor(scale * component)."""
+def quantise(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", scale: int = SCALE, also: tuple[Column, ...] = ()) -> DataFrame:
+    """(id, v, those of also, norm2) of the vectors that take part: v array<bigint>, floor(scale * component)."""
     finite = F.forall(F.col(column), lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf")))
     # floor() would saturate silently
     fits = F.forall(F.col(column), lambda x: F.abs(x.cast("double") * scale) < 2.0**63)
     held = F.when(fits, F.col(column)).otherwise(F.raise_error(F.lit("a scaled component exceeds 64 bits")))
     return (
         vectors.where(F.col(column).isNotNull() & F.coalesce(finite, F.lit(False)))
-        .select(F.col(key).cast("long").alias("id"), F.transform(held, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"))
+        .select(F.col(key).cast("long").alias("id"), F.transform(held, lambda x: F.floor(x.cast("double") * scale).cast("long")).alias("v"), *also)
         .withColumn("norm2", F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
     )
 
