@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from isohyet.functions.geo import bind
+
 #: Years that a citation can bear, designations, field labels of citations, a line that opens another field.
 YEAR = r"\b(1[89]\d\d|20\d\d)\b"
 DESIGNATION = r"\b(SSSI|NNR|S\.S\.S\.I\.)\b"
@@ -12,13 +14,21 @@ ORIGINAL_FIELDS = (("1949-act", r"Date\s+Notified\s*\(\s*Under\s+1949\s+Act\s*\)
 RENOTIFIED_FIELDS = (r"Date\s+Notified\s*\(\s*Under\s+1981\s+Act\s*\)\s*:?", r"Date\s+of\s+Renotification\s*:?")
 REVISION_FIELD = r"Date\s+of\s+(?:Last\s+)?Revision\s*:?"
 BOUNDARY_NOTE = r"formerly\s+(?:notified|part\s+of)|\bextension\b|\bde-?notif\w*"
-LABEL_LINE = r"[^\S\n]*[A-Za-z][^\n:]{0,60}:"
+LABEL_LINE = r"^\s*[A-Za-z][^\n:]{0,60}:"
 VALUE_LINES = 4
 SITE_NAME = r"SITE\s+NAME\s*:?\s*([^\n]+)"
 HEADER_LINE = r"^[^:\n]{2,40}:\s*([^\n]+)$"
 #: Fixed value: sites first notified before this year are admitted.
 ADMITTED_BEFORE = 1975
 
+#: White space of any script, as texts from page layouts hold; no-break spaces and separators among it.
+SPACE = r"[\s\x1c-\x1f]"
+
+
+def unicode_pattern(pattern: str, ignore_case: bool = True) -> str:
+    """A pattern whose classes and cases are those of Unicode and whose lines end at line feeds alone."""
+    return f"({'?i' if ignore_case else '?'}Ud)" + pattern.replace(r"\s", SPACE)
+
 
 def name_stem(name: Column) -> Column:
     """Tokens of a station name without its trailing number."""
@@ -34,7 +44,7 @@ def is_token_prefix(a: Column, b: Column) -> Column:
 def normalised_site(name: Column) -> Column:
     """Upper case, without designation and then without parentheses, other characters squeezed to single spaces."""
     upper = F.upper(name)
-    bare = F.regexp_replace(F.regexp_replace(upper, DESIGNATION, " "), r"\(.*?\)", " ")
+    bare = F.regexp_replace(F.regexp_replace(upper, unicode_pattern(DESIGNATION, ignore_case=False), " "), unicode_pattern(r"\(.*?\)"), " ")
     return F.trim(F.regexp_replace(bare, r"[^A-Z0-9]+", " "))
 
 
@@ -44,48 +54,73 @@ def names_match(a: Column, b: Column) -> Column:
 
 
 def first_year(text: Column) -> Column:
-    return F.nullif(F.regexp_extract(text, YEAR, 1), F.lit("")).cast("int")
+    """The first year that a citation can bear; null without one, or if its digits aren't 0 to 9."""
+    return F.regexp_extract(text, unicode_pattern(YEAR), 1).try_cast("int")
 
 
 def stripped(text: Column) -> Column:
-    return F.regexp_replace(text, r"^\s+|\s+$", "")
+    return F.regexp_replace(text, unicode_pattern(r"^\s+|\s+\z"), "")
 
 
 def field_value(text: Column, label: str) -> Column:
-    """What stands behind the first such label, VALUE_LINES lines at most, ending before a line that opens another field; null without it."""
-    lines = rf"([^\n]*(?:\n(?!{LABEL_LINE})[^\n]*){{0,{VALUE_LINES - 1}}})"
-    value = F.regexp_extract(text, f"(?i)(?:{label}){lines}", 1)
-    return F.when(F.regexp_like(text, F.lit(f"(?i){label}")), stripped(F.regexp_replace(value, "\n", " ")))
+    """What stands behind the first such label, VALUE_LINES lines at most, ending before a line that opens another field; null without it.
+
+    The text is searched once; the rest works on what was found.
+    """
+    opens = LABEL_LINE.removeprefix("^").replace(r"\s", r"[\s\x1c-\x1f&&[^\n]]")
+    lines = rf"([^\n]*(?:\n(?!{opens})[^\n]*){{0,{VALUE_LINES - 1}}})"
+    pattern = unicode_pattern(f"(?:{label})") + lines
+    value = lambda found: stripped(F.regexp_replace(F.regexp_extract(found, pattern, 1), "\n", " "))
+    return bind(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", value(found)))
 
 
 def cited_site(text: Column) -> Column:
     """The name behind 'SITE NAME', else what follows the colon of the first line that isn't blank, else empty."""
-    named = stripped(F.regexp_extract(text, f"(?i){SITE_NAME}", 1))
-    header = stripped(F.regexp_extract(stripped(F.regexp_extract(text, r"^\s*([^\n]+)", 1)), HEADER_LINE, 1))
-    return F.when(F.regexp_like(text, F.lit(f"(?i){SITE_NAME}")), named).otherwise(header)
+    pattern = unicode_pattern(SITE_NAME)
+    header = stripped(F.regexp_extract(stripped(F.regexp_extract(text, unicode_pattern(r"^\s*([^\n]+)"), 1)), unicode_pattern(HEADER_LINE), 1))
+    return bind(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", stripped(F.regexp_extract(found, pattern, 1))).otherwise(header))
+
 
+def boundary_note(text: Column) -> Column:
+    """The line that holds the first boundary note; the text is searched once, up to the note's end."""
+    pattern = unicode_pattern(rf"(?s)^(.*?)(?:{BOUNDARY_NOTE})")
 
-def citation_fields(text: Column) -> dict[str, Column]:
-    """What a citation says: its site, the year of the first notification and the field that holds it, later dates, boundary notes.
+    def line(upto: Column) -> Column:
+        before = F.regexp_extract(upto, pattern, 1)
+        after = F.substring(text, F.length(upto) + 1, F.length(text))
+        note = bind(before, lambda b: F.concat(F.substring_index(b, "\n", -1), F.substring(upto, F.length(b) + 1, F.length(upto)), F.substring_index(after, "\n", 1)))
+        return F.when(upto != "", F.nullif(stripped(note), F.lit("")))
 
-    The date under the 1981 Act is a renotification, never an original date.
+    return bind(F.regexp_extract(text, pattern, 0), line)
+
+
+def citation(text: Column) -> Column:
+    """What a citation says, as a struct: its site, the year of the first notification and the field that holds it, later dates, boundary notes.
+
+    The date under the 1981 Act is a renotification, never an original date. Every field is looked for once in the text.
     """
-    values = [field_value(text, label) for _, label in ORIGINAL_FIELDS]
-    years = [first_year(v) for v in values]
-    # the first note of the text, with all of its line: found first, so that long lines are scanned once
-    pattern = F.lit(f"(?i){BOUNDARY_NOTE}")
-    at, found = F.regexp_instr(text, pattern), F.regexp_extract(text, f"(?i){BOUNDARY_NOTE}", 0)
-    head, tail = F.substring_index(F.substring(text, F.lit(1), at - 1), "\n", -1), F.substring_index(F.substring(text, at + F.length(found), F.length(text)), "\n", 1)
-    note = F.when(at > 0, F.concat(head, found, tail)).when(text.isNotNull(), "")
-    return {
-        "citation_site_name": cited_site(text),
-        "first_notified_year": F.coalesce(*years),
-        "original_field": F.coalesce(*[F.when(y.isNotNull(), name) for (name, _), y in zip(ORIGINAL_FIELDS, years, strict=True)]),
-        "original_field_seen": values[0].isNotNull() | values[1].isNotNull(),
-        "renotified_year": F.coalesce(*[first_year(field_value(text, label)) for label in RENOTIFIED_FIELDS]),
-        "revision_year": first_year(field_value(text, REVISION_FIELD)),
-        "boundary_note": F.nullif(stripped(note), F.lit("")),
-    }
+    def fields(t: Column) -> Column:
+        values = F.array(*[field_value(t, label) for _, label in ORIGINAL_FIELDS])
+        return bind(values, lambda v: said(t, v))
+
+    def said(t: Column, values: Column) -> Column:
+        found = [first_year(values[i]) for i in range(len(ORIGINAL_FIELDS))]
+        return F.struct(
+            cited_site(t).alias("citation_site_name"),
+            F.coalesce(*found).alias("first_notified_year"),
+            F.coalesce(*[F.when(y.isNotNull(), name) for (name, _), y in zip(ORIGINAL_FIELDS, found, strict=True)]).alias("original_field"),
+            F.exists(values, lambda v: v.isNotNull()).alias("original_field_seen"),
+            F.coalesce(*[first_year(field_value(t, label)) for label in RENOTIFIED_FIELDS]).alias("renotified_year"),
+            first_year(field_value(t, REVISION_FIELD)).alias("revision_year"),
+            boundary_note(t).alias("boundary_note"),
+        )
+
+    return bind(text, fields)
+
+
+def citation_fields(rows: DataFrame, text: str = "text") -> DataFrame:
+    """rows with the fields of citation as columns."""
+    return rows.withColumn("__said", citation(F.col(text))).select("*", "__said.*").drop("__said")
 
 
 def admission(citations: DataFrame, text: str = "text", fetched: str = "fetched", has_key: str = "has_key", site: str = "site") -> DataFrame:
@@ -93,7 +128,7 @@ def admission(citations: DataFrame, text: str = "text", fetched: str = "fetched"
 
     A citation of another site comes before any date of it: its date may be sound, but not for this site, and is taken back.
     """
-    said = citations.withColumns(citation_fields(F.col(text)))
+    said = citation_fields(citations, text)
     mine = names_match(normalised_site(F.col(site)), normalised_site(F.col("citation_site_name")))
     judged = said.withColumns({
         "__blank": F.coalesce(stripped(F.col(text)), F.lit("")) == "",

@@ -24,6 +24,7 @@ TEXTS = [
     "SITE NAME: Carr Fen Extension\nDate Notified (Under 1981 Act): 1985",
     "SITE NAME: DUN MOSS\nDate Notified (Under 1949 Act): 1960\nDate of Revision: 1950",
     "SITE NAME: Esk Marsh (part)\nDate Notified (Under 1949 Act):\n\nseen\nin 1961 by hand\nand 1962",
+    "SITE\u00a0NAME:\u2003ASH WOOD\u00a0\nDate\u00a0Notified (Under\u20091949 Act):\u00a01960\u3000\nDate of\u00a0Revision: 1950",
 ]
 SITES = ["Ash Wood SSSI", "Bere Heath (North)", "Carr Fen NNR", "Dun Moss", "Esk Marsh", "Dun Moss S.S.S.I.", "Ash Wood", "Bere Heath", "Carr Fen", "Dun Moss", "Esk Marsh", ""]
 
@@ -116,7 +117,7 @@ def _texts(spark: SparkSession, d: str) -> DataFrame:
 
 
 def citation_fields(spark: SparkSession, d: str) -> DataFrame:
-    return _texts(spark, d).select("doc_id", *[c.alias(n) for n, c in textrules.citation_fields(F.col("text")).items()])
+    return textrules.citation_fields(_texts(spark, d)).drop("text", "site")
 
 
 def name_normalise_match(spark: SparkSession, d: str) -> DataFrame:
@@ -135,25 +136,27 @@ _R = "({0} * 0.0000275::DOUBLE - 0.2::DOUBLE)"
 _TEXTS = f"SELECT doc_id, CASE WHEN doc_id % 17 <> 0 THEN concat_ws(chr(10), {sql_cycled('doc_id', TEXTS)}, text) ELSE ' ' || chr(10) END AS text, {sql_cycled('doc_id', SITES)} AS site FROM documents"
 _NORM = r"trim(regexp_replace(regexp_replace(regexp_replace(upper({0}), '\b(SSSI|NNR|S\.S\.S\.I\.)\b', ' ', 'g'), '\(.*?\)', ' ', 'g'), '[^A-Z0-9]+', ' ', 'g'))"
 _MATCH = "(a <> '' AND b <> '' AND (starts_with(a, b) OR starts_with(b, a)))"
-_LABELS = {
-    "act49": r"(?i)Date\s+Notified\s*\(\s*Under\s+1949\s+Act\s*\)\s*:?", "first": r"(?i)First\s+Notified\s*:?", "act81": r"(?i)Date\s+Notified\s*\(\s*Under\s+1981\s+Act\s*\)\s*:?",
-    "again": r"(?i)Date\s+of\s+Renotification\s*:?", "revised": r"(?i)Date\s+of\s+(?:Last\s+)?Revision\s*:?",
-}
-_NOTE = r"(?i)formerly\s+(?:notified|part\s+of)|\bextension\b|\bde-?notif\w*"
+# RE2's \s is ASCII alone: the white space of Unicode is spelled out
+_WS = r"[\s\x1c-\x1f\x{85}\pZ]"
+_STRIP = rf"^{_WS}+|{_WS}+$"
+_LABELS = dict(zip(("act49", "first", "act81", "again", "revised"), (f"(?i){p}".replace(r"\s", _WS) for p in (*(p for _, p in textrules.ORIGINAL_FIELDS), *textrules.RENOTIFIED_FIELDS, textrules.REVISION_FIELD)), strict=True))
+_NOTE = f"(?i){textrules.BOUNDARY_NOTE}".replace(r"\s", _WS)
+_SITE = f"(?i){textrules.SITE_NAME}".replace(r"\s", _WS)
+_HEADER = textrules.HEADER_LINE.replace(r"\s", _WS)
 # without look-ahead: what follows a label line by line, up to the first line that opens a field, or the fourth
 _AFTER = ", ".join(f"CASE WHEN regexp_matches(text, '{p}') THEN string_split(substr(text, strpos(text, regexp_extract(text, '{p}')) + length(regexp_extract(text, '{p}'))), chr(10))[1:4] END AS {n}" for n, p in _LABELS.items())
 _YEARS = ", ".join(
-    f"try_cast(regexp_extract(array_to_string({n}[1:coalesce(list_min(list_filter([2, 3, 4], lambda i: regexp_matches(coalesce({n}[i], ''), '^\\s*[A-Za-z][^\\n:]{{0,60}}:'))) - 1, 4)], ' '), '\\b(1[89]\\d\\d|20\\d\\d)\\b', 1) AS INTEGER) AS y_{n}"
+    f"try_cast(regexp_extract(array_to_string({n}[1:coalesce(list_min(list_filter([2, 3, 4], lambda i: regexp_matches(coalesce({n}[i], ''), '{textrules.LABEL_LINE.replace(chr(92) + 's', _WS)}'))) - 1, 4)], ' '), '{textrules.YEAR}', 1) AS INTEGER) AS y_{n}"
     for n in _LABELS
 )
 _FIELDS = rf"""
 SELECT doc_id, text, site,
-       CASE WHEN regexp_matches(text, '(?i)SITE\s+NAME\s*:?\s*([^\n]+)') THEN regexp_replace(regexp_extract(text, '(?i)SITE\s+NAME\s*:?\s*([^\n]+)', 1), '^\s+|\s+$', '', 'g')
-            ELSE regexp_replace(regexp_extract(regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_matches(x, '\S'))[1], ''), '^\s+|\s+$', '', 'g'), '^[^:\n]{{2,40}}:\s*([^\n]+)$', 1), '^\s+|\s+$', '', 'g') END AS citation_site_name,
+       CASE WHEN regexp_matches(text, '{_SITE}') THEN regexp_replace(regexp_extract(text, '{_SITE}', 1), '{_STRIP}', '', 'g')
+            ELSE regexp_replace(regexp_extract(regexp_replace(coalesce(list_filter(string_split(text, chr(10)), lambda x: regexp_replace(x, '{_WS}', '', 'g') <> '')[1], ''), '{_STRIP}', '', 'g'), '{_HEADER}', 1), '{_STRIP}', '', 'g') END AS citation_site_name,
        coalesce(y_act49, y_first) AS first_notified_year, CASE WHEN y_act49 IS NOT NULL THEN '1949-act' WHEN y_first IS NOT NULL THEN 'first-notified' END AS original_field,
        act49 IS NOT NULL OR first IS NOT NULL AS original_field_seen, coalesce(y_act81, y_again) AS renotified_year, y_revised AS revision_year,
        CASE WHEN regexp_matches(text, '{_NOTE}') THEN regexp_replace(
-         coalesce(string_split(substr(text, 1, spot - 1), chr(10))[-1], '') || found || string_split(substr(text, spot + length(found)), chr(10))[1], '^\s+|\s+$', '', 'g') END AS boundary_note
+         coalesce(string_split(substr(text, 1, spot - 1), chr(10))[-1], '') || found || string_split(substr(text, spot + length(found)), chr(10))[1], '{_STRIP}', '', 'g') END AS boundary_note
 FROM (SELECT *, {_YEARS}, regexp_extract(text, '{_NOTE}') AS found, strpos(text, regexp_extract(text, '{_NOTE}')) AS spot FROM (SELECT *, {_AFTER} FROM t))"""
 
 SQL = {
@@ -220,10 +223,10 @@ SELECT doc_id, a AS site, b AS cited, {_MATCH} AS matches FROM n""",
     "admission_cascade": rf"""
 WITH t AS ({_TEXTS}), f AS (SELECT *, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS})),
 r AS (
-  SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 19 = 0 THEN 'fetch-failed' WHEN NOT regexp_matches(text, '\S') THEN 'no-original-date'
+  SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 19 = 0 THEN 'fetch-failed' WHEN NOT (regexp_replace(text, '{_WS}', '', 'g') <> '') THEN 'no-original-date'
     WHEN NOT {_MATCH} THEN 'identity-unverified' WHEN first_notified_year IS NULL THEN 'no-original-date'
     WHEN revision_year > first_notified_year OR boundary_note IS NOT NULL THEN 'boundary-history-unresolved' ELSE 'ok' END AS reason FROM f)
-SELECT reason, CASE WHEN reason = 'no-original-date' THEN CASE WHEN NOT regexp_matches(text, '\S') THEN 'no-text' WHEN original_field_seen THEN 'original-field-blank' WHEN renotified_year IS NOT NULL THEN 'renotification-only' ELSE 'original-field-absent' END END AS reason_detail,
+SELECT reason, CASE WHEN reason = 'no-original-date' THEN CASE WHEN NOT (regexp_replace(text, '{_WS}', '', 'g') <> '') THEN 'no-text' WHEN original_field_seen THEN 'original-field-blank' WHEN renotified_year IS NOT NULL THEN 'renotification-only' ELSE 'original-field-absent' END END AS reason_detail,
        CASE WHEN reason = 'ok' THEN first_notified_year < 1975 END AS admitted_pre_1975, count(*) AS n,
        min(CASE WHEN reason IN ('ok', 'boundary-history-unresolved') THEN first_notified_year END) AS first_year FROM r GROUP BY ALL""",
 }
