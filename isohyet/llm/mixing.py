@@ -4,7 +4,7 @@ Targets share the mix by weight and stop at a multiple of their source. Blocks o
 highest quotients (target / 1, 3, 5, ...), a source's blocks go to its shards by highest quotients of the
 shards' sizes, and a source at its cap takes all its blocks as often as it may. The words of a shard, in a seeded order of its
 documents, are numbered blocks; its quota is so many passes over all of them and, of the rest, a run of blocks from a seeded
-number on. Quotients are never listed: rounding by the mean divisor leaves a remainder smaller than the number of
+number on, which goes on with the first after the last: every block is as likely as any other. Quotients are never listed: rounding by the mean divisor leaves a remainder smaller than the number of
 parties, and only that many seats are ranked. A source of any share is dealt into shards of some hundred rows, of
 SHARD_ROWS at most, however many rows there are, before anything is ordered. No Python runs on executors.
 
@@ -102,6 +102,18 @@ def apportion(parties: DataFrame, votes: str, seats: str, by: list[str], name: l
     ).select(*parties.columns, out)
 
 
+def run_of_blocks(held: Column, some: Column, block: int, *seeds: Column) -> tuple[Column, Column, Column]:
+    """(low, high, wrapped): some of held blocks, those from a seeded number on, as words low to high and the first wrapped words."""
+    first = F.when(some < held, F.pmod(F.xxhash64(*seeds), held)).otherwise(0)
+    return (first * block).alias("low"), ((first + some) * block).alias("high"), F.greatest(F.lit(0), (first + some - held) * block).alias("wrapped")
+
+
+def words_in_run(start: Column, size: Column, low: Column, high: Column, wrapped: Column) -> Column:
+    """How many of a document's words, size from start on, lie in the run. The last block may be short: no document has words beyond it."""
+    within = lambda a, b: F.greatest(F.lit(0), F.least(start + size, b) - F.greatest(start, a))
+    return within(low, high) + F.when(high > low, within(F.lit(0), wrapped)).otherwise(0)
+
+
 def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str = "text", seed: int = SEED, block: int = BLOCK_WORDS) -> DataFrame:
     """docs with size, source_size, target, taken (words, repeats counted) and copies (whole documents, for uses that can't cut)."""
     spark = docs.sparkSession
@@ -136,20 +148,17 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         .groupBy("__source", "source_size", "target", "capped", "n_shards", "blocks", "__shard")
         .agg(F.sum("words").alias("shard_words"))
     )
-    # a quota in blocks: whole passes, then blocks number first to first + some - 1
+    # a quota in blocks: whole passes, then some blocks from the first on
     held = F.ceil(F.col("shard_words") / block)
     quota = F.when(F.col("capped"), F.col("shard_words") * MAX_REPEATS).otherwise(F.least(F.col("shard_blocks") * block, F.col("shard_words") * MAX_REPEATS))
     rest = F.col("quota") - F.col("passes") * F.col("shard_words")
-    # the last block may be short: a run of blocks ends before it unless it takes all
-    first = F.when(F.col("some") < F.col("held"), F.pmod(F.xxhash64(F.lit(seed), "__source", "__shard"), F.col("held") - F.col("some"))).otherwise(0)
     quotas = (
         apportion(shards, "shard_words", "blocks", ["__source"], ["__shard"], "shard_blocks")
         .withColumn("held", held)
         .withColumn("quota", quota)
         .withColumn("passes", F.when(F.col("shard_words") > 0, F.expr("quota div shard_words")).otherwise(0))
         .withColumn("some", F.round(rest / block).cast("long"))
-        .withColumn("first", first)
-        .select(F.struct("source_size", "target", "passes", (F.col("first") * block).alias("low"), ((F.col("first") + F.col("some")) * block).alias("high")).alias(f"{own}quota"), F.col("__source").alias(f"{own}q_source"), F.col("__shard").alias(f"{own}q_shard"))
+        .select(F.struct("source_size", "target", "passes", *run_of_blocks(F.col("held"), F.col("some"), block, F.lit(seed), F.col("__source"), F.col("__shard"))).alias(f"{own}quota"), F.col("__source").alias(f"{own}q_source"), F.col("__shard").alias(f"{own}q_shard"))
         .checkpoint()
     )
     ns = _small(by_source.select(F.col("__source").alias(f"{own}n_source"), F.col("n_shards").alias(f"{own}n")))
@@ -161,7 +170,7 @@ def mix(docs: DataFrame, key: str = "doc_id", source: str = "source", text: str
         .join(_small(quotas), F.col(row_source).eqNullSafe(F.col(f"{own}q_source")) & (F.col(row_shard) == F.col(f"{own}q_shard")))
     )
     of = lambda name: F.col(f"{own}quota.{name}")
-    part = F.greatest(F.lit(0), F.least(F.col(row_start) + F.col("size"), of("high")) - F.greatest(F.col(row_start), of("low")))
+    part = words_in_run(F.col(row_start), F.col("size"), of("low"), of("high"), of("wrapped"))
     return dealt.withColumns({
         "source_size": of("source_size"),
         "target": of("target"),
