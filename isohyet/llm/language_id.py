@@ -31,6 +31,8 @@ WIDTHS = (8, 12, 14, 14)
 TRAIN_A_LANGUAGE = 300
 #: Landmarks in all; with more languages than that, one for each.
 LANDMARKS = 256
+#: Tables of languages of up to this many rows are broadcast, larger ones shuffled.
+BROADCAST_ROWS = 50_000
 #: Rows of the sample that one task sums, and the fixed point of the sums: integers add up alike in any order.
 ROWS_A_SUM, FIXED = 2_048, 2.0**24
 RIDGE = 1e-3
@@ -91,9 +93,11 @@ def fit(docs: DataFrame, key: str = "doc_id", text: str = "text", lang: str = "l
     rows = docs.select(F.col(key).cast("string").alias("key"), F.col(text).alias("text"), F.col(lang).alias("lang"))
     usable = rows.where((F.crc32("key") % HELD_OUT_OF != 0) & F.col("lang").isNotNull() & F.col("text").rlike(r"\p{L}"))
     # each document by its own hash, at a rate that leaves about TRAIN_A_LANGUAGE of a language; equal sets count once
-    rates = usable.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), TRAIN_A_LANGUAGE / F.count(F.lit(1))).alias("rate"))
+    rates = usable.groupBy(F.col("lang").alias("of")).agg(F.least(F.lit(1.0), TRAIN_A_LANGUAGE / F.count(F.lit(1))).alias("rate")).checkpoint()
+    if rates.count() <= BROADCAST_ROWS:
+        rates = F.broadcast(rates)
     place = F.pmod(F.xxhash64(F.lit("train"), "key"), F.lit(1 << 40)) / F.lit(float(1 << 40))
-    chosen = usable.withColumn("place", place).join(F.broadcast(rates), F.col("lang") == F.col("of")).where(F.col("place") < F.col("rate"))
+    chosen = usable.withColumn("place", place).join(rates, F.col("lang") == F.col("of")).where(F.col("place") < F.col("rate"))
     sample = chosen.select("text", "lang").mapInArrow(_sets, "lang string, bits binary").distinct().checkpoint()
     held = {r[0]: r[1] for r in sample.groupBy("lang").count().collect()}
     names, n = sorted(held), sum(held.values())
