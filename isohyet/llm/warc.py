@@ -1,16 +1,16 @@
 """Operator 7, WARC: a deterministic sharded writer and its reader.
 
 Digests of equal payloads are found first, narrow: only digests that occur twice keep a row, with their smallest page. The
-bounds of the page ranges come from the data alone: exact running sums of the payloads' bytes by page, cut at every
-RANGES-th of their total, between two limits. A range's number, place by place, deals the records out, so that any number
-of partitions, and any rerun, gives the same files. Every task sorts its range and writes compressed records, one gzip member
+bounds of the ranges come from the data alone: exact running sums of the payloads' bytes in order of page, digest and url's hash, cut at every
+RANGES-th of their total, between two limits, so that rows without an id, or of one page, spread over ranges too. A range's
+number, place by place, deals the records out, so that any number of partitions, and any rerun, gives the same files. Every task sorts its range and writes compressed records, one gzip member
 each, to files under a temporary name and rolls to the next at a compressed size; headers and digests are made anew from the
 payload. Only what a successful task returns is committed: tasks give those files their final names, the manifest follows, and
 the rest goes, so that retries and speculative tasks leave nothing behind. Files go through pyarrow's file systems: to any
 address they know.
 
-Defined cases: a null or empty payload has 0 bytes and its own digest; of rows with one page_id and one payload, the first by
-url (a missing one last) is the response and the others revisit it; a null page_id comes last; a missing url is written as an
+Defined cases: a null or empty payload has 0 bytes and its own digest; of rows with one page_id and one payload, the first by the
+hash of its url is the response and the others revisit it; rows equal in all three lie beside each other in one range; a null page_id comes last; a missing url is written as an
 empty target; a payload of any length is one record; an empty table gives a manifest without files; extra columns are ignored.
 """
 
@@ -22,6 +22,7 @@ import hashlib
 import json
 import uuid
 import zlib
+from bisect import bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -117,9 +118,9 @@ def _writer(folder: str, roll: int):
                         name = f"_temporary/{part:06d}-{nth:04d}-{task.taskAttemptId()}-{uuid.uuid4().hex}"
                         out, size, records, digest = store.open_output_stream(f"{base}/{name}", compression=None), 0, 0, hashlib.sha256()
                     payload = (r["html"] or "").encode()
-                    same = (r["page_id"], r["digest"])
+                    same = (r["page_id"], r["digest"], r["url_hash"])
                     first = r["first"] if r["twice"] else r["page_id"]
-                    revisit = len(payload) >= r["least"] and r["twice"] and (first != r["page_id"] or same == last)
+                    revisit = len(payload) >= r["least"] and r["twice"] and ((first, r["first_url"]) != (r["page_id"], r["url_hash"]) or same == last)
                     last = same
                     data = encode_record(r["page_id"], r["url"], payload, first, revisit)
                     out.write(data)
@@ -136,23 +137,27 @@ def _writer(folder: str, roll: int):
     return run
 
 
-def page_bounds(pages: DataFrame, ranges: tuple[int, tuple[int, int]] = (RANGES, RANGE_BYTES)) -> np.ndarray:
-    """The first page_id of every range but the first, from (page_id, bytes) rows: a page goes to the number of bounds up to it."""
-    by_page = pages.where(F.col("page_id").isNotNull()).groupBy("page_id").agg(F.sum("bytes").alias("bytes"))
+#: What orders records: a missing page last, then page, digest and url, the last two by hash.
+ORDER = ("none", "page", "digest_hash", "url_hash")
+
+
+def record_bounds(records: DataFrame, ranges: tuple[int, tuple[int, int]] = (RANGES, RANGE_BYTES)) -> list[tuple]:
+    """The first key of every range but the first, from (*ORDER, bytes) rows: a record goes to the number of bounds up to it."""
+    by_key = records.groupBy(*ORDER).agg(F.sum("bytes").alias("bytes"))
     # the order's partitions may fall anywhere: running sums don't depend on them
-    ordered = by_page.repartitionByRange("page_id").withColumn("part", F.spark_partition_id()).checkpoint()
+    ordered = by_key.repartitionByRange(*ORDER).withColumn("part", F.spark_partition_id()).checkpoint()
     parts = ordered.groupBy("part").agg(F.sum("bytes").alias("held")).select("part", "held").orderBy("part").collect()
     if not parts:
-        return np.zeros(0, np.int64)
+        return []
     held = np.array([r.held for r in parts], np.int64)
     least, most = ranges[1]
     size = int(min(max(held.sum() // ranges[0], least), most))
     base = ordered.sparkSession.createDataFrame([(r.part, int(at)) for r, at in zip(parts, held.cumsum() - held, strict=True)], "part int, base long")
-    inside = Window.partitionBy("part").orderBy("page_id").rowsBetween(Window.unboundedPreceding, -1)
+    inside = Window.partitionBy("part").orderBy(*ORDER).rowsBetween(Window.unboundedPreceding, -1)
     at = F.col("base") + F.coalesce(F.sum("bytes").over(inside), F.lit(0))
-    numbered = ordered.join(F.broadcast(base), "part").withColumn("at", at).select("page_id", F.expr(f"at div {size}").alias("nth"))
-    first = numbered.groupBy("nth").agg(F.min("page_id").alias("first")).where("nth > 0").orderBy("nth").collect()
-    return np.array([r.first for r in first], np.int64)
+    numbered = ordered.join(F.broadcast(base), "part").withColumn("at", at).select(F.struct(*ORDER).alias("key"), F.expr(f"at div {size}").alias("nth"))
+    first = numbered.groupBy("nth").agg(F.min("key").alias("first")).where("nth > 0").orderBy("nth").collect()
+    return [tuple(r.first) for r in first]
 
 
 def _renamer(folder: str):
@@ -177,25 +182,30 @@ def write_warc(
     spark = pages.sparkSession
     ship_package(spark)
     shared_dir(spark)
-    rows = pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html")).withColumn("digest", F.unhex(F.sha1(F.coalesce("html", F.lit("")).cast("binary"))))
-    narrow = rows.select("page_id", "digest", (F.octet_length(F.coalesce("html", F.lit(""))) + 64).cast("long").alias("bytes")).checkpoint()
-    twice = narrow.groupBy("digest").agg(F.min("page_id").alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", "first", F.lit(True).alias("twice")).checkpoint()
+    html = F.coalesce("html", F.lit(""))
+    rows = (
+        pages.select(F.col(key).cast("long").alias("page_id"), F.col(url).alias("url"), F.col(payload).alias("html"))
+        .withColumn("digest", F.unhex(F.sha1(html.cast("binary"))))
+        .withColumns({"none": F.col("page_id").isNull(), "page": F.coalesce("page_id", F.lit(0)), "digest_hash": F.xxhash64("digest"), "url_hash": F.xxhash64("url")})
+    )
+    narrow = rows.select("page_id", "digest", *ORDER, (F.octet_length(html) + 64).cast("long").alias("bytes")).checkpoint()
+    first = F.min(F.struct("none", "page_id", "url_hash"))
+    twice = narrow.groupBy("digest").agg(first.alias("first"), F.count(F.lit(1)).alias("n")).where("n > 1").select("digest", F.col("first.page_id").alias("first"), F.col("first.url_hash").alias("first_url"), F.lit(True).alias("twice")).checkpoint()
     if twice.count() <= BROADCAST_ROWS:
         twice = F.broadcast(twice)
-    bounds = page_bounds(narrow.select("page_id", "bytes"), ranges)
+    bounds = record_bounds(narrow.select(*ORDER, "bytes"), ranges)
 
     @F.arrow_udf("int")
-    def place(ids: pa.Array) -> pa.Array:
-        at = np.searchsorted(bounds, np.asarray(ids.fill_null(np.iinfo(np.int64).max)), "right")
-        return pa.array(np.where(np.asarray(ids.is_null()), len(bounds), at), pa.int32())
+    def place(none: pa.Array, page: pa.Array, digest_hash: pa.Array, url_hash: pa.Array) -> pa.Array:
+        return pa.array([bisect_right(bounds, x) for x in zip(*(c.to_pylist() for c in (none, page, digest_hash, url_hash)), strict=True)], pa.int32())
 
     records = (
         rows.join(twice, "digest", "left")
-        .select("page_id", "url", "html", "digest", "first", F.coalesce("twice", F.lit(False)).alias("twice"), F.lit(least).alias("least"))
-        .withColumn("part", place("page_id"))
+        .select("page_id", "url", "html", "digest", "first", "first_url", F.coalesce("twice", F.lit(False)).alias("twice"), F.lit(least).alias("least"), *ORDER)
+        .withColumn("part", place(*ORDER))
         .repartitionById(len(bounds) + 1, "part")
         .drop("part")
-        .sortWithinPartitions(F.col("page_id").asc_nulls_last(), "digest", F.col("url").asc_nulls_last())
+        .sortWithinPartitions(*ORDER, "digest", F.col("url").asc_nulls_last())
     )
     store, base = fs.FileSystem.from_uri(folder)
     store.create_dir(f"{base}/_temporary")

@@ -83,5 +83,31 @@ def test_files_do_not_depend_on_partitions(spark):
 
 
 def test_bounds_are_exact_quantiles(spark):
-    rows = spark.createDataFrame([(i, 10) for i in range(100)] + [(None, 10)], "page_id long, bytes long")
-    assert warc.page_bounds(rows, (4, (1, 1 << 30))).tolist() == [25, 50, 75]
+    rows = spark.createDataFrame([(False, i, 5, 6, 10) for i in range(100)] + [(True, 0, 1, 2, 10)], "none boolean, page long, digest_hash long, url_hash long, bytes long")
+    assert warc.record_bounds(rows, (4, (1, 1 << 30))) == [(False, 26, 5, 6), (False, 51, 5, 6), (False, 76, 5, 6)]
+
+
+def test_missing_ids_and_one_page_spread_over_files(spark):
+    """Half of the rows have no id, a quarter is one page, and of each a part has one payload: files are of even size all the same."""
+    n = 12_000
+    pages = spark.range(n).selectExpr(
+        "CASE WHEN id % 2 = 0 THEN NULL WHEN id % 4 = 1 THEN 7 ELSE id END AS page_id", "concat('http://h/', id) AS url",
+        "CASE WHEN id % 3 = 0 THEN 'the same payload of some length, again and again' ELSE sha2(cast(id AS string), 512) END AS html",
+    )
+    folder = f"file://{tempfile.mkdtemp()}"
+    entries = warc.write_warc(pages, folder, ranges=(10, (1_000, 1 << 30)))
+    sizes = [e["records"] for e in entries]
+    assert len(sizes) == 10 and sum(sizes) == n and max(sizes) < 1.5 * n / 10
+    got = warc.read_warc(spark, folder)
+    kinds = {(r.page_id, r.record_type): r.n for r in got.where("payload_bytes < 100").groupBy("page_id", "record_type").count().withColumnRenamed("count", "n").collect()}
+    # the smallest page among equal payloads has the only response
+    assert [k for k in kinds if k[1] == "response"] == [(3, "response")] and kinds[3, "response"] == 1 and sum(kinds.values()) == n // 3
+    assert got.where("payload_bytes >= 100 and record_type <> 'response'").count() == 0
+
+
+def test_equal_rows_of_a_page_have_one_response(spark):
+    rows = [(None, "b", "x"), (None, "a", "x"), (None, "a", "x"), (None, None, "x"), (None, None, "x")]
+    for ranges in ((64, (8 << 20, 1 << 30)), (5, (1, 1 << 30))):
+        folder = f"file://{tempfile.mkdtemp()}"
+        warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, ranges=ranges)
+        assert sorted(r.record_type for r in warc.read_warc(spark, folder).collect()) == ["response"] + ["revisit"] * 4
