@@ -159,6 +159,28 @@ SELECT doc_id, text, site,
          coalesce(string_split(substr(text, 1, spot - 1), chr(10))[-1], '') || found || string_split(substr(text, spot + length(found)), chr(10))[1], '{_STRIP}', '', 'g') END AS boundary_note
 FROM (SELECT *, {_YEARS}, regexp_extract(text, '{_NOTE}') AS found, strpos(text, regexp_extract(text, '{_NOTE}')) AS spot FROM (SELECT *, {_AFTER} FROM t))"""
 
+_BLANK = f"regexp_replace(text, '{_WS}', '', 'g') = ''"
+#: The relation j: texts with what they say and how they are judged.
+_JUDGED = rf"""
+WITH t AS ({_TEXTS}), f AS (SELECT *, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS})),
+r AS (
+  SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 19 = 0 THEN 'fetch-failed' WHEN {_BLANK} THEN 'no-original-date'
+    WHEN NOT {_MATCH} THEN 'identity-unverified' WHEN first_notified_year IS NULL THEN 'no-original-date'
+    WHEN revision_year > first_notified_year OR boundary_note IS NOT NULL THEN 'boundary-history-unresolved' ELSE 'ok' END AS reason FROM f),
+j AS (
+  SELECT *, CASE WHEN reason = 'no-original-date' THEN CASE WHEN {_BLANK} THEN 'no-text' WHEN original_field_seen THEN 'original-field-blank' WHEN renotified_year IS NOT NULL THEN 'renotification-only' ELSE 'original-field-absent' END END AS reason_detail,
+    CASE WHEN reason = 'ok' THEN first_notified_year < 1975 END AS admitted_pre_1975, CASE WHEN reason IN ('ok', 'boundary-history-unresolved') THEN first_notified_year END AS year FROM r)"""
+#: The citations of a review, each beside its site's row in the register.
+REVIEW_SQL = f"""
+{_JUDGED},
+s AS (
+  SELECT a AS site_name, count(*) AS n_citations, count(year) FILTER (WHERE reason = 'ok') AS n_admitted, min(year) FILTER (WHERE reason = 'ok') AS site_year,
+         count(DISTINCT year) FILTER (WHERE reason = 'ok') AS n_years, max(revision_year) AS last_revision FROM j GROUP BY a)
+SELECT doc_id::VARCHAR AS key, length(text) AS n_chars, site_name, citation_site_name, year AS first_notified_year, CASE WHEN year IS NOT NULL THEN original_field END AS original_field, renotified_year, revision_year,
+       boundary_note, reason_detail, admitted_pre_1975, reason, n_citations, n_admitted, site_year, n_years, last_revision,
+       CASE WHEN n_years > 1 THEN 'conflicting' WHEN site_year < 1975 THEN 'admitted' WHEN n_years = 1 THEN 'later' ELSE 'unresolved' END AS status
+FROM j JOIN s ON a = site_name"""
+
 SQL = {
     "epoch_provenance": """
 WITH e AS (SELECT DISTINCT (1960 + o_orderkey % 75)::INTEGER AS epoch FROM orders),
@@ -220,14 +242,8 @@ FROM lineitem WHERE month(l_shipdate) BETWEEN 5 AND 9 GROUP BY ALL""",
     "name_normalise_match": f"""
 WITH t AS ({_TEXTS}), n AS (SELECT doc_id, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS}))
 SELECT doc_id, a AS site, b AS cited, {_MATCH} AS matches FROM n""",
-    "admission_cascade": rf"""
-WITH t AS ({_TEXTS}), f AS (SELECT *, {_NORM.format('site')} AS a, {_NORM.format('citation_site_name')} AS b FROM ({_FIELDS})),
-r AS (
-  SELECT *, CASE WHEN doc_id % 13 = 0 THEN 'no-citation-key' WHEN doc_id % 19 = 0 THEN 'fetch-failed' WHEN NOT (regexp_replace(text, '{_WS}', '', 'g') <> '') THEN 'no-original-date'
-    WHEN NOT {_MATCH} THEN 'identity-unverified' WHEN first_notified_year IS NULL THEN 'no-original-date'
-    WHEN revision_year > first_notified_year OR boundary_note IS NOT NULL THEN 'boundary-history-unresolved' ELSE 'ok' END AS reason FROM f)
-SELECT reason, CASE WHEN reason = 'no-original-date' THEN CASE WHEN NOT (regexp_replace(text, '{_WS}', '', 'g') <> '') THEN 'no-text' WHEN original_field_seen THEN 'original-field-blank' WHEN renotified_year IS NOT NULL THEN 'renotification-only' ELSE 'original-field-absent' END END AS reason_detail,
-       CASE WHEN reason = 'ok' THEN first_notified_year < 1975 END AS admitted_pre_1975, count(*) AS n,
-       min(CASE WHEN reason IN ('ok', 'boundary-history-unresolved') THEN first_notified_year END) AS first_year FROM r GROUP BY ALL""",
+    "admission_cascade": f"""
+{_JUDGED}
+SELECT reason, reason_detail, admitted_pre_1975, count(*) AS n, min(year) AS first_year FROM j GROUP BY ALL""",
 }
 QUERIES = {name: globals()[name] for name in SQL}
