@@ -54,3 +54,9 @@ def resolved_type(declared: Column, is_time: Column, name: Column) -> Column:
 def decimal_places(text: Column) -> Column:
     """Digits behind the point in the text of a number."""
     return F.length(F.coalesce(F.get(F.split(text, r"\."), F.lit(1)), F.lit(""))).cast("int")
+
+
+def finite(value: Column) -> Column:
+    """value as a double, null where it is NaN or infinite."""
+    number = value.cast("double")
+    return F.when(~F.isnan(number) & (F.abs(number) < float("inf")), number)

@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions.coerce import finite
+
 #: Magnitude bands of quality-control changes and hours-a-day bins.
 MAGNITUDES = ((0.2, "<=0.2"), (1.0, "0.2-1"), (5.0, "1-5"), (20.0, "5-20"))
 DAY_BINS = ((1, "1"), (3, "2-3"), (11, "4-11"), (19, "12-19"))
@@ -48,19 +50,31 @@ def reconcile(old: DataFrame, new: DataFrame, by: str, columns: list[str], digit
 
 
 def qc_effects(before: DataFrame, after: DataFrame, keys: list[str], value: str, order: list) -> DataFrame:
-    """Rows of after with delta (0 where before lacks the key), changed and band; duplicate keys settle on the first in order."""
-    a = one_per_key(after, keys, order)
-    b = one_per_key(before, keys, order).select(*[F.col(k).alias(f"b_{k}") for k in keys], F.col(value).alias("b_value"))
+    """Rows of after with matched, outcome, delta, changed and band; duplicate keys settle on the first in order.
+
+    outcome: 'created' where control gave a value to a report without one, 'deleted' where it took it, 'changed', 'unchanged' (missing in
+    both as well) or 'unmatched', where before lacks the key. delta is 0 but for changed values; created and deleted ones have none. NaN is missing.
+    """
+    a = one_per_key(after, keys, order).withColumn(value, finite(F.col(value)))
+    b = one_per_key(before, keys, order).select(*[F.col(k).alias(f"b_{k}") for k in keys], finite(F.col(value)).alias("b_value"), F.lit(True).alias("b_there"))
     on = [F.col(k).eqNullSafe(F.col(f"b_{k}")) for k in keys]
-    delta = F.coalesce(F.col(value) - F.col("b_value"), F.lit(0.0))
-    joined = a.join(b, on, "left").withColumn("matched", F.col("b_value").isNotNull()).withColumn("delta", delta).withColumn("changed", F.col("delta") != 0)
-    return joined.withColumn("band", F.when(F.col("changed"), banded(F.abs("delta"), MAGNITUDES, ">20"))).drop(*[f"b_{k}" for k in keys], "b_value")
+    had, has = F.col("b_value").isNotNull(), F.col(value).isNotNull()
+    outcome = F.when(~F.col("matched"), "unmatched").when(~had & has, "created").when(had & ~has, "deleted").when(had & has & (F.col(value) != F.col("b_value")), "changed").otherwise("unchanged")
+    joined = a.join(b, on, "left").withColumn("matched", F.coalesce("b_there", F.lit(False))).withColumn("outcome", outcome).withColumn("changed", F.col("outcome") == "changed")
+    delta = F.when(F.col("changed"), F.col(value) - F.col("b_value")).when(~F.col("outcome").isin("created", "deleted"), 0.0)
+    joined = joined.withColumn("delta", delta)
+    return joined.withColumn("band", F.when(F.col("changed"), banded(F.abs("delta"), MAGNITUDES, ">20"))).drop(*[f"b_{k}" for k in keys], "b_value", "b_there")
 
 
 def two_part(effects: DataFrame, by: str) -> DataFrame:
-    """(by, n, n_changed, p_changed, mean_when_changed, mean_delta): probability of a change times its mean."""
+    """(by, n, n_created, n_deleted, n_changed, p_changed, mean_when_changed, mean_delta): probability of a change times its mean.
+
+    Values created and deleted are counted apart: n and the two parts are over the others.
+    """
+    compared = ~F.col("outcome").isin("created", "deleted")
     return effects.groupBy(by).agg(
-        F.count(F.lit(1)).alias("n"), F.count_if("changed").alias("n_changed"), (F.count_if("changed") / F.count(F.lit(1))).alias("p_changed"),
+        F.count_if(compared).alias("n"), F.count_if(F.col("outcome") == "created").alias("n_created"), F.count_if(F.col("outcome") == "deleted").alias("n_deleted"),
+        F.count_if("changed").alias("n_changed"), F.try_divide(F.count_if("changed"), F.count_if(compared)).alias("p_changed"),
         F.avg(F.when(F.col("changed"), F.col("delta"))).alias("mean_when_changed"), F.avg("delta").alias("mean_delta"),
     )
 

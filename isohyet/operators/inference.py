@@ -5,19 +5,25 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions.coerce import finite
 from isohyet.operators.ranking import ranked
 
 
 def benjamini_hochberg(tests: DataFrame, key: str, p: str, alpha: float = 0.05, family: str | None = None) -> DataFrame:
-    """tests with rank and significant: all up to the largest rank k with p <= k / m * alpha, within each family."""
-    placed = ranked(tests, [p, key], family)
+    """tests with rank and significant: all up to the largest rank k with p <= k / m * alpha, within each family.
+
+    A missing or NaN p is no test: it has no rank, counts in no m and isn't significant.
+    """
+    done = finite(F.col(p)).isNotNull()
+    placed = ranked(tests.where(done), [p, key], family)
     group = [F.col(family).alias("__family")] if family else []
-    sizes = tests.groupBy(*group).agg(F.count(F.lit(1)).alias("__m"))
+    sizes = tests.where(done).groupBy(*group).agg(F.count(F.lit(1)).alias("__m"))
     on = F.col(family).eqNullSafe(F.col("__family")) if family else F.lit(True)
     tried = placed.join(sizes, on)
     cut = tried.where(F.col(p) <= F.col("rank") * alpha / F.col("__m")).groupBy(*[F.col("__family").alias("__f")] * bool(family)).agg(F.max("rank").alias("__top"))
     back = F.col(family).eqNullSafe(F.col("__f")) if family else F.lit(True)
-    return tried.join(cut, back, "left").withColumn("significant", F.coalesce(F.col("rank") <= F.col("__top"), F.lit(False))).drop("__m", "__family", "__f", "__top")
+    judged = tried.join(cut, back, "left").withColumn("significant", F.coalesce(F.col("rank") <= F.col("__top"), F.lit(False))).drop("__m", "__family", "__f", "__top")
+    return judged.unionByName(tests.where(done.isNull() | ~done).withColumns({"rank": F.lit(None).cast("long"), "significant": F.lit(False)}))
 
 
 def familywise_tolerance(draws: DataFrame, draw: str, z: Column, level: float = 0.99) -> DataFrame:

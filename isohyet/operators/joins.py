@@ -22,8 +22,10 @@ def as_of(left: DataFrame, right: DataFrame, by: str, time: str, values: list[st
 def within_spans(points: DataFrame, spans: DataFrame, by: str, time: str, start: str, end: str, width: int) -> DataFrame:
     """points beside the spans of the same by with start <= time < end (numbers), through an equi-join on slots of a width.
 
-    A span is repeated for every slot that it touches, so the width should be near a usual span.
+    A span is repeated for every slot that it touches, so the width should be near a usual span. Spans without both ends, and points
+    without a time, meet nothing; an infinite end is an error, as it touches slots without end.
     """
+    ends = F.when((F.abs(F.col(start)) < float("inf")) & (F.abs(F.col(end)) < float("inf")), F.floor(F.col(end) / width)).otherwise(F.raise_error(F.lit("a span has no end")))
     p = points.withColumn("__slot", F.floor(F.col(time) / width))
-    s = spans.where(F.col(start) < F.col(end)).withColumn("__slot", F.explode(F.sequence(F.floor(F.col(start) / width), F.floor((F.col(end) - 1) / width))))
+    s = spans.where((F.col(start) < F.col(end)) & ~F.isnan(F.col(end).cast("double"))).withColumn("__slot", F.explode(F.sequence(F.floor(F.col(start) / width), ends)))
     return p.join(s, [by, "__slot"]).where((F.col(start) <= F.col(time)) & (F.col(time) < F.col(end))).drop("__slot")

@@ -10,9 +10,9 @@ def segments(years: DataFrame, station: str = "station", year: str = "year", aws
     """(station, segment, start_year, end_year, break_reason, era, n_segments, first_year, last_year).
 
     A segment begins at a gap, or where automatic recording begins within a run. A gap names the reason where both fall
-    on one year. Equal rows count once; aws: column with the year from which recording is automatic (null: unknown).
+    on one year. Equal rows count once, rows without a year don't; aws: column with the year from which recording is automatic (null: unknown).
     """
-    rows = years.select(F.col(station).alias("station"), F.col(year).alias("year"), (F.col(aws) if aws else F.lit(None)).cast("bigint").alias("aws")).distinct()
+    rows = years.where(F.col(year).isNotNull()).select(F.col(station).alias("station"), F.col(year).alias("year"), (F.col(aws) if aws else F.lit(None)).cast("bigint").alias("aws")).distinct()
     w = Window.partitionBy("station").orderBy("year")
     lagged = rows.withColumn("before", F.lag("year").over(w))
     reason = F.when(F.col("before").isNull(), "open").when(F.col("year") != F.col("before") + 1, "resumed-after-gap").when(F.col("year") == F.col("aws"), "aws-transition")

@@ -2,10 +2,15 @@
 
 from __future__ import annotations
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
+from isohyet.functions.coerce import finite
 from isohyet.operators.ranking import ranked
+from isohyet.operators.slopes import median_slope
+from isohyet.session import ship_package
 
 LEAST = 24
 R1_MOST = 0.99
@@ -13,7 +18,7 @@ R1_MOST = 0.99
 
 def monthly_anomalies(series: DataFrame, by: str = "series", month: str = "month", value: str = "value", least: int = 3) -> DataFrame:
     """series with anomaly: value less the mean of its calendar month (month % 12); months of fewer than least values have none."""
-    clean = series.withColumn(value, F.when(~F.isnan(F.col(value).cast("double")), F.col(value).cast("double")))
+    clean = series.withColumn(value, finite(F.col(value)))
     w = Window.partitionBy(by, F.pmod(F.col(month), F.lit(12)))
     return clean.withColumn("anomaly", F.when(F.count(value).over(w) >= least, F.col(value) - F.avg(value).over(w)))
 
@@ -23,9 +28,9 @@ def break_trend(series: DataFrame, breaks: DataFrame | None = None, by: str = "s
 
     Slope and one intercept a segment span what a slope with step dummies does, so that demeaning within segments
     leaves two sums. breaks: (by, months array<double>); those outside the open support of the values don't count. Fewer
-    than 24 values have no fit. The standard error takes the effective number of values under AR(1) residuals.
+    than 24 finite values have no fit. The standard error takes the effective number of values under AR(1) residuals.
     """
-    rows = series.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(month).cast("double").alias("t"), F.col(value).cast("double").alias("y"))
+    rows = series.select(F.col(by).alias("by"), F.col(month).cast("double").alias("t"), finite(F.col(value)).alias("y")).where("y IS NOT NULL AND t IS NOT NULL")
     if breaks is not None:
         rows = rows.join(breaks.select(F.col(by).alias("b_by"), "months"), F.col("by").eqNullSafe(F.col("b_by")), "left").drop("b_by")
     else:
@@ -57,7 +62,7 @@ def paired_difference(series: DataFrame, pairs: DataFrame, breaks: DataFrame | N
 
     series: (station, month, value); pairs: (pair, a, b); breaks: (station, months array<double>), joined for both stations.
     """
-    s = series.where(F.col("value").isNotNull() & ~F.isnan(F.col("value").cast("double"))).select(F.col(station).alias("station"), "month", "value")
+    s = series.select(F.col(station).alias("station"), "month", finite(F.col("value")).alias("value")).where("value IS NOT NULL")
     a = pairs.join(s, pairs["a"] == s["station"]).select("pair", "b", "month", F.col("value").alias("va"))
     b = s.select(F.col("station").alias("s_b"), F.col("month").alias("m_b"), F.col("value").alias("vb"))
     diff = a.join(b, (F.col("b") == F.col("s_b")) & (F.col("month") == F.col("m_b"))).select("pair", "month", (F.col("va") - F.col("vb")).alias("value"))
@@ -71,7 +76,7 @@ def paired_difference(series: DataFrame, pairs: DataFrame, breaks: DataFrame | N
 
 def pair_mean(fits: DataFrame) -> DataFrame:
     """(n_pairs, mean_slope, se): over pairs with a slope."""
-    ok = fits.where(F.col("slope").isNotNull())
+    ok = fits.withColumn("slope", finite(F.col("slope"))).where("slope IS NOT NULL")
     return ok.agg(F.count(F.lit(1)).alias("n_pairs"), F.avg("slope").alias("mean_slope"), (F.stddev_samp("slope") / F.sqrt(F.count(F.lit(1)))).alias("se"))
 
 
@@ -84,16 +89,24 @@ def make_pairs(treated: DataFrame, controls: DataFrame, seed: int = 0) -> DataFr
 def split_slopes(series: DataFrame, at: float | Column, by: str = "series", month: str = "month", value: str = "value") -> DataFrame:
     """(by, naive_slope): mean of the slopes before and after a break (a month, or a column with each series' own). A break confounds it; kept to show that."""
     x = F.col(month).cast("double") / 120
-    side = series.withColumn("late", F.col(month) >= at).groupBy(by, "late").agg(F.regr_slope(value, x).alias("s"))
+    side = series.withColumn("late", F.col(month) >= at).groupBy(by, "late").agg(F.regr_slope(finite(F.col(value)), x).alias("s"))
     return side.groupBy(by).agg(F.avg("s").alias("naive_slope"))
 
 
 def theil_sen(series: DataFrame, by: str = "series", month: str = "month", value: str = "value") -> DataFrame:
-    """(by, slope, n_pairs): exact median of the slopes of all pairs of a series (monthly series are short), per decade."""
-    s = series.where(F.col(value).isNotNull()).select(F.col(by).alias("by"), F.col(month).alias("m"), F.col(value).alias("v"))
-    o = s.select("by", F.col("m").alias("m2"), F.col("v").alias("v2"))
-    pairs = s.join(o, "by").where(F.col("m") < F.col("m2"))
-    return pairs.groupBy(F.col("by").alias(by)).agg((F.percentile((F.col("v2") - F.col("v")) / (F.col("m2") - F.col("m")), 0.5) * 120).alias("slope"), F.count(F.lit(1)).alias("n_pairs"))
+    """(by, slope, n_pairs): exact median of the slopes of all pairs of a series, per decade; null without a pair.
+
+    A series is one group, of at most the hours of a station's life; its pairs are counted, not laid out (slopes.median_slope).
+    """
+    ship_package(series.sparkSession)
+    s = series.select(F.col(by).alias("by"), finite(F.col(month)).alias("t"), finite(F.col(value)).alias("y")).where("t IS NOT NULL AND y IS NOT NULL")
+
+    def fit(table: pa.Table) -> pa.Table:
+        slope, pairs = median_slope(*(table.column(c).to_numpy() for c in ("t", "y")))
+        return pa.table({"by": table.column("by").slice(0, 1), "slope": pa.array([None if slope is None else slope * 120], pa.float64()), "n_pairs": [pairs]})
+
+    fits = s.groupBy("by").applyInArrow(fit, T.StructType([s.schema["by"], T.StructField("slope", T.DoubleType()), T.StructField("n_pairs", T.LongType())]))
+    return fits.withColumnRenamed("by", by)
 
 
 def clustered_bootstrap(values: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 1) -> DataFrame:

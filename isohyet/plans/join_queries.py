@@ -17,8 +17,9 @@ def as_of_join(spark: SparkSession, d: str) -> DataFrame:
 
 
 def interval_join(spark: SparkSession, d: str) -> DataFrame:
-    """Every event beside the errors of its user whose following one to three hours it falls in."""
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type", F.unix_seconds(F.col("ts").cast("timestamp")).alias("at"))
+    """Every event beside the errors of its user whose following one to three hours it falls in, to parts of a second; some events have no time."""
+    at = F.when(F.col("event_id") % 37 != 0, F.unix_micros(F.col("ts").cast("timestamp")) / F.lit(1e6))
+    e = table(spark, d, "events").select("event_id", "user_id", "event_type", at.alias("at"))
     spans = e.where("event_type = 'error'").select(F.col("event_id").alias("span"), "user_id", F.col("at").alias("start"), (F.col("at") + 3_600 * (1 + F.col("event_id") % 3)).alias("end"))
     return joins.within_spans(e, spans, "user_id", "at", "start", "end", 7_200).select("event_id", "span")
 
@@ -60,7 +61,7 @@ WITH r AS (SELECT * FROM events WHERE event_type = 'error'),
 j AS (SELECT l.event_id, l.user_id, r.event_id AS last_event, r.value AS last_value, row_number() OVER (PARTITION BY l.event_id ORDER BY r.ts DESC, r.event_id DESC, r.value DESC) AS n FROM events l LEFT JOIN r ON r.user_id = l.user_id AND r.ts <= l.ts)
 SELECT event_id, user_id, last_event, last_value FROM j WHERE n = 1""",
     "interval_join": """
-WITH e AS (SELECT event_id, user_id, event_type, floor(epoch(ts))::BIGINT AS t FROM events)
+WITH e AS (SELECT event_id, user_id, event_type, CASE WHEN event_id % 37 <> 0 THEN epoch_us(ts) / 1e6::DOUBLE END AS t FROM events)
 SELECT p.event_id, s.event_id AS span FROM e p JOIN e s ON s.event_type = 'error' AND p.user_id = s.user_id AND p.t >= s.t AND p.t < s.t + 3600 * (1 + s.event_id % 3)""",
     "semi_join": "SELECT c_custkey, c_nationkey FROM customer WHERE EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey AND o_totalprice > 200000)",
     "intersect_nations": "SELECT c_nationkey AS nation FROM customer INTERSECT SELECT s_nationkey FROM supplier",

@@ -12,10 +12,12 @@ BREAK = 36.0  # months after January 1995: the start of 1998
 
 
 def _series(spark: SparkSession, d: str) -> DataFrame:
-    """(series, month, value): mean quantity by return flag and month of shipping, counted from January 1995."""
+    """(series, month, value): mean quantity by return flag and month of shipping, counted from January 1995; some months are missing, NaN or infinite."""
     l = table(spark, d, "lineitem")
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("bigint")
-    return l.groupBy(F.col("l_returnflag").alias("series"), month.alias("month")).agg(F.avg("l_quantity").alias("value"))
+    s = l.groupBy(F.col("l_returnflag").alias("series"), month.alias("month")).agg(F.avg("l_quantity").alias("value"))
+    nth = F.pmod("month", F.lit(17))
+    return s.withColumn("value", F.when(nth == 3, F.lit(None)).when(nth == 7, float("nan")).when(nth == 11, float("-inf")).otherwise(F.col("value")))
 
 
 def _breaks(series: DataFrame, key: str = "series") -> DataFrame:
@@ -63,18 +65,21 @@ def day_density_histogram(spark: SparkSession, d: str) -> DataFrame:
 def _effects(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").select("event_id", "user_id", "event_type", "value", F.to_date("ts").alias("day"))
     step = (F.col("event_id") % 7 - 3) * (F.col("event_id") % 5) * 1.5
-    before = e.where("event_id % 9 <> 0").withColumn("value", F.when(F.col("event_id") % 4 == 0, F.col("value") + step).otherwise(F.col("value")))
+    nan = F.lit(float("nan"))
+    before = e.where("event_id % 9 <> 0").withColumn("value", F.when(F.col("event_id") % 11 == 0, F.lit(None)).when(F.col("event_id") % 13 == 0, nan).when(F.col("event_id") % 4 == 0, F.col("value") + step).otherwise(F.col("value")))
+    e = e.withColumn("value", F.when(F.col("event_id") % 10 == 0, F.lit(None)).when(F.col("event_id") % 14 == 0, nan).otherwise(F.col("value")))
     return audit.qc_effects(before, e, ["user_id", "event_type", "day"], "value", [F.col("event_id")])
 
 
 def qc_identity_join(spark: SparkSession, d: str) -> DataFrame:
     x = _effects(spark, d).withColumn("band", F.when(F.col("changed"), audit.banded(F.round(F.abs("delta"), 6), audit.MAGNITUDES, ">20")))
-    return x.groupBy("matched", F.coalesce("band", F.lit("unchanged")).alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta"), 4).alias("delta"))
+    return x.groupBy("matched", F.coalesce("band", "outcome").alias("band")).agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("delta"), 4).alias("delta"))
 
 
 def qc_two_part(spark: SparkSession, d: str) -> DataFrame:
-    t = audit.two_part(_effects(spark, d), "event_type")
-    return t.select("event_type", "n", "n_changed", *[F.round(c, 6).alias(c) for c in ("p_changed", "mean_when_changed", "mean_delta")])
+    """By kind of event and decade of days of the month."""
+    t = audit.two_part(_effects(spark, d).withColumn("part", F.struct("event_type", F.expr("day(day) div 10").alias("decade"))), "part")
+    return t.select("part.event_type", "part.decade", "n", "n_created", "n_deleted", "n_changed", *[F.round(c, 6).alias(c) for c in ("p_changed", "mean_when_changed", "mean_delta")])
 
 
 def flag_decode(spark: SparkSession, d: str) -> DataFrame:
@@ -90,6 +95,7 @@ def _flag(flag: F.Column) -> dict:
 
 def bh_fdr(spark: SparkSession, d: str) -> DataFrame:
     p = (F.col("o_orderkey") * 7919 % 100003 / F.lit(100003.0)) * F.when(F.col("o_orderkey") % 10 == 0, 0.0001).otherwise(1.0)
+    p = F.when(F.col("o_orderkey") % 23 == 0, F.lit(None)).when(F.col("o_orderkey") % 29 == 0, float("nan")).otherwise(p)
     tests = table(spark, d, "orders").select("o_orderkey", "o_orderpriority", p.alias("p"))
     return inference.benjamini_hochberg(tests, "o_orderkey", "p", 0.05, "o_orderpriority").select("o_orderkey", F.col("rank").cast("long").alias("rank"), "significant")
 
@@ -126,7 +132,7 @@ def decade_bars(spark: SparkSession, d: str) -> DataFrame:
 
 
 _MONTH = "((year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1)::BIGINT"
-_SERIES = f"SELECT l_returnflag AS series, {_MONTH} AS month, avg(l_quantity) AS value FROM lineitem GROUP BY ALL"
+_SERIES = f"SELECT l_returnflag AS series, {_MONTH} AS month, CASE WHEN ({_MONTH} % 17 + 17) % 17 NOT IN (3, 7, 11) THEN avg(l_quantity) END AS value FROM lineitem GROUP BY 1, 2"
 _ANOMALY = "SELECT {by}, month, CASE WHEN count(value) OVER w >= 3 THEN value - avg(value) OVER w END AS y FROM {of} WINDOW w AS (PARTITION BY {by}, month % 12)"
 
 
@@ -147,10 +153,11 @@ SELECT {by}, CASE WHEN n >= 24 THEN round(slope, 5) END AS slope, CASE WHEN n >=
 
 _EFFECTS = """
 k AS (SELECT event_id, user_id, event_type, value, ts::DATE AS day FROM events),
-a AS (FROM k QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1),
-p AS (SELECT event_id, user_id, event_type, day, CASE WHEN event_id % 4 = 0 THEN value + (event_id % 7 - 3) * (event_id % 5) * 1.5::DOUBLE ELSE value END AS value FROM k WHERE event_id % 9 <> 0),
+a AS (SELECT * REPLACE (CASE WHEN event_id % 10 <> 0 AND event_id % 14 <> 0 THEN value END AS value) FROM k QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1),
+p AS (SELECT event_id, user_id, event_type, day, CASE WHEN event_id % 11 = 0 OR event_id % 13 = 0 THEN NULL WHEN event_id % 4 = 0 THEN value + (event_id % 7 - 3) * (event_id % 5) * 1.5::DOUBLE ELSE value END AS value FROM k WHERE event_id % 9 <> 0),
 b AS (FROM p QUALIFY row_number() OVER (PARTITION BY user_id, event_type, day ORDER BY event_id) = 1),
-x AS (SELECT a.event_type, b.value IS NOT NULL AS matched, coalesce(a.value - b.value, 0.0) AS delta FROM a LEFT JOIN b USING (user_id, event_type, day))"""
+o AS (SELECT a.event_type, day(a.day) // 10 AS decade, b.event_id IS NOT NULL AS matched, a.value - b.value AS d, CASE WHEN b.event_id IS NULL THEN 'unmatched' WHEN b.value IS NULL AND a.value IS NOT NULL THEN 'created' WHEN a.value IS NULL AND b.value IS NOT NULL THEN 'deleted' WHEN a.value <> b.value THEN 'changed' ELSE 'unchanged' END AS outcome FROM a LEFT JOIN b USING (user_id, event_type, day)),
+x AS (SELECT *, CASE WHEN outcome = 'changed' THEN d WHEN outcome NOT IN ('created', 'deleted') THEN 0.0 END AS delta FROM o)"""
 
 SQL = {
     "monthly_anomaly": f"WITH s AS ({_SERIES}), an AS ({_ANOMALY.format(by='series', of='s')}) SELECT series, month, round(y, 6) AS anomaly FROM an",
@@ -164,19 +171,19 @@ WITH s AS ({_SERIES}), h AS (SELECT series, month >= {BREAK} AS late, regr_slope
 SELECT series, round(avg(b), 5) AS naive_slope FROM h GROUP BY series""",
     "theil_sen": f"""
 WITH s AS ({_SERIES})
-SELECT a.series, round(quantile_cont((b.value - a.value) / (b.month - a.month), 0.5) * 120, 5) AS slope, count(*) AS n_pairs FROM s a JOIN s b ON a.series = b.series AND a.month < b.month GROUP BY 1""",
+SELECT a.series, round(quantile_cont((b.value - a.value) / (b.month - a.month), 0.5) * 120, 5) AS slope, count(*) AS n_pairs FROM s a JOIN s b ON a.series = b.series AND a.month < b.month WHERE a.value IS NOT NULL AND b.value IS NOT NULL GROUP BY 1""",
     "day_density_histogram": """
 WITH d AS (SELECT count(*) AS n FROM events GROUP BY user_id, ts::DATE),
 b AS (SELECT CASE WHEN n <= 1 THEN '1' WHEN n <= 3 THEN '2-3' WHEN n <= 11 THEN '4-11' WHEN n <= 19 THEN '12-19' ELSE '20-24' END AS bin, count(*) AS n_days FROM d GROUP BY 1)
 SELECT bin, n_days, round(n_days / sum(n_days) OVER (), 6) AS share FROM b""",
     "qc_identity_join": f"""
 WITH {_EFFECTS},
-y AS (SELECT *, CASE WHEN delta = 0 THEN 'unchanged' WHEN round(abs(delta), 6) <= 0.2 THEN '<=0.2' WHEN round(abs(delta), 6) <= 1 THEN '0.2-1' WHEN round(abs(delta), 6) <= 5 THEN '1-5' WHEN round(abs(delta), 6) <= 20 THEN '5-20' ELSE '>20' END AS band FROM x)
+y AS (SELECT *, CASE WHEN outcome <> 'changed' THEN outcome WHEN round(abs(delta), 6) <= 0.2 THEN '<=0.2' WHEN round(abs(delta), 6) <= 1 THEN '0.2-1' WHEN round(abs(delta), 6) <= 5 THEN '1-5' WHEN round(abs(delta), 6) <= 20 THEN '5-20' ELSE '>20' END AS band FROM x)
 SELECT matched, band, count(*) AS n, round(sum(delta), 4) AS delta FROM y GROUP BY ALL""",
     "qc_two_part": f"""
 WITH {_EFFECTS}
-SELECT event_type, count(*) AS n, count(*) FILTER (WHERE delta <> 0) AS n_changed, round(count(*) FILTER (WHERE delta <> 0) / count(*), 6) AS p_changed,
-       round(avg(delta) FILTER (WHERE delta <> 0), 6) AS mean_when_changed, round(avg(delta), 6) AS mean_delta FROM x GROUP BY event_type""",
+SELECT event_type, decade, count(delta) AS n, count(*) FILTER (WHERE outcome = 'created') AS n_created, count(*) FILTER (WHERE outcome = 'deleted') AS n_deleted, count(*) FILTER (WHERE outcome = 'changed') AS n_changed,
+       round(count(*) FILTER (WHERE outcome = 'changed') / nullif(count(delta), 0), 6) AS p_changed, round(avg(delta) FILTER (WHERE outcome = 'changed'), 6) AS mean_when_changed, round(avg(delta), 6) AS mean_delta FROM x GROUP BY ALL""",
     "flag_decode": """
 WITH f AS (SELECT event_id, CASE WHEN event_id % 10 = 0 THEN 'x' || (event_id % 100) ELSE (event_id * 13 % 200000)::VARCHAR END AS flag FROM events),
 p AS (SELECT *, CASE WHEN length(flag) > 5 THEN substr(flag, 1, 5) ELSE lpad(flag, 5, '0') END AS z FROM f)
@@ -184,9 +191,9 @@ SELECT event_id, try_cast(z[1] AS INTEGER) AS d1, try_cast(z[2] AS INTEGER) AS d
        CASE WHEN length(flag) > 5 THEN 'overlong' WHEN regexp_full_match(z, '[0-9]{5}') THEN 'clean' ELSE 'malformed' END AS residual FROM p""",
     "bh_fdr": """
 WITH t AS (SELECT o_orderkey, o_orderpriority AS f, (o_orderkey * 7919 % 100003 / 100003.0::DOUBLE) * CASE WHEN o_orderkey % 10 = 0 THEN 0.0001::DOUBLE ELSE 1.0::DOUBLE END AS p FROM orders),
-r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, o_orderkey) AS rank, count(*) OVER (PARTITION BY f) AS m FROM t),
+r AS (SELECT *, row_number() OVER (PARTITION BY f ORDER BY p, o_orderkey) AS rank, count(*) OVER (PARTITION BY f) AS m FROM t WHERE o_orderkey % 23 <> 0 AND o_orderkey % 29 <> 0),
 k AS (SELECT *, max(CASE WHEN p <= rank * 0.05::DOUBLE / m THEN rank END) OVER (PARTITION BY f) AS top FROM r)
-SELECT o_orderkey, rank, coalesce(rank <= top, false) AS significant FROM k""",
+SELECT o_orderkey, rank, coalesce(rank <= top, false) AS significant FROM t LEFT JOIN k USING (o_orderkey)""",
     "familywise_tolerance": """
 WITH w AS (SELECT max(abs((p_retailprice - 1000) / (p_size + 1))) AS worst FROM part GROUP BY p_brand)
 SELECT round(quantile_cont(worst, 0.99), 6) AS critical, count(*) AS n_draws FROM w""",

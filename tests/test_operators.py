@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import geo, textrules
-from isohyet.operators import entity, inference, rings, synth, timeline, trend
+from isohyet.operators import audit, entity, inference, joins, rings, synth, timeline, trend
 from isohyet.streaming import incremental
 
 
@@ -195,3 +195,51 @@ def test_components(spark, one_task):
     links = [(i + 1, i) for i in range(30)] + [(100, i) for i in range(101, 120)] + [(200, 201), (201, 202), (202, 200)]
     got = dict(map(tuple, entity.components(spark.createDataFrame(links, "a long, b long"), one_task).collect()))
     assert got == {n: 0 if n <= 30 else 100 if n < 200 else 200 for p in links for n in p}
+
+
+NAN, INF = float("nan"), float("inf")
+
+
+def test_missing_p_is_no_test(spark):
+    """Neither null nor NaN has a rank or counts among the tests of its family."""
+    rows = [("a", 1, 0.01), ("a", 2, None), ("a", 3, 0.5), ("a", 4, NAN), ("b", 5, None), ("c", 6, 0.04), ("c", 7, NAN)]
+    tests = spark.createDataFrame(rows, "f string, k int, p double")
+    got = {r.k: (r["rank"], r.significant) for r in inference.benjamini_hochberg(tests, "k", "p", 0.05, "f").collect()}
+    assert got == {1: (1, True), 2: (None, False), 3: (2, False), 4: (None, False), 5: (None, False), 6: (1, True), 7: (None, False)}
+
+
+def test_spans_with_fractional_ends(spark):
+    points = spark.createDataFrame([("a", i, t) for i, t in enumerate((0.0, 7199.9, 7200.0, 7200.2, 7200.5, -0.5, 14_400.0, None, NAN))], "by string, i int, t double")
+    spans = spark.createDataFrame([("a", 0.0, 7200.5), ("a", -1.25, -0.25), ("a", 7200.2, 14_400.25), ("a", 5.0, 5.0), ("a", None, 9.0), ("a", 1.0, None), ("a", 1.0, NAN)], "by string, s double, e double")
+    got = {(r.i, r.s) for r in joins.within_spans(points, spans, "by", "t", "s", "e", 7200).collect()}
+    assert got == {(0, 0.0), (1, 0.0), (2, 0.0), (3, 0.0), (3, 7200.2), (4, 7200.2), (5, -1.25), (6, 7200.2)}
+    with pytest.raises(Exception, match="no end"):
+        joins.within_spans(points, spans.limit(1).withColumn("e", F.lit(INF)), "by", "t", "s", "e", 7200).collect()
+
+
+def test_values_created_and_deleted_by_control(spark):
+    rows = lambda *v: spark.createDataFrame(list(enumerate(v)), "k int, v double").withColumn("o", F.lit(0))
+    before, after = rows(None, 3.0, 1.0, 2.0, None, NAN).where("k < 6"), rows(5.0, None, 1.0, 2.5, None, 4.0, 9.0)
+    got = {r.k: (r.matched, r.outcome, r.delta, r.changed, r.band) for r in audit.qc_effects(before, after, ["k"], "v", ["o"]).collect()}
+    assert got == {
+        0: (True, "created", None, False, None), 1: (True, "deleted", None, False, None), 2: (True, "unchanged", 0.0, False, None), 3: (True, "changed", 0.5, True, "0.2-1"),
+        4: (True, "unchanged", 0.0, False, None), 5: (True, "created", None, False, None), 6: (False, "unmatched", 0.0, False, None),
+    }
+    (t,) = audit.two_part(audit.qc_effects(before, after, ["k"], "v", ["o"]).withColumn("g", F.lit("x")), "g").collect()
+    assert (t.n, t.n_created, t.n_deleted, t.n_changed, t.p_changed, t.mean_when_changed, t.mean_delta) == (4, 2, 1, 1, 0.25, 0.5, 0.125)
+
+
+def test_trends_take_finite_values_alone(spark):
+    clean = [("s", m, float(m % 5) + m / 120) for m in range(40)]
+    dirty = [*clean, ("s", 50, NAN), ("s", 51, None), ("s", 52, INF), ("s", 53, -INF)]
+    frames = [spark.createDataFrame(x, "series string, month int, value double") for x in (clean, dirty)]
+    for fit in (trend.theil_sen, lambda d: trend.break_trend(d, value="value"), lambda d: trend.split_slopes(d, 20.0), lambda d: trend.break_trend(trend.monthly_anomalies(d))):
+        a, b = (fit(d).collect() for d in frames)
+        assert [tuple(r) for r in a] == [tuple(r)[:1] + tuple(pytest.approx(v, rel=1e-9) for v in r[1:]) for r in b]
+    fits = spark.createDataFrame([(1.0,), (2.0,), (NAN,), (None,)], "slope double")
+    assert tuple(trend.pair_mean(fits).first()) == (2, 1.5, pytest.approx(0.5))
+
+
+def test_years_unknown_make_no_segment(spark):
+    years = spark.createDataFrame([("a", 1990), ("a", None), ("a", 1991), ("b", None)], "station string, year int")
+    assert [(r.station, r.start_year, r.end_year, r.n_segments) for r in timeline.segments(years).collect()] == [("a", 1990, 1991, 1)]
