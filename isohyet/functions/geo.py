@@ -73,11 +73,34 @@ def edge_in_circle(edge: Column, r: Column) -> Column:
     return bind(edge, lambda e: bind(line(e), lambda q: bind(cuts(q), lambda t: area(e, q, t))))
 
 
-def polygon_in_circle(ring: Column, r: Column) -> Column:
-    """Area of a polygon within the circle around the origin. ring: array of struct(x, y), first point not repeated; simple."""
+def ring_edges(ring: Column) -> Column:
+    """Edges (ax, ay, bx, by) of a ring of struct(x, y), its first point not repeated."""
     edge = lambda a, b: F.struct(a["x"].alias("ax"), a["y"].alias("ay"), b["x"].alias("bx"), b["y"].alias("by"))
-    edges = bind(ring, lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)), lambda a, b: edge_in_circle(edge(a, b), r)))
-    return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e))
+    return bind(ring, lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)), edge))
+
+
+def polygon_area(rings: Column) -> Column:
+    """Area of a polygon of several rings (x, y): holes run the other way than what they lie in, so that signed areas add up."""
+    edges = F.flatten(F.transform(rings, ring_edges))
+    return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
+
+
+def polygon_in_circle(rings: Column, r: Column) -> Column:
+    """Area of a polygon of several rings within the circle around the origin; holes run the other way than what they lie in."""
+    parts = F.transform(F.flatten(F.transform(rings, ring_edges)), lambda e: edge_in_circle(e, r))
+    return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, e: s + e))
+
+
+def signed_area(ring: Column) -> Column:
+    """Area of a ring of struct(lat, lon) in square degrees, positive if it runs against the clock."""
+    nexts = F.concat(F.slice(ring, 2, F.size(ring)), F.slice(ring, 1, 1))
+    terms = F.zip_with(ring, nexts, lambda a, b: a["lon"] * b["lat"] - b["lon"] * a["lat"])
+    return F.aggregate(terms, F.lit(0.0), lambda s, t: s + t) / 2
+
+
+def oriented(ring: Column, outer: Column) -> Column:
+    """A ring of struct(lat, lon), turned so that it runs against the clock if it is an outer one, with it if it is a hole."""
+    return F.when((signed_area(ring) > 0) == outer, ring).otherwise(F.reverse(ring))
 
 
 def _corner_in_circle(x: Column, y: Column, r: Column) -> Column:

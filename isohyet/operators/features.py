@@ -46,10 +46,15 @@ def assemble(members: DataFrame) -> DataFrame:
             while grew and line[0] != line[-1]:
                 grew = False
                 for i, other in enumerate(lines):
+                    # at the tail, then at the head
                     if other[0] == line[-1]:
                         line = line + other[1:]
                     elif other[-1] == line[-1]:
                         line = line + other[-2::-1]
+                    elif other[-1] == line[0]:
+                        line = other[:-1] + line
+                    elif other[0] == line[0]:
+                        line = other[:0:-1] + line
                     else:
                         continue
                     lines.pop(i)

@@ -8,9 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions import crs
-from isohyet.functions.geo import ECCENTRICITY_2, SEMI_MAJOR_M
+from isohyet.functions.geo import ECCENTRICITY_2, SEMI_MAJOR_M, signed_area
 from isohyet.operators import spatial
 from isohyet.plans.tables import SQL_LAT, SQL_LON, lat, lon, table
+from isohyet.sources import inventory
 
 RADII = [20_000.0, 60_000.0, 150_000.0]
 
@@ -51,6 +52,46 @@ def ring_census_population(spark: SparkSession, d: str) -> DataFrame:
     return out.select("centre", (F.col("n_units") > 0).alias("any"), F.round(F.col("covered_m2") / 1e6, 1).alias("covered_km2"), F.round("population", -2).alias("population"))
 
 
+def _box(y0, x0, y1, x1) -> F.Column:
+    """A ring of positions (longitude, latitude) with the clock, closed."""
+    y, x = F.col("lat"), F.col("lon")
+    at = lambda dy, dx: F.array(x + dx, y + dy)
+    return F.array(at(y0, x0), at(y1, x0), at(y1, x1), at(y0, x1), at(y0, x0))
+
+
+def ring_unit_parts(spark: SparkSession, d: str) -> DataFrame:
+    """A unit for every supplier, read from GeoJSON: land around the place of its nation, a lake in the ring, an island in the lake and another far off."""
+    shift = (F.col("s_suppkey") % 7) / F.lit(1000.0)
+    s = table(spark, d, "supplier").select("s_suppkey", F.col("s_nationkey").alias("nation"), F.col("s_acctbal").alias("population"), lat("s_nationkey").alias("lat"), lon("s_nationkey").alias("lon"), shift.alias("t"))
+    land, lake = _box(-1.0, -1.0, 1.0, 1.0), _box(0.01 + F.col("t"), 0.01, 0.03 + F.col("t"), 0.05)
+    island, far = _box(0.015 + F.col("t"), 0.02, 0.02 + F.col("t"), 0.03), _box(0.0, 2.0, 0.1, 2.0 + F.col("t") + 0.01)
+    pages = s.select("s_suppkey", "nation", "population", F.lit("MultiPolygon").alias("kind"), F.to_json(F.array(F.array(land, lake), F.array(island), F.array(far))).alias("coordinates"))
+    parts = spatial.ring_areas(_centres(spark, d), inventory.geometry(pages), spatial.CENSUS_RING_M).where("centre = nation")
+    share = F.col("population") * F.col("inter_m2") / F.col("area_m2")
+    return parts.select("s_suppkey", F.round(F.col("area_m2") / 1e6, 3).alias("area_km2"), F.round(F.col("inter_m2") / 1e6, 4).alias("inter_km2"), F.round(share, 4).alias("population"))
+
+
+def repaired_shapes(spark: SparkSession, d: str) -> DataFrame:
+    """Bow-ties, a spike with points twice, squares that overlap, a hole that touches a corner and lines without an inside, by the supplier's key."""
+    k = F.col("s_suppkey")
+    at = lambda dy, dx: F.struct((F.col("y") + dy * F.col("h")).alias("lat"), (F.col("x") + dx * F.col("h")).alias("lon"))
+    ring = lambda *places: F.array(*[at(*p) for p in places])
+    s = table(spark, d, "supplier").select(k, lat("s_suppkey").alias("y"), lon("s_suppkey").alias("x"), (1 + k % 11).cast("double").alias("h"))
+    square, other = ring((0, 0), (0, 1), (1, 1), (1, 0)), ring((0.5, 0.5), (0.5, 1.5), (1.5, 1.5), (1.5, 0.5))
+    rings = (
+        F.when(k % 5 == 0, F.array(ring((0, 0), (1, 1), (1, 0), (0, 1))))
+        .when(k % 5 == 1, F.array(ring((0, 0), (0, 0), (0, 1), (0.5, 1), (0.5, 3), (0.5, 1), (1, 1), (1, 1), (1, 0), (0, 0))))
+        .when(k % 5 == 2, F.array(square, other))
+        .when(k % 5 == 3, F.array(square, ring((0, 0), (0.5, 0.25), (0.25, 0.5))))
+        .otherwise(F.array(ring((0, 0), (1, 2), (0, 0))))
+    )
+    valid = spatial.repair(s.select("s_suppkey", rings.alias("rings")))
+    areas = F.transform("rings", signed_area)
+    size = lambda keep: F.size(F.filter(areas, keep)).cast("long")
+    area = F.round(F.aggregate(areas, F.lit(0.0), lambda a, b: a + b), 6)
+    return valid.select("s_suppkey", size(lambda a: a > 0).alias("n_parts"), size(lambda a: a < 0).alias("n_holes"), F.size(F.flatten("rings")).cast("long").alias("n_points"), area.alias("area"))
+
+
 def census_reasons(spark: SparkSession, d: str) -> DataFrame:
     counties = ["fife", "down", "devon", "orkney", "antrim"]
     n = table(spark, d, "customer").select("c_custkey", F.element_at(F.array(*map(F.lit, counties)), (F.col("c_custkey") % 5 + 1).cast("int")).alias("county"), F.when(F.col("c_custkey") % 7 != 0, 1981 + F.col("c_custkey") % 3 * 10).alias("year"))
@@ -101,6 +142,14 @@ WITH u AS (SELECT c_custkey AS code, (c_custkey % 1000)::DOUBLE AS population, 5
 p AS (SELECT centre, population, radians(x - c.lon) * {_EAST} AS px, radians(y - c.lat) * {_NORTH} AS py, radians(0.0005::DOUBLE) * {_EAST} * radians(0.0005::DOUBLE) * {_NORTH} AS area FROM ({_CENTRES}) c, u),
 f AS (SELECT centre, sum(population) AS population, sum(area) AS covered, count(*) AS n FROM p WHERE px * px + py * py <= 1e8 GROUP BY 1)
 SELECT n_nationkey AS centre, coalesce(n, 0) > 0 AS any, coalesce(round(covered / 1e6, 1), 0) AS covered_km2, coalesce(round(population, -2), 0) AS population FROM nation LEFT JOIN f ON centre = n_nationkey""",
+    "ring_unit_parts": f"""
+WITH s AS (SELECT s_suppkey, s_nationkey AS centre, s_acctbal AS population, (s_suppkey % 7) / 1000.0::DOUBLE AS t FROM supplier),
+a AS (SELECT s.*, pow(radians(1::DOUBLE), 2) * {_EAST} * {_NORTH} AS degree2 FROM s JOIN ({_CENTRES}) c USING (centre)),
+p AS (SELECT *, degree2 * (4 - 0.02 * 0.04 + 0.005 * 0.01 + 0.1 * (t + 0.01)) AS area, pi() * 1e8 - degree2 * (0.02 * 0.04 - 0.005 * 0.01) AS inside FROM a)
+SELECT s_suppkey, round(area / 1e6, 3) AS area_km2, round(inside / 1e6, 4) AS inter_km2, round(population * inside / area, 4) AS population FROM p""",
+    "repaired_shapes": """
+WITH s AS (SELECT s_suppkey, s_suppkey % 5 AS k, pow(1 + s_suppkey % 11, 2) AS h2 FROM supplier)
+SELECT s_suppkey, [2, 1, 2, 1, 0][k + 1]::BIGINT AS n_parts, (k = 3)::BIGINT AS n_holes, [6, 5, 12, 7, 0][k + 1]::BIGINT AS n_points, round(h2 * [0.5, 1.0, 1.5, 1 - 3 / 32.0, 0.0][k + 1]::DOUBLE, 6) AS area FROM s""",
     "census_reasons": """
 SELECT CASE WHEN c_custkey % 7 = 0 THEN 'no-open-census-pre-1981' WHEN c_custkey % 5 IN (0, 3) THEN 'no-census-boundaries-scotland' WHEN c_custkey % 5 IN (1, 4) THEN 'no-census-boundaries-northern-ireland' END AS reason, count(*) AS n
 FROM customer GROUP BY 1""",

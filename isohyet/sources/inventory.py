@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.bands import BANDS, FIRST_YEAR, MOST_CLOUD, in_season, of_decade
+from isohyet.functions.geo import oriented
 from isohyet.operators.features import shape_of, tag_kind
 
 
@@ -81,6 +82,28 @@ def features(spark: SparkSession, path: str) -> DataFrame:
     return spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f")).select("f.properties", F.col("f.geometry.type").alias("kind"), "f.geometry.coordinates")
 
 
+def _places(positions: F.Column) -> F.Column:
+    """Positions (longitude, latitude, more) as places."""
+    return F.transform(positions, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon")))
+
+
+def geometry(rows: DataFrame, kind: str = "kind", coordinates: str = "coordinates") -> DataFrame:
+    """rows of features() with shape and rings instead of kind and coordinates: points, lines and polygons, single or many.
+
+    A polygon's first ring is its outer one, the others are holes, whichever way they run; all parts of a feature are rings of one row. Many points
+    or lines are rings of one row too, each of its own. What isn't such a geometry, or can't be read, has no shape and no rings.
+    """
+    position = "array<double>"
+    read = lambda depth: F.from_json(coordinates, "array<" * depth + position + ">" * depth)
+    of = lambda name: F.col(kind) == name
+    polygons = F.when(of("MultiPolygon"), read(3)).when(of("Polygon"), F.array(read(2)))
+    turned = F.flatten(F.transform(polygons, lambda p: F.transform(p, lambda ring, i: oriented(_places(ring), i == 0))))
+    lines = F.transform(F.when(of("MultiLineString"), read(2)).when(of("LineString"), F.array(read(1))), _places)
+    points = F.transform(F.when(of("MultiPoint"), read(1)).when(of("Point"), F.array(read(0))), lambda p: _places(F.array(p)))
+    shape = F.when(F.col("rings").isNotNull(), F.when(F.col(kind).endswith("Polygon"), "polygon").when(F.col(kind).endswith("LineString"), "line").otherwise("point"))
+    return rows.withColumn("rings", F.coalesce(turned, lines, points)).withColumn("shape", shape).drop(kind, coordinates)
+
+
 def overpass(spark: SparkSession, path: str) -> DataFrame:
     """(feature, kind, shape, points) of the elements of Overpass pages that are of a kind that counts: nodes and ways; relations have relation_members()."""
     e = _elements(spark, path).where(F.col("type").isin("node", "way"))
@@ -102,11 +125,14 @@ def _elements(spark: SparkSession, path: str) -> DataFrame:
 
 
 def esri_pages(spark: SparkSession, path: str) -> DataFrame:
-    """(properties, points): attributes and outer ring (the first) of the features of Esri JSON pages, longitude before latitude there."""
+    """(properties, rings): attributes and all rings of the features of Esri JSON pages, longitude before latitude there.
+
+    Outer rings run with the clock there and holes against it: all are turned.
+    """
     schema = "features array<struct<attributes: map<string,string>, geometry: struct<rings: array<array<array<double>>>>>>"
     f = spark.read.schema(schema).json(path, multiLine=True).select(F.explode("features").alias("f"))
-    ring = F.get("f.geometry.rings", F.lit(0))
-    return f.select(F.col("f.attributes").alias("properties"), F.transform(ring, lambda p: F.struct(F.get(p, F.lit(1)).alias("lat"), F.get(p, F.lit(0)).alias("lon"))).alias("points"))
+    rings = F.transform("f.geometry.rings", lambda ring: F.reverse(_places(ring)))
+    return f.select(F.col("f.attributes").alias("properties"), rings.alias("rings"))
 
 
 def boundary_code(properties: str = "properties") -> F.Column:

@@ -103,10 +103,11 @@ def test_pages_of_elements_and_boundaries(spark, tmp_path):
 
     (r,) = features.assemble(inventory.relation_members(spark, str(tmp_path / "page.json")).drop("kind")).collect()
     assert (r.feature, r["shape"], len(r.points)) == ("relation/6", "polygon", 4)
-    esri = {"features": [{"attributes": {"code": "E1", "n": 5}, "geometry": {"rings": [[[-1.0, 51.0], [-2.0, 51.0], [-2.0, 52.0]]]}}]}
+    outer, lake = [[-2.0, 51.0], [-2.0, 52.0], [-1.0, 52.0], [-1.0, 51.0]], [[-1.6, 51.4], [-1.4, 51.4], [-1.4, 51.6], [-1.6, 51.6]]
+    esri = {"features": [{"attributes": {"code": "E1", "n": 5}, "geometry": {"rings": [outer, lake]}}]}
     (tmp_path / "esri.json").write_text(json.dumps(esri))
     (f,) = inventory.esri_pages(spark, str(tmp_path / "esri.json")).collect()
-    assert f.properties == {"code": "E1", "n": "5"} and [tuple(p) for p in f.points] == [(51.0, -1.0), (51.0, -2.0), (52.0, -2.0)]
+    assert f.properties == {"code": "E1", "n": "5"} and [[tuple(p) for p in ring] for ring in f.rings] == [[(b, a) for a, b in reversed(ring)] for ring in (outer, lake)]
 
 
 def test_stamps_of_a_run():
