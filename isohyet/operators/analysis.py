@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from isohyet.functions.coerce import finite
+from isohyet.functions.draws import draw
 from isohyet.functions.geo import haversine_km
 from isohyet.operators.spatial import with_cell, with_cells_around
 
@@ -56,11 +58,11 @@ def extrema_gap(derived: DataFrame, reported: DataFrame, station: str) -> DataFr
 
 def block_bootstrap(series: DataFrame, by: str, month: str, value: str, block: int = 24, draws: int = 100, seed: int = 1) -> DataFrame:
     """(by, mean, lower, upper): blocks of consecutive months are resampled with replacement within each series, by a hash."""
-    rows = series.where(F.col(value).isNotNull()).select(F.col(by).alias("__by"), F.floor(F.col(month) / block).alias("k"), F.col(value).alias("v"))
+    rows = series.select(F.col(by).alias("__by"), F.floor(F.col(month) / block).alias("k"), finite(F.col(value)).alias("v")).where("v IS NOT NULL")
     blocks = rows.groupBy("__by", "k").agg(F.sum("v").alias("s"), F.count("v").alias("n"))
     w = Window.partitionBy("__by")
     ranked = blocks.withColumn("i", F.row_number().over(w.orderBy("k")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
-    picks = ranked.select("__by", "i", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("i", F.pmod(F.xxhash64(F.lit(seed), F.col("__by").cast("string"), "b", "i"), F.col("m")).cast("int"))
+    picks = ranked.select("__by", "i", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("i", (draw(seed, F.col("__by"), F.col("b"), F.col("i")) % F.col("m")).cast("int"))
     means = picks.join(ranked.select("__by", "i", "s", "n"), ["__by", "i"]).groupBy("__by", "b").agg((F.sum("s") / F.sum("n")).alias("x"))
     bounds = means.groupBy("__by").agg(F.percentile("x", 0.025).alias("lower"), F.percentile("x", 0.975).alias("upper"))
     return blocks.groupBy("__by").agg((F.sum("s") / F.sum("n")).alias("mean")).join(bounds, "__by").withColumnRenamed("__by", by)
@@ -71,13 +73,13 @@ def wild_cluster_bootstrap(rows: DataFrame, cluster: str, x: str, y: str, draws:
 
     With demeaned x, a draw's slope is a signed sum over clusters, so that only one sum for each cluster travels. Signs are hashes: reruns agree.
     """
-    both = rows.where(F.col(x).isNotNull() & F.col(y).isNotNull()).select(F.col(cluster).alias("c"), F.col(x).cast("double").alias("x"), F.col(y).cast("double").alias("y"))
+    both = rows.select(F.col(cluster).alias("c"), finite(F.col(x)).alias("x"), finite(F.col(y)).alias("y")).where("x IS NOT NULL AND y IS NOT NULL")
     means = both.agg(F.avg("x").alias("mx"), F.avg("y").alias("my"))
     sums = both.join(F.broadcast(means)).withColumns({"dx": F.col("x") - F.col("mx"), "dy": F.col("y") - F.col("my")}).groupBy("c").agg(
         F.sum(F.col("dx") * F.col("dy")).alias("sxy"), F.sum(F.col("dx") * F.col("dx")).alias("sxx"), F.sum("dx").alias("sx"), F.sum("dy").alias("sy"), F.count(F.lit(1)).alias("n")
     )
     total = sums.agg(F.sum("sxy").alias("sxy"), F.sum("sxx").alias("sxx"))
-    sign = F.when(F.pmod(F.xxhash64(F.lit(seed), "b", F.col("c").cast("string")), F.lit(2)) == 0, 1).otherwise(-1)
+    sign = F.when(draw(seed, F.col("b"), F.col("c")) % 2 == 0, 1).otherwise(-1)
     # x is centred, so that the mean of signed residuals drops out of the slope
     drawn = sums.select("c", "sxy", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).groupBy("b").agg(F.sum(sign * F.col("sxy")).alias("t"))
     return drawn.join(F.broadcast(total)).agg(

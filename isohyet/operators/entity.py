@@ -10,15 +10,22 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from isohyet.functions.geo import haversine_km
-from isohyet.functions.textrules import is_token_prefix, name_stem
+from isohyet.functions.textrules import name_stem
 from isohyet.session import scratch_dir, ship_package
 
 
 def related_names(stations: DataFrame, key: str, name: str) -> DataFrame:
-    """(a, b), a < b: names of which one's tokens begin the other's. A prefix shares its first token, which is the join key."""
-    s = stations.select(F.col(key).alias("id"), name_stem(F.col(name)).alias("stem")).withColumn("head", F.get("stem", F.lit(0)))
-    a, b = s.select("head", F.col("id").alias("a"), F.col("stem").alias("a_stem")), s.select("head", F.col("id").alias("b"), F.col("stem").alias("b_stem"))
-    return a.join(b, "head").where((F.col("a") < F.col("b")) & is_token_prefix(F.col("a_stem"), F.col("b_stem"))).select("a", "b")
+    """(a, b), a < b: names of which one's tokens begin the other's.
+
+    Every prefix of a name is looked up among whole names: an equi-join that yields related pairs alone, however many names share a first token.
+    """
+    s = stations.select(F.col(key).alias("id"), name_stem(F.col(name)).alias("stem")).where("id IS NOT NULL AND size(stem) > 0")
+    prefixes = F.transform(F.sequence(F.lit(1), F.size("stem")), lambda n: F.array_join(F.slice("stem", 1, n), "-"))
+    whole = s.select(F.array_join("stem", "-").alias("prefix"), F.col("id").alias("whole"), F.size("stem").alias("n"))
+    long = s.select(F.explode(prefixes).alias("prefix"), F.col("id").alias("long"), F.size("stem").alias("n_long"))
+    # of equal names, either begins the other: each pair once
+    pairs = whole.join(long, "prefix").where((F.col("n") < F.col("n_long")) | (F.col("whole") < F.col("long"))).where(F.col("whole") != F.col("long"))
+    return pairs.select(F.least("whole", "long").alias("a"), F.greatest("whole", "long").alias("b"))
 
 
 def neighbours(points: DataFrame, key: str, lat: str, lon: str, km: float) -> DataFrame:

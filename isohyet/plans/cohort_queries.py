@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.functions.draws import sql_draw
 from isohyet.operators import analysis, features
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, lat, lon, table
 
@@ -55,7 +56,7 @@ def extrema_gap(spark: SparkSession, d: str) -> DataFrame:
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("bigint")
     s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("series"), month.alias("month")).agg(F.avg("l_quantity").alias("value"))
-    return analysis.block_bootstrap(s, "series", "month", "value")
+    return analysis.block_bootstrap(s, "series", "month", "value").select("series", *[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")])
 
 
 def covering_set(spark: SparkSession, d: str) -> DataFrame:
@@ -72,6 +73,13 @@ def record_length_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "block_bootstrap": f"""
+WITH q AS (SELECT l_returnflag AS g, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
+s AS (SELECT g, floor(month / 24) AS k, sum(v) AS s, count(*) AS n FROM q GROUP BY ALL),
+r AS (SELECT *, row_number() OVER (PARTITION BY g ORDER BY k) - 1 AS i, count(*) OVER (PARTITION BY g) AS m FROM s),
+p AS (SELECT g, b, {sql_draw('1', 'g', 'b', 'i')} % m AS pick FROM r, range(100) t(b)),
+x AS (SELECT p.g, b, sum(s) / sum(n) AS x FROM p JOIN r ON p.g = r.g AND pick = r.i GROUP BY ALL)
+SELECT g AS series, round(any_value(mean), 6) AS mean, round(quantile_cont(x, 0.025), 6) AS lower, round(quantile_cont(x, 0.975), 6) AS upper FROM x JOIN (SELECT g, sum(s) / sum(n) AS mean FROM s GROUP BY g) USING (g) GROUP BY g""",
     "tag_kind": """
 WITH t AS (SELECT event_id, CASE WHEN event_id % 7 = 0 THEN 'helipad' WHEN event_id % 7 = 1 THEN 'airstrip' WHEN event_id % 4 = 0 THEN 'runway' WHEN event_id % 4 = 1 THEN 'gate' WHEN event_id % 4 = 2 THEN 'taxiway' ELSE 'aerodrome' END AS v FROM events)
 SELECT event_id, CASE WHEN event_id % 3 = 0 AND v IN ('aerodrome', 'runway', 'taxiway', 'apron') THEN v WHEN event_id % 3 = 1 AND v IN ('aerodrome', 'runway', 'taxiway', 'apron') THEN 'disused:' || v WHEN event_id % 5 = 0 THEN 'abandoned:apron' END AS kind FROM t""",
@@ -107,4 +115,4 @@ SELECT CASE WHEN p.name IS NULL THEN 'missing' WHEN e.name IS NULL THEN 'unliste
 SELECT c_mktsegment AS segment, year(o_orderdate)::INTEGER AS year, count(*) AS n, round(sum(o_totalprice), 1) AS total
 FROM orders JOIN customer ON o_custkey = c_custkey GROUP BY ROLLUP (segment, year)""",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "block_bootstrap"]}
+QUERIES = {name: globals()[name] for name in SQL}

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from isohyet.functions.draws import sql_draw
 from isohyet.operators import audit, inference, trend
 from isohyet.plans.tables import table
 
@@ -55,7 +56,8 @@ def theil_sen(spark: SparkSession, d: str) -> DataFrame:
 
 
 def clustered_bootstrap(spark: SparkSession, d: str) -> DataFrame:
-    return trend.clustered_bootstrap(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
+    b = trend.clustered_bootstrap(table(spark, d, "lineitem"), "l_suppkey", "l_quantity")
+    return b.select(*[F.round(c, 6).alias(c) for c in ("mean", "lower", "upper")])
 
 
 def day_density_histogram(spark: SparkSession, d: str) -> DataFrame:
@@ -203,6 +205,12 @@ n AS (SELECT *, (a IS NOT NULL)::INT + (b IS NOT NULL)::INT + (c IS NOT NULL)::I
 s AS (SELECT *, CASE WHEN n = 0 THEN 'unclassified' WHEN yes = n OR yes = 0 THEN 'confirmed' ELSE 'disputed' END AS status, yes * 2 < n AS minority FROM n)
 SELECT k AS c_custkey, status, n::BIGINT AS voters, (3 - n)::BIGINT AS abstained,
        CASE WHEN status = 'disputed' THEN concat_ws(';', CASE WHEN a = minority THEN 'builtup' END, CASE WHEN b = minority THEN 'landuse' END, CASE WHEN c = minority THEN 'airfield' END) ELSE '' END AS disagreeing FROM s""",
+    "clustered_bootstrap": f"""
+WITH s AS (SELECT l_suppkey AS c, sum(l_quantity) AS s, count(*) AS n FROM lineitem GROUP BY 1),
+r AS (SELECT *, row_number() OVER (ORDER BY c) - 1 AS i, count(*) OVER () AS size FROM s),
+p AS (SELECT b, {sql_draw('1', 'b', 'i')} % size AS pick FROM r, range(200) t(b)),
+m AS (SELECT b, sum(s) / sum(n) AS m FROM p JOIN r ON pick = i GROUP BY b)
+SELECT (SELECT round(sum(s) / sum(n), 6) FROM s) AS mean, round(quantile_cont(m, 0.025), 6) AS lower, round(quantile_cont(m, 0.975), 6) AS upper FROM m""",
     "wind_terciles": """
 WITH t AS (SELECT user_id, value, ntile(3) OVER (PARTITION BY user_id, month(ts) ORDER BY value, event_id) AS tercile FROM events)
 SELECT user_id, tercile, count(*) AS n, round(avg(value), 5) AS mean FROM t GROUP BY ALL""",
@@ -211,4 +219,4 @@ WITH g AS (SELECT o_custkey, sum(o_totalprice) FILTER (WHERE year(o_orderdate) =
 SELECT o_custkey, round(b - a, 2) AS growth FROM g WHERE a IS NOT NULL AND b IS NOT NULL ORDER BY growth DESC, o_custkey LIMIT 7""",
     "decade_bars": "SELECT (year(o_orderdate) // 10 * 10)::INTEGER AS decade, count(*) AS n_orders, count(DISTINCT o_custkey) AS n_customers FROM orders GROUP BY 1",
 }
-QUERIES = {name: globals()[name] for name in [*SQL, "clustered_bootstrap"]}
+QUERIES = {name: globals()[name] for name in SQL}

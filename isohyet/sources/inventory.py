@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.bands import BANDS, FIRST_YEAR, MOST_CLOUD, in_season, of_decade
-from isohyet.functions.geo import oriented
+from isohyet.functions.geo import bind, oriented
 from isohyet.operators.features import shape_of, tag_kind
 
 
@@ -47,14 +47,12 @@ def parse_capability(files: DataFrame) -> DataFrame:
     start, end = F.array_position("lines", "data"), F.array_position("lines", "end data")
     fields = "id string, id_type string, met_domain_name string, first_year string, last_year string"
     year = lambda c: F.floor(c.try_cast("double")).cast("int")
-    rows = F.slice("lines", start + 2, F.greatest(end - start - 2, F.lit(0)))
-    parsed = files.select("*", F.posexplode_outer(rows).alias("nth", "line")).withColumn("r", F.from_csv("line", fields))
-    row = F.struct("r.id", "r.id_type", "r.met_domain_name", year(F.col("r.first_year")).alias("first_year"), year(F.col("r.last_year")).alias("last_year"))
-    return parsed.groupBy("path", "lines").agg(F.array_sort(F.collect_list(F.when(F.col("line").isNotNull(), F.struct("nth", row.alias("r"))))).alias("t")).select(
+    row = lambda r: F.struct(r["id"].alias("id"), r["id_type"].alias("id_type"), r["met_domain_name"].alias("met_domain_name"), year(r["first_year"]).alias("first_year"), year(r["last_year"]).alias("last_year"))
+    rows = F.transform(F.slice("lines", start + 2, F.greatest(end - start - 2, F.lit(0))), lambda line: bind(F.from_csv(line, fields), row))
+    return files.select(
         "path", _global("lines", "src_id", 0).alias("src_id"), _global("lines", "observation_station", 0).alias("name"), _global("lines", "historic_county_name", 0).alias("county"),
         _global("lines", "location", 0).alias("lat"), _global("lines", "location", 1).alias("lon"), _global("lines", "height", 0).try_cast("double").alias("height_m"),
-        _global("lines", "date_valid", 0).alias("valid_from"), _global("lines", "date_valid", 1).alias("valid_to"), _global("lines", "collection_version_number", 0).alias("version"),
-        F.transform("t", lambda x: x["r"]).alias("rows"),
+        _global("lines", "date_valid", 0).alias("valid_from"), _global("lines", "date_valid", 1).alias("valid_to"), _global("lines", "collection_version_number", 0).alias("version"), rows.alias("rows"),
     )
 
 

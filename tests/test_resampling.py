@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from isohyet.operators import analysis, inference, ranking, trend
 
+DRAW = "cast(conv(substring(md5({}), 1, 8), 16, 10) AS bigint)"
 ROWS = [(c, float((c * 7 + i * 3) % 11) + c / 10, float(i % 5), i) for c in range(12) for i in range(3 + c % 4)]
 
 
@@ -16,7 +17,7 @@ def frame(spark):
 def test_clustered_bootstrap(spark):
     got = trend.clustered_bootstrap(frame(spark), "c", "y", draws=50, seed=3).first()
     sums = np.array([[sum(r[1] for r in ROWS if r[0] == c), sum(r[0] == c for r in ROWS)] for c in range(12)])
-    picks = spark.range(12).select(F.col("id").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(49)))).selectExpr("i", "b", "pmod(xxhash64(3, b, i), 12) AS pick").collect()
+    picks = spark.range(12).select(F.col("id").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(49)))).selectExpr("i", "b", f"{DRAW.format("concat_ws('|', 3, b, i)")} % 12 AS pick").collect()
     means = []
     for b in range(50):
         own = sums[[r["pick"] for r in picks if r.b == b]]
@@ -32,7 +33,7 @@ def test_block_bootstrap(spark):
         blocks = sorted({m // 8 for s, m, _ in series if s == name})
         sums = np.array([[sum(v for s, m, v in series if s == name and m // 8 == k), sum(s == name and m // 8 == k for s, m, _ in series)] for k in blocks])
         n = len(blocks)
-        picks = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(39)))).selectExpr("b", f"cast(pmod(xxhash64(5, '{name}', b, i), {n}) AS int) AS pick").collect()
+        picks = spark.range(n).select(F.col("id").cast("int").alias("i")).withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(39)))).selectExpr("b", DRAW.format(f"concat_ws('|', 5, '{name}', b, i)") + f" % {n} AS pick").collect()
         means = [sums[[r["pick"] for r in picks if r.b == b]] for b in range(40)]
         means = [x[:, 0].sum() / x[:, 1].sum() for x in means]
         r = got[name]
@@ -44,7 +45,7 @@ def test_wild_cluster_bootstrap(spark):
     c, y, x = (np.array([r[k] for r in ROWS]) for k in (0, 1, 2))
     dx, dy = x - x.mean(), y - y.mean()
     slope = (dx * dy).sum() / (dx * dx).sum()
-    signs = spark.range(12).selectExpr("cast(id AS int) AS c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(98)))).selectExpr("c", "b", "IF(pmod(xxhash64(2, b, cast(c AS string)), 2) = 0, 1, -1) AS sign").collect()
+    signs = spark.range(12).selectExpr("cast(id AS int) AS c").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(98)))).selectExpr("c", "b", f"IF({DRAW.format("concat_ws('|', 2, b, c)")} % 2 = 0, 1, -1) AS sign").collect()
     drawn = []
     for b in range(99):
         sign = {r.c: r.sign for r in signs if r.b == b}
