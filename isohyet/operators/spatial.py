@@ -29,7 +29,7 @@ def _band(km: float) -> float:
     return math.degrees(km / EARTH_KM) * 1.001
 
 
-def _width(band: float, i: Column) -> Column:
+def _width(band: float | Column, i: Column) -> Column:
     """Degrees of longitude of a cell of band i: what the reach takes at the band's poleward edge."""
     return band / F.greatest(F.cos(F.radians(F.least(F.lit(90.0), F.greatest(F.abs(i * band), F.abs((i + 1) * band))))), F.lit(1e-3))
 
@@ -45,7 +45,10 @@ def with_cells_around(boxes: DataFrame, lat0: Column, lat1: Column, lon0: Column
 
     Boxes across the 180th meridian or around a pole are not sought there.
     """
-    band = _band(km)
+    return _around(boxes, lat0, lat1, lon0, lon1, F.lit(_band(km)), i, j)
+
+
+def _around(boxes: DataFrame, lat0: Column, lat1: Column, lon0: Column, lon1: Column, band: Column, i: str = "cell_i", j: str = "cell_j") -> DataFrame:
     rows = boxes.withColumn(i, F.explode(F.sequence(F.floor(lat0 / band) - 1, F.floor(lat1 / band) + 1)))
     # seen from the next band, a reach spans at most two of its cells
     width = _width(band, F.col(i))
@@ -53,13 +56,27 @@ def with_cells_around(boxes: DataFrame, lat0: Column, lat1: Column, lon0: Column
 
 
 def near_features(centres: DataFrame, features: DataFrame, km: float) -> DataFrame:
-    """centres (centre, lat, lon) beside the features (points array<struct<lat, lon>>, or rings, an array of those; other columns) that may be within a distance."""
-    c = with_cell(centres.select("centre", F.col("lat").alias("lat0"), F.col("lon").alias("lon0")), "lat0", "lon0", km)
+    """centres (centre, lat, lon) beside the features (points array<struct<lat, lon>>, or rings, an array of those; other columns) that may be within a distance.
+
+    A feature goes to the cells of the size of its own box, twice or four times the reach and so on, so that one of any extent is in some
+    twenty cells; a centre is in one cell of every size.
+    """
     if "rings" not in features.columns:
         features = features.withColumn("rings", F.array("points")).drop("points")
+    band = _band(km)
+    sizes = range(math.ceil(math.log2(360 / band)) + 1)
     of = lambda name, pick: pick(F.transform(F.flatten("rings"), lambda p: p[name]))
-    f = with_cells_around(features.where(F.size(F.flatten("rings")) > 0), of("lat", F.array_min), of("lat", F.array_max), of("lon", F.array_min), of("lon", F.array_max), km)
-    return c.join(f, ["cell_i", "cell_j"]).drop("cell_i", "cell_j")
+    box = F.struct(*[of(name, pick).alias(f"{name}{i}") for name in ("lat", "lon") for i, pick in enumerate((F.array_min, F.array_max))])
+    f = features.where(F.size(F.flatten("rings")) > 0).withColumn("box", box)
+    nearest = F.when((F.col("box.lat0") <= 0) & (F.col("box.lat1") >= 0), 0.0).otherwise(F.least(F.abs("box.lat0"), F.abs("box.lat1")))
+    cells = F.greatest(F.col("box.lat1") - F.col("box.lat0"), (F.col("box.lon1") - F.col("box.lon0")) * F.cos(F.radians(nearest))) / band
+    size = F.greatest(F.lit(0), F.ceil(F.log2(F.greatest(cells, F.lit(1.0))))).cast("int")
+    f = f.withColumn("cell_size", F.least(size, F.lit(sizes[-1])))
+    f = _around(f, *[F.col(f"box.{c}") for c in ("lat0", "lat1", "lon0", "lon1")], F.lit(band) * F.pow(F.lit(2.0), "cell_size")).drop("box")
+    c = centres.select("centre", F.col("lat").alias("lat0"), F.col("lon").alias("lon0"), F.explode(F.array(*map(F.lit, sizes))).alias("cell_size"))
+    wide = F.lit(band) * F.pow(F.lit(2.0), "cell_size")
+    c = c.withColumn("cell_i", F.floor(F.col("lat0") / wide)).withColumn("cell_j", F.floor(F.col("lon0") / _width(wide, F.col("cell_i"))))
+    return c.join(f, ["cell_size", "cell_i", "cell_j"]).drop("cell_size", "cell_i", "cell_j")
 
 
 def _local(joined: DataFrame, closed: Column | None = None) -> DataFrame:

@@ -58,3 +58,26 @@ def test_plane_keeps_distances(spark):
     x, y = geo.to_plane(F.lit(52.0), F.lit(-1.5), F.lit(52.01), F.lit(-1.49))
     r = spark.range(1).select(x, y).first()
     assert r[0] == pytest.approx(686.77, abs=1) and r[1] == pytest.approx(1112.66, abs=1)
+
+
+def test_wide_shapes_take_few_cells(spark):
+    """Boxes from a point to a continent: few rows each before the join, and every centre within reach is found."""
+    import random
+
+    rng = random.Random(7)
+    box = lambda y, x, h, w: [{"lat": a, "lon": b} for a, b in ((y, x), (y, x + w), (y + h, x + w), (y + h, x))]
+    shapes = [(k, "k", "polygon", box(rng.uniform(-60, 50), rng.uniform(-170, 120), *(rng.choice((0.0, 0.01, 0.3, 2.0, 10.0, 30.0)) for _ in range(2)))) for k in range(60)]
+    features = spark.createDataFrame(shapes, "feature int, kind string, shape string, points array<struct<lat:double,lon:double>>")
+    centres = spark.createDataFrame([(i, rng.uniform(-60, 70), rng.uniform(-170, 150)) for i in range(300)], "centre int, lat double, lon double")
+    got = {(r.centre, r.feature) for r in spatial.near_features(centres, features, 30.0).select("centre", "feature").distinct().collect()}
+    for i, lat, lon in [tuple(r) for r in centres.collect()]:
+        for k, _, _, points in shapes:
+            low, high = points[0], points[2]
+            dlat, dlon = max(low["lat"] - lat, lat - high["lat"], 0), max(low["lon"] - lon, lon - high["lon"], 0)
+            if math.hypot(dlat, dlon * math.cos(math.radians(lat))) * 111.2 <= 29:
+                assert (i, k) in got
+    wide = spark.createDataFrame([(1, "k", "polygon", box(45.0, -5.0, 10.0, 10.0))], features.schema)
+    many = spark.createDataFrame([(i, 45 + i % 100 / 10, -5 + i // 100 / 10) for i in range(10_000)], "centre int, lat double, lon double")
+    assert spatial.near_features(many, wide, 10.0).count() == 10_000
+    with_size = spatial._around(wide.selectExpr("feature", "0 AS cell_size"), F.lit(45.0), F.lit(55.0), F.lit(-5.0), F.lit(5.0), F.lit(spatial._band(10.0) * 2**7))
+    assert with_size.count() < 100
