@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-from isohyet.plans import cohort_queries, file_queries, history_queries, homogenise_queries, ingest_queries, join_queries, layer_queries, review_queries, spatial_queries, trend_queries
+from isohyet.plans import cohort_queries, file_queries, history_queries, homogenise_queries, ingest_queries, join_queries, layer_queries, panel_queries, review_queries, spatial_queries, trend_queries
 
-_MODULES = (ingest_queries, join_queries, layer_queries, trend_queries, cohort_queries, history_queries, spatial_queries, review_queries, homogenise_queries, file_queries)
+_MODULES = (ingest_queries, join_queries, layer_queries, trend_queries, cohort_queries, history_queries, spatial_queries, review_queries, homogenise_queries, file_queries, panel_queries)
 
 
 def queries() -> dict:
