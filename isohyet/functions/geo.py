@@ -79,13 +79,18 @@ def ring_edges(ring: Column) -> Column:
     return bind(ring, lambda p: F.zip_with(p, F.concat(F.slice(p, 2, F.size(p)), F.slice(p, 1, 1)), edge))
 
 
-def polygon_area(rings: Column) -> Column:
+def rings_area(rings: Column) -> Column:
     """Area of a polygon of several rings (x, y): holes run the other way than what they lie in, so that signed areas add up."""
     edges = F.flatten(F.transform(rings, ring_edges))
     return F.abs(F.aggregate(edges, F.lit(0.0), lambda s, e: s + e["ax"] * e["by"] - e["bx"] * e["ay"])) / 2
 
 
-def polygon_in_circle(rings: Column, r: Column) -> Column:
+def polygon_in_circle(ring: Column, r: Column) -> Column:
+    """Area of a simple polygon within the circle around the origin. ring: array of struct(x, y), first point not repeated."""
+    return rings_in_circle(F.array(ring), r)
+
+
+def rings_in_circle(rings: Column, r: Column) -> Column:
     """Area of a polygon of several rings within the circle around the origin; holes run the other way than what they lie in."""
     parts = F.transform(F.flatten(F.transform(rings, ring_edges)), lambda e: edge_in_circle(e, r))
     return F.abs(F.aggregate(parts, F.lit(0.0), lambda s, e: s + e))
@@ -103,12 +108,16 @@ def oriented(ring: Column, outer: Column) -> Column:
     return F.when((signed_area(ring) > 0) == outer, ring).otherwise(F.reverse(ring))
 
 
-def _corner_in_circle(x: Column, y: Column, r: Column) -> Column:
-    """Area of the part of the circle that lies left of x and below y, for |x|, |y| <= r."""
-    beyond = lambda h: r * r * F.acos(h / r) - h * F.sqrt(F.greatest(r * r - h * h, F.lit(0.0)))
-    half = lambda h: (h * F.sqrt(F.greatest(r * r - h * h, F.lit(0.0))) + r * r * F.asin(h / r)) / 2
-    outside = F.when((x >= 0) & (y >= 0), math.pi * r * r - beyond(x) - beyond(y)).when((x <= 0) & (y <= 0), 0.0).when(x < 0, beyond(-x)).otherwise(beyond(-y))
-    return F.when(x * x + y * y >= r * r, outside).otherwise(x * y + half(x) + half(y) + math.pi * r * r / 4)
+def circle_cut(h: Column, r: Column) -> tuple[Column, Column]:
+    """For |h| <= r: half the circle's area between the middle and the line at h (negative below), and the cap beyond |h|."""
+    root = F.sqrt(F.greatest(r * r - h * h, F.lit(0.0)))
+    return (h * root + r * r * F.asin(h / r)) / 2, r * r * F.acos(F.abs(h) / r) - F.abs(h) * root
+
+
+def corner_in_circle(x: Column, y: Column, cut_x: tuple[Column, Column], cut_y: tuple[Column, Column], r: Column) -> Column:
+    """Area of the part of the circle that lies left of x and below y, for |x|, |y| <= r, with their circle_cut()."""
+    outside = F.when((x >= 0) & (y >= 0), math.pi * r * r - cut_x[1] - cut_y[1]).when((x <= 0) & (y <= 0), 0.0).when(x < 0, cut_x[1]).otherwise(cut_y[1])
+    return F.when(x * x + y * y >= r * r, outside).otherwise(x * y + cut_x[0] + cut_y[0] + math.pi * r * r / 4)
 
 
 def rectangle_in_circle(x0: Column, y0: Column, x1: Column, y1: Column, r: Column) -> Column:
@@ -116,6 +125,6 @@ def rectangle_in_circle(x0: Column, y0: Column, x1: Column, y1: Column, r: Colum
     far2 = F.greatest(x0 * x0, x1 * x1) + F.greatest(y0 * y0, y1 * y1)
     dx, dy = F.greatest(x0, -x1, F.lit(0.0)), F.greatest(y0, -y1, F.lit(0.0))
     clip = lambda v: F.greatest(-r, F.least(r, v))
-    corner = lambda x, y: _corner_in_circle(clip(x), clip(y), r)
+    corner = lambda x, y: corner_in_circle(clip(x), clip(y), circle_cut(clip(x), r), circle_cut(clip(y), r), r)
     cut = corner(x1, y1) - corner(x0, y1) - corner(x1, y0) + corner(x0, y0)
     return F.when(far2 <= r * r, (x1 - x0) * (y1 - y0)).when(dx * dx + dy * dy >= r * r, 0.0).otherwise(F.greatest(F.lit(0.0), cut))

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from isohyet.functions.geo import haversine_km, rectangle_in_circle
+from isohyet.functions.geo import circle_cut, corner_in_circle, haversine_km
 from isohyet.operators.spatial import with_cell, with_cells_around
 
 
@@ -27,9 +27,20 @@ def cell_weights(stations: DataFrame, radii: list[float], cell: float) -> DataFr
     ringed = stations.select("src_id", "x", "y", F.explode(F.array(*map(F.lit, radii))).alias("ring_m"))
     span = lambda c: F.sequence(F.floor((F.col(c) - F.col("ring_m")) / cell).cast("int"), F.floor((F.col(c) + F.col("ring_m")) / cell).cast("int"))
     cells = ringed.withColumn("col", F.explode(span("x"))).withColumn("row", F.explode(span("y")))
+    r, sides = F.col("ring_m"), ("x0", "x1", "y0", "y1")
     x0, y0 = F.col("col") * cell - F.col("x"), F.col("row") * cell - F.col("y")
-    w = rectangle_in_circle(x0, y0, x0 + cell, y0 + cell, F.col("ring_m")) / (cell * cell)
-    return cells.withColumn("w", w).where(F.col("w") > 1e-9).select("src_id", "ring_m", "row", "col", "w")
+    placed = cells.select("src_id", "ring_m", "row", "col", x0.alias("x0"), (x0 + cell).alias("x1"), y0.alias("y0"), (y0 + cell).alias("y1"))
+    far2 = F.greatest(F.abs("x0"), F.abs("x1")) ** 2 + F.greatest(F.abs("y0"), F.abs("y1")) ** 2
+    dx, dy = F.greatest(F.col("x0"), -F.col("x1"), F.lit(0.0)), F.greatest(F.col("y0"), -F.col("y1"), F.lit(0.0))
+    met = placed.where(dx * dx + dy * dy < r * r).withColumn("whole", far2 <= r * r)
+    # sides are cut to the circle and each is measured once, on the boundary only; corners put them together
+    clipped = met.withColumns({c: F.greatest(-r, F.least(r, F.col(c))) for c in sides})
+    cuts = clipped.withColumns({f"{n}_{c}": F.when(~F.col("whole"), v) for c in sides for n, v in zip(("half", "cap"), circle_cut(F.col(c), r), strict=True)})
+    corner = lambda x, y: corner_in_circle(F.col(x), F.col(y), (F.col(f"half_{x}"), F.col(f"cap_{x}")), (F.col(f"half_{y}"), F.col(f"cap_{y}")), r)
+    area = corner("x1", "y1") - corner("x0", "y1") - corner("x1", "y0") + corner("x0", "y0")
+    w = F.when(F.col("whole"), 1.0).otherwise(F.greatest(F.lit(0.0), area) / (cell * cell))
+    # a filter would be pushed below the columns above and write each of them out again wherever it is used
+    return cuts.select("src_id", "ring_m", "row", "col", F.explode(F.filter(F.array(w), lambda v: v > 1e-9)).alias("w"))
 
 
 def ring_fraction(weighted: DataFrame, by: list[str], built: str, land: str, covered: str, w: str = "w") -> DataFrame:

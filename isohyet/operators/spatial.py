@@ -9,7 +9,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.geo import EARTH_KM, bind, polygon_area, polygon_in_circle, ring_edges, to_plane
+from isohyet.functions.geo import EARTH_KM, bind, ring_edges, rings_area, rings_in_circle, to_plane
 from isohyet.functions.polygons import repaired
 from isohyet.session import ship_package
 
@@ -132,7 +132,7 @@ def ring_areas(centres: DataFrame, polygons: DataFrame, ring_m: float) -> DataFr
     rings: parts run against the clock and holes with it, as the readers and repair() leave them.
     """
     joined = _local(near_features(centres, polygons, ring_m / 1000))
-    areas = joined.withColumns({"area_m2": polygon_area(F.col("local")), "inter_m2": polygon_in_circle(F.col("local"), F.lit(float(ring_m)))})
+    areas = joined.withColumns({"area_m2": rings_area(F.col("local")), "inter_m2": rings_in_circle(F.col("local"), F.lit(float(ring_m)))})
     return areas.where((F.col("area_m2") > 0) & (F.col("inter_m2") > 1e-6)).drop("rings", "local", "lat0", "lon0")
 
 
