@@ -9,15 +9,19 @@ from isohyet.plans.ingest_queries import FLOAT_TOKENS, INT_TOKENS, TIME_TOKENS,
 from isohyet.plans.tables import cycled, sql_cycled, table
 from isohyet.sources import selfdesc, vectorised
 
-HEADER = "Conventions,G,BADC-CSV\ncollection_version_number,G,202507\ntype,src_id,int\ntype,key,int\ntype,amount,int\ntype,total,float\ntype,at,char\ncoordinate_variable,at,t\ntype,total_q,int\n"
+HEADER = "Conventions,G,BADC-CSV\ncollection_version_number,G,202507\ntype,src_id,int\ntype,key,int\ntype,amount,{kind}\ntype,total,float\ntype,at,char\ncoordinate_variable,at,t\ntype,total_q,int\n"
 
 
 def _files(spark: SparkSession, d: str) -> DataFrame:
-    """A file for every customer with a row for each order; every seventh customer's has no end mark, every fifth order names another station."""
+    """A file for every customer with a row for each order; every seventh customer's has no end mark, every fifth order names another station.
+
+    Every other customer's file declares the amounts as integers, which the dataset widens.
+    """
     other = F.when(F.col("o_orderkey") % 5 == 0, F.col("o_custkey") + 1).otherwise(F.col("o_custkey")).cast("string")
     row = F.concat_ws(",", other, F.col("o_orderkey").cast("string"), *[cycled("o_orderkey", v) for v in (INT_TOKENS, FLOAT_TOKENS, TIME_TOKENS)], F.concat(F.lit(" 0"), F.col("o_orderkey") % 10))
     rows = table(spark, d, "orders").groupBy("o_custkey").agg(F.array_sort(F.collect_list(F.struct("o_orderkey", row.alias("line")))).alias("r"))
-    text = F.concat(F.lit(HEADER + "data\nsrc_id,key,amount,total,at,total_q\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.when(F.col("o_custkey") % 7 == 0, "\n").otherwise("\nend data\n"))
+    header = F.when(F.col("o_custkey") % 2 == 0, HEADER.format(kind="float")).otherwise(HEADER.format(kind="int"))
+    text = F.concat(header, F.lit("data\nsrc_id,key,amount,total,at,total_q\n"), F.array_join(F.transform("r", lambda x: x["line"]), "\n"), F.when(F.col("o_custkey") % 7 == 0, "\n").otherwise("\nend data\n"))
     county = F.concat(F.lit("county-"), F.col("o_custkey") % 5)
     return rows.select(F.concat(F.lit("f"), F.col("o_custkey")).alias("path"), county.alias("county"), F.concat(F.col("o_custkey"), F.lit("_s")).alias("station"), F.col("o_custkey").cast("bigint").alias("src_id"), text.alias("text"))
 
@@ -41,7 +45,7 @@ _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _T = f"""t AS (
   SELECT o_orderkey AS k, o_custkey AS c, 'county-' || o_custkey % 5 AS county, o_custkey % 7 <> 0 AS good, {sql_cycled('o_orderkey', INT_TOKENS)} AS i, {sql_cycled('o_orderkey', FLOAT_TOKENS)} AS f, {sql_cycled('o_orderkey', TIME_TOKENS)} AS a FROM orders),
 v AS (
-  SELECT *, CASE WHEN i NOT IN ('', 'NA') THEN {_sql_int('i')} END AS amount, CASE WHEN regexp_full_match(f, '{_NUM}') AND abs(try_cast(f AS DOUBLE)) < 3.4028235e38 THEN try_cast(f AS FLOAT) END AS total,
+  SELECT *, CASE WHEN i IN ('', 'NA') THEN NULL WHEN c % 2 = 1 THEN {_sql_int('i')}::FLOAT WHEN regexp_full_match(i, '{_NUM}') AND abs(try_cast(i AS DOUBLE)) < 3.4028235e38 THEN try_cast(i AS FLOAT) END AS amount, CASE WHEN regexp_full_match(f, '{_NUM}') AND abs(try_cast(f AS DOUBLE)) < 3.4028235e38 THEN try_cast(f AS FLOAT) END AS total,
          CASE WHEN a SIMILAR TO '[0-9-]+ [0-9:]+' THEN try_cast(a AS TIMESTAMP) END AS stamp FROM t WHERE good)"""
 
 SQL = {

@@ -110,18 +110,35 @@ def dataset_schema(parsed: DataFrame) -> DatasetSchema:
     )
 
 
-def tokens(parsed: DataFrame) -> DataFrame:
-    """(path, county, station, src_id, row, cells): cells maps names to raw tokens."""
-    good = parsed.where("error is null").select("path", "county", "station", "src_id", "columns", F.posexplode("rows").alias("row", "line"))
+def _own_ints(schema: DatasetSchema | None) -> Column:
+    """Of the columns that the dataset widens, those that a file declares as integers: their tokens are read as such, and then widened."""
+    part = lambda line, i: F.trim(F.split(line, ",", 3)[i])
+    declared = lambda c: part(F.try_element_at(F.filter("header", lambda x: (part(x, 0) == "type") & (part(x, 1) == c)), F.lit(-1)), 2)
+    widened = sorted(schema.widened) if schema else []
+    return F.filter(F.array(*map(F.lit, widened)), lambda c: declared(c) == "int") if widened else F.array().cast("array<string>")
+
+
+def tokens(parsed: DataFrame, schema: DatasetSchema | None = None) -> DataFrame:
+    """(path, county, station, src_id, own_ints, row, cells): cells maps names to raw tokens."""
+    good = parsed.where("error is null").select("path", "county", "station", "src_id", "columns", _own_ints(schema).alias("own_ints"), F.posexplode("rows").alias("row", "line"))
     cells = F.map_from_arrays("columns", F.split("line", ",", -1))
-    return good.select("path", "county", "station", "src_id", "row", cells.alias("cells"))
+    return good.select("path", "county", "station", "src_id", "own_ints", "row", cells.alias("cells"))
 
 
 def typed_rows(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
-    """Rows under the dataset schema, columns by name, absent ones null; attribution columns replace those in the file."""
+    """Rows under the dataset schema, columns by name, absent ones null; attribution columns replace those in the file.
+
+    A column that the dataset widens is read by the file's own type first: a fraction in a file of integers has no value.
+    """
     release = headers(parsed).where("key = 'collection_version_number' and col = 'G'").groupBy(F.col("path").alias("r_path")).agg(F.max_by("value", "nth").alias("collection_version"))
-    rows = tokens(parsed)
-    cols = [value(F.try_element_at("cells", F.lit(c)), t).cast(SQL_TYPE[t]).alias(c, metadata={"unit": schema.units[c]} if c in schema.units else {}) for c, t in sorted(schema.types.items()) if c not in ATTRIBUTION]
+    rows = tokens(parsed, schema)
+
+    def typed(c: str, kind: str) -> Column:
+        token = F.try_element_at("cells", F.lit(c))
+        out = value(token, kind).cast(SQL_TYPE[kind])
+        return F.when(F.array_contains("own_ints", c), value(token, "int").cast("float")).otherwise(out) if c in schema.widened else out
+
+    cols = [typed(c, t).alias(c, metadata={"unit": schema.units[c]} if c in schema.units else {}) for c, t in sorted(schema.types.items()) if c not in ATTRIBUTION]
     base = [F.col("src_id"), F.col("county"), F.col("station").alias("station_file_name")]
     if len(schema.releases) > 1:
         return rows.join(release, rows["path"] == release["r_path"], "left").select(*base, "collection_version", *cols)
@@ -131,9 +148,9 @@ def typed_rows(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
 def cell_tallies(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     """(county, path, col, na, empty, coerced, mismatched) for every column of every good file, from one pass over the cells."""
     own = value(F.col("token"), "int") != F.col("src_id")
-    pairs = tokens(parsed).select("county", "path", "src_id", F.explode("cells").alias("col", "token"))
+    pairs = tokens(parsed, schema).select("county", "path", "src_id", "own_ints", F.explode("cells").alias("col", "token"))
     kinds = F.create_map(*[F.lit(x) for kv in sorted(schema.types.items()) for x in kv])
-    typed = pairs.withColumn("kind", F.try_element_at(kinds, F.col("col")))
+    typed = pairs.withColumn("kind", F.when(F.array_contains("own_ints", F.col("col")), "int").otherwise(F.try_element_at(kinds, F.col("col"))))
     why = F.lit(None).cast("string")
     for kind in SQL_TYPE:
         why = F.when(F.col("kind") == kind, cause(F.col("token"), kind)).otherwise(why)

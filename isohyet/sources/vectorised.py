@@ -74,7 +74,7 @@ class Body:
     """A file's columns as raw tokens, or the error that stands against it."""
 
     def __init__(self, text: str, src_id: int | None):
-        self.error, self.release, self.columns = None, None, None
+        self.error, self.release, self.columns, self.declared = None, None, None, {}
         text = text.replace("\r", "")
         start = _DATA.search(text)
         head = text[: start.start()] if start else ""
@@ -98,9 +98,11 @@ class Body:
             self.error = "a column is named twice"
         if self.error:
             return
-        for key, column, value in parts:
-            if key.strip(" ") == "collection_version_number" and column.strip(" ") == "G":
-                self.release = value.strip(" ")
+        for key, column, value in ([x.strip(" ") for x in p] for p in parts):
+            if key == "collection_version_number" and column == "G":
+                self.release = value
+            elif key == "type":
+                self.declared[column] = value
         # the end mark ends the body wherever it stands behind the column row
         stop = _END.search(body)
         body = re.sub(r"^ +$", "", body[: stop.start()] if stop else "", flags=re.M)
@@ -115,13 +117,16 @@ class Body:
         except pa.ArrowInvalid:
             self.error = "row of another number of fields"
 
-    def values(self, name: str, kind: str) -> tuple[pa.Array, int, int, int]:
-        """(values, na, empty, coerced) of a column."""
+    def values(self, name: str, kind: str, widened: bool = False) -> tuple[pa.Array, int, int, int]:
+        """(values, na, empty, coerced) of a column; a widened one is read by the file's own type first."""
         column = self.columns.column(name)
         tokens = _trimmed(column.chunk(0) if column.num_chunks else pa.array([], pa.string()))
         na, empty = pc.equal(tokens, "NA"), pc.equal(tokens, "")
         present = pc.if_else(pc.or_(na, empty), pa.scalar(None, pa.string()), tokens)
-        out = typed(present, kind)
+        own = "int" if widened and self.declared.get(name) == "int" else kind
+        out = typed(present, own)
+        if own != kind:
+            out = out.cast(_ARROW[kind], safe=False)
         return out, pc.sum(na).as_py() or 0, pc.sum(empty).as_py() or 0, out.null_count - present.null_count
 
 
@@ -129,6 +134,7 @@ def rows(files: DataFrame, schema: DatasetSchema) -> DataFrame:
     """selfdesc.typed_rows() of files (path, county, station, src_id, text) that have no error: one pass, no shuffle."""
     ship_package(files.sparkSession)
     columns = [(c, t) for c, t in sorted(schema.types.items()) if c not in ATTRIBUTION]
+    widened = set(schema.widened)
     versions = len(schema.releases) > 1
     base = [T.StructField("src_id", T.LongType()), T.StructField("county", T.StringType()), T.StructField("station_file_name", T.StringType())] + [T.StructField("collection_version", T.StringType())] * versions
     out = T.StructType([*base, *(T.StructField(c, T._parse_datatype_string(SQL_TYPE[t])) for c, t in columns)])
@@ -142,7 +148,7 @@ def rows(files: DataFrame, schema: DatasetSchema) -> DataFrame:
                     continue
                 n = body.columns.num_rows
                 made = [pa.array([src_id], pa.int64()).take(pa.array([0] * n)), pa.repeat(pa.scalar(county, pa.string()), n), pa.repeat(pa.scalar(station, pa.string()), n)] + [pa.repeat(pa.scalar(body.release, pa.string()), n)] * versions
-                made += [body.values(c, t)[0] if c in body.columns.column_names else pa.nulls(n, _ARROW[t]) for c, t in columns]
+                made += [body.values(c, t, c in widened)[0] if c in body.columns.column_names else pa.nulls(n, _ARROW[t]) for c, t in columns]
                 yield pa.RecordBatch.from_arrays(made, out.names)
 
     return files.select("src_id", "county", "station", "text").mapInArrow(run, out)
@@ -154,7 +160,7 @@ TALLIES = "county string, path string, rows long, error string, col string, na l
 def tallies(files: DataFrame, schema: DatasetSchema) -> DataFrame:
     """A row for every column of every file, with the causes of its nulls and rows that name another station; one without column for a file with an error."""
     ship_package(files.sparkSession)
-    types = dict(schema.types)
+    types, widened = dict(schema.types), set(schema.widened)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in TALLIES.split(", ")]
@@ -167,7 +173,7 @@ def tallies(files: DataFrame, schema: DatasetSchema) -> DataFrame:
                     found.append((county, path, None, body.error, None, None, None, None, None))
                     continue
                 for c in body.columns.column_names:
-                    values, na, empty, coerced = body.values(c, types.get(c, "char"))
+                    values, na, empty, coerced = body.values(c, types.get(c, "char"), c in widened)
                     other = 0
                     if c == "src_id":
                         other = pc.sum(pc.not_equal(values if types.get(c) == "int" else typed(values, "int"), src_id)).as_py() or 0

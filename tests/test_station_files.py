@@ -143,3 +143,18 @@ def test_no_rows_and_missing_columns(spark, tmp_path, token):
     write(tmp_path, "ayr", "00013_a", 1995, HEAD.format(v="1", t="int") + f"data\nsrc_id\n{token}\nend data\n")
     files, parsed, schema = both(spark, tmp_path)
     assert sorted(map(repr, vectorised.rows(files, schema).collect())) == sorted(map(repr, selfdesc.typed_rows(parsed, schema).collect()))
+
+
+def test_integers_of_a_widened_column(spark, tmp_path):
+    """A file that declares integers is read as such before it is widened: a fraction has no value there, and is counted."""
+    head = "Conventions,G,BADC-CSV\ncollection_version_number,G,1\ntype,src_id,int\n type , x , {t} \n"
+    body = "data\nsrc_id,x\n" + "".join(f"1,{t}\n" for t in ("5", "300.5", "16777217", "9223372036854775807", "1e3", "inf", "NA")) + "end data\n"
+    for i, t in enumerate(("int", "float")):
+        write(tmp_path, "ayr", f"{i:05d}_a", 1995, head.format(t=t) + body)
+    files, parsed, schema = both(spark, tmp_path)
+    assert schema.types["x"] == "float" and set(schema.widened) == {"x"}
+    for rows in (selfdesc.typed_rows(parsed, schema), vectorised.rows(files, schema)):
+        got = {s: sorted(r.x for r in rows.where(F.col("src_id") == s).collect() if r.x is not None) for s in (0, 1)}
+        assert got == {0: [5.0, 1000.0, 16777216.0, 9.223372036854775807e18], 1: [5.0, 300.5, 1000.0, 16777216.0, 9.223372036854775807e18]}
+    for t in (selfdesc.cell_tallies(parsed, schema), vectorised.tallies(files, schema)):
+        assert sorted(r.coerced for r in t.where("col = 'x'").collect()) == [1, 2]
