@@ -9,14 +9,25 @@ from isohyet.functions.geo import circle_cut, corner_in_circle, haversine_km
 from isohyet.operators.spatial import with_cell, with_cells_around
 
 
+#: Values of an axis that are broadcast.
+AXIS_ROWS = 50_000
+
+
 def complete_grid(axes: list[DataFrame], facts: DataFrame, on: list[str]) -> DataFrame:
-    """Every combination of the axes, with its facts where there are any. All axes but the first must be short lists."""
+    """Every combination of the axes, with its facts where there are any, null-safely.
+
+    Axes are counted: one of up to AXIS_ROWS values is broadcast to the rows so far, a longer one meets them in a shuffled product.
+    """
     grid = axes[0]
     for axis in axes[1:]:
-        values = axis.distinct().collect()
-        name = axis.columns[0]
-        grid = grid.withColumn(name, F.explode(F.array(*[F.lit(v[0]) for v in values]))) if values else grid.withColumn(name, F.lit(None)).limit(0)
-    return grid.join(facts, on, "left")
+        values = axis.distinct()
+        short = values.limit(AXIS_ROWS + 1).count() <= AXIS_ROWS
+        grid = grid.crossJoin(F.broadcast(values) if short else values)
+    held = facts.select(*[F.col(c).alias(f"__{c}") if c in on else F.col(c) for c in facts.columns])
+    match = F.lit(True)
+    for c in on:
+        match = match & F.col(c).eqNullSafe(F.col(f"__{c}"))
+    return grid.join(held, match, "left").drop(*[f"__{c}" for c in on])
 
 
 def cell_weights(stations: DataFrame, radii: list[float], cell: float) -> DataFrame:

@@ -243,3 +243,34 @@ def test_trends_take_finite_values_alone(spark):
 def test_years_unknown_make_no_segment(spark):
     years = spark.createDataFrame([("a", 1990), ("a", None), ("a", 1991), ("b", None)], "station string, year int")
     assert [(r.station, r.start_year, r.end_year, r.n_segments) for r in timeline.segments(years).collect()] == [("a", 1990, 1991, 1)]
+
+
+@pytest.mark.parametrize("most,broadcast", [(2_000_000, 50_000), (10, 50_000), (10, 0)])
+def test_as_of_over_ranges(spark, monkeypatch, most, broadcast):
+    """A hot key, dealt by ranges of time, gives what one sort gives; ties, missing keys and times among the rows."""
+    import random
+
+    monkeypatch.setattr(joins, "ONE_TASK_ROWS", most)
+    monkeypatch.setattr(joins, "BROADCAST_ROWS", broadcast)
+    rng = random.Random(4)
+    key = lambda: rng.choice(["hot"] * 6 + ["a", "b", "c", None])
+    lefts = [(i, key(), rng.choice([*range(400), None])) for i in range(600)]
+    rights = [(key() if i % 3 else "hot", rng.choice([*range(100, 400), None]), i % 50, None if i % 7 == 0 else i) for i in range(300)]
+    left, right = spark.createDataFrame(lefts, "i int, k string, t int"), spark.createDataFrame(rights, "k string, t int, v int, w int")
+    low = lambda t: float("-inf") if t is None else t
+    want = []
+    for i, k, t in lefts:
+        held = [r for r in rights if r[0] == k and low(r[1]) <= low(t)]
+        last = max(held, key=lambda r: (low(r[1]), r[2], low(r[3])), default=(None,) * 4)
+        want.append((i, k, t, last[2], last[3]))
+    assert sorted(map(tuple, joins.as_of(left, right, "k", "t", ["v", "w"]).collect()), key=repr) == sorted(want, key=repr)
+
+
+@pytest.mark.parametrize("rows", [50_000, 1])
+def test_grid_of_axes(spark, monkeypatch, rows):
+    monkeypatch.setattr(rings, "AXIS_ROWS", rows)
+    axis = lambda name, *v: spark.createDataFrame([(x,) for x in v], f"{name} string")
+    facts = spark.createDataFrame([("a", "x", 1), ("b", None, 2)], "s string, e string, n int")
+    got = {tuple(r) for r in rings.complete_grid([axis("s", "a", "b"), axis("e", "x", "x", None)], facts, ["s", "e"]).collect()}
+    assert got == {("a", "x", 1), ("a", None, None), ("b", "x", None), ("b", None, 2)}
+    assert rings.complete_grid([axis("s", "a"), axis("e", "x").limit(0)], facts, ["s", "e"]).count() == 0
