@@ -82,8 +82,8 @@ def pair_mean(fits: DataFrame) -> DataFrame:
 
 
 def make_pairs(treated: DataFrame, controls: DataFrame, seed: int = 0) -> DataFrame:
-    """(pair, a, b): one-to-one, both sides in seeded order."""
-    placed = lambda df, name: ranked(df.select(F.col(df.columns[0]).alias(name)).withColumn("at", F.xxhash64(F.lit(seed), name)), ["at", name], name="pair").drop("at")
+    """(pair, a, b): one-to-one, both sides in an order drawn by the seed."""
+    placed = lambda df, name: ranked(df.select(F.col(df.columns[0]).alias(name)).withColumn("at", draw(seed, F.col(name))), ["at", name], name="pair").drop("at")
     return placed(treated, "a").join(placed(controls, "b"), "pair").select("pair", "a", "b")
 
 

@@ -6,8 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.draws import sql_draw
-from isohyet.operators import analysis, features
+from isohyet.operators import analysis, features, trend
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, lat, lon, table
+from isohyet.sources import inventory
 
 
 def tag_kind(spark: SparkSession, d: str) -> DataFrame:
@@ -53,6 +54,31 @@ def extrema_gap(spark: SparkSession, d: str) -> DataFrame:
     return out.select("n_days", "n_inverted", F.round("mean_low_gap", 6).alias("mean_low_gap"), F.round("mean_high_gap", 6).alias("mean_high_gap"))
 
 
+def pair_slopes_mean(spark: SparkSession, d: str) -> DataFrame:
+    """Even suppliers drawn against odd ones; the mean over pairs of the differences of their slopes, some of them missing or NaN."""
+    s = table(spark, d, "supplier")
+    key = lambda odd: s.where(F.col("s_suppkey") % 2 == odd).select("s_suppkey")
+    pairs = trend.make_pairs(key(0), key(1), seed=3)
+    slopes = table(spark, d, "lineitem").groupBy("l_suppkey").agg(F.regr_slope("l_extendedprice", "l_quantity").alias("b"))
+    of = lambda name: slopes.select(F.col("l_suppkey").alias(name), F.col("b").alias(f"b_{name}"))
+    slope = F.when(F.col("pair") % 7 == 0, F.lit(None)).when(F.col("pair") % 11 == 0, float("nan")).otherwise(F.col("b_a") - F.col("b_b"))
+    fits = pairs.join(of("a"), "a", "left").join(of("b"), "b", "left").withColumn("slope", slope)
+    return trend.pair_mean(fits).select("n_pairs", F.round("mean_slope", 6).alias("mean_slope"), F.round("se", 6).alias("se"))
+
+
+def boundary_codes(spark: SparkSession, d: str) -> DataFrame:
+    """Codes of boundaries from properties of other names and cases, some of them missing."""
+    k = F.col("c_custkey")
+    code = lambda prefix: F.concat(F.lit(prefix), k)
+    properties = (
+        F.when(k % 5 == 0, F.create_map(F.lit("name"), F.col("c_name"), F.lit("wd91cd"), code("A"), F.lit("WD91CDO"), code("B")))
+        .when(k % 5 == 1, F.create_map(F.lit("ward21CD"), code("C"), F.lit("aaCD"), code("D")))
+        .when(k % 5 == 2, F.create_map(F.lit("xcdo"), F.lit(None).cast("string"), F.lit("ycd"), code("E")))
+        .when(k % 5 == 3, F.create_map(F.lit("code"), code("F"), F.lit("cdx"), code("G")))
+    )
+    return table(spark, d, "customer").withColumn("properties", properties).select("c_custkey", inventory.boundary_code().alias("code"))
+
+
 def block_bootstrap(spark: SparkSession, d: str) -> DataFrame:
     month = ((F.year("l_shipdate") - 1995) * 12 + F.month("l_shipdate") - 1).cast("bigint")
     s = table(spark, d, "lineitem").groupBy(F.col("l_returnflag").alias("series"), month.alias("month")).agg(F.avg("l_quantity").alias("value"))
@@ -73,6 +99,12 @@ def record_length_rollup(spark: SparkSession, d: str) -> DataFrame:
 
 
 SQL = {
+    "pair_slopes_mean": f"""
+WITH r AS (SELECT s_suppkey AS k, s_suppkey % 2 AS odd, row_number() OVER (PARTITION BY s_suppkey % 2 ORDER BY {sql_draw('3', 's_suppkey')}, s_suppkey) AS pair FROM supplier),
+b AS (SELECT l_suppkey AS k, regr_slope(l_extendedprice, l_quantity) AS b FROM lineitem GROUP BY 1),
+s AS (SELECT x.pair, p.b - q.b AS slope FROM r x JOIN r y ON x.odd = 0 AND y.odd = 1 AND x.pair = y.pair LEFT JOIN b p ON p.k = x.k LEFT JOIN b q ON q.k = y.k WHERE x.pair % 7 <> 0 AND x.pair % 11 <> 0)
+SELECT count(slope) AS n_pairs, round(avg(slope), 6) AS mean_slope, round(stddev_samp(slope) / sqrt(count(slope)), 6) AS se FROM s""",
+    "boundary_codes": "SELECT c_custkey, CASE c_custkey % 5 WHEN 0 THEN 'B' || c_custkey WHEN 1 THEN 'D' || c_custkey WHEN 2 THEN 'E' || c_custkey END AS code FROM customer",
     "block_bootstrap": f"""
 WITH q AS (SELECT l_returnflag AS g, (year(l_shipdate) - 1995) * 12 + month(l_shipdate) - 1 AS month, avg(l_quantity) AS v FROM lineitem GROUP BY ALL),
 s AS (SELECT g, floor(month / 24) AS k, sum(v) AS s, count(*) AS n FROM q GROUP BY ALL),

@@ -1,4 +1,4 @@
-"""Queries on whole station files: typed in one vectorised pass, with the causes of nulls."""
+"""Queries on whole station files, typed in one vectorised pass with the causes of nulls, and on pages that follow each other."""
 
 from __future__ import annotations
 
@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from isohyet.plans.ingest_queries import FLOAT_TOKENS, INT_TOKENS, TIME_TOKENS, _sql_int
 from isohyet.plans.tables import cycled, sql_cycled, table
-from isohyet.sources import selfdesc, vectorised
+from isohyet.session import scratch_dir
+from isohyet.sources import pages, selfdesc, vectorised
 
 HEADER = "Conventions,G,BADC-CSV\ncollection_version_number,G,202507\ntype,src_id,int\ntype,key,int\ntype,amount,{kind}\ntype,total,float\ntype,at,char\ncoordinate_variable,at,t\ntype,total_q,int\n"
 
@@ -41,6 +42,23 @@ def station_file_tallies(spark: SparkSession, d: str) -> DataFrame:
     return t.groupBy("county", "col", "error").agg(F.count(F.lit(1)).alias("files"), *[F.sum(c).alias(c) for c in ("rows", "na", "empty", "coerced", "mismatched")])
 
 
+PAGE_ROWS = 2_000
+
+
+def paged_events(spark: SparkSession, d: str) -> DataFrame:
+    """Events cut into pages by their number, fetched by a stream in two runs: the second finds nothing new."""
+    root = scratch_dir(spark, "pages")
+    nth = F.expr(f"event_id div {PAGE_ROWS}") + 1
+    e = table(spark, d, "events").select(nth.alias("page"), F.to_json(F.struct("event_id", "event_type")).alias("value"))
+    last = e.agg(F.max("page")).first()[0] or 0
+    following = spark.range(1, max(last, 1)).select(F.col("id").alias("page"), F.to_json(F.struct((F.col("id") + 1).alias("next"))).alias("value"))
+    e.unionByName(following).repartition("page").write.partitionBy("page").text(f"{root}/in")
+    for _ in range(2):
+        pages.fetch_new(spark, f"{root}/in", f"{root}/out", f"{root}/mark")
+    got = pages.fetched(spark, f"{root}/out").withColumn("e", F.from_json("value", "event_id long, event_type string"))
+    return got.select("page", "e.event_id", "e.event_type")
+
+
 _NUM = r"[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?"
 _T = f"""t AS (
   SELECT o_orderkey AS k, o_custkey AS c, 'county-' || o_custkey % 5 AS county, o_custkey % 7 <> 0 AS good, {sql_cycled('o_orderkey', INT_TOKENS)} AS i, {sql_cycled('o_orderkey', FLOAT_TOKENS)} AS f, {sql_cycled('o_orderkey', TIME_TOKENS)} AS a FROM orders),
@@ -49,6 +67,7 @@ v AS (
          CASE WHEN a SIMILAR TO '[0-9-]+ [0-9:]+' THEN try_cast(a AS TIMESTAMP) END AS stamp FROM t WHERE good)"""
 
 SQL = {
+    "paged_events": f"SELECT event_id // {PAGE_ROWS} + 1 AS page, event_id, event_type FROM events",
     "station_file_rows": f"WITH {_T} SELECT c AS src_id, county, c || '_s' AS station_file_name, amount, stamp AS at, k AS key, total, '0' || k % 10 AS total_q FROM v",
     "station_file_tallies": f"""
 WITH {_T},
