@@ -9,7 +9,7 @@ from isohyet.functions import coerce, geo
 from isohyet.operators import audit, entity, timeline
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, cycled, lat, lon, sql_cycled, table
 from isohyet.session import shared_dir
-from isohyet.sources import selfdesc
+from isohyet.sources import inventory, selfdesc, sinks
 
 INT_TOKENS = ["300", "300.0", "-5", "0", "9223372036854775807", "-9223372036854775808", "300.5", "/", "", "1e30", "inf", "9223372036854775808.0"]
 FLOAT_TOKENS = ["1.5", "NA", "", "inf", "1e39", "abc", "-2"]
@@ -54,8 +54,7 @@ def schema_conflict_widening(spark: SparkSession, d: str) -> DataFrame:
 
 
 def attribution_mismatch(spark: SparkSession, d: str) -> DataFrame:
-    l = table(spark, d, "lineitem")
-    return l.groupBy("l_linenumber").agg(F.count_if(F.col("l_orderkey") % 7 != F.col("l_suppkey") % 7).alias("n_mismatch"), F.count(F.lit(1)).alias("n_rows"))
+    return selfdesc.src_id_mismatches(_parsed(spark, d))
 
 
 def report_dedupe(spark: SparkSession, d: str) -> DataFrame:
@@ -122,12 +121,23 @@ def code_translate_lookup(spark: SparkSession, d: str) -> DataFrame:
 
 
 def resume_anti_join(spark: SparkSession, d: str) -> DataFrame:
-    e = table(spark, d, "events").select("event_id", "user_id", "event_type")
-    return e.join(e.where("event_id % 3 <> 0").select("event_id", "user_id"), ["event_id", "user_id"], "left_anti")
+    """Events as listed files: two of the kinds, one version and what has none, without those that are there in their size."""
+    k = F.col("event_id")
+    path = F.concat(F.lit("f"), k)
+    e = table(spark, d, "events")
+    listing = e.select(path.alias("path"), F.col("user_id").alias("size"), F.col("event_type").alias("county"), F.when(k % 4 != 0, k % 4).alias("qc"))
+    local = e.where(k % 3 != 0).select(path.alias("path"), F.when(k % 5 == 0, F.col("user_id") + 1).otherwise(F.col("user_id")).alias("size"))
+    return inventory.to_fetch(listing, local, ["error", "signup"], 1)
 
 
 def manifest_sha256(spark: SparkSession, d: str) -> DataFrame:
-    return table(spark, d, "documents").select("doc_id", F.sha2(F.coalesce("text", F.lit("")), 256).alias("digest"))
+    """Documents as the files of a release, against a manifest that has lost some, lists others that aren't there and holds old digests."""
+    k = F.col("doc_id")
+    files = table(spark, d, "documents").select(F.concat(F.lit("release/"), k).alias("path"), F.encode(F.coalesce("text", F.lit("")), "UTF-8").alias("content"), "doc_id")
+    kept = sinks.manifest(files.where(k % 7 != 0))
+    old = F.col("name").cast("long") % 5 == 0
+    expected = kept.withColumn("digest", F.when(old, F.lit("old")).otherwise(F.col("digest")))
+    return sinks.verify(files.where(k % 11 != 0), expected)
 
 
 def _parsed(spark: SparkSession, d: str) -> DataFrame:
@@ -208,7 +218,7 @@ t AS (SELECT path, station, 'depth' AS col, CASE WHEN k % 3 = 0 THEN 'float' ELS
       SELECT path, station, 'name', 'char' FROM n UNION ALL SELECT path, station, 'mixed', CASE WHEN k = 7 THEN 'char' ELSE 'int' END FROM n),
 g AS (SELECT col, string_agg(DISTINCT type, ',' ORDER BY type) AS types, list_sort([arg_min(station, type || path), arg_max(station, type || path)]) AS s FROM t GROUP BY col)
 SELECT col, types, CASE WHEN types NOT LIKE '%,%' THEN types WHEN types = 'float,int' THEN 'float' END AS type, array_to_string(s, ',') AS stations FROM g""",
-    "attribution_mismatch": "SELECT l_linenumber, count(*) FILTER (WHERE l_orderkey % 7 <> l_suppkey % 7) AS n_mismatch, count(*) AS n_rows FROM lineitem GROUP BY 1",
+    "attribution_mismatch": f"WITH {_FILES} SELECT file AS path, count(*) AS n FROM good WHERE o_orderkey % 11 = 0 GROUP BY file",
     "report_dedupe": """
 SELECT event_id, user_id, event_type, hour(ts) AS hour FROM events
 QUALIFY row_number() OVER (PARTITION BY user_id, ts::DATE, hour(ts), event_type ORDER BY event_id) = 1""",
@@ -251,7 +261,9 @@ FROM c JOIN supplier ON s_suppkey = node JOIN w USING (component) GROUP BY c.com
     "code_translate_lookup": """
 SELECT coalesce('R' || n_regionkey, 'N' || c_nationkey) AS code, count(*) AS n, count(*) FILTER (WHERE n_regionkey IS NULL) AS n_unmatched
 FROM customer LEFT JOIN (FROM nation WHERE n_nationkey % 5 <> 0) ON c_nationkey = n_nationkey GROUP BY 1""",
-    "resume_anti_join": "SELECT event_id, user_id, event_type FROM events e WHERE NOT EXISTS (SELECT 1 FROM events s WHERE s.event_id % 3 <> 0 AND s.event_id = e.event_id AND s.user_id = e.user_id)",
+    "resume_anti_join": """
+SELECT 'f' || event_id AS path, user_id AS size, event_type AS county, nullif(event_id % 4, 0) AS qc FROM events
+WHERE event_type IN ('error', 'signup') AND event_id % 4 IN (0, 1) AND (event_id % 3 = 0 OR event_id % 5 = 0)""",
     "run_record_details": f"""
 WITH {_FILES}
 SELECT county, 'coercion' AS kind, file, x.c AS column, 1::BIGINT AS count, NULL::VARCHAR AS error FROM good, (VALUES ('total'), ('at')) x(c) WHERE CASE x.c WHEN 'total' THEN total_cause ELSE at_cause END = 'coerced'
@@ -270,6 +282,8 @@ SELECT '{{"dataset":"hourly","qc_version":1,"raw_dir":"raw","releases":["202507"
     "run_typed_rows": f"""
 WITH {_FILES}
 SELECT o_custkey AS src_id, county, lpad(o_custkey::VARCHAR, 5, '0') || '_s' AS station_file_name, CASE WHEN at_cause IS NULL THEN try_cast(at_token AS TIMESTAMP) END AS at, 'NA' AS mystery, CASE WHEN total_cause IS NULL THEN try_cast(total_token AS FLOAT) END AS total FROM good""".replace("'NA' AS mystery", "NULL::VARCHAR AS mystery"),
-    "manifest_sha256": "SELECT doc_id, sha256(coalesce(text, '')) AS digest FROM documents",
+    "manifest_sha256": """
+SELECT doc_id::VARCHAR AS name, CASE WHEN doc_id % 11 = 0 THEN 'missing' WHEN doc_id % 7 = 0 THEN 'unlisted' ELSE 'changed' END AS status
+FROM documents WHERE (doc_id % 7 <> 0 AND (doc_id % 11 = 0 OR doc_id % 5 = 0)) OR (doc_id % 7 = 0 AND doc_id % 11 <> 0)""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

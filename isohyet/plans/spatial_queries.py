@@ -100,7 +100,7 @@ def census_reasons(spark: SparkSession, d: str) -> DataFrame:
 
 def crs_transforms(spark: SparkSession, d: str) -> DataFrame:
     c = table(spark, d, "customer").select("c_custkey", lat("c_custkey").alias("lat"), lon("c_custkey").alias("lon"))
-    (ue, un), (ge, gn), (mx, my) = crs.project(crs.utm(30), F.col("lat"), F.col("lon")), crs.project(crs.BRITISH_GRID, F.col("lat"), F.col("lon")), crs.mollweide(F.col("lat"), F.col("lon"))
+    (ue, un), (ge, gn), (mx, my) = crs.project(crs.utm(30), F.col("lat"), F.col("lon")), crs.british_grid(F.col("lat"), F.col("lon")), crs.mollweide(F.col("lat"), F.col("lon"))
     out = c.select("c_custkey", ue.alias("utm_e"), un.alias("utm_n"), ge.alias("grid_e"), gn.alias("grid_n"), mx.alias("mx"), my.alias("my"))
     # Mollweide by way back: SQL has no iteration for the way there
     theta = F.asin(F.col("my") / (math.sqrt(2) * crs.MOLLWEIDE_RADIUS))
@@ -118,6 +118,20 @@ def _sql_tm(tm: crs.TransverseMercator, name: str) -> str:
     return f"round({tm.east0}::DOUBLE + {k!r}::DOUBLE * ({eta} + {terms('cos', 'sinh')}), 3) AS {name}_e, round({tm.north0 - tm.k0 * tm.origin()!r}::DOUBLE + {k!r}::DOUBLE * ({xi} + {terms('sin', 'cosh')}), 3) AS {name}_n"
 
 
+def _sql_shift(source: str, name: str) -> str:
+    """The Helmert shift of (c_custkey, lat, lon) to the British datum; latitudes by fixed-point steps, one relation each."""
+    tx, ty, tz, ppm, *turn = crs.TO_BRITISH
+    rx, ry, rz = (repr(math.radians(t / 3600)) + "::DOUBLE" for t in turn)
+    (a, f), (b, g) = crs.WGS84, crs.AIRY
+    e2, e2b, k = repr(f * (2 - f)) + "::DOUBLE", repr(g * (2 - g)) + "::DOUBLE", repr(1 + ppm * 1e-6) + "::DOUBLE"
+    steps = ", ".join(f"h{i + 1} AS (SELECT * REPLACE (atan2(z + {e2b} * {b}::DOUBLE / sqrt(1 - {e2b} * sin(q) ** 2) * sin(q), flat) AS q) FROM h{i})" for i in range(8))
+    return f"""h AS (SELECT *, {a}::DOUBLE / sqrt(1 - {e2} * sin(radians(lat)) ** 2) AS nu FROM {source}),
+o AS (SELECT c_custkey, nu * cos(radians(lat)) * cos(radians(lon)) AS x, nu * cos(radians(lat)) * sin(radians(lon)) AS y, nu * (1 - {e2}) * sin(radians(lat)) AS z FROM h),
+w AS (SELECT c_custkey, {tx}::DOUBLE + {k} * x - {rz} * y + {ry} * z AS x, {ty}::DOUBLE + {rz} * x + {k} * y - {rx} * z AS y, {tz}::DOUBLE - {ry} * x + {rx} * y + {k} * z AS z FROM o),
+h0 AS (SELECT c_custkey, x, y, z, sqrt(x * x + y * y) AS flat, atan2(z, sqrt(x * x + y * y) * (1 - {e2b})) AS q FROM w), {steps},
+{name} AS (SELECT c_custkey, degrees(q) AS lat, degrees(atan2(y, x)) AS lon FROM h8)"""
+
+
 _W = f"sqrt(1 - {ECCENTRICITY_2}::DOUBLE * pow(sin(radians(c.lat)), 2))"
 _EAST, _NORTH = f"({SEMI_MAJOR_M}::DOUBLE / {_W} * cos(radians(c.lat)))", f"({SEMI_MAJOR_M}::DOUBLE * {1 - ECCENTRICITY_2!r}::DOUBLE / pow({_W}, 3))"
 _CENTRES = f"SELECT n_nationkey AS centre, {SQL_LAT.format('n_nationkey')} AS lat, {SQL_LON.format('n_nationkey')} AS lon FROM nation"
@@ -154,7 +168,9 @@ SELECT s_suppkey, [2, 1, 2, 1, 0][k + 1]::BIGINT AS n_parts, (k = 3)::BIGINT AS
 SELECT CASE WHEN c_custkey % 7 = 0 THEN 'no-open-census-pre-1981' WHEN c_custkey % 5 IN (0, 3) THEN 'no-census-boundaries-scotland' WHEN c_custkey % 5 IN (1, 4) THEN 'no-census-boundaries-northern-ireland' END AS reason, count(*) AS n
 FROM customer GROUP BY 1""",
     "crs_transforms": f"""
-WITH c AS (SELECT c_custkey, {SQL_LAT.format('c_custkey')} AS lat, {SQL_LON.format('c_custkey')} AS lon FROM customer)
-SELECT c_custkey, {_sql_tm(crs.utm(30), 'utm')}, {_sql_tm(crs.BRITISH_GRID, 'grid')}, round(lat, 6) AS moll_lat, round(lon, 6) AS moll_lon FROM c""",
+WITH c AS (SELECT c_custkey, {SQL_LAT.format('c_custkey')} AS lat, {SQL_LON.format('c_custkey')} AS lon FROM customer),
+{_sql_shift('c', 's')},
+u AS (SELECT c_custkey, {_sql_tm(crs.utm(30), 'utm')}, round(lat, 6) AS moll_lat, round(lon, 6) AS moll_lon FROM c), g AS (SELECT c_custkey, {_sql_tm(crs.BRITISH_GRID, 'grid')} FROM s)
+SELECT * FROM u JOIN g USING (c_custkey)""",
 }
 QUERIES = {name: globals()[name] for name in SQL}

@@ -10,9 +10,11 @@ from isohyet.functions.geo import bind, oriented
 from isohyet.operators.features import shape_of, tag_kind
 
 
-def to_fetch(listing: DataFrame, local: DataFrame, counties: list[str] | None = None) -> DataFrame:
-    """Listed files (path, size, county, qc) without a local copy of that path and size; capability files (qc null) always count."""
+def to_fetch(listing: DataFrame, local: DataFrame, counties: list[str] | None = None, qc_version: int | None = None) -> DataFrame:
+    """Listed files (path, size, county, qc) without a local copy of that path and size, of some counties or one qc version only; capability files have none (null) and always count."""
     wanted = listing if counties is None else listing.where(F.col("county").isin(counties))
+    if qc_version is not None:
+        wanted = wanted.where(F.col("qc").isNull() | (F.col("qc") == qc_version))
     return wanted.join(local.select("path", "size"), ["path", "size"], "left_anti").orderBy("path")
 
 
