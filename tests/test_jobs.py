@@ -21,6 +21,7 @@ def test_query_agrees_with_sql(spark, name):
 
 
 def daily(spark, folder):
+    """Names and rows of the daily figures."""
     return rows_of_spark(spark.read.schema(daily_observations.DAILY).parquet(f"{folder}/out/daily"))
 
 
@@ -92,3 +93,29 @@ def test_command_line_names_its_paths(job, monkeypatch, capsys):
     with pytest.raises(SystemExit):
         import_module(f"jobs.{job}").main()
     assert "--out" in capsys.readouterr().out
+
+
+def test_a_run_that_failed_half_way_is_taken_up(spark, tmp_path, monkeypatch):
+    """The batch is laid down, its days aren't made yet: the next run takes the same batch again and leaves what one sound run leaves."""
+    config = queries.config_of(daily_observations)
+    for where in ("broken", "sound"):
+        spark.read.parquet(f"{SF_DIR}/events.parquet").write.parquet(f"{tmp_path}/{where}/in")
+    go = lambda where: daily_observations.run(spark, f"{tmp_path}/{where}/in", f"{tmp_path}/{where}/out", f"{tmp_path}/{where}/checkpoint", config)
+
+    def broken(observations):
+        raise RuntimeError("lost on the way")
+
+    with monkeypatch.context() as m:
+        m.setattr(daily_observations, "daily_figures", broken)
+        with pytest.raises(Exception, match="lost on the way"):
+            go("broken")
+    assert spark.read.schema(daily_observations.OBSERVATIONS).parquet(f"{tmp_path}/broken/out/observations").count() > 0
+    (again,), (once,) = go("broken"), go("sound")
+    assert again == once and daily(spark, tmp_path / "broken") == daily(spark, tmp_path / "sound")
+
+
+def test_nothing_but_rejected_reports(spark, tmp_path):
+    config = queries.config_of(daily_observations)
+    spark.createDataFrame([(1, None, 7, "rain", 2.0)], "event_id long, ts timestamp, user_id long, event_type string, value double").write.parquet(f"{tmp_path}/in")
+    (numbers,) = daily_observations.run(spark, f"{tmp_path}/in", f"{tmp_path}/out", f"{tmp_path}/checkpoint", config)
+    assert numbers == {"batch": 0, "n_accepted": 0, "n_rejected": 1, "n_days": 0} and daily(spark, tmp_path)[1] == []
