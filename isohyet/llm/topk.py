@@ -230,8 +230,11 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", st
     heads = by_norm.orderBy(F.col("norm2").desc(), F.col("id").asc_nulls_last()).limit(SEED_ROWS).collect()
     seeds = pa.table({"id": pa.array([r.id for r in heads], pa.int64()), "v": pa.array([r.v for r in heads], pa.list_(pa.int64())), "norm2": pa.array([r.norm2 for r in heads], pa.float64())})
     slices = max(1, -(-(n // step) // SLICE_ROWS))
+    # some megabyte, sent once an executor
+    longest = spark.sparkContext.broadcast((seeds, rotation))
 
     def thresholds(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seeds, rotation = longest.value
         head = _rotated(seeds, width, rotation)
         for b in batches:
             ids = np.asarray(b.column("id"))
@@ -269,6 +272,7 @@ def top_k(vectors: DataFrame, key: str = "vec_id", column: str = "embedding", st
     def meet(q: pa.Table, c: pa.Table) -> pa.Table:
         if q.num_rows == 0 or c.num_rows == 0:
             return pa.table({n: pa.array([], pa.int64()) for n in ("row", "query_id", "vec_id", "score")})
+        rotation = longest.value[1]
         block = _rotated(c, width, rotation)
         qs = Rotated(np.asarray(q.column("id").combine_chunks()), _matrix(q.column("v"), width), rotation)
         at_query, at, score = best(qs, block, k, np.asarray(q.column("low").combine_chunks()))
