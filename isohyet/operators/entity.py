@@ -5,11 +5,12 @@ from __future__ import annotations
 import math
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from isohyet.functions.geo import haversine_km
+from isohyet.functions.geo import EARTH_KM, haversine_km
 from isohyet.functions.textrules import name_stem
 from isohyet.session import scratch_dir, ship_package
 
@@ -117,12 +118,43 @@ def components(links: DataFrame, one_task: int = ONE_TASK_LINKS, broadcast_rows:
     return parent
 
 
+def widest_km(lat: np.ndarray, lon: np.ndarray) -> float:
+    """The greatest distance between any two of the places.
+
+    No pair is wider apart than the sum of its distances from the middle: with a wide pair found first, only pairs of places far enough out are looked at.
+    """
+    a, b = np.radians(lat), np.radians(lon)
+    km = lambda i, j: 2 * EARTH_KM * np.arcsin(np.sqrt(np.minimum(1.0, np.sin((a[j] - a[i]) / 2) ** 2 + np.cos(a[i]) * np.cos(a[j]) * np.sin((b[j] - b[i]) / 2) ** 2)))
+    middle = np.array([(np.cos(a) * np.cos(b)).mean(), (np.cos(a) * np.sin(b)).mean(), np.sin(a).mean()])
+    a, b = np.append(a, np.arctan2(middle[2], np.hypot(middle[0], middle[1]))), np.append(b, np.arctan2(middle[1], middle[0]))
+    n = len(lat)
+    out = km(n, np.arange(n))
+    order = np.argsort(-out, kind="stable")
+    best, far = 0.0, int(order[0])
+    for _ in range(4):  # from the farthest place to the one farthest from it, and so on
+        away = km(far, np.arange(n))
+        far = int(np.argmax(away))
+        best = max(best, float(away[far]))
+    for nth, i in enumerate(order):
+        # places in order of their distance from the middle, as long as the sum may reach the best
+        until = np.searchsorted(-out[order], -(best - out[i]) + 1e-9, "right")
+        if until <= nth + 1:
+            break
+        best = max(best, float(km(i, order[nth + 1 : until]).max()))
+    return best
+
+
 def clusters(points: DataFrame, links: DataFrame, key: str, lat: str, lon: str, name: str) -> DataFrame:
     """(cluster_id, n, members, names, max_km) of the components of links: members joined by ';', widest pair rounded to 10 m."""
     of = components(links)
     m = of.join(points, of["node"] == points[key]).select("component", F.col(key).alias("id"), F.col(lat).alias("lat"), F.col(lon).alias("lon"), F.col(name).alias("name"))
-    o = m.select("component", F.col("id").alias("id2"), F.col("lat").alias("lat2"), F.col("lon").alias("lon2"))
-    wide = m.join(o, "component").where(F.col("id") < F.col("id2")).groupBy("component").agg(F.round(F.max(haversine_km(F.col("lat"), F.col("lon"), F.col("lat2"), F.col("lon2"))), 2).alias("max_km"))
+    ship_package(points.sparkSession)
+
+    def widest(table: pa.Table) -> pa.Table:
+        lat, lon = (table.column(c).to_numpy().astype(float) for c in ("lat", "lon"))
+        return pa.table({"component": table.column("component").slice(0, 1), "max_km": [round(widest_km(lat, lon), 2)]})
+
+    wide = m.select("component", "lat", "lon").groupBy("component").applyInArrow(widest, "component long, max_km double")
     named = m.groupBy("component").agg(
         F.count(F.lit(1)).alias("n"),
         F.array_join(F.array_sort(F.collect_list("id")), ";").alias("members"),

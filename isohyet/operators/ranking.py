@@ -8,12 +8,18 @@ from pyspark.sql import functions as F
 from isohyet.operators.entity import cut_off
 
 
+#: Rows that one task may sort.
+ONE_TASK_ROWS = 200_000
+
+
 def ranked(rows: DataFrame, order: list, by: str | None = None, name: str = "rank") -> DataFrame:
     """rows with their place (from 1) in order, within each value of by if given.
 
     A range exchange deals rows to tasks; each numbers its own, and what earlier tasks hold is added. Where ranges fall is of no
-    account to the result. order must tell all rows apart.
+    account to the result. Tables counted to have ONE_TASK_ROWS at most are sorted as they are. order must tell all rows apart.
     """
+    if rows.select(F.lit(1)).limit(ONE_TASK_ROWS + 1).count() <= ONE_TASK_ROWS:
+        return rows.withColumn(name, F.row_number().over(Window.partitionBy(*[by] if by else []).orderBy(*order)).cast("long"))
     laid = rows.repartitionByRange(*([by] if by else []), *order).withColumn("__part", F.spark_partition_id())
     laid, _ = cut_off(laid)
     group = [by] if by else []

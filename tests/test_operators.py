@@ -274,3 +274,15 @@ def test_grid_of_axes(spark, monkeypatch, rows):
     got = {tuple(r) for r in rings.complete_grid([axis("s", "a", "b"), axis("e", "x", "x", None)], facts, ["s", "e"]).collect()}
     assert got == {("a", "x", 1), ("a", None, None), ("b", "x", None), ("b", None, 2)}
     assert rings.complete_grid([axis("s", "a"), axis("e", "x").limit(0)], facts, ["s", "e"]).count() == 0
+
+
+@pytest.mark.parametrize("seed", range(8))
+def test_widest_pair(seed):
+    import numpy as np
+
+    rng = np.random.default_rng(seed)
+    n = (1, 2, 3, 50, 400, 900, 300, 300)[seed]
+    lat, lon = (rng.normal(52, 3, n), rng.normal(-2, 4, n)) if seed < 5 else (rng.uniform(-90, 90, n), rng.uniform(-180, 180, n)) if seed == 5 else (np.full(n, 52.0), np.full(n, -1.0)) if seed == 6 else (52 + np.sin(np.arange(n)), -2 + np.cos(np.arange(n)))
+    a, b = np.radians(lat)[:, None], np.radians(lon)[:, None]
+    all_pairs = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, np.sin((a - a.T) / 2) ** 2 + np.cos(a) * np.cos(a.T) * np.sin((b - b.T) / 2) ** 2)))
+    assert entity.widest_km(lat, lon) == pytest.approx(all_pairs.max(), abs=1e-6)

@@ -54,8 +54,9 @@ def test_wild_cluster_bootstrap(spark):
     assert got.slope == pytest.approx(slope) and got.p_value == pytest.approx((sum(abs(t) >= abs(slope) * (1 - 1e-12) for t in drawn) + 1) / 100)
 
 
-@pytest.mark.parametrize("by", [None, "f"])
-def test_ranks_without_one_sort(spark, by):
+@pytest.mark.parametrize("by,one_task", [(None, 200_000), ("f", 200_000), (None, 10), ("f", 10)])
+def test_ranks_without_one_sort(spark, monkeypatch, by, one_task):
+    monkeypatch.setattr(ranking, "ONE_TASK_ROWS", one_task)
     df = spark.range(0, 1_000, 1, 7).selectExpr("id", "pmod(id * 37, 101) AS v", "IF(id % 5 = 0, NULL, id % 3) AS f")
     got = ranking.ranked(df, ["v", "id"], by).collect()
     groups = {}
