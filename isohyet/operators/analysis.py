@@ -11,19 +11,36 @@ from isohyet.functions.geo import haversine_km
 from isohyet.operators.spatial import with_cell, with_cells_around
 
 
-def matched_controls(treated: DataFrame, controls: DataFrame, bands: list[str], km: float, n: int = 1) -> DataFrame:
+def matched_controls(treated: DataFrame, controls: DataFrame, bands: list[str], km: float, n: int = 1, where_known: tuple[str, ...] = ()) -> DataFrame:
     """(treated, control, nth, km): the n nearest controls in the same bands within a distance; a control may serve several.
 
-    Both tables: id, lat, lon and the band columns, on which, with cells as wide as the distance, they are joined.
+    Both tables: id, lat, lon and the band columns, on which, with cells as wide as the distance, they are joined. Bands of where_known must agree
+    only where both sides have them.
     """
-    t = with_cell(treated.select(F.col("id").alias("treated"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *bands), "t_lat", "t_lon", km)
-    c = controls.select(F.col("id").alias("control"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), *bands)
+    t = with_cell(treated.select(F.col("id").alias("treated"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *bands, *[F.col(c).alias(f"t_{c}") for c in where_known]), "t_lat", "t_lon", km)
+    c = controls.select(F.col("id").alias("control"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), *bands, *[F.col(c).alias(f"c_{c}") for c in where_known])
     c = with_cells_around(c, F.col("c_lat"), F.col("c_lat"), F.col("c_lon"), F.col("c_lon"), km)
     near = t.join(c, [*bands, "cell_i", "cell_j"]).withColumn("km", haversine_km(F.col("t_lat"), F.col("t_lon"), F.col("c_lat"), F.col("c_lon"))).where(F.col("km") <= km)
+    for k in where_known:
+        near = near.where(F.coalesce(F.col(f"t_{k}") == F.col(f"c_{k}"), F.lit(True)))
     w = Window.partitionBy("treated").orderBy("km", "control")
     return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("treated", "control", "nth", "km")
 
 
+def matched_effect(pairs: DataFrame, values: DataFrame) -> DataFrame:
+    """(effect, stderr, n_pairs, n_controls): the mean difference of treated and control over pairs (treated, control), values (id, value).
+
+    Pairs that share a control share its weight of one, and its noise: errors are summed by control, G / (G - 1) corrects for G of them. Pairs without
+    both values don't count; with one control there is no error.
+    """
+    of = lambda side: values.select(F.col("id").alias(side), finite(F.col("value")).alias(f"v_{side}")).where(F.col(f"v_{side}").isNotNull())
+    both = pairs.select("treated", "control").join(of("treated"), "treated").join(of("control"), "control")
+    by_control = both.groupBy("control").agg(F.avg(F.col("v_treated") - F.col("v_control")).alias("d"), F.count(F.lit(1)).alias("n"))
+    # a control's pairs weigh 1 together: the effect is the mean over controls, a control's score its distance from it
+    spread = F.when(F.count(F.lit(1)) > 1, F.stddev_samp("d") / F.sqrt(F.count(F.lit(1))))
+    return by_control.agg(F.avg("d").alias("effect"), spread.alias("stderr"), F.coalesce(F.sum("n"), F.lit(0)).alias("n_pairs"), F.count(F.lit(1)).alias("n_controls"))
+
+
 def station_means(rows: DataFrame, period: str, station: str, value: str) -> DataFrame:
     """(period, by_station, by_count): stations weighing alike, and values weighing alike."""
     per = rows.groupBy(period, station).agg(F.avg(value).alias("m"), F.sum(value).alias("s"), F.count(value).alias("n"))

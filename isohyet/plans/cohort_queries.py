@@ -29,6 +29,16 @@ def matched_controls(spark: SparkSession, d: str) -> DataFrame:
     return out.select("treated", "control", F.col("nth").cast("long").alias("nth"), F.round("km", 3).alias("km"))
 
 
+def matched_pair_effect(spark: SparkSession, d: str) -> DataFrame:
+    """Suppliers of even and odd number in the same band of height and, where both are known, of the same era: the difference of their slopes."""
+    k = F.col("s_suppkey")
+    s = table(spark, d, "supplier").select(k.alias("id"), lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"), (k * 7 % 300 / 100).cast("int").alias("height_band"), F.when(k % 5 != 0, k % 3).alias("era"))
+    pairs = analysis.matched_controls(s.where("id % 2 = 0"), s.where("id % 2 = 1"), ["height_band"], 400.0, 2, ("era",))
+    slopes = table(spark, d, "lineitem").groupBy(F.col("l_suppkey").alias("id")).agg(F.regr_slope("l_extendedprice", "l_quantity").alias("value"))
+    out = analysis.matched_effect(pairs, slopes.withColumn("value", F.when(F.col("id") % 17 != 0, F.col("value")).otherwise(float("nan"))))
+    return out.select(F.round("effect", 5).alias("effect"), F.round("stderr", 5).alias("stderr"), "n_pairs", "n_controls")
+
+
 def station_means(spark: SparkSession, d: str) -> DataFrame:
     e = table(spark, d, "events").withColumn("day", F.dayofmonth("ts"))
     return analysis.station_means(e, "day", "user_id", "value").select("day", F.round("by_station", 5).alias("by_station"), F.round("by_count", 5).alias("by_count"))
@@ -127,6 +137,15 @@ WITH s AS (SELECT s_suppkey AS id, {SQL_LAT.format('s_suppkey')} AS lat, {SQL_LO
 n AS (SELECT t.id AS treated, c.id AS control, {SQL_KM.format('t.lat', 't.lon', 'c.lat', 'c.lon')} AS km FROM s t JOIN s c ON t.id % 2 = 0 AND c.id % 2 = 1 AND t.band = c.band),
 r AS (SELECT *, row_number() OVER (PARTITION BY treated ORDER BY km, control) AS nth FROM n WHERE km <= 400)
 SELECT treated, control, nth, round(km, 3) AS km FROM r WHERE nth <= 2""",
+    "matched_pair_effect": f"""
+WITH s AS (SELECT s_suppkey AS id, {SQL_LAT.format('s_suppkey')} AS lat, {SQL_LON.format('s_suppkey')} AS lon, s_suppkey * 7 % 300 // 100 AS band, CASE WHEN s_suppkey % 5 <> 0 THEN s_suppkey % 3 END AS era FROM supplier),
+n AS (SELECT t.id AS treated, c.id AS control, {SQL_KM.format('t.lat', 't.lon', 'c.lat', 'c.lon')} AS km FROM s t JOIN s c ON t.id % 2 = 0 AND c.id % 2 = 1 AND t.band = c.band AND (t.era = c.era OR t.era IS NULL OR c.era IS NULL)),
+r AS (FROM n WHERE km <= 400 QUALIFY row_number() OVER (PARTITION BY treated ORDER BY km, control) <= 2),
+v AS (SELECT l_suppkey AS id, regr_slope(l_extendedprice, l_quantity) AS v FROM lineitem WHERE l_suppkey % 17 <> 0 GROUP BY 1),
+e AS (SELECT control, x.v - y.v AS d, 1.0 / count(*) OVER (PARTITION BY control) AS w FROM r JOIN v x ON x.id = treated JOIN v y ON y.id = control),
+m AS (SELECT sum(w * d) / sum(w) AS b, sum(w) AS sw FROM e),
+g AS (SELECT sum(w * (d - b)) AS q FROM e, m GROUP BY control)
+SELECT round(any_value(b), 5) AS effect, round(sqrt(sum(q * q) * count(*) / (count(*) - 1)) / any_value(sw), 5) AS stderr, (SELECT count(*) FROM e) AS n_pairs, count(*) AS n_controls FROM g, m""",
     "station_means": """
 WITH p AS (SELECT day(ts)::INTEGER AS day, user_id, avg(value) AS m, sum(value) AS s, count(value) AS n FROM events GROUP BY ALL)
 SELECT day, round(avg(m), 5) AS by_station, round(sum(s) / sum(n), 5) AS by_count FROM p GROUP BY day""",

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from isohyet.functions.bands import BANDS, FIRST_YEAR, MOST_CLOUD, in_season, of_decade
 from isohyet.functions.geo import bind, oriented
 from isohyet.operators.features import shape_of, tag_kind
+from isohyet.sources.station_headers import first_lines
 
 
 def to_fetch(listing: DataFrame, local: DataFrame, counties: list[str] | None = None, qc_version: int | None = None) -> DataFrame:
@@ -63,8 +64,8 @@ HEADER_LINES = 40
 
 
 def annual_headers(spark: SparkSession, path: str) -> DataFrame:
-    """parse_annual_headers() of the files at path."""
-    return parse_annual_headers(_whole(spark, path))
+    """parse_annual_headers() of the files under path, which are read as far as their first lines."""
+    return parse_annual_headers(first_lines(spark, path, HEADER_LINES).select("path", "value"))
 
 
 def parse_annual_headers(files: DataFrame) -> DataFrame:

@@ -1,4 +1,4 @@
-"""A Spark data source of the headers of self-describing files: reads each file up to its column row and no further.
+"""Spark data sources of the headers of files: of self-describing files up to their column row, of others so many lines; what follows isn't read.
 
     spark.dataSource.register(StationHeaders)
     spark.read.format("station_headers").option("qc_version", 1).load(raw)
@@ -150,3 +150,51 @@ def headers(spark: SparkSession, raw: str, county: str | None = None, qc_version
     if years is not None:
         read = read.option("years", ",".join(map(str, years)))
     return read.load(raw)
+
+
+class FirstLinesReader(DataSourceReader):
+    def __init__(self, options: dict[str, str]):
+        self.folder, self.lines, self.suffix = options["path"], int(options.get("lines", 40)), options.get("suffix", "")
+
+    def _open(self) -> tuple[fs.FileSystem, str]:
+        return fs.FileSystem.from_uri(self.folder) if "://" in self.folder else (fs.LocalFileSystem(), self.folder.removeprefix("file:"))
+
+    def partitions(self) -> Sequence[InputPartition]:
+        store, root = self._open()
+        one = store.get_file_info(root)
+        found = [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
+        files = sorted(x.path for x in found if x.type == fs.FileType.File and x.path.endswith(self.suffix) and not x.base_name.startswith(("_", ".")))
+        return [Bundle([(f, "", "", "") for f in files[i : i + BUNDLE]]) for i in range(0, len(files), BUNDLE)] or [Bundle([])]
+
+    def read(self, partition: Bundle) -> Iterator[pa.RecordBatch]:
+        store, _ = self._open()
+        rows = []
+        for path, *_ in partition.files:
+            with store.open_input_stream(path, buffer_size=None) as stream:
+                raw = b""
+                while raw.count(b"\n") < self.lines and (chunk := stream.read(CHUNK)):
+                    raw += chunk
+            kept = b"\n".join(raw.split(b"\n", self.lines)[: self.lines])
+            rows.append({"path": path, "value": kept.decode(errors="replace"), "bytes_read": len(raw)})
+        yield pa.RecordBatch.from_pylist(rows, schema=pa.schema([("path", pa.string()), ("value", pa.string()), ("bytes_read", pa.int64())]))
+
+
+class FirstLines(DataSource):
+    """The first lines of every file under a folder: reads no further."""
+
+    @classmethod
+    def name(cls) -> str:
+        return "first_lines"
+
+    def schema(self) -> str:
+        return "path string, value string, bytes_read bigint"
+
+    def reader(self, schema) -> FirstLinesReader:
+        return FirstLinesReader(self.options)
+
+
+def first_lines(spark: SparkSession, folder: str, lines: int, suffix: str = ".csv") -> DataFrame:
+    """(path, value, bytes_read): the first lines of the files under a folder, or of one file."""
+    ship_package(spark)
+    spark.dataSource.register(FirstLines)
+    return spark.read.format("first_lines").option("lines", lines).option("suffix", suffix).load(folder)

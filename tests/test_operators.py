@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from isohyet.functions import geo, textrules
-from isohyet.operators import audit, entity, inference, joins, rings, synth, timeline, trend
+from isohyet.operators import analysis, audit, entity, inference, joins, rings, synth, timeline, trend
 from isohyet.streaming import incremental
 
 
@@ -286,3 +286,19 @@ def test_widest_pair(seed):
     a, b = np.radians(lat)[:, None], np.radians(lon)[:, None]
     all_pairs = 2 * geo.EARTH_KM * np.arcsin(np.sqrt(np.minimum(1, np.sin((a - a.T) / 2) ** 2 + np.cos(a) * np.cos(a.T) * np.sin((b - b.T) / 2) ** 2)))
     assert entity.widest_km(lat, lon) == pytest.approx(all_pairs.max(), abs=1e-6)
+
+
+def test_matched_effect_weighs_shared_controls(spark):
+    import numpy as np
+
+    pairs = [("t1", "a"), ("t2", "a"), ("t3", "b"), ("t4", "c"), ("t5", "c"), ("t6", "gone"), ("t7", "b")]
+    value = {"t1": 3.0, "t2": 5.0, "t3": 1.0, "t4": 2.0, "t5": 2.5, "t6": 9.0, "t7": NAN, "a": 1.0, "b": 0.5, "c": 4.0, "gone": None}
+    frame = spark.createDataFrame(list(value.items()), "id string, value double")
+    got = analysis.matched_effect(spark.createDataFrame(pairs, "treated string, control string"), frame).first()
+    d = {"a": [2.0, 4.0], "b": [0.5], "c": [-2.0, -1.5]}
+    effect = np.mean([np.mean(v) for v in d.values()])
+    scores = [sum((x - effect) / len(v) for x in v) for v in d.values()]
+    assert got.effect == pytest.approx(effect) and got.stderr == pytest.approx(np.sqrt(sum(s * s for s in scores) * 3 / 2) / 3) and (got.n_pairs, got.n_controls) == (5, 3)
+    alone = analysis.matched_effect(spark.createDataFrame(pairs[:2], "treated string, control string"), frame).first()
+    assert tuple(alone) == (3.0, None, 2, 1)
+    assert tuple(analysis.matched_effect(spark.createDataFrame([], "treated string, control string"), frame).first()) == (None, None, 0, 0)

@@ -158,3 +158,21 @@ def test_integers_of_a_widened_column(spark, tmp_path):
         assert got == {0: [5.0, 1000.0, 16777216.0, 9.223372036854775807e18], 1: [5.0, 300.5, 1000.0, 16777216.0, 9.223372036854775807e18]}
     for t in (selfdesc.cell_tallies(parsed, schema), vectorised.tallies(files, schema)):
         assert sorted(r.coerced for r in t.where("col = 'x'").collect()) == [1, 2]
+
+
+def test_first_lines_of_annual_files(spark, tmp_path):
+    """40 lines are read of files of 20,000: what parse_annual_headers finds in whole texts."""
+    from isohyet.sources import inventory
+
+    for i in range(3):
+        head = f"midas_station_id,G,0047{i}\nlocation,G,51.{i}07,-0.36\nheight,G,12{i},m\ndata\n" if i else "comments,G,x\n" * 60 + "midas_station_id,G,9\n"
+        folder = tmp_path / f"county/{i}"
+        folder.mkdir(parents=True)
+        (folder / f"x_199{i}.csv").write_text(head + "1,2,3\n" * 20_000)
+        (folder / "notes.txt").write_text("midas_station_id,G,0\n")
+    whole = spark.read.text(f"{tmp_path}/county/*/*.csv", wholetext=True).select(F.col("_metadata.file_path").alias("path"), "value")
+    key = lambda rows: sorted(rows, key=repr)
+    got = inventory.annual_headers(spark, f"{tmp_path}/county")
+    assert key(tuple(r)[1:] for r in got.collect()) == key(tuple(r)[1:] for r in inventory.parse_annual_headers(whole).collect())
+    heads = station_headers.first_lines(spark, str(tmp_path), 40)
+    assert heads.count() == 3 and heads.agg(F.max("bytes_read")).first()[0] <= station_headers.CHUNK
