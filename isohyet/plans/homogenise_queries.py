@@ -30,7 +30,7 @@ def strongest_pair_shift(spark: SparkSession, d: str) -> DataFrame:
 
 
 def pair_shift_log(spark: SparkSession, d: str) -> DataFrame:
-    """Every shift laid to a station; splits go on until none is left, which SQL doesn't express plainly."""
+    """Every shift laid to a station; splits go on until none is left, in SQL a relation for every level of them."""
     pairs = _pairs(spark, d)
     found = homogenise.shifts(homogenise.differences(_series(spark, d, "l_suppkey"), pairs), ["a", "b"], CRITICAL)
     return homogenise.adjustment_log(found, pairs).select("station", "month", F.round("shift", 5).alias("shift"), "n_neighbours")
@@ -51,7 +51,39 @@ _SERIES = "SELECT {0} AS station, ((year(l_shipdate) - 1995) * 12 + month(l_ship
 _PLACED = f"SELECT s_suppkey AS k, s_nationkey AS label, {SQL_LAT.format('s_suppkey')} AS lat, {SQL_LON.format('s_suppkey')} AS lon FROM supplier"
 _NEAR = f"SELECT x.k AS a, y.k AS b FROM placed x JOIN placed y ON x.k < y.k AND {SQL_KM.format('x.lat', 'x.lon', 'y.lat', 'y.lon')} <= {KM}"
 
+
+#: A part needs 24 values, of at most 96 months: no split lies deeper.
+LEVELS = 9
+
+
+def _sql_splits() -> str:
+    """Relations p0, p1, ... of parts and s0, s1, ... of their strongest splits, from differences d(a, b, month, v)."""
+    out = ["p0 AS (SELECT DISTINCT a, b, -9999 AS lo, 9999 AS hi FROM d)"]
+    for i in range(LEVELS):
+        out.append(f"""x{i} AS (
+  SELECT a, b, lo, hi, month, count(*) OVER w AS n, avg(v) OVER w AS m, stddev_samp(v) OVER w AS sd, sum(v) OVER w AS total, count(*) OVER o AS k, sum(v) OVER o AS early FROM p{i} JOIN d USING (a, b) WHERE month >= lo AND month < hi
+  WINDOW w AS (PARTITION BY a, b, lo), o AS (PARTITION BY a, b, lo ORDER BY month ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING)),
+s{i} AS (
+  SELECT * FROM (SELECT *, k * ((early / k - m) / sd) ** 2 + (n - k) * (((total - early) / (n - k) - m) / sd) ** 2 AS stat FROM x{i} WHERE k >= {homogenise.LEAST_SIDE} AND n - k >= {homogenise.LEAST_SIDE} AND sd > 0)
+  QUALIFY row_number() OVER (PARTITION BY a, b, lo ORDER BY stat DESC, month) = 1 AND stat > {CRITICAL})""")
+        out.append(f"p{i + 1} AS (SELECT a, b, lo, month AS hi FROM s{i} UNION ALL SELECT a, b, month, hi FROM s{i})")
+    return ",\n".join(out)
+
+
 SQL = {
+    "pair_shift_log": f"""
+WITH s AS ({_SERIES.format('l_suppkey')}), placed AS ({_PLACED}), near AS ({_NEAR}),
+d AS (SELECT near.a, near.b, x.month, x.value - y.value AS v FROM near JOIN s x ON x.station = near.a JOIN s y ON y.station = near.b AND y.month = x.month),
+{_sql_splits()},
+hit AS ({" UNION ALL ".join(f"SELECT a, b, month FROM s{i}" for i in range(LEVELS))}),
+begun AS (SELECT d.a, d.b, d.v, max(hit.month) AS since FROM d LEFT JOIN hit ON hit.a = d.a AND hit.b = d.b AND hit.month <= d.month GROUP BY d.a, d.b, d.month, d.v),
+level AS (SELECT a, b, since, avg(v) AS m FROM begun GROUP BY ALL),
+step AS (SELECT a, b, since AS month, m - lag(m) OVER (PARTITION BY a, b ORDER BY since NULLS FIRST) AS shift FROM level QUALIFY since IS NOT NULL),
+vote AS (SELECT a AS station, b AS other, month, shift FROM step UNION ALL SELECT b, a, month, -shift FROM step),
+run AS (SELECT *, sum(new) OVER (PARTITION BY station ORDER BY month, other) AS run FROM (SELECT *, coalesce(month - lag(month) OVER (PARTITION BY station ORDER BY month, other) > 12, false)::INTEGER AS new FROM vote)),
+mid AS (SELECT station, run, floor(quantile_cont(month, 0.5))::BIGINT AS month, quantile_cont(shift, 0.5) AS shift, count(DISTINCT other) AS n FROM run GROUP BY station, run),
+degree AS (SELECT station, count(DISTINCT other) AS degree FROM (SELECT a AS station, b AS other FROM near UNION ALL SELECT b, a FROM near) GROUP BY 1)
+SELECT station, month, round(shift, 5) AS shift, n AS n_neighbours FROM mid JOIN degree USING (station) WHERE n >= 2 AND 2 * n > degree""",
     "strongest_pair_shift": f"""
 WITH s AS ({_SERIES.format('l_suppkey')}), placed AS ({_PLACED}), p AS ({_NEAR}),
 d AS (SELECT p.a, p.b, x.month, x.value - y.value AS v FROM p JOIN s x ON x.station = p.a JOIN s y ON y.station = p.b AND y.month = x.month),
@@ -73,4 +105,4 @@ v AS (SELECT x.station, sum(x.w * y.w * rho) AS spread FROM r x JOIN r y USING (
 q AS (SELECT station, sum(e * e) AS rss FROM r GROUP BY 1)
 SELECT station, round(slope, 5) AS slope, round(sqrt(greatest(rss / (n - 2) * spread, 0)), 5) AS stderr, round(d, 5) AS d, n FROM f JOIN h USING (station) JOIN v USING (station) JOIN q USING (station)""",
 }
-QUERIES = {name: globals()[name] for name in (*SQL, "pair_shift_log")}
+QUERIES = {name: globals()[name] for name in SQL}
