@@ -9,7 +9,8 @@ the window are skipped, the rest is visited. Within a task, too, lists come in o
 
 Vectors stay with their bundle, anchors travel: both meet in one exchange sorted so that a bundle comes first and anchors stream past it;
 a bundle that many anchors visit is copied once for every SLICE_ROWS of them. Of rows that are equal in vector and label only
-the first few by id can be among the best of anything, so that no other is indexed: a group of copies of any size is a few rows.
+the first few by id can be among the best of anything, so that no other is indexed: a group of copies of any size is a few rows. What
+goes to the driver and, broadcast, to tasks is the centroids (LISTS at most) and a row for every list's part in a bundle.
 
 Defined cases: rows with a null label, or a vector that is null or holds a null or non-finite component, take no part; a shorter vector
 counts as followed by zeros; rows of an equal id are rows of their own, none of them is a positive for an anchor of

@@ -3,7 +3,8 @@
 Map tasks tokenize whole texts (each white-space-separated chunk once, through a cache) and cut only what is longer than a
 sequence. Pieces are dealt to blocks of some thousand sequences by place, so that no key can fill a block; each
 block packs its pieces in descending order of length into the feasible bin whose weighted residual (tokens, documents,
-attention cost as the sum of squared lengths) has the smallest norm. Every constraint holds in every bin. A block leaves about one
+attention cost as the sum of squared lengths) has the smallest norm. Every constraint holds in every bin; with the default Capacity
+the token limit implies the other two, which bind where a caller sets them lower. Another split of the input deals pieces otherwise. A block leaves about one
 bin short, which bounds the loss at one sequence in a thousand.
 
 Defined cases: a null or empty text is its end token alone; repeated rows are packed as rows of their own; a text of any

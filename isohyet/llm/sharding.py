@@ -13,7 +13,7 @@ checkpoint does; pass pin=True for other inputs, which checkpoints them first. R
 don't get their size, fail the job rather than upset the sizes.
 
 Defined cases: null text has no bytes and the checksum of nothing; a text of any length travels whole; repeated rows are rows like others; an empty table
-gives an empty result; with fewer rows than shards, some shards stay empty; columns of docs pass through, those
+gives an empty result; with fewer rows than shards, some shards stay empty; equal draws of the seeded order go by the row's number in its scan; columns of docs pass through, those
 named like the operator's own (shard, slot) give way.
 """
 

@@ -111,3 +111,12 @@ def test_equal_rows_of_a_page_have_one_response(spark):
         folder = f"file://{tempfile.mkdtemp()}"
         warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, ranges=ranges)
         assert sorted(r.record_type for r in warc.read_warc(spark, folder).collect()) == ["response"] + ["revisit"] * 4
+
+
+def test_long_payloads(spark):
+    """Payloads of some megabytes, longer than a range, a roll and a read: whole records, each in a file of its own."""
+    rows = [(i, "u", f"<p>\u00e9 {i}</p>" * (400_000 + i)) for i in range(4)] + [(9, "u", "short")]
+    folder = f"file://{tempfile.mkdtemp()}"
+    entries = warc.write_warc(spark.createDataFrame(rows, "page_id long, url string, html string"), folder, roll=10_000, ranges=(64, (1_000, 1 << 30)))
+    got = {r.page_id: bytes(r.html).decode() for r in warc.read_warc(spark, folder).collect()}
+    assert got == {i: html for i, _, html in rows} and len(entries) >= 4
