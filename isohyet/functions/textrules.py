@@ -58,30 +58,36 @@ def first_year(text: Column) -> Column:
     return F.regexp_extract(text, unicode_pattern(YEAR), 1).try_cast("int")
 
 
+#: Every field and note holds one of these: a text without any is searched once, not for each.
+PIECES = "notif|revision|formerly|extension|site"
+
+
 def stripped(text: Column) -> Column:
     return F.regexp_replace(text, unicode_pattern(r"^\s+|\s+\z"), "")
 
 
-def field_value(text: Column, label: str) -> Column:
+def field_value(text: Column, label: str, may: Column | None = None) -> Column:
     """What stands behind the first such label, VALUE_LINES lines at most, ending before a line that opens another field; null without it.
 
-    The text is searched once; the rest works on what was found.
+    The text is searched once, and only where it may hold the label; the rest works on what was found.
     """
     opens = LABEL_LINE.removeprefix("^").replace(r"\s", r"[\s\x1c-\x1f&&[^\n]]")
     lines = rf"([^\n]*(?:\n(?!{opens})[^\n]*){{0,{VALUE_LINES - 1}}})"
     pattern = unicode_pattern(f"(?:{label})") + lines
     value = lambda found: stripped(F.regexp_replace(F.regexp_extract(found, pattern, 1), "\n", " "))
-    return bind(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", value(found)))
+    found = F.regexp_extract(text, pattern, 0)
+    return bind(found if may is None else F.when(may, found), lambda found: F.when(found != "", value(found)))
 
 
-def cited_site(text: Column) -> Column:
+def cited_site(text: Column, may: Column | None = None) -> Column:
     """The name behind 'SITE NAME', else what follows the colon of the first line that isn't blank, else empty."""
     pattern = unicode_pattern(SITE_NAME)
     header = stripped(F.regexp_extract(stripped(F.regexp_extract(text, unicode_pattern(r"^\s*([^\n]+)"), 1)), unicode_pattern(HEADER_LINE), 1))
-    return bind(F.regexp_extract(text, pattern, 0), lambda found: F.when(found != "", stripped(F.regexp_extract(found, pattern, 1))).otherwise(header))
+    found = F.regexp_extract(text, pattern, 0)
+    return bind(found if may is None else F.when(may, found), lambda found: F.when(found != "", stripped(F.regexp_extract(found, pattern, 1))).otherwise(header))
 
 
-def boundary_note(text: Column) -> Column:
+def boundary_note(text: Column, may: Column | None = None) -> Column:
     """The line that holds the first boundary note; the text is searched once, up to the note's end."""
     pattern = unicode_pattern(rf"(?s)^(.*?)(?:{BOUNDARY_NOTE})")
 
@@ -91,28 +97,29 @@ def boundary_note(text: Column) -> Column:
         note = bind(before, lambda b: F.concat(F.substring_index(b, "\n", -1), F.substring(upto, F.length(b) + 1, F.length(upto)), F.substring_index(after, "\n", 1)))
         return F.when(upto != "", F.nullif(stripped(note), F.lit("")))
 
-    return bind(F.regexp_extract(text, pattern, 0), line)
+    found = F.regexp_extract(text, pattern, 0)
+    return bind(found if may is None else F.when(may, found), line)
 
 
 def citation(text: Column) -> Column:
     """What a citation says, as a struct: its site, the year of the first notification and the field that holds it, later dates, boundary notes.
 
-    The date under the 1981 Act is a renotification, never an original date. Every field is looked for once in the text.
+    The date under the 1981 Act is a renotification, never an original date. A text that holds none of PIECES is searched once, others once for each field.
     """
     def fields(t: Column) -> Column:
-        values = F.array(*[field_value(t, label) for _, label in ORIGINAL_FIELDS])
-        return bind(values, lambda v: said(t, v))
+        originals = lambda may: F.array(*[field_value(t, label, may) for _, label in ORIGINAL_FIELDS])
+        return bind(F.regexp_like(t, F.lit(unicode_pattern(PIECES))), lambda may: bind(originals(may), lambda v: said(t, v, may)))
 
-    def said(t: Column, values: Column) -> Column:
+    def said(t: Column, values: Column, may: Column) -> Column:
         found = [first_year(values[i]) for i in range(len(ORIGINAL_FIELDS))]
         return F.struct(
-            cited_site(t).alias("citation_site_name"),
+            cited_site(t, may).alias("citation_site_name"),
             F.coalesce(*found).alias("first_notified_year"),
             F.coalesce(*[F.when(y.isNotNull(), name) for (name, _), y in zip(ORIGINAL_FIELDS, found, strict=True)]).alias("original_field"),
             F.exists(values, lambda v: v.isNotNull()).alias("original_field_seen"),
-            F.coalesce(*[first_year(field_value(t, label)) for label in RENOTIFIED_FIELDS]).alias("renotified_year"),
-            first_year(field_value(t, REVISION_FIELD)).alias("revision_year"),
-            boundary_note(t).alias("boundary_note"),
+            F.coalesce(*[first_year(field_value(t, label, may)) for label in RENOTIFIED_FIELDS]).alias("renotified_year"),
+            first_year(field_value(t, REVISION_FIELD, may)).alias("revision_year"),
+            boundary_note(t, may).alias("boundary_note"),
         )
 
     return bind(text, fields)

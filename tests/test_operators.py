@@ -302,3 +302,22 @@ def test_matched_effect_weighs_shared_controls(spark):
     alone = analysis.matched_effect(spark.createDataFrame(pairs[:2], "treated string, control string"), frame).first()
     assert tuple(alone) == (3.0, None, 2, 1)
     assert tuple(analysis.matched_effect(spark.createDataFrame([], "treated string, control string"), frame).first()) == (None, None, 0, 0)
+
+
+def test_quick_search_misses_nothing(spark):
+    """What the quick search leaves out, the patterns wouldn't find: letters of other cases and scripts, labels cut short, in capitals and across lines."""
+    labels = ["Date Notified (Under 1949 Act): 1955", "FIRST NOTIFIED 1960", "f\u0131rst not\u0131fied: 1961", "F\u0130RST NOT\u0130FIED: 1962", "\u017fite name: x\nFir\u017ft Notified 1963", "date of revi\u017fion 1964", "DATE OF LAST REVISION: 1965"]
+    labels += ["date notified (under 1981 act) 1986", "Date of Renotification 1987", "formerly\npart of y", "De-Notified", "an exten\u017fion", "EXTENSION", "sitename: z", "Site\u00a0Name q", "notif", "first", "1949", "", " ", "date  of\nrevision\n1990"]
+    texts = [*labels, *(f"{a}\n{b}" for a in labels for b in labels[::3]), None]
+    df = spark.createDataFrame(list(enumerate(texts)), "i int, t string")
+    quick = {r.i: r for r in textrules.citation_fields(df, "t").collect()}
+    t = F.col("t")
+    years = lambda *patterns: F.coalesce(*[textrules.first_year(textrules.field_value(t, p)) for p in patterns])
+    plain = df.select(
+        "i", textrules.cited_site(t).alias("citation_site_name"), years(*[p for _, p in textrules.ORIGINAL_FIELDS]).alias("first_notified_year"), years(*textrules.RENOTIFIED_FIELDS).alias("renotified_year"),
+        years(textrules.REVISION_FIELD).alias("revision_year"), textrules.boundary_note(t).alias("boundary_note"),
+    )
+    for r in plain.collect():
+        assert all(quick[r.i][c] == r[c] for c in r.asDict()), (texts[r.i], r)
+    found = [r for r in quick.values() if r.first_notified_year]
+    assert len(found) > 20 and {1961, 1962, 1963} & {r.first_notified_year for r in found}
