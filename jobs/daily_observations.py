@@ -43,8 +43,9 @@ def reports(batch: DataFrame, columns: dict[str, str]) -> DataFrame:
 
 
 def daily_figures(observations: DataFrame) -> DataFrame:
-    """A row for every day, station and kind."""
-    hours = observations.groupBy("day", "station", "kind", "hour").agg(
+    """A row for every day, station and kind: one exchange deals them out, and all counts and figures keep to it."""
+    dealt = observations.repartition("day", "station", "kind")
+    hours = dealt.groupBy("day", "station", "kind", "hour").agg(
         F.count_distinct("report_id").alias("n"), F.min(F.struct("at", "report_id", "value")).alias("first")
     )
     figures = hours.groupBy("day", "station", "kind").agg(
