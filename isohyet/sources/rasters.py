@@ -8,6 +8,8 @@ file system that pyarrow knows. Planning reads the files' tag directories and ma
 with NumPy. Plain files are read by ranges, a zipped one as a whole. Cells are numbered on one grid for all files, (x0, y0) being its upper left corner: files of
 a mosaic fit together by row and column, and one that doesn't lie on the grid is an error. Without a grid, each file's own is taken.
 
+The option overview (from 1) takes the file's smaller image of that number instead: fewer bytes for coarser cells.
+
 A row is a cell of one band: path, band from 1, row and col of the grid, x and y of its middle, value, null where the file says that it has none.
 Cells of the window that no file holds have no row: complete_grid() or a join on (row, col) tells them.
 """
@@ -74,18 +76,11 @@ class Raster:
         return [(i, j) for i in rows for j in columns]
 
 
-def directory(read) -> Raster:
-    """The first directory of a file; read(offset, size) gives its bytes."""
-    head = read(0, 16)
-    order = {b"II": "<", b"MM": ">"}.get(head[:2])
-    magic = struct.unpack(f"{order}H", head[2:4])[0] if order else 0
-    if magic not in (42, 43):
-        raise ValueError("not a TIFF file")
-    big = magic == 43
-    at = struct.unpack(f"{order}Q", head[8:16])[0] if big else struct.unpack(f"{order}I", head[4:8])[0]
+def _fields(read, order: str, big: bool, at: int) -> tuple[dict[str, tuple], int]:
+    """The tags of the directory at a place, and the place of the next one (0: none)."""
     n = struct.unpack(f"{order}{'Q' if big else 'H'}", read(at, 8 if big else 2))[0]
     size, start, inline = (20, at + 8, 8) if big else (12, at + 2, 4)
-    raw, found = read(start, n * size), {}
+    raw, found = read(start, n * size + inline), {}
     for i in range(n):
         entry = raw[i * size : (i + 1) * size]
         tag, kind = struct.unpack(f"{order}HH", entry[:4])
@@ -97,15 +92,37 @@ def directory(read) -> Raster:
         if struct.calcsize(form) > inline:
             value = read(struct.unpack(f"{order}{'Q' if big else 'I'}", value)[0], struct.calcsize(form))
         found[TAGS[tag]] = struct.unpack(form, value[: struct.calcsize(form)])
+    return found, struct.unpack(f"{order}{'Q' if big else 'I'}", raw[n * size :])[0]
+
+
+def directory(read, overview: int = 0) -> Raster:
+    """What a file's first directory says, or that of its nth overview; read(offset, size) gives the file's bytes.
+
+    An overview lies where the first image lies, in fewer and larger cells.
+    """
+    head = read(0, 16)
+    order = {b"II": "<", b"MM": ">"}.get(head[:2])
+    magic = struct.unpack(f"{order}H", head[2:4])[0] if order else 0
+    if magic not in (42, 43):
+        raise ValueError("not a TIFF file")
+    big = magic == 43
+    at = struct.unpack(f"{order}Q", head[8:16])[0] if big else struct.unpack(f"{order}I", head[4:8])[0]
+    first, at = _fields(read, order, big, at)
+    found = first
+    for nth in range(overview):
+        if not at:
+            raise ValueError(f"there are {nth} overviews only")
+        found, at = _fields(read, order, big, at)
     one = lambda name, default=None: found[name][0] if name in found else default
     kind = {1: "u", 2: "i", 3: "f"}[one("kind", 1)]
     tiled = "tile_offsets" in found
-    (i, j, _, x, y, _), (dx, dy, *_) = found["tie"][:6], found["scale"]
-    nodata = one("nodata", b"").rstrip(b"\0 ").decode()
+    (i, j, _, x, y, _), (dx, dy, *_) = first["tie"][:6], first["scale"]
+    corner, wider, higher = (x - i * dx, y + j * dy), first["width"][0] / one("width"), first["height"][0] / one("height")
+    nodata = one("nodata", first.get("nodata", (b"",))[0]).rstrip(b"\0 ").decode()
     return Raster(
         order, one("width"), one("height"), one("samples", 1), one("planar", 1) == 2, f"{kind}{one('bits', 8) // 8}", one("compression", 1), one("predictor", 1),
         (one("tile_height"), one("tile_width")) if tiled else (min(one("strip_rows", one("height")), one("height")), one("width")),
-        found["tile_offsets" if tiled else "strip_offsets"], found["tile_counts" if tiled else "strip_counts"], (dx, dy), (x - i * dx, y + j * dy), float(nodata) if nodata else None,
+        found["tile_offsets" if tiled else "strip_offsets"], found["tile_counts" if tiled else "strip_counts"], (dx * wider, dy * higher), corner, float(nodata) if nodata else None,
     )
 
 
@@ -134,6 +151,7 @@ class RasterReader(DataSourceReader):
         self.folder = options["path"]
         numbers = lambda name: tuple(map(float, options[name].split(","))) if options.get(name) else None
         self.window, self.grid = numbers("window"), numbers("grid")
+        self.overview = int(options.get("overview", 0))
         self.bands = [int(b) for b in options["bands"].split(",")] if options.get("bands") else None
 
     def _store(self) -> tuple[fs.FileSystem, str]:
@@ -165,7 +183,7 @@ class RasterReader(DataSourceReader):
         files = [one] if one.type == fs.FileType.File else store.get_file_info(fs.FileSelector(root, recursive=True, allow_not_found=True))
         made: list[InputPartition] = []
         for path in sorted(f.path for f in files if f.path.lower().endswith((".tif", ".tiff", ".zip"))):
-            raster = directory(self._reader(store, path))
+            raster = directory(self._reader(store, path), self.overview)
             self._first_cell(raster, path)
             tiles = raster.tiles_within(self.window)
             made += [Tiles(path, tiles[i : i + TILES]) for i in range(0, len(tiles), TILES)]
@@ -176,7 +194,7 @@ class RasterReader(DataSourceReader):
             return
         store, _ = self._store()
         read = self._reader(store, partition.path)
-        raster = directory(read)
+        raster = directory(read, self.overview)
         for i, j in partition.tiles:
             yield from self._cells(raster, read, partition.path, i, j)
 
@@ -217,11 +235,11 @@ class RasterCells(DataSource):
         return RasterReader(self.options)
 
 
-def raster_cells(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, grid: tuple[float, float, float] | None = None, bands: list[int] | None = None) -> DataFrame:
-    """(path, band, row, col, x, y, value) of the cells of the rasters under path that meet a window (west, south, east, north)."""
+def raster_cells(spark: SparkSession, path: str, window: tuple[float, float, float, float] | None = None, grid: tuple[float, float, float] | None = None, bands: list[int] | None = None, overview: int = 0) -> DataFrame:
+    """(path, band, row, col, x, y, value) of the cells of the rasters under path, or of one of their overviews, that meet a window (west, south, east, north)."""
     ship_package(spark)
     spark.dataSource.register(RasterCells)
-    read = spark.read.format("raster_cells")
+    read = spark.read.format("raster_cells").option("overview", overview)
     for name, value in (("window", window), ("grid", grid), ("bands", bands)):
         if value is not None:
             read = read.option(name, ",".join(map(repr, value)))

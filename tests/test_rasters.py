@@ -10,8 +10,8 @@ from isohyet.operators import rings
 from isohyet.sources import rasters
 
 
-def tiff(values, corner=(0.0, 0.0), cell=10.0, tile=(16, 16), deflate=True, differences=True, planar=False, order="<", big=False, strips=False, nodata=None, hole=None):
-    """Bytes of a TIFF of values (bands, rows, columns)."""
+def tiff(values, corner=(0.0, 0.0), cell=10.0, tile=(16, 16), deflate=True, differences=True, planar=False, order="<", big=False, strips=False, nodata=None, hole=None, behind=b""):
+    """Bytes of a TIFF of values (bands, rows, columns); behind another file's bytes, an image as its overview."""
     bands, height, width = values.shape
     kind = {"u": 1, "i": 2, "f": 3}[values.dtype.kind]
     high, wide = (tile[0], width) if strips else tile
@@ -27,7 +27,7 @@ def tiff(values, corner=(0.0, 0.0), cell=10.0, tile=(16, 16), deflate=True, diff
                 data = part.astype(part.dtype.newbyteorder(order)).tobytes()
                 blocks.append(b"" if hole == len(blocks) else zlib.compress(data) if deflate else data)
     form, word = ("Q", 8) if big else ("I", 4)
-    start = 16 if big else 8
+    start = len(behind) or (16 if big else 8)
     at = start + np.cumsum([0, *map(len, blocks)])
     names = ("strip_offsets", "strip_counts") if strips else ("tile_offsets", "tile_counts")
     fields = {
@@ -44,7 +44,7 @@ def tiff(values, corner=(0.0, 0.0), cell=10.0, tile=(16, 16), deflate=True, diff
             data, extra = struct.pack(f"{order}{form}", extra_at + len(extra)), extra + data
         entries += struct.pack(f"{order}HH{form}", number[name], code[kind], count) + data.ljust(word, b"\0")
     head = (b"II" if order == "<" else b"MM") + (struct.pack(f"{order}HHHQ", 43, 8, 0, first) if big else struct.pack(f"{order}HI", 42, first))
-    return head + b"".join(blocks) + struct.pack(f"{order}{'Q' if big else 'H'}", len(fields)) + entries + b"\0" * word + extra
+    return (behind or head) + b"".join(blocks) + struct.pack(f"{order}{'Q' if big else 'H'}", len(fields)) + entries + b"\0" * word + extra
 
 
 def image(bands=1, height=50, width=70, dtype="u2", seed=1):
@@ -132,3 +132,28 @@ def test_what_does_not_fit_is_an_error(spark, tmp_path):
         rasters.raster_cells(spark, str(tmp_path / "b.tif")).count()
     assert rasters.raster_cells(spark, str(tmp_path / "nowhere")).count() == 0
     assert rasters.raster_cells(spark, str(tmp_path / "a.tif"), window=(9e6, 0.0, 9.1e6, 10.0)).count() == 0
+
+
+@pytest.mark.parametrize("big", [False, True])
+def test_overviews(spark, tmp_path, big):
+    """A file with an image of half the width and height behind it: its cells are twice as wide, lie in the same place and are read from its tiles alone."""
+    values = image(2, 64, 96)
+    small = values[:, ::2, ::2]
+    plain = tiff(values, (100.0, 900.0), big=big, nodata=7)
+    both = bytearray(tiff(small, (0.0, 0.0), big=big, behind=plain))
+    # the first directory's pointer to the next one
+    form, count = ("<Q", 20) if big else ("<I", 12)
+    first = struct.unpack(form, plain[8:16] if big else plain[4:8])[0]
+    n = struct.unpack("<Q" if big else "<H", plain[first : first + (8 if big else 2)])[0]
+    alone = tiff(small, (0.0, 0.0), big=big)
+    second = len(plain) + struct.unpack(form, alone[8:16] if big else alone[4:8])[0] - (16 if big else 8)
+    at = first + (8 if big else 2) + n * count
+    both[at : at + struct.calcsize(form)] = struct.pack(form, second)
+    (tmp_path / "a.tif").write_bytes(bytes(both))
+    want = np.where(small == 7, np.nan, small.astype(float))
+    cells = rasters.raster_cells(spark, str(tmp_path), overview=1)
+    assert np.array_equal(array_of(cells, small.shape), want, equal_nan=True)
+    assert tuple(cells.where("row = 1 AND col = 2 AND band = 1").select("x", "y").first()) == (150.0, 870.0)
+    assert rasters.raster_cells(spark, str(tmp_path)).count() == values.size
+    with pytest.raises(Exception, match="1 overviews only"):
+        rasters.raster_cells(spark, str(tmp_path), overview=2).count()
