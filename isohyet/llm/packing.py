@@ -36,8 +36,8 @@ END_ID = 0
 BLOCK_BYTES = 8 << 20
 #: Blocks that one task packs one after the other, where the session's partitions are too few.
 BLOCKS_A_TASK = 16
-#: Chunks in a generation of a worker's cache of token ids: some 60 MB.
-CACHE_CHUNKS = 300_000
+#: Chunks in a generation of a worker's cache of token ids: some 90 MB.
+CACHE_CHUNKS = 450_000
 
 
 @dataclass(frozen=True)
