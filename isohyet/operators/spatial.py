@@ -157,11 +157,16 @@ def repair(polygons: DataFrame) -> DataFrame:
     return polygons.withColumn("rings", valid("rings"))
 
 
-def ring_population(centres: DataFrame, units: DataFrame, ring_m: float = CENSUS_RING_M) -> DataFrame:
-    """(centre, population, covered_m2, n_units): populations (units: code, population, points or rings) by share of area within the ring."""
+def ring_population(centres: DataFrame, units: DataFrame, ring_m: float = CENSUS_RING_M, whole: bool = False) -> DataFrame:
+    """(centre, population, covered_m2, n_units): populations (units: code, population, points or rings) by share of area within the ring.
+
+    whole: units aren't shared out; one counts with all of its population and area where at least half of it lies within.
+    """
     if ring_m != CENSUS_RING_M:
         raise ValueError(f"census units are coarser than a ring of {ring_m} m: only {CENSUS_RING_M} m can be apportioned")
     parts = ring_areas(centres, units, ring_m)
+    if whole:
+        parts = parts.where(2 * F.col("inter_m2") >= F.col("area_m2")).withColumn("inter_m2", F.col("area_m2"))
     sums = parts.groupBy("centre").agg(F.sum(F.col("population") * F.col("inter_m2") / F.col("area_m2")).alias("population"), F.sum("inter_m2").alias("covered_m2"), F.count(F.lit(1)).alias("n_units"))
     filled = [F.coalesce(c, F.lit(0)).alias(c) for c in ("population", "covered_m2", "n_units")]
     return centres.select("centre").join(sums, "centre", "left").select("centre", *filled)
