@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from isohyet.operators import rings, spatial
 from isohyet.plans import registry
+from isohyet.plans.tables import rounded
 from tests.oracle import connect, rows_of_duckdb, rows_of_spark
 
 SF_DIR = "/root/testdata/sf0.001"
@@ -35,3 +36,30 @@ def long_keys(spark, tmp_path_factory):
 @pytest.mark.parametrize("name", ["station_history", "station_spans"])
 def test_stations_whose_numbers_have_six_digits(spark, long_keys, name):
     agree(spark, long_keys, name)
+
+
+def test_units_on_the_edge_count_whole_or_not_at_all(spark):
+    centres = spark.createDataFrame([(0, 50.0, 0.0)], "centre long, lat double, lon double")
+    edge = 50 + 10_000 / 111_229.0  # the ring's northern latitude
+    at = lambda lat, lon: F.struct(F.lit(lat).alias("lat"), F.lit(lon).alias("lon"))
+    box = lambda y: F.array(at(y, 0.0), at(y, 0.001), at(y + 0.001, 0.001), at(y + 0.001, 0.0))
+    ids = spark.range(2).select(F.col("id").alias("code"), F.lit(100.0).alias("population"))
+    units = ids.withColumn("points", F.when(F.col("code") == 0, box(edge - 0.0007)).otherwise(box(edge - 0.0003)))
+    (shared,), (whole,) = spatial.ring_population(centres, units).collect(), spatial.ring_population(centres, units, whole=True).collect()
+    assert shared.n_units == 2 and 50 < shared.population < 150 and shared.population != 100
+    assert (whole.n_units, whole.population) == (1, 100.0)
+
+
+def test_sums_are_added_in_the_order_given(spark):
+    rows = [(1, 1e16, 1.0, True), (2, -1e16, 1.0, True), (3, 0.1, 1.0, True)]
+    for given in (rows, rows[::-1], [rows[0], rows[2], rows[1]]):
+        cells = spark.createDataFrame([("a", *r) for r in given], "k string, nth int, v double, w double, ok boolean").coalesce(1)
+        (got,) = rings.gated_mean(cells, ["k"], "v", "w", "ok", order=["nth"]).collect()
+        assert got["mean"] == 0.1 / 3
+        (got,) = rings.ring_fraction(cells, ["k"], "v", "w", "ok", "w", ["nth"]).collect()
+        assert got["built_sum"] == 0.1
+
+
+def test_rounding_is_that_of_the_sql(spark):
+    (got,) = spark.range(1).select(rounded(F.lit(3.23) / F.lit(6.4), 6).alias("x")).collect()
+    assert got["x"] == round(3.23 / 6.4 * 1e6) / 1e6
