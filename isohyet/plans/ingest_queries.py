@@ -109,7 +109,7 @@ def haversine_neighbours(spark: SparkSession, d: str) -> DataFrame:
 
 def relocation_clusters(spark: SparkSession, d: str) -> DataFrame:
     p = _points(spark, d)
-    return entity.clusters(p, entity.neighbours(p, "s_suppkey", "lat", "lon", 58.0), "s_suppkey", "lat", "lon", "s_name")
+    return entity.near_clusters(p, 58.0, "s_suppkey", "lat", "lon", "s_name")
 
 
 def code_translate_lookup(spark: SparkSession, d: str) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.operators import rings, spatial
+from isohyet.operators import entity, homogenise, rings, spatial
 from isohyet.plans import registry
 from isohyet.plans.tables import rounded
 from tests.oracle import connect, rows_of_duckdb, rows_of_spark
@@ -63,3 +63,36 @@ def test_sums_are_added_in_the_order_given(spark):
 def test_rounding_is_that_of_the_sql(spark):
     (got,) = spark.range(1).select(rounded(F.lit(3.23) / F.lit(6.4), 6).alias("x")).collect()
     assert got["x"] == round(3.23 / 6.4 * 1e6) / 1e6
+
+
+def shared_places(spark, n):
+    """Stations of which ten share every place and every name."""
+    return spark.range(n).select("id", F.col("id").alias("station"), (50 + (F.col("id") % (n // 10)) * 0.2).alias("lat"), F.lit(0.0).alias("lon"), F.concat(F.lit("n-"), F.col("id") % (n // 10)).alias("name"), (F.col("id") % 3).alias("label"))
+
+
+def test_pairs_are_of_places_and_put_in_at_the_end(spark, monkeypatch):
+    monkeypatch.setattr(entity, "CHUNK", 3)
+    p = shared_places(spark, 100)
+    got = {(r.a, r.b): r.km for r in entity.neighbours(p, "id", "lat", "lon", 30.0).collect()}
+    assert got.keys() == {(a, b) for a in range(100) for b in range(a + 1, 100) if abs(a % 10 - b % 10) <= 1}
+    assert all(km == 0 if a % 10 == b % 10 else 22 < km < 23 for (a, b), km in got.items())
+    places = entity.placed(p, "id", "lat", "lon").where("id = group")
+    assert places.count() == 10 and entity.near_places(places, 30.0).count() == 9
+
+
+def test_names_that_many_share_are_paired_in_chunks(spark, monkeypatch):
+    monkeypatch.setattr(entity, "CHUNK", 3)
+    names = {0: "alton", 1: "alton-park", 2: "bray"}
+    p = spark.createDataFrame([(i, names[i % 3]) for i in range(30)], "id long, name string")
+    got = sorted((r.a, r.b) for r in entity.related_names(p, "id", "name").collect())
+    assert got == [(a, b) for a in range(30) for b in range(a + 1, 30) if (a % 3 == 2) == (b % 3 == 2)]
+
+
+def test_mix_and_clusters_make_no_pair_of_stations(spark):
+    p = shared_places(spark, 100)
+    pairs = entity.neighbours(p, "id", "lat", "lon", 30.0)
+    rows = lambda df: sorted(map(tuple, df.collect()))
+    assert rows(homogenise.neighbourhood_mix_within(p.select("station", "lat", "lon", "label"), 30.0)) == rows(homogenise.neighbourhood_mix(pairs, p.select("station", "label")))
+    for km in (30.0, 10.0):  # one cluster of all places, one of each
+        close = entity.neighbours(p, "id", "lat", "lon", km)
+        assert rows(entity.near_clusters(p, km, "id", "lat", "lon", "name")) == rows(entity.clusters(p, close, "id", "lat", "lon", "name"))
