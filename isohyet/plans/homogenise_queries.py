@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from isohyet.operators import entity, homogenise
+from isohyet.operators import homogenise
 from isohyet.plans.tables import SQL_KM, SQL_LAT, SQL_LON, lat, lon, table
 
 KM = 80.0
@@ -19,26 +19,24 @@ def _series(spark: SparkSession, d: str, key: str) -> DataFrame:
     return l.groupBy(F.col(key).alias("station"), month.alias("month")).agg(F.avg("l_quantity").alias("value"))
 
 
-def _pairs(spark: SparkSession, d: str) -> DataFrame:
-    s = table(spark, d, "supplier").select("s_suppkey", lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"))
-    return entity.neighbours(s, "s_suppkey", "lat", "lon", KM).select("a", "b")
+def _points(spark: SparkSession, d: str) -> DataFrame:
+    return table(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), lat("s_suppkey").alias("lat"), lon("s_suppkey").alias("lon"))
 
 
 def strongest_pair_shift(spark: SparkSession, d: str) -> DataFrame:
-    out = homogenise.strongest_shift(homogenise.differences(_series(spark, d, "l_suppkey"), _pairs(spark, d)), ["a", "b"])
+    out = homogenise.neighbour_shifts(_series(spark, d, "l_suppkey"), _points(spark, d), KM)
     return out.select("a", "b", "month", F.round("stat", 5).alias("stat"), F.round("shift", 5).alias("shift"))
 
 
 def pair_shift_log(spark: SparkSession, d: str) -> DataFrame:
     """Every shift laid to a station; splits go on until none is left, in SQL a relation for every level of them."""
-    pairs = _pairs(spark, d)
-    found = homogenise.shifts(homogenise.differences(_series(spark, d, "l_suppkey"), pairs), ["a", "b"], CRITICAL)
-    return homogenise.adjustment_log(found, pairs).select("station", "month", F.round("shift", 5).alias("shift"), "n_neighbours")
+    out = homogenise.neighbour_log(_series(spark, d, "l_suppkey"), _points(spark, d), KM, CRITICAL)
+    return out.select("station", "month", F.round("shift", 5).alias("shift"), "n_neighbours")
 
 
 def neighbourhood_mix(spark: SparkSession, d: str) -> DataFrame:
     labels = table(spark, d, "supplier").select(F.col("s_suppkey").alias("station"), F.col("s_nationkey").alias("label"))
-    out = homogenise.neighbourhood_mix(_pairs(spark, d), labels)
+    out = homogenise.neighbourhood_mix_within(_points(spark, d).join(labels, "station"), KM)
     return out.select("station", "label", "n", F.round("share", 9).alias("share"))
 
 
