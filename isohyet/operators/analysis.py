@@ -15,8 +15,14 @@ def matched_controls(treated: DataFrame, controls: DataFrame, bands: list[str],
     """(treated, control, nth, km): the n nearest controls in the same bands within a distance; a control may serve several.
 
     Both tables: id, lat, lon and the band columns, on which, with cells as wide as the distance, they are joined. Bands of where_known must agree
-    only where both sides have them.
+    only where both sides have them. Rows of one side that share place and bands are alike but for their ids: only the first n such controls can serve,
+    and such treated rows are matched once.
     """
+    alike = Window.partitionBy("lat", "lon", *bands, *where_known)
+    known = treated.select("id", "lat", "lon", *bands, *where_known).withColumn("alike", F.min("id").over(alike))
+    same = known.select(F.col("alike").alias("treated"), F.col("id").alias("__id"))
+    treated = known.where("id = alike")
+    controls = controls.select("id", "lat", "lon", *bands, *where_known).withColumn("__first", F.row_number().over(alike.orderBy("id"))).where(F.col("__first") <= n)
     t = with_cell(treated.select(F.col("id").alias("treated"), F.col("lat").alias("t_lat"), F.col("lon").alias("t_lon"), *bands, *[F.col(c).alias(f"t_{c}") for c in where_known]), "t_lat", "t_lon", km)
     c = controls.select(F.col("id").alias("control"), F.col("lat").alias("c_lat"), F.col("lon").alias("c_lon"), *bands, *[F.col(c).alias(f"c_{c}") for c in where_known])
     c = with_cells_around(c, F.col("c_lat"), F.col("c_lat"), F.col("c_lon"), F.col("c_lon"), km)
@@ -24,7 +30,8 @@ def matched_controls(treated: DataFrame, controls: DataFrame, bands: list[str],
     for k in where_known:
         near = near.where(F.coalesce(F.col(f"t_{k}") == F.col(f"c_{k}"), F.lit(True)))
     w = Window.partitionBy("treated").orderBy("km", "control")
-    return near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("treated", "control", "nth", "km")
+    found = near.withColumn("nth", F.row_number().over(w)).where(F.col("nth") <= n).select("treated", "control", "nth", "km")
+    return found.join(same, "treated").select(F.col("__id").alias("treated"), "control", "nth", "km")
 
 
 def matched_effect(pairs: DataFrame, values: DataFrame) -> DataFrame:

@@ -3,7 +3,7 @@
 import pytest
 from pyspark.sql import functions as F
 
-from isohyet.operators import entity, homogenise, rings, spatial
+from isohyet.operators import analysis, entity, homogenise, rings, spatial
 from isohyet.plans import registry
 from isohyet.plans.tables import rounded
 from tests.oracle import connect, rows_of_duckdb, rows_of_spark
@@ -96,3 +96,16 @@ def test_mix_and_clusters_make_no_pair_of_stations(spark):
     for km in (30.0, 10.0):  # one cluster of all places, one of each
         close = entity.neighbours(p, "id", "lat", "lon", km)
         assert rows(entity.near_clusters(p, km, "id", "lat", "lon", "name")) == rows(entity.clusters(p, close, "id", "lat", "lon", "name"))
+
+
+def test_alike_rows_are_matched_once(spark):
+    """The join meets ten places with two controls each, not a hundred stations of either side."""
+    p = shared_places(spark, 200).withColumns({"band": F.lit(1), "era": F.lit(None).cast("int")})
+    found = analysis.matched_controls(p.where("id % 2 = 0"), p.where("id % 2 = 1"), ["band"], 30.0, 2, ("era",))
+    got = {(r.treated, r.nth): r.control for r in found.collect()}
+    want = {}
+    for a in range(0, 200, 2):
+        near = sorted((abs(a % 20 - b % 20), b) for b in range(1, 200, 2) if abs(a % 20 - b % 20) <= 1)
+        want |= {(a, i + 1): b for i, (_, b) in enumerate(near[:2])}
+    assert {k: v % 20 in (k[0] % 20 - 1, k[0] % 20 + 1) for k, v in got.items()} == dict.fromkeys(want, True)
+    assert "__first" in found._jdf.queryExecution().optimizedPlan().toString()
