@@ -15,6 +15,7 @@ from pyspark.sql import functions as F
 
 from isohyet.functions.coerce import cause, resolved_type, value
 from isohyet.functions.geo import bind
+from isohyet.session import shared_dir
 
 SQL_TYPE = {"int": "bigint", "float": "float", "time": "timestamp", "char": "string"}
 ATTRIBUTION = ("src_id", "county", "station_file_name")
@@ -98,8 +99,27 @@ def union_types(types: DataFrame) -> DataFrame:
     return seen.withColumn("type", F.when(F.size("types") == 1, F.get("types", F.lit(0))).when(F.array_join("types", ",") == "float,int", "float"))
 
 
+#: Keys of the header lines that the schema is made of.
+SCHEMA_KEYS = ("type", "coordinate_variable", "long_name", "collection_version_number")
+
+
+def header_kinds(parsed: DataFrame) -> DataFrame:
+    """Of good files with the same columns and the same lines on them, the first and the last by path: what stands for all of them in the schema.
+
+    (path, county, station, header, columns, error), off its lineage, as several tables are made from it.
+    """
+    told = F.filter("header", lambda x: F.trim(F.substring_index(x, ",", 1)).isin(*SCHEMA_KEYS))
+    file = F.struct("path", "county", "station")
+    # beside a collected set, paths are compared in a hash table; by themselves they would have all files sorted
+    kinds = parsed.where("error is null").groupBy(told.alias("header"), "columns").agg(F.min(file).alias("first"), F.max(file).alias("last"), F.collect_set(F.lit(1)).alias("any"))
+    shared_dir(parsed.sparkSession)
+    ends = kinds.checkpoint().select(F.explode(F.array_distinct(F.array("first", "last"))).alias("f"), "header", "columns")
+    return ends.select("f.*", "header", "columns", F.lit(None).cast("string").alias("error"))
+
+
 def dataset_schema(parsed: DataFrame) -> DatasetSchema:
     """The frozen schema of all good files; a conflict raises before anything is written. Columns are few: they come to the driver."""
+    parsed = header_kinds(parsed)
     rows = union_types(column_types(parsed)).orderBy("col").collect()
     for r in rows:
         if r.type is None:

@@ -1,16 +1,20 @@
-"""Self-describing files a file at a time in Arrow: typed columns and the causes of nulls from one pass over a file's body.
+"""Self-describing files in Arrow: typed columns and the causes of nulls from one pass over the files' bodies.
 
 The same grammar and the same typing as selfdesc and functions.coerce, for files of many rows and columns; files come through Spark's
-reader (selfdesc.scan), their schema from a header scan (station_headers) or from selfdesc.dataset_schema. A column is cast as a whole; only
-columns that hold a token which a plain cast refuses are looked at token by token, each different token once.
+reader (selfdesc.scan), their schema from a header scan (station_headers) or from selfdesc.dataset_schema. Files of the same columns are read
+together, many small ones as one table. A column is cast as a whole; only columns that hold a token which a plain cast refuses are looked at token by
+token, each different token once. What a token gives doesn't depend on the others.
 """
 
 from __future__ import annotations
 
 import math
 import re
+from collections import defaultdict
 from collections.abc import Callable, Iterator
+from functools import lru_cache
 
+import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
 from pyarrow import csv
@@ -23,6 +27,8 @@ from isohyet.sources.selfdesc import ATTRIBUTION, SQL_TYPE, DatasetSchema
 
 _DATA, _END = re.compile(r"^ *data *$", re.M), re.compile(r"^ *end data *$", re.M)
 _TIME = r"^[0-9]{4}-[0-9]{2}-[0-9]{2} [0-9]{2}:[0-9]{2}:[0-9]{2}$"
+#: Characters of files that are held and read at once.
+CHUNK = 1 << 23
 _ARROW = {"int": pa.int64(), "float": pa.float32(), "time": pa.timestamp("us", "UTC"), "char": pa.string()}
 
 
@@ -59,7 +65,10 @@ def typed(tokens: pa.Array, kind: str) -> pa.Array:
         return pc.if_else(exists, values, pa.scalar(None, values.type)).cast(_ARROW["time"])
     try:
         values = tokens.cast(_ARROW[kind])
-        if kind == "int" or pc.all(pc.is_finite(values), min_count=0).as_py():
+        # a cast to integers takes hexadecimal forms
+        if kind == "int" and not pc.any(pc.match_substring(tokens, "x", ignore_case=True), min_count=0).as_py():
+            return values
+        if kind == "float" and pc.all(pc.is_finite(values), min_count=0).as_py():
             return values
     except pa.ArrowInvalid:
         pass
@@ -70,64 +79,131 @@ def _trimmed(tokens: pa.Array) -> pa.Array:
     return pc.utf8_trim(tokens, " ")
 
 
+@lru_cache(maxsize=256)
+def _header(head: str) -> tuple[bool, str | None, dict[str, str]]:
+    """(whether a line has too few parts, release, declared types) of header lines; files of a dataset share most of them."""
+    parts = [x.split(",", 2) for x in (x.strip(" ") for x in head.split("\n")) if x]
+    if any(len(p) < 3 for p in parts):
+        return True, None, {}
+    release, declared = None, {}
+    for key, column, value in ([x.strip(" ") for x in p] for p in parts):
+        if key == "collection_version_number" and column == "G":
+            release = value
+        elif key == "type":
+            declared[column] = value
+    return False, release, declared
+
+
 class Body:
-    """A file's columns as raw tokens, or the error that stands against it."""
+    """A file's lines of values, n of them, with what its header says of them, or the error that stands against it."""
 
-    def __init__(self, text: str, src_id: int | None):
-        self.error, self.release, self.columns, self.declared = None, None, None, {}
+    def __init__(self, text: str, src_id: int | None, county: str | None = None, name: str | None = None):
+        self.src_id, self.county, self.name = src_id, county, name
+        self.error, self.release, self.declared, self.lines, self.n = None, None, {}, "", 0
         text = text.replace("\r", "")
         start = _DATA.search(text)
-        head = text[: start.start()] if start else ""
-        lines = [x.strip(" ") for x in head.split("\n")]
         rest = text[start.end() + 1 :] if start else ""
         names_line, _, body = rest.partition("\n")
-        names = [x.strip(" ") for x in names_line.strip(" ").split(",")]
-        end = _END.search(text)
-        parts = [x.split(",", 2) for x in lines if x]
+        self.names = tuple(x.strip(" ") for x in names_line.strip(" ").split(","))
+        # the end mark ends the body wherever it stands behind the column row
+        stop = _END.search(body)
+        bad, self.release, self.declared = _header(text[: start.start()] if start else "")
         if src_id is None:
             self.error = "no station number in the folder's name"
         elif start is None:
             self.error = "no 'data' line"
-        elif not rest or names[0] == "":
+        elif not rest or self.names[0] == "":
             self.error = "no column row"
-        elif any(len(p) < 3 for p in parts):
+        elif bad:
             self.error = "header line of fewer than three parts"
-        elif end is None:
+        elif stop is None and not _END.search(text):
             self.error = "no 'end data' line"
-        elif len(set(names)) < len(names):
+        elif len(set(self.names)) < len(self.names):
             self.error = "a column is named twice"
-        if self.error:
-            return
-        for key, column, value in ([x.strip(" ") for x in p] for p in parts):
-            if key == "collection_version_number" and column == "G":
-                self.release = value
-            elif key == "type":
-                self.declared[column] = value
-        # the end mark ends the body wherever it stands behind the column row
-        stop = _END.search(body)
-        body = re.sub(r"^ +$", "", body[: stop.start()] if stop else "", flags=re.M)
-        if not body.strip("\n"):
-            self.columns = pa.table({n: pa.array([], pa.string()) for n in names})
-            return
-        try:
-            self.columns = csv.read_csv(
-                pa.BufferReader(body.encode()), csv.ReadOptions(column_names=names, use_threads=False, block_size=1 << 30), csv.ParseOptions(quote_char=False),
-                csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
-            ).combine_chunks()
-        except pa.ArrowInvalid:
-            self.error = "row of another number of fields"
-
-    def values(self, name: str, kind: str, widened: bool = False) -> tuple[pa.Array, int, int, int]:
-        """(values, na, empty, coerced) of a column; a widened one is read by the file's own type first."""
+        elif stop:
+            self.lines = re.sub(r"\n{2,}", "\n", re.sub(r"^ +$", "", body[: stop.start()], flags=re.M)).strip("\n")
+            self.n = self.lines.count("\n") + 1 if self.lines else 0
+
+
+class Chunk:
+    """Files of the same columns, their lines read as one table of raw tokens."""
+
+    def __init__(self, bodies: list[Body], columns: pa.Table):
+        self.bodies, self.columns = bodies, columns
+        #: the file of each row
+        self.of = np.repeat(np.arange(len(bodies)), [b.n for b in bodies])
+
+    def repeated(self, values: list, kind: pa.DataType) -> pa.Array:
+        """A value of each file, for each of its rows."""
+        return pa.array(values, kind).take(pa.array(self.of))
+
+    def counted(self, mask: pa.Array) -> list[int]:
+        """How many rows of each file are marked."""
+        marked = pc.fill_null(mask, False).to_numpy(zero_copy_only=False)
+        return np.bincount(self.of[marked], minlength=len(self.bodies)).tolist()
+
+    def values(self, name: str, kind: str, widened: bool = False) -> tuple[pa.Array, pa.Array, pa.Array, pa.Array]:
+        """(values, na, empty, coerced) of a column; a widened one is read by the files' own type first."""
         column = self.columns.column(name)
         tokens = _trimmed(column.chunk(0) if column.num_chunks else pa.array([], pa.string()))
         na, empty = pc.equal(tokens, "NA"), pc.equal(tokens, "")
         present = pc.if_else(pc.or_(na, empty), pa.scalar(None, pa.string()), tokens)
-        own = "int" if widened and self.declared.get(name) == "int" else kind
+        own = "int" if widened and self.bodies[0].declared.get(name) == "int" else kind
         out = typed(present, own)
         if own != kind:
             out = out.cast(_ARROW[kind], safe=False)
-        return out, pc.sum(na).as_py() or 0, pc.sum(empty).as_py() or 0, out.null_count - present.null_count
+        return out, na, empty, pc.and_(pc.is_null(out), pc.is_valid(present))
+
+
+def _read(bodies: list[Body]) -> Iterator[Chunk]:
+    """The table of files of the same columns; where a row has another number of fields, halves are read until its file stands alone and gets the error."""
+    names, n = bodies[0].names, sum(b.n for b in bodies)
+    if not n:
+        yield Chunk(bodies, pa.table({c: pa.array([], pa.string()) for c in names}))
+        return
+    # a leading empty line, which the reader skips, keeps it from taking a mark of the byte order off the first value
+    text = "\n" + "\n".join(b.lines for b in bodies if b.n) + "\n"
+    try:
+        columns = csv.read_csv(
+            pa.BufferReader(text.encode()), csv.ReadOptions(column_names=list(names), use_threads=False, block_size=1 << 30), csv.ParseOptions(quote_char=False),
+            csv.ConvertOptions(column_types=dict.fromkeys(names, pa.string()), strings_can_be_null=False),
+        ).combine_chunks()
+        if columns.num_rows != n:
+            raise ValueError(f"{columns.num_rows} rows of {n} lines")
+        yield Chunk(bodies, columns)
+    except pa.ArrowInvalid:
+        if len(bodies) == 1:
+            bodies[0].error = "row of another number of fields"
+            return
+        half = len(bodies) // 2
+        yield from _read(bodies[:half])
+        yield from _read(bodies[half:])
+
+
+def _chunks(bodies: Iterator[Body], widened: set[str], failed: list[Body]) -> Iterator[Chunk]:
+    """Files without error, some CHUNK characters at once, those of the same columns (and of the same own types, where the dataset widens) together; others go to failed."""
+    held, size = defaultdict(list), 0
+
+    def read() -> Iterator[Chunk]:
+        for group in held.values():
+            yield from _read(group)
+            failed.extend(b for b in group if b.error)
+        held.clear()
+
+    for body in bodies:
+        if body.error:
+            failed.append(body)
+            continue
+        held[body.names, tuple(c for c in sorted(widened) if body.declared.get(c) == "int")].append(body)
+        size += len(body.lines)
+        if size >= CHUNK:
+            yield from read()
+            size = 0
+    yield from read()
+
+
+def _files(batch: pa.RecordBatch, *names: str) -> Iterator[tuple]:
+    return zip(*(batch.column(c).to_pylist() for c in names), strict=True)
 
 
 def rows(files: DataFrame, schema: DatasetSchema) -> DataFrame:
@@ -141,14 +217,13 @@ def rows(files: DataFrame, schema: DatasetSchema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            for i in range(b.num_rows):
-                src_id, county, station, text = (b.column(c)[i].as_py() for c in ("src_id", "county", "station", "text"))
-                body = Body(text or "", src_id)
-                if body.error or not body.columns.num_rows:
+            bodies = (Body(text or "", src_id, county, station) for src_id, county, station, text in _files(b, "src_id", "county", "station", "text"))
+            for chunk in _chunks(bodies, widened, []):
+                n = chunk.columns.num_rows
+                if not n:
                     continue
-                n = body.columns.num_rows
-                made = [pa.array([src_id], pa.int64()).take(pa.array([0] * n)), pa.repeat(pa.scalar(county, pa.string()), n), pa.repeat(pa.scalar(station, pa.string()), n)] + [pa.repeat(pa.scalar(body.release, pa.string()), n)] * versions
-                made += [body.values(c, t, c in widened)[0] if c in body.columns.column_names else pa.nulls(n, _ARROW[t]) for c, t in columns]
+                made = [chunk.repeated([getattr(x, f) for x in chunk.bodies], kind) for f, kind in [("src_id", pa.int64()), ("county", pa.string()), ("name", pa.string())] + [("release", pa.string())] * versions]
+                made += [chunk.values(c, t, c in widened)[0] if c in chunk.columns.column_names else pa.nulls(n, _ARROW[t]) for c, t in columns]
                 yield pa.RecordBatch.from_arrays(made, out.names)
 
     return files.select("src_id", "county", "station", "text").mapInArrow(run, out)
@@ -164,22 +239,24 @@ def tallies(files: DataFrame, schema: DatasetSchema) -> DataFrame:
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = [x.split()[0] for x in TALLIES.split(", ")]
+        kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in TALLIES.split(", ")]
+
+        def made(columns: list) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names)
+
         for b in batches:
-            found = []
-            for i in range(b.num_rows):
-                path, src_id, county, text = (b.column(c)[i].as_py() for c in ("path", "src_id", "county", "text"))
-                body = Body(text or "", src_id)
-                if body.error:
-                    found.append((county, path, None, body.error, None, None, None, None, None))
-                    continue
-                for c in body.columns.column_names:
-                    values, na, empty, coerced = body.values(c, types.get(c, "char"), c in widened)
-                    other = 0
+            failed: list[Body] = []
+            bodies = (Body(text or "", src_id, county, path) for path, src_id, county, text in _files(b, "path", "src_id", "county", "text"))
+            for chunk in _chunks(bodies, widened, failed):
+                k = len(chunk.bodies)
+                files_ = [[x.county for x in chunk.bodies], [x.name for x in chunk.bodies], [x.n for x in chunk.bodies], [None] * k]
+                for c in chunk.columns.column_names:
+                    values, *causes = chunk.values(c, types.get(c, "char"), c in widened)
+                    other = [0] * k
                     if c == "src_id":
-                        other = pc.sum(pc.not_equal(values if types.get(c) == "int" else typed(values, "int"), src_id)).as_py() or 0
-                    found.append((county, path, body.columns.num_rows, None, c, na, empty, coerced, other))
-            columns = list(zip(*found, strict=True)) if found else [[]] * len(names)
-            kinds = [pa.int64() if x.split()[1] == "long" else pa.string() for x in TALLIES.split(", ")]
-            yield pa.RecordBatch.from_arrays([pa.array(list(x), k) for x, k in zip(columns, kinds, strict=True)], names)
+                        own = chunk.repeated([x.src_id for x in chunk.bodies], pa.int64())
+                        other = chunk.counted(pc.not_equal(values if types.get(c) == "int" else typed(values, "int"), own))
+                    yield made([*files_, [c] * k, *map(chunk.counted, causes), other])
+            yield made([[x.county for x in failed], [x.name for x in failed], [None] * len(failed), [x.error for x in failed], *[[None] * len(failed)] * 5])
 
     return files.select("path", "src_id", "county", "text").mapInArrow(run, TALLIES)

@@ -176,3 +176,38 @@ def test_first_lines_of_annual_files(spark, tmp_path):
     assert key(tuple(r)[1:] for r in got.collect()) == key(tuple(r)[1:] for r in inventory.parse_annual_headers(whole).collect())
     heads = station_headers.first_lines(spark, str(tmp_path), 40)
     assert heads.count() == 3 and heads.agg(F.max("bytes_read")).first()[0] <= station_headers.CHUNK
+
+
+def small_files(spark, n, header=lambda i: "", row=lambda i: f"{i},5"):
+    head = "Conventions,G,BADC-CSV\ncollection_version_number,G,1\ntype,src_id,int\ntype,x,int\nlong_name,x,a depth,m\n"
+    files = [(f"f{i:03d}", f"c{i % 3}", f"{i:05d}_s", i, head + header(i) + f"data\nsrc_id,x\n{row(i)}\nend data\n") for i in range(n)]
+    return spark.createDataFrame(files, "path string, county string, station string, src_id long, text string").coalesce(1)
+
+
+def test_small_files_are_read_together(monkeypatch):
+    """One table of a hundred files; a file with a bad row costs some halvings and takes no other file with it, and no token depends on its neighbours."""
+    reads, plain = [], vectorised.csv.read_csv
+    monkeypatch.setattr(vectorised.csv, "read_csv", lambda *a, **k: reads.append(1) or plain(*a, **k))
+    text = "type,x,int\ndata\nsrc_id,x\n{}\nend data\n".replace("type,x,int", "type,x,int")
+    values = ["5", "0x10", "﻿5", "1,2", "", "NA", "x", "\n\n7\n   \n8"]
+    bodies = [vectorised.Body(text.replace("src_id,x\n", "src_id,x\n").format("\n".join(f"{i},{v}" for v in values[i % 8].strip().split())) if i % 8 == 7 else text.format(f"{i},{values[i % 8]}"), i) for i in range(80)]
+    failed = []
+    chunks = list(vectorised._chunks(iter(bodies), set(), failed))
+    assert [b.src_id for b in failed] == list(range(3, 80, 8)) and {b.error for b in failed} == {"row of another number of fields"}
+    got = {}
+    for chunk in chunks:
+        for of, v in zip(chunk.of, chunk.values("x", "int")[0].to_pylist(), strict=True):
+            got.setdefault(chunk.bodies[of].src_id, []).append(v)
+    want = [[5], [None], [None], None, [None], [None], [None], [7, 8]]
+    assert got == {i: want[i % 8] for i in range(80) if i % 8 != 3}
+    reads.clear()
+    (chunk,) = vectorised._chunks(iter([vectorised.Body(text.format(f"{i},{i}"), i) for i in range(100)]), set(), [])
+    assert len(reads) == 1 and chunk.columns.num_rows == 100
+
+
+def test_schema_is_made_of_kinds_of_headers(spark):
+    """Files that differ in what isn't of the schema are of one kind: two of them stand for a hundred."""
+    parsed = selfdesc.split_files(small_files(spark, 100, lambda i: f"comments,G,file {i}\n" + ("type,x,float\nlong_name,x,a depth,ft\n" if i in (40, 60) else "")))
+    assert sorted(r.path for r in selfdesc.header_kinds(parsed).collect()) == ["f000", "f040", "f060", "f099"]
+    schema = selfdesc.dataset_schema(parsed)
+    assert (schema.types["x"], schema.widened["x"], schema.units["x"], schema.releases) == ("float", ("00040_s", "00099_s"), "m", ["1"])
