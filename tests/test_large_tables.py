@@ -109,3 +109,16 @@ def test_alike_rows_are_matched_once(spark):
         want |= {(a, i + 1): b for i, (_, b) in enumerate(near[:2])}
     assert {k: v % 20 in (k[0] % 20 - 1, k[0] % 20 + 1) for k, v in got.items()} == dict.fromkeys(want, True)
     assert "__first" in found._jdf.queryExecution().optimizedPlan().toString()
+
+
+def test_cells_of_a_task_do_not_grow_with_stations(spark, monkeypatch):
+    """Stations in one file are dealt to tasks by their cells, and sums by station need no other exchange."""
+    monkeypatch.setattr(rings, "CELLS_A_TASK", 10_000)
+    s = spark.range(0, 400, 1, 1).selectExpr("id AS src_id", "id * 37 % 900 + 0.5 AS x", "id * 53 % 800 + 0.25 AS y")
+    w = rings.cell_weights(s, [500.0], 100.0)  # 144 cells each at most
+    held = w.groupBy(F.spark_partition_id()).agg(F.countDistinct("src_id").alias("n")).collect()
+    assert len(held) == 6 and sum(r.n for r in held) == 400 and max(r.n for r in held) < 120
+    sums = w.groupBy("src_id", "ring_m", "row").agg(F.sum("w").alias("w"))
+    assert sums._jdf.queryExecution().executedPlan().toString().count("Exchange ") == 1
+    area = {r.src_id: r.w for r in sums.groupBy("src_id").agg(F.sum("w").alias("w")).collect()}
+    assert len(area) == 400 and all(v == pytest.approx(3.141592653589793 * 25) for v in area.values())
