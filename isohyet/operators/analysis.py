@@ -87,7 +87,8 @@ def block_bootstrap(series: DataFrame, by: str, month: str, value: str, block: i
     w = Window.partitionBy("__by")
     ranked = blocks.withColumn("i", F.row_number().over(w.orderBy("k")) - 1).withColumn("m", F.count(F.lit(1)).over(w))
     picks = ranked.select("__by", "i", "m", F.explode(F.sequence(F.lit(0), F.lit(draws - 1))).alias("b")).withColumn("i", (draw(seed, F.col("__by"), F.col("b"), F.col("i")) % F.col("m")).cast("int"))
-    means = picks.join(ranked.select("__by", "i", "s", "n"), ["__by", "i"]).groupBy("__by", "b").agg((F.sum("s") / F.sum("n")).alias("x"))
+    # neither side may be broadcast: both grow with series, picks to more than their estimate
+    means = picks.join(ranked.select("__by", "i", "s", "n").hint("shuffle_hash"), ["__by", "i"]).groupBy("__by", "b").agg((F.sum("s") / F.sum("n")).alias("x"))
     bounds = means.groupBy("__by").agg(F.percentile("x", 0.025).alias("lower"), F.percentile("x", 0.975).alias("upper"))
     return blocks.groupBy("__by").agg((F.sum("s") / F.sum("n")).alias("mean")).join(bounds, "__by").withColumnRenamed("__by", by)
 

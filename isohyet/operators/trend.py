@@ -9,6 +9,7 @@ from pyspark.sql import types as T
 
 from isohyet.functions.coerce import finite
 from isohyet.functions.draws import draw
+from isohyet.operators.entity import cut_off
 from isohyet.operators.ranking import ranked
 from isohyet.operators.slopes import median_slope
 from isohyet.session import ship_package
@@ -112,10 +113,11 @@ def theil_sen(series: DataFrame, by: str = "series", month: str = "month", value
 
 def clustered_bootstrap(values: DataFrame, cluster: str, value: str, draws: int = 200, seed: int = 1) -> DataFrame:
     """(mean, lower, upper): clusters are resampled with replacement by a hash, so that reruns agree."""
-    sums = values.withColumn("__v", finite(F.col(value))).groupBy(cluster).agg(F.sum("__v").alias("s"), F.count("__v").alias("n")).where("n > 0")
-    placed = ranked(sums, [cluster], name="i").withColumn("i", F.col("i") - 1)
-    size = placed.count()
-    picks = placed.select("i").withColumn("b", F.explode(F.sequence(F.lit(0), F.lit(draws - 1)))).withColumn("pick", draw(seed, F.col("b"), F.col("i")) % size)
-    means = picks.join(placed.select(F.col("i").alias("pick"), "s", "n"), "pick").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
+    sums, size = cut_off(values.withColumn("__v", finite(F.col(value))).groupBy(cluster).agg(F.sum("__v").alias("s"), F.count("__v").alias("n")).where("n > 0"))
+    placed = ranked(sums, [cluster], name="i").select((F.col("i") - 1).alias("pick"), "s", "n")
+    nth = values.sparkSession.range(draws * size).select(F.expr(f"id div {max(size, 1)}").alias("b"), (F.col("id") % max(size, 1)).alias("i"))
+    picks = nth.select("b", (draw(seed, F.col("b"), F.col("i")) % size).alias("pick"))
+    # neither side may be broadcast: both grow with clusters, picks to more than their estimate
+    means = picks.join(placed.hint("shuffle_hash"), "pick").groupBy("b").agg((F.sum("s") / F.sum("n")).alias("m"))
     stats = means.agg(F.percentile("m", 0.025).alias("lower"), F.percentile("m", 0.975).alias("upper"))
     return sums.agg((F.sum("s") / F.sum("n")).alias("mean")).join(stats)

@@ -80,3 +80,18 @@ def test_null_family(spark):
         own = [(0.001 * i, i) for i in range(1, 41) if i % 2 == f]
         top = max((n for n, (p, _) in enumerate(own, 1) if p <= n / len(own) * 0.05), default=0)
         assert all(got[i] == (n <= top) for n, (_, i) in enumerate(own, 1))
+
+
+def test_picks_are_not_broadcast(spark):
+    """Draws times clusters are dealt to tasks and shuffled; only single rows go to the driver."""
+    series = [("s", m, float(m * 13 % 17)) for m in range(100)]
+    blocks = analysis.block_bootstrap(spark.createDataFrame(series, "s string, m long, v double"), "s", "m", "v", block=8, draws=40)
+    for df in (trend.clustered_bootstrap(frame(spark), "c", "y", draws=50), blocks):
+        plan = df._jdf.queryExecution().sparkPlan().toString()
+        join = next(x for x in plan.splitlines() if ("pick" in x or "__by" in x) and "HashJoin" in x and "Inner" in x and ("pick" in x or "i#" in x))
+        assert "ShuffledHashJoin" in join
+    assert "Generate" not in trend.clustered_bootstrap(frame(spark), "c", "y", draws=50)._jdf.queryExecution().sparkPlan().toString()
+
+
+def test_no_cluster_has_no_mean(spark):
+    assert tuple(trend.clustered_bootstrap(frame(spark).where("c < 0"), "c", "y").first()) == (None, None, None)
