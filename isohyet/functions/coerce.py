@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Plain decimal notation; rules out suffixes and hexadecimal forms that a cast would take.
 NUMBER = r"^[+-]?([0-9]+\.?[0-9]*|\.[0-9]+)([eE][+-]?[0-9]+)?$"
 TIME_FORMAT = "yyyy-MM-dd HH:mm:ss"
+#: What a token of that format can look like: parsing others costs an exception each.
+TIME_LOOK = r"^[+-]?[0-9]{4,}-(0[1-9]|1[0-2])-(0[1-9]|[12][0-9]|3[01]) ([01][0-9]|2[0-3]):[0-5][0-9]:[0-5][0-9]$"
 TWO_63 = 9.223372036854775808e18
 
 
@@ -26,7 +28,7 @@ def finite_float(token: Column) -> Column:
 
 
 def utc_time(token: Column) -> Column:
-    return F.try_to_timestamp(token, F.lit(TIME_FORMAT))
+    return F.when(token.rlike(TIME_LOOK), F.try_to_timestamp(token, F.lit(TIME_FORMAT)))
 
 
 PARSERS = {"int": lenient_int, "float": finite_float, "time": utc_time, "char": lambda token: token}

@@ -14,7 +14,6 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from isohyet.functions.coerce import cause, resolved_type, value
-from isohyet.functions.geo import bind
 from isohyet.session import shared_dir
 
 SQL_TYPE = {"int": "bigint", "float": "float", "time": "timestamp", "char": "string"}
@@ -31,34 +30,35 @@ def scan(spark: SparkSession, raw: str, county: str | None = None, qc_version: i
     )
 
 
+def _once(rows: DataFrame, *made: Column) -> DataFrame:
+    """rows with columns made, each computed once: what a generator gives isn't inlined in the filters and columns that use it."""
+    return rows.select(*rows.columns, F.inline(F.array(F.struct(*made))))
+
+
 def split_files(files: DataFrame) -> DataFrame:
     """Adds header (array of lines), columns, rows (array of lines) and error.
 
-    Lines are bound once a file: a plain reference within a lambda would split the text anew for every line of it.
+    Lines are made once a file, by functions that Spark compiles; functions of single lines, which it doesn't, are few and split none of them.
     """
-    lines = F.transform(F.split(F.regexp_replace("text", "\r", ""), "\n", -1), lambda x: F.trim(x))
-    filled = lambda a: F.filter(a, lambda x: x != "")
-
-    def parts(line: Column, p: Column) -> Column:
-        at, end = p["at"], p["end"]
-        names = F.transform(F.split(F.get(line, at.cast("int")), ","), lambda x: F.trim(x))
-        body = F.slice(line, at + 2, F.greatest(end - at - 2, F.lit(0)))
-        return F.struct(
-            F.when(at > 0, filled(F.slice(line, 1, at - 1))).alias("header"), F.when(at > 0, names).alias("columns"), F.when((at > 0) & (end > at), filled(body)).alias("rows"), at.alias("at"), end.alias("end")
-        )
-
-    def judged(t: Column) -> Column:
-        bad_header = F.exists(t["header"], lambda x: F.size(F.split(x, ",", 3)) < 3)
-        bad_row = F.exists(t["rows"], lambda x: F.size(F.split(x, ",", -1)) != F.size(t["columns"]))
-        error = (
-            F.when(F.col("src_id").isNull(), "no station number in the folder's name").when(t["at"] == 0, "no 'data' line").when(t["columns"].isNull() | (F.get(t["columns"], F.lit(0)) == ""), "no column row")
-            .when(bad_header, "header line of fewer than three parts").when(t["end"] == 0, "no 'end data' line").when(bad_row, "row of another number of fields")
-        )
-        return F.struct(t["header"].alias("header"), t["columns"].alias("columns"), t["rows"].alias("rows"), error.alias("error"))
-
-    places = lambda line: F.struct(F.array_position(line, "data").alias("at"), F.array_position(line, "end data").alias("end"))
-    taken = bind(lines, lambda line: bind(bind(places(line), lambda p: parts(line, p)), judged))
-    return files.withColumn("__parts", taken).select(*[c for c in files.columns if c != "text"], "__parts.*")
+    kept = [c for c in files.columns if c != "text"]
+    lines = F.transform(F.split(F.replace("text", F.lit("\r"), F.lit("")), "\n", -1), lambda x: F.trim(x))
+    line, at, end = F.col("__line"), F.col("__at"), F.col("__end")
+    filled = lambda a: F.array_remove(a, "")
+    placed = _once(_once(files, lines.alias("__line")), F.array_position(line, "data").alias("__at"), F.array_position(line, "end data").alias("__end"))
+    names = F.transform(F.split(F.get(line, at.cast("int")), ","), lambda x: F.trim(x))
+    body = F.slice(line, at + 2, F.greatest(end - at - 2, F.lit(0)))
+    parts = F.struct(F.when(at > 0, filled(F.slice(line, 1, at - 1))).alias("header"), F.when(at > 0, names).alias("columns"), F.when((at > 0) & (end > at), filled(body)).alias("rows"))
+    taken = placed.select(*kept, "__at", "__end", F.inline(F.array(parts)))
+    n = F.size("columns")
+    # a line of fewer than n commas is what stands before its nth
+    fewer = lambda x, n: F.call_function("substring_index", x, F.lit(","), n) == x
+    bad_header = F.exists("header", lambda x: fewer(x, F.lit(2)))
+    bad_row = F.exists("rows", lambda x: ~fewer(x, n) | fewer(x, n - 1))
+    error = (
+        F.when(F.col("src_id").isNull(), "no station number in the folder's name").when(at == 0, "no 'data' line").when(F.col("columns").isNull() | (F.get("columns", F.lit(0)) == ""), "no column row")
+        .when(bad_header, "header line of fewer than three parts").when(end == 0, "no 'end data' line").when(F.size(F.array_distinct("columns")) < n, "a column is named twice").when(bad_row, "row of another number of fields")
+    )
+    return taken.select(*kept, "header", "columns", "rows", error.alias("error"))
 
 
 def headers(parsed: DataFrame) -> DataFrame:
@@ -165,17 +165,26 @@ def typed_rows(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     return rows.select(*base, *cols)
 
 
-def cell_tallies(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
-    """(county, path, col, na, empty, coerced, mismatched) for every column of every good file, from one pass over the cells."""
-    own = value(F.col("token"), "int") != F.col("src_id")
-    pairs = tokens(parsed, schema).select("county", "path", "src_id", "own_ints", F.explode("cells").alias("col", "token"))
-    kinds = F.create_map(*[F.lit(x) for kv in sorted(schema.types.items()) for x in kv])
-    typed = pairs.withColumn("kind", F.when(F.array_contains("own_ints", F.col("col")), "int").otherwise(F.try_element_at(kinds, F.col("col"))))
+def cell_causes(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(county, path, col, cause, mismatched) for every cell of every good file: why it has no value, and whether it names another station."""
+    lines = parsed.where("error is null").select("path", "county", "src_id", "columns", _own_ints(schema).alias("own_ints"), F.explode("rows").alias("line"))
+    cells = lines.select("county", "path", "src_id", "own_ints", F.inline(F.arrays_zip("columns", F.split("line", ",", -1).alias("token"))).alias("col", "token"))
+    kind = F.try_element_at(F.create_map(*[F.lit(x) for kv in sorted(schema.types.items()) for x in kv]), F.col("col"))
+    typed = cells.withColumn("kind", F.when(F.array_contains("own_ints", F.col("col")), "int").otherwise(kind) if schema.widened else kind)
     why = F.lit(None).cast("string")
     for kind in SQL_TYPE:
         why = F.when(F.col("kind") == kind, cause(F.col("token"), kind)).otherwise(why)
-    counted = typed.withColumn("cause", why).groupBy("county", "path", "col")
-    return counted.agg(*[F.count_if(F.col("cause") == c).alias(c) for c in ("na", "empty", "coerced")], F.count_if((F.col("col") == "src_id") & own).alias("mismatched"))
+    other = (F.col("col") == "src_id") & (value(F.col("token"), "int") != F.col("src_id"))
+    return _once(typed.select("county", "path", "col", "token", "kind", "src_id"), why.alias("cause"), F.coalesce(other, F.lit(False)).alias("mismatched")).drop("token", "kind", "src_id")
+
+
+def _tallied(cells: DataFrame) -> DataFrame:
+    return cells.groupBy("county", "path", "col").agg(*[F.count_if(F.col("cause") == c).alias(c) for c in ("na", "empty", "coerced")], F.count_if("mismatched").alias("mismatched"))
+
+
+def cell_tallies(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
+    """(county, path, col, na, empty, coerced, mismatched) for every column of every good file, from one pass over the cells."""
+    return _tallied(cell_causes(parsed, schema))
 
 
 def cause_counts(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
@@ -198,13 +207,16 @@ def run_details(parsed: DataFrame, schema: DatasetSchema) -> DataFrame:
     """(county, kind, file, column, count, error): an entry for every finding of the run, as many as there are; sinks write them by county."""
     entry = lambda kind, column, n: F.when(n > 0, F.struct(F.lit(kind).alias("kind"), column.alias("column"), n.alias("count")))
     found = [entry("coercion", F.col("col"), F.col("coerced")), entry("empty_field", F.col("col"), F.col("empty")), entry("src_id_mismatch", F.lit(None).cast("string"), F.col("mismatched"))]
-    of_cells = cell_tallies(parsed, schema).select("county", F.col("path").alias("file"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
+    # cells that nothing stands against aren't shuffled
+    of_cells = _tallied(cell_causes(parsed, schema).where("mismatched or cause in ('empty', 'coerced')")).select("county", F.col("path").alias("file"), F.explode(F.filter(F.array(*found), lambda x: x.isNotNull())).alias("x"))
     declared = F.transform(F.filter("header", lambda x: x.startswith("type,")), lambda x: F.trim(F.split(x, ",", 3)[1]))
-    files = parsed.select("county", F.col("path").alias("file"), "error", F.when(F.col("error").isNull(), F.array_except("columns", declared)).alias("undeclared"))
+    # the exploded array is no column of its own: as one, it would be computed anew in the filter that Spark puts before
+    undeclared = F.explode(F.when(F.col("error").isNull(), F.array_except("columns", declared)))
+    files = parsed.select("county", F.col("path").alias("file"), "header", "columns", "error")
     none = F.lit(None)
     return (
         of_cells.select("county", "x.kind", "file", "x.column", "x.count", none.cast("string").alias("error"))
-        .unionByName(files.select("county", F.lit("undeclared_fallback").alias("kind"), "file", F.explode("undeclared").alias("column"), none.cast("bigint").alias("count"), none.cast("string").alias("error")))
+        .unionByName(files.select("county", F.lit("undeclared_fallback").alias("kind"), "file", undeclared.alias("column"), none.cast("bigint").alias("count"), none.cast("string").alias("error")))
         .unionByName(files.where("error is not null").select("county", F.lit("failure").alias("kind"), "file", none.cast("string").alias("column"), none.cast("bigint").alias("count"), "error"))
     )
 

@@ -1,7 +1,9 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
+from isohyet.functions import coerce
 from isohyet.sources import inventory, selfdesc, sinks
 
 HEAD = "Conventions,G,BADC-CSV\ncollection_version_number,G,{v}\ntype,src_id,int\ntype,temp,{t}\nlong_name,temp,air temperature,degC\ntype,ob_time,char\ncoordinate_variable,ob_time,t\ntype,temp_q,int\n"
@@ -114,3 +116,50 @@ def test_stamps_of_a_run():
     import datetime
 
     assert datetime.datetime.fromisoformat(selfdesc.utc_now()).utcoffset() == datetime.timedelta(0)
+
+
+def small_run(spark, texts):
+    files = spark.createDataFrame([(f"f{i}", "ayr", f"{i:05d}_s", "1995", i, t) for i, t in enumerate(texts)], "path string, county string, station string, year string, src_id long, text string")
+    parsed = selfdesc.split_files(files).cache()
+    return parsed, selfdesc.run_details(parsed, selfdesc.dataset_schema(parsed))
+
+
+def test_details_shuffle_only_cells_that_something_stands_against(spark):
+    """Causes are computed once, behind a generator; what passes the filter on them is counted, other cells go no further."""
+    body = "type,a,int\ntype,b,float\ndata\na,b\n{}\nend data\n"
+    parsed, details = small_run(spark, [body.format("1,2.5\n2,x\n3,NA\n,y"), *[body.format("1,2.5")] * 20])
+    found = sorted((r.file, r.kind, r.column, r["count"]) for r in details.collect())
+    assert found == [("f0", "coercion", "b", 2), ("f0", "empty_field", "a", 1)]
+    lines = details._jdf.queryExecution().optimizedPlan().toString().split("\n")
+    under = next(i for i, x in enumerate(lines) if "Aggregate" in x) + 1
+    chain = [x.lstrip(" :+-").split(" ")[0] for x in lines[under:]]
+    first = next(x for x in chain if x != "Project")
+    assert first == "Filter" and chain[chain.index("Filter") + 1] == "Generate"
+
+
+def test_lines_are_judged_as_before(spark):
+    """Blank lines, spaces, carriage returns and marks in odd places; a column named twice is an error of its file, not of the run."""
+    head = "type,a,int\n"
+    texts = [
+        " type,a,int \r\n  \r\n data \r\n a , b \r\n 1,2 \r\n\r\n 3, \r\n end data \r\n", head + "data\na,a\n1,2\nend data\n", head + "end data\ndata\na\n1\n", "", head + "data\n a\n1\n1,2\nend data", head + "data\na,b,\n1,2,3\n1,2\nend data",
+        head + "a,b\ndata\na\n1\nend data", head + "data\n,a\n1,2\nend data", head + "data", "data\nc\nend data", head + "x,y,z,data\ndata\na\ndata\nend data\n2\nend data",
+    ]
+    parsed, details = small_run(spark, texts)
+    got = {int(r.path[1:]): (r.header, r["columns"], r["rows"], r.error) for r in parsed.collect()}
+    h, fields = ["type,a,int"], "row of another number of fields"
+    assert got == {
+        0: (h, ["a", "b"], ["1,2", "3,"], None), 1: (h, ["a", "a"], ["1,2"], "a column is named twice"), 2: ([*h, "end data"], ["a"], None, "header line of fewer than three parts"), 3: (None, None, None, "no 'data' line"),
+        4: (h, ["a"], ["1", "1,2"], fields), 5: (h, ["a", "b", ""], ["1,2,3", "1,2"], fields), 6: ([*h, "a,b"], ["a"], ["1"], "header line of fewer than three parts"), 7: (h, ["", "a"], ["1,2"], "no column row"),
+        8: (h, None, None, "no column row"), 9: ([], ["c"], [], None), 10: ([*h, "x,y,z,data"], ["a"], ["data"], None),
+    }
+    errors = {r.file: r.error for r in details.where("kind = 'failure'").collect()}
+    assert errors == {f"f{i}": e for i, (*_, e) in got.items() if e}
+
+
+def test_times_are_those_of_the_format(spark):
+    """The look that a time must have refuses no token that the format takes."""
+    tokens = [f"{y}-{m}-{d} {t}" for y in ("1995", "0001", "0000", "+1995", "-0001", "12345", "+12345", "995", "2024") for m, d in (("01", "31"), ("02", "29"), ("2", "01"), ("12", "00"), ("13", "01"), ("04", "31"), ("00", "10")) for t in ("00:00:00", "23:59:59", "24:00:00", "12:60:00", "1:00:00", "12:00:60", "12:00", "12:00:00.5")]
+    rows = spark.createDataFrame([(t,) for t in [*tokens, " 1995-01-01 00:00:00", "1995-01-01T00:00:00", "\u0661995-01-01 00:00:00", "1995-01-01 00:00:00\n", ""]], "t string")
+    at = F.try_to_timestamp("t", F.lit(coerce.TIME_FORMAT)).cast("string")
+    assert rows.where(~coerce.utc_time(F.col("t")).cast("string").eqNullSafe(at)).collect() == []
+    assert rows.where(coerce.utc_time(F.col("t")).isNotNull()).count() > 4
